@@ -75,7 +75,7 @@ class ByteBPE:
         """Ids of each word (little-endian unsigned 32-bit), in rounds over all words at once."""
         none = len(self.keys)
         symbols = self.symbols_of(words)
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        owner = np.repeat(np.arange(len(words)), np.array([len(w) for w in words], np.int64))
         rank = np.full(len(symbols), none)
         if len(symbols) > 1:
             inner = np.flatnonzero(owner[1:] == owner[:-1])
@@ -119,7 +119,7 @@ class ByteBPE:
         flat = np.frombuffer(b"".join(words), np.uint8)
         symbols = self.first[flat]
         if self.last is not None:
-            ends = np.cumsum([len(w) for w in words]) - 1
+            ends = np.cumsum(np.array([len(w) for w in words], np.int64)) - 1
             symbols[ends] = self.last[flat[ends]]
         return symbols
 
