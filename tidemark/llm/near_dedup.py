@@ -114,8 +114,41 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / (total - both) if total > both else 0.0
 
 
-def _keys_of(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """rep, key for each band of each text with words; copies within a batch are hashed once."""
+#: Bits kept of each slot for the quick estimate, and slots in the first word of each of their planes.
+PLANES, WIDTH = 4, 64
+
+
+def bit_planes(sig: np.ndarray) -> np.ndarray:
+    """Bit p of every slot, PLANES bits of a slot's hash in all, packed into longs: planes x words for each signature."""
+    with np.errstate(over="ignore"):
+        slots = mix(sig.view(U64).reshape(sig.shape))
+    words = -(-sig.shape[1] // WIDTH)
+    out = np.zeros((len(sig), PLANES, words), U64)
+    for p in range(PLANES):
+        bit = (slots >> U64(p)) & U64(1)
+        for j in range(sig.shape[1]):
+            out[:, p, j // WIDTH] |= bit[:, j] << U64(j % WIDTH)
+    return out.reshape(len(sig), PLANES * words).view(np.int64)
+
+
+def least_agreement(slots: int, similarity: float) -> int:
+    """Slots that must agree in their kept bits: 4.3 standard deviations below what texts of just this similarity have on average."""
+    share = similarity + (1 - similarity) / (1 << PLANES)
+    return int(slots * share - 4.3 * (slots * share * (1 - share)) ** 0.5)
+
+
+def alike(a: str, b: str, slots: int, similarity: float):
+    """Whether the planes and sizes of two texts, named by prefix, leave a similarity of `similarity` possible."""
+    words = -(-slots // WIDTH)
+    parts = []
+    for w in range(words):
+        differ = " | ".join(f"({a}planes[{p * words + w}] ^ {b}planes[{p * words + w}])" for p in range(PLANES))
+        parts.append(f"bit_count({differ})")
+    return F.expr(f"{slots} - ({' + '.join(parts)}) >= {least_agreement(slots, similarity)} and {a}size >= {similarity}D * {b}size and {b}size >= {similarity}D * {a}size")
+
+
+def signatures(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """rep, keys (of the bands), planes, size (shingles) of each distinct text with words of texts (rep, text); copies within a batch are hashed once."""
 
     def run(batches):
         for batch in batches:
@@ -123,12 +156,13 @@ def _keys_of(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             reps, texts = np.fromiter(distinct, np.int64, len(distinct)), list(distinct.values())
             for a, b in slices(texts):
                 owner, code, count = shingles(texts[a:b], words)
-                keys = band_keys(bag_minhash(owner, code, count, b - a, bands * rows), bands, rows)
-                some = np.zeros(b - a, bool)
-                some[owner] = True
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps[a:b][some], bands), pa.int64()), pa.array(keys[some].ravel(), pa.int64())], names=["rep", "key"])
+                size = np.bincount(owner, count, b - a).astype(np.int64)
+                some = size > 0
+                sig = bag_minhash(owner, code, count, b - a, bands * rows)[some]
+                listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.int64()), x.shape[1]).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(reps[a:b][some], pa.int64()), listed(band_keys(sig, bands, rows)), listed(bit_planes(sig)), pa.array(size[some], pa.int64())], names=["rep", "keys", "planes", "size"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, key long")
+    return texts.select("rep", "text").mapInArrow(run, "rep long, keys array<long>, planes array<long>, size long").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -184,33 +218,58 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
 def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Links (a, b, similarity) that join all similar texts of docs (doc_id, rep, text) into their classes; rows_of: its doc_id and rep.
 
-    1. In each bucket, every text is compared with the bucket's centre, the text first by a hash of
-       rep: a pair a row, however large the bucket is. 2. What is linked already needs no more
-       comparison. In buckets that still hold several components, the texts outside the largest one
-       are compared with all texts of other components, so no link between components is lost.
+    1. In each bucket, every text is compared with the bucket's centre, the text that meets most others
+       in its buckets: a pair a row, however large the bucket is. 2. In buckets that still hold several
+       components, texts outside the largest are compared with eight more centres. 3. What is then left
+       outside is compared with all texts of other components in its bucket, so no link between
+       components is lost. Before texts are compared, sizes and the kept bits of the signatures must leave
+       the similarity possible (a link of just that similarity passes with a chance of 0.99999).
     """
-    keys = materialise(_keys_of(docs, words, bands, rows).distinct(), "keys")
-    rank = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
-    centres = keys.groupBy("key").agg(F.min(rank).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.rep").alias("b"))
-    shared = materialise(keys.join(centres, "key").select("key", F.col("rep").alias("a"), "b"), "shared")
+    slots = bands * rows
+    found = materialise(signatures(docs, words, bands, rows), "signatures")
+    keys = found.select("rep", F.explode("keys").alias("key"))
+    crowd = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialise(keys.join(crowd, "key"), "buckets")
+    known = found.select("rep", "planes", "size").join(buckets.groupBy("rep").agg(F.sum("n").alias("score")), "rep")
+    shared = materialise(buckets.select("key", "rep").join(known, "rep"), "shared")
     # Texts are needed of those that share a bucket only, each from the row of its least doc_id.
-    wanted = rows_of.groupBy("rep").agg(F.min("doc_id").alias("doc_id")).join(shared.select(F.col("a").alias("rep")).distinct(), "rep")
+    wanted = rows_of.groupBy("rep").agg(F.min("doc_id").alias("doc_id")).join(shared.select("rep").distinct(), "rep")
     wanted = wanted.select(F.col("doc_id").alias("w_id"), F.col("rep").alias("w_rep"))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("rep") == F.col("w_rep")), "left_semi")
     texts = materialise(texts.groupBy("rep").agg(F.first("text").alias("text")), "texts")
-    first = materialise(shared.where("a <> b").select("a", "b").distinct(), "pairs")
-    links = materialise(_verified(first, texts, words, similarity), "links")
-    component = materialise(connected(links), "components")
-    placed = shared.select("key", "a").join(component, F.col("a") == F.col("node"), "left").select("key", "a", F.coalesce("component", "a").alias("c"))
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.c").alias("main"))
-    open_ = materialise(placed.join(largest, "key"), "open")
-    outside = open_.where("c <> main").select("key", F.col("a").alias("x"), F.col("c").alias("cx"), "main")
-    crossed = outside.join(open_.select("key", F.col("a").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy and (cy = main or x < y)")
-    second = crossed.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    tested = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = materialise(second.join(tested, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(_verified(second, texts, words, similarity))
+
+    row = F.struct("rep", "planes", "size")
+    rank = F.struct("score", F.xxhash64("rep").alias("h"))
+    ordered = lambda pairs: pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    close = alike("", "c.", slots, similarity)
+
+    centres = shared.groupBy("key").agg(F.max_by(row, rank).alias("c"))
+    pairs = shared.join(centres, "key").where((F.col("rep") != F.col("c.rep")) & close).select(F.col("rep").alias("x"), F.col("c.rep").alias("y"))
+    tested = materialise(ordered(pairs), "pairs")
+    links = materialise(_verified(tested, texts, words, similarity), "links")
+
+    open_ = materialise(_open_buckets(shared, connected(links)), "open")
+    centres = open_.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(8)).alias("part")).agg(F.max_by(F.struct("rep", "planes", "size", "component"), rank).alias("c"))
+    pairs = open_.where("component <> main").join(centres, "key").where((F.col("component") != F.col("c.component")) & close).select(F.col("rep").alias("x"), F.col("c.rep").alias("y"))
+    more = materialise(ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = materialise(links.unionByName(_verified(more, texts, words, similarity)), "links")
+
+    open_ = materialise(_open_buckets(shared, connected(links)), "open")
+    outside = open_.where("component <> main").select("key", F.struct("rep", "planes", "size", "component", "main").alias("o"))
+    rest = open_.select("key", F.struct("rep", "planes", "size", "component").alias("c"))
+    pairs = outside.join(rest, "key").where(F.expr("o.component <> c.component and (c.component = o.main or o.rep < c.rep)") & alike("o.", "c.", slots, similarity))
+    last = ordered(pairs.select(F.col("o.rep").alias("x"), F.col("c.rep").alias("y")))
+    last = materialise(last.join(tested.unionByName(more), ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(_verified(last, texts, words, similarity))
+
+
+def _open_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of shared in buckets of several components, with their own component and the bucket's largest (main)."""
+    components = materialise(components, "components")
+    placed = shared.join(components, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
+    return placed.join(largest, "key")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
