@@ -123,10 +123,11 @@ def with_next_text(docs: DataFrame, block_rows: int = 500) -> DataFrame:
     dealt = rows.join(F.broadcast(firsts), rows.doc_id.eqNullSafe(firsts.first_id) & (rows.h == firsts.first_h), "left")
     dealt = dealt.select("doc_id", "text", "h", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at"))
     dealt = dealt.select("doc_id", "text", "h", F.col("at.block").alias("block"), F.col("at.guest").alias("guest"))
-    return dealt.withColumn("next_text", F.lead("text").over(IN_BLOCK))
+    return dealt.withColumn("next_text", F.lead("text").over(in_block()))
 
 
-IN_BLOCK = Window.partitionBy("block").orderBy("guest", "doc_id", "h", "text")
+def in_block():
+    return Window.partitionBy("block").orderBy("guest", "doc_id", "h", "text")
 
 
 def fingerprint_documents(docs: DataFrame, block_rows: int = 500) -> DataFrame:
@@ -139,7 +140,7 @@ def fingerprint_documents(docs: DataFrame, block_rows: int = 500) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), half))
     rows = rows.withColumn("edited", edited).withColumn("n_chars", F.length("text").cast("long"))
     rows = with_fingerprint(rows.drop("next_text"), "text", "fingerprint")
-    rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(IN_BLOCK)).where(~F.col("guest"))
+    rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(in_block())).where(~F.col("guest"))
     rows = with_fingerprint(rows.select("doc_id", "n_chars", "edited", "fingerprint", "next_fingerprint"), "edited", "edited_fingerprint")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
