@@ -33,7 +33,10 @@ def stamp(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
-SHOWN = ["id", "content", stamp("created_at")]
+def shown() -> list:
+    return ["id", "content", stamp("created_at")]
+
+
 SHOWN_SQL = "id, content, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at"
 
 # -- temporal views
@@ -41,32 +44,32 @@ SHOWN_SQL = "id, content, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_a
 
 @query(f"with {STATE} select {SHOWN_SQL} from state where {valid_sql(TS['at'])}")
 def active_at(spark, sf):
-    return temporal.active_at(facts(spark, sf), AT).select(*SHOWN)
+    return temporal.active_at(facts(spark, sf), AT).select(*shown())
 
 
 @query(f"with {FACTS} select {SHOWN_SQL} from facts where not deprecated")
 def list_active(spark, sf):
-    return temporal.list_facts(facts(spark, sf)).select(*SHOWN)
+    return temporal.list_facts(facts(spark, sf)).select(*shown())
 
 
 @query(f"with {FACTS} select {SHOWN_SQL}, deprecated, replaced_by from facts where id = 42")
 def recall(spark, sf):
-    return facts(spark, sf).where(F.col("id") == 42).select(*SHOWN, "deprecated", "replaced_by")
+    return facts(spark, sf).where(F.col("id") == 42).select(*shown(), "deprecated", "replaced_by")
 
 
 @query(f"with {STATE} select {SHOWN_SQL} from state where effective_at between {TS['start']} and {TS['end']} and (not deprecated or coalesce(ended > {TS['start']}, true))")
 def effective_between(spark, sf):
-    return temporal.effective_between(facts(spark, sf), START, END).select(*SHOWN)
+    return temporal.effective_between(facts(spark, sf), START, END).select(*shown())
 
 
 @query(f"with {FACTS} select {SHOWN_SQL}, deprecated from facts where user_id = 7 order by facts.created_at desc, id desc limit 50")
 def replay(spark, sf):
-    return temporal.replay(facts(spark, sf), F.array_contains("entity_ids", "u7"), 50).select(*SHOWN, "deprecated")
+    return temporal.replay(facts(spark, sf), F.array_contains("entity_ids", "u7"), 50).select(*shown(), "deprecated")
 
 
 @query(f"with {FACTS} select {SHOWN_SQL} from facts where user_id = 7 and facts.created_at <= {TS['at']}")
 def knowledge_at(spark, sf):
-    return temporal.knowledge_at(facts(spark, sf), AT, F.array_contains("entity_ids", "u7")).select(*SHOWN)
+    return temporal.knowledge_at(facts(spark, sf), AT, F.array_contains("entity_ids", "u7")).select(*shown())
 
 
 @query(f"with {FACTS} select event_type, count(*) as n from facts where not deprecated and effective_at <= {TS['late']} group by event_type")
