@@ -193,6 +193,30 @@ def test_signatures_are_unbiased():
         assert abs((sig[i] == sig[j]).mean() - sum((x & y).values()) / sum((x | y).values())) < 0.04
 
 
+def test_odd_sketches_lose_no_similar_pair(spark):
+    draw = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(300)] + ["again"] * 20
+    texts = [" ".join(f"x{k}.{n}" if draw.random() < 0.012 + 0.004 * (n % 3) else w for k, w in enumerate(base)) for n in range(40)] + ["again " * 30, "one two", ""]
+    owner, code, count = near_dedup.shingles(texts)
+    odd = near_dedup.odd_sketches(owner, code, count, len(texts))
+    bags = [bag(t) for t in texts]
+    ones = lambda i, j: sum(bin(int(x) & (2**64 - 1)).count("1") for x in odd[i] ^ odd[j])
+    rows = [(i, odd[i].tolist(), sum(bags[i].values())) for i in range(len(texts))]
+    side = lambda n: spark.createDataFrame(rows, "i long, odd array<long>, size long").select(F.struct("*").alias(n))
+    passed = {(r.a.i, r.b.i) for r in side("a").join(side("b"), F.expr("a.i < b.i") & near_dedup.near("a.", "b.", 0.8)).collect()}
+    similar = 0
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            both, either = sum((bags[i] & bags[j]).values()), sum((bags[i] | bags[j]).values())
+            assert ones(i, j) <= either - both
+            if either and both >= 0.8 * either:
+                similar += 1
+                assert (i, j) in passed
+            elif either and both < 0.7 * either:
+                assert (i, j) not in passed
+    assert 20 < similar < 760
+
+
 def test_packing(docs, odd):
     for frame in (docs.select("doc_id", "text"), odd.where("doc_id <> 5")):
         texts = {r.doc_id: r.text or "" for r in frame.collect()}

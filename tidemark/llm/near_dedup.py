@@ -147,6 +147,48 @@ def alike(a: str, b: str, slots: int, similarity: float):
     return F.expr(f"{slots} - ({' + '.join(parts)}) >= {least_agreement(slots, similarity)} and {a}size >= {similarity}D * {b}size and {b}size >= {similarity}D * {a}size")
 
 
+#: Bits of an odd sketch.
+SKETCH_BITS = 2048
+
+
+def odd_sketches(owner: np.ndarray, code: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
+    """Odd sketches (texts x longs): every occurrence of a shingle flips one bit, so the bits in which two differ are at most as many as their multisets' differences."""
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        bit = (mix(np.repeat(code, count) + GOLDEN * (nth.astype(U64) + U64(1))) % U64(SKETCH_BITS)).astype(np.int64)
+    out = np.zeros(texts * (SKETCH_BITS // 64), U64)
+    np.bitwise_xor.at(out, np.repeat(owner, count) * (SKETCH_BITS // 64) + bit // 64, U64(1) << (bit % 64).astype(U64))
+    return out.reshape(texts, -1).view(np.int64)
+
+
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """rep, odd of each row of texts (rep, text)."""
+
+    def run(batches):
+        for batch in batches:
+            reps, texts = batch.column("rep").to_numpy(), batch.column("text").to_pylist()
+            for a, b in slices(texts):
+                odd = odd_sketches(*shingles(texts[a:b], words), b - a)
+                listed = pa.FixedSizeListArray.from_arrays(pa.array(odd.ravel(), pa.int64()), odd.shape[1]).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(reps[a:b], pa.int64()), listed], names=["rep", "odd"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, odd array<long>")
+
+
+def near(a: str, b: str, similarity: float):
+    """Whether the odd sketches and sizes of two texts, named by prefix, leave a similarity of `similarity` possible.
+
+    That similarity allows `most` differences. The sketches differ in no more bits than that, and, as
+    differences cancel each other out, with a chance of 0.99999 in no more than 4.3 standard deviations above
+    what is expected of `most`; the second bound is the lower one for sizes of several thousand only.
+    """
+    # Written out, the sum would make a method too long for the JVM to compile.
+    differ = f"aggregate(zip_with({a}odd, {b}odd, (x, y) -> bit_count(x ^ y)), 0, (sum, x) -> sum + x)"
+    most = f"(({a}size + {b}size) * {(1 - similarity) / (1 + similarity)!r}D + 1e-6D)"
+    expected = f"({SKETCH_BITS / 2}D * (1 - exp(-2 * {most} / {SKETCH_BITS}D)) + {4.3 * SKETCH_BITS**0.5 / 2}D)"
+    return F.expr(f"({differ}) <= least({most}, {expected})")
+
+
 def signatures(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """rep, keys (of the bands), planes, size (shingles) of each distinct text with words of texts (rep, text); copies within a batch are hashed once."""
 
@@ -215,15 +257,17 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     return ends.unionByName(roots.select("node", "component"))
 
 
-def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Links (a, b, similarity) that join all similar texts of docs (doc_id, rep, text) into their classes; rows_of: its doc_id and rep.
+def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, similarity) that join all similar texts of docs (doc_id, rep, text) into their classes, and those classes (node, component); rows_of: its doc_id and rep.
 
     1. In each bucket, every text is compared with the bucket's centre, the text that meets most others
        in its buckets: a pair a row, however large the bucket is. 2. In buckets that still hold several
        components, texts outside the largest are compared with eight more centres. 3. What is then left
        outside is compared with all texts of other components in its bucket, so no link between
        components is lost. Before texts are compared, sizes and the kept bits of the signatures must leave
-       the similarity possible (a link of just that similarity passes with a chance of 0.99999).
+       the similarity possible (a link of just that similarity passes with a chance of 0.99999), in steps 2
+       and 3 the odd sketches of the texts too: in a large group whose texts are a little less similar than
+       that to each other, nearly all pairs end there.
     """
     slots = bands * rows
     found = materialise(signatures(docs, words, bands, rows), "signatures")
@@ -247,25 +291,35 @@ def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, simil
     pairs = shared.join(centres, "key").where((F.col("rep") != F.col("c.rep")) & close).select(F.col("rep").alias("x"), F.col("c.rep").alias("y"))
     tested = materialise(ordered(pairs), "pairs")
     links = materialise(_verified(tested, texts, words, similarity), "links")
+    component = materialise(connected(links), "components")
 
-    open_ = materialise(_open_buckets(shared, connected(links)), "open")
-    centres = open_.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(8)).alias("part")).agg(F.max_by(F.struct("rep", "planes", "size", "component"), rank).alias("c"))
-    pairs = open_.where("component <> main").join(centres, "key").where((F.col("component") != F.col("c.component")) & close).select(F.col("rep").alias("x"), F.col("c.rep").alias("y"))
+    open_ = materialise(_open_buckets(shared, component), "open")
+    odd = materialise(sketches(texts.join(open_.select("rep").distinct(), "rep", "left_semi"), words), "sketches")
+    open_ = open_.join(odd, "rep")
+    centres = open_.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(8)).alias("part")).agg(F.max_by(F.struct("rep", "planes", "size", "component", "odd"), rank).alias("c"))
+    pairs = open_.where("component <> main").join(centres, "key").where((F.col("component") != F.col("c.component")) & close & near("", "c.", similarity)).select(F.col("rep").alias("x"), F.col("c.rep").alias("y"))
     more = materialise(ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = materialise(links.unionByName(_verified(more, texts, words, similarity)), "links")
+    second = materialise(_verified(more, texts, words, similarity), "links")
+    component = materialise(connected(_stars(component).unionByName(second.select("a", "b"))), "components")
 
-    open_ = materialise(_open_buckets(shared, connected(links)), "open")
-    outside = open_.where("component <> main").select("key", F.struct("rep", "planes", "size", "component", "main").alias("o"))
-    rest = open_.select("key", F.struct("rep", "planes", "size", "component").alias("c"))
-    pairs = outside.join(rest, "key").where(F.expr("o.component <> c.component and (c.component = o.main or o.rep < c.rep)") & alike("o.", "c.", slots, similarity))
+    open_ = materialise(_open_buckets(open_.drop("component", "main"), component), "open")
+    outside = open_.where("component <> main").select("key", F.struct("rep", "planes", "size", "component", "main", "odd").alias("o"))
+    rest = open_.select("key", F.struct("rep", "planes", "size", "component", "odd").alias("c"))
+    pairs = outside.join(rest, "key").where(F.expr("o.component <> c.component and (c.component = o.main or o.rep < c.rep)") & alike("o.", "c.", slots, similarity) & near("o.", "c.", similarity))
     last = ordered(pairs.select(F.col("o.rep").alias("x"), F.col("c.rep").alias("y")))
     last = materialise(last.join(tested.unionByName(more), ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(_verified(last, texts, words, similarity))
+    third = materialise(_verified(last, texts, words, similarity), "links")
+    component = materialise(connected(_stars(component).unionByName(third.select("a", "b"))), "components")
+    return links.unionByName(second).unionByName(third), component
+
+
+def _stars(components: DataFrame) -> DataFrame:
+    """Edges (a, b) of every node to its component's least node: with new links, connected() needs few rounds from them."""
+    return components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def _open_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
     """The rows of shared in buckets of several components, with their own component and the bucket's largest (main)."""
-    components = materialise(components, "components")
     placed = shared.join(components, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
@@ -284,8 +338,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", text_number(text).alias("rep"), text.alias("text"))
     rows = materialise(own.select("doc_id", "rep"), "rows")
-    links = materialise(similar_texts(own, rows, **options), "links")
-    component = materialise(connected(links), "components")
+    links, component = similar_texts(own, rows, **options)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     ends = component.join(degree, F.col("node") == F.col("a"), "left").select("node", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = rows.join(ends, rows.rep == ends.node, "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
