@@ -217,6 +217,19 @@ def test_odd_sketches_lose_no_similar_pair(spark):
     assert 20 < similar < 760
 
 
+def test_components_equal_a_union_of_edges(spark):
+    rng = np.random.default_rng(7)
+    path = [(i, i + 1) for i in range(40)]  # far from a star: takes several rounds
+    star = [(100, 101 + i) for i in range(20)]  # one already
+    tree = [(200 + int(rng.integers(i)), 200 + i) for i in rng.permutation(np.arange(1, 60)).tolist()]
+    for edges in (path + star + tree + path[:5], star, []):
+        root = {n: n for e in edges for n in e}
+        for a, b in edges * len(root):
+            root[a] = root[b] = min(root[a], root[b])
+        found = near_dedup.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r.node: r.component for r in found} == root and len(found) == len(root)
+
+
 def test_packing(docs, odd):
     for frame in (docs.select("doc_id", "text"), odd.where("doc_id <> 5")):
         texts = {r.doc_id: r.text or "" for r in frame.collect()}

@@ -233,13 +233,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, component (its least node) of every node of edges (a, b).
 
-    Large-star and small-star steps alternate until nothing changes; every step is written to
+    Large-star and small-star steps alternate until only stars are left; every step is written to
     the shared folder. Sums are pre-aggregated, so a hot node is no large group.
     """
-    spark = edges.sparkSession
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
-    seen = None
-    while True:
+    while not _only_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -248,15 +246,18 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), label)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if mark == seen:
-            break
-        seen = mark
     ends = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = now.select(F.col("v").alias("node")).distinct().join(ends.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
     return ends.unionByName(roots.select("node", "component"))
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node of edges (u, v), v < u, has one lesser neighbour, or greater ones only: the state that the steps leave as it is."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) that join all similar texts of docs (doc_id, rep, text) into their classes, and those classes (node, component); rows_of: its doc_id and rep.
 
@@ -300,7 +301,7 @@ def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, simil
     pairs = open_.where("component <> main").join(centres, "key").where((F.col("component") != F.col("c.component")) & close & near("", "c.", similarity)).select(F.col("rep").alias("x"), F.col("c.rep").alias("y"))
     more = materialise(ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
     second = materialise(_verified(more, texts, words, similarity), "links")
-    component = materialise(connected(_stars(component).unionByName(second.select("a", "b"))), "components")
+    component = _extended(component, second)
 
     open_ = materialise(_open_buckets(open_.drop("component", "main"), component), "open")
     outside = open_.where("component <> main").select("key", F.struct("rep", "planes", "size", "component", "main", "odd").alias("o"))
@@ -309,13 +310,16 @@ def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, simil
     last = ordered(pairs.select(F.col("o.rep").alias("x"), F.col("c.rep").alias("y")))
     last = materialise(last.join(tested.unionByName(more), ["a", "b"], "left_anti"), "pairs")
     third = materialise(_verified(last, texts, words, similarity), "links")
-    component = materialise(connected(_stars(component).unionByName(third.select("a", "b"))), "components")
+    component = _extended(component, third)
     return links.unionByName(second).unionByName(third), component
 
 
-def _stars(components: DataFrame) -> DataFrame:
-    """Edges (a, b) of every node to its component's least node: with new links, connected() needs few rounds from them."""
-    return components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+def _extended(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with new links (a, b); without any, they stay as they are. Every node starts from its component's least one, so few rounds are needed."""
+    if links.isEmpty():
+        return components
+    stars = components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialise(connected(stars.unionByName(links.select("a", "b"))), "components")
 
 
 def _open_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
