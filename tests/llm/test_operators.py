@@ -259,6 +259,32 @@ def test_packing_prefers_lexical_neighbours():
     assert shard.scores(np.array([1, 2, 3])).argsort()[::-1].tolist() == [0, 2, 1]
 
 
+def test_packing_meets_neighbours_of_the_whole_table(spark):
+    topics = ["volcano lava crater magma", "violin sonata orchestra cello", "goalkeeper penalty striker midfield", "enzyme protein ribosome membrane"]
+    common = "the and of with from that this have were about".split()
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(rng.choice(common + topics[k % 4].split() * 2, 60))) for k in range(1600)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id"), window=512).collect()
+    within = {}
+    for p in pieces:
+        within.setdefault(p.sequence_id, []).append(p.doc_id % 4)
+    pure = sum(len(set(v)) == 1 for v in within.values())
+    assert pure > 0.9 * len(within)
+    # Neighbours from all over the table: two of 1,600 that alone share rare words, 800 rows apart.
+    far = [(k, " ".join(rng.choice(common, 60)) + (" zygote quokka xylophone" * 5 if k in (100, 1500) else "")) for k in range(1600)]
+    pieces = packing.pack(spark.createDataFrame(far, "doc_id long, text string").coalesce(1), window=512, shard_docs=16).collect()
+    assert {p.sequence_id for p in pieces if p.doc_id == 100} & {p.sequence_id for p in pieces if p.doc_id == 1500}
+
+
+def test_packing_takes_the_statistics_of_all_documents(spark):
+    docs = [np.array([1, 2, 3, 0], "<u4"), np.array([2, 0], "<u4"), np.array([2, 2, 5, 0], "<u4")]
+    frame = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "ids binary").repartition(3)
+    corpus = packing.corpus_of(frame)
+    assert corpus.df.tolist() == [0, 1, 3, 1, 0, 1] and corpus.average == 7 / 3
+    shard = packing.Bm25Shard([d[:-1] for d in docs[:1]], corpus)
+    assert np.allclose(shard.scores(np.array([1])), np.log1p(2.5 / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / (7 / 3))))
+
+
 def test_quality(spark, docs, odd):
     rows = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     for d in docs.collect():

@@ -1,9 +1,12 @@
 """Packing by lexical retrieval.
 
-Documents are dealt into shards of bounded size. A shard's inverted index holds BM25
-weights; each seed document fills whole windows by itself, and its rest is followed by
-unused neighbours in the order of their score until the window is full. The last
-neighbour is cut there, and its rest is the next seed.
+The statistics of BM25 (document frequencies, number and average length of documents) are
+those of all documents. These are sorted by their heaviest terms, wherever they were read,
+and cut into shards in that order. A shard's inverted index holds the weights; each seed
+document fills whole windows by itself, and its rest is followed by unused neighbours in
+the order of their score until the window is full. The last neighbour is cut there, and its
+rest is the next seed. Where no unused document of the shard shares a term with the seed,
+the next document in the order becomes the seed of the open window.
 """
 
 from __future__ import annotations
@@ -14,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, tokenizer_path
-from .common import once_per_worker
+from .common import materialise, once_per_worker, slices
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Python's white space that the tokenizer takes as ordinary characters.
@@ -69,10 +73,62 @@ class WordIds:
         return [self.library([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words)]
 
 
+class Corpus:
+    """What BM25 must know of all documents: the document frequency of each term (df, by id), their number and average length."""
+
+    def __init__(self, df: np.ndarray, n: int, average: float, k1: float = 1.2, b: float = 0.75):
+        self.df, self.average, self.k1, self.b = df, max(1.0, average), k1, b
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    def weight(self, terms: np.ndarray, tf: np.ndarray, size) -> np.ndarray:
+        return self.idf[terms] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * size / self.average))
+
+    def heaviest(self, ids: np.ndarray, n: int) -> list[int]:
+        """The n terms of greatest weight that another document has too; -1 where there are fewer."""
+        terms, tf = np.unique(ids, return_counts=True)
+        shared = self.df[terms] > 1
+        terms, tf = terms[shared], tf[shared]
+        top = terms[np.argsort(-self.weight(terms, tf, len(ids)), kind="stable")[:n]].tolist()
+        return top + [-1] * (n - len(top))
+
+
+def _counts(docs: list[np.ndarray]) -> tuple[np.ndarray, int, int]:
+    """Document frequencies by id, documents, ids in all."""
+    df = np.zeros(1 + max((int(d.max()) for d in docs if len(d)), default=0), np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    return df, len(docs), sum(map(len, docs))
+
+
+def corpus_of(coded: DataFrame) -> Corpus:
+    """The statistics of all rows of coded (ids: little-endian, an end id last); the driver gets one row for each term of the vocabulary."""
+
+    def run(batches):
+        df, n, size = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            some, more, ids = _counts([np.frombuffer(c, "<u4")[:-1] for c in batch.column("ids").to_pylist()])
+            if len(some) > len(df):
+                df, some = some, df
+            df[: len(some)] += some
+            n, size = n + more, size + ids
+        terms = np.flatnonzero(df)
+        columns = [np.append(terms, [-2, -1]), np.append(df[terms], [n, size])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "n"])
+
+    sums = {r.term: r.n for r in coded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, size = sums.pop(-2, 0), sums.pop(-1, 0)
+    df = np.zeros(1 + max(sums, default=0), np.int64)
+    df[list(sums)] = list(sums.values())
+    return Corpus(df, n, size / max(1, n))
+
+
 class Bm25Shard:
-    """An inverted index over the documents of a shard: postings by term with their BM25 weights."""
+    """An inverted index over the documents of a shard: postings by term with their BM25 weights, by the statistics of corpus (else of the shard)."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
+        if corpus is None:
+            df, n, ids = _counts(docs)
+            corpus = Corpus(df, n, ids / max(1, n))
         pairs = [np.unique(d, return_counts=True) for d in docs]
         self.terms = [p[0] for p in pairs]
         term = np.concatenate([p[0] for p in pairs])
@@ -83,9 +139,7 @@ class Bm25Shard:
         self.doc = doc[order]
         self.vocabulary, start, df = np.unique(term[order], return_index=True, return_counts=True)
         self.start, self.df = start, df
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        tf, d = tf[order], self.doc
-        self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[d] / max(1.0, size.mean())))
+        self.weight = corpus.weight(term[order], tf[order], size[self.doc])
         self.n = len(docs)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
@@ -99,8 +153,8 @@ class Bm25Shard:
 class Packer:
     """Fills windows of `window` ids from shards, one after another; the open window goes on in the next shard."""
 
-    def __init__(self, window: int, first_sequence: int):
-        self.window, self.sequence, self.used = window, first_sequence, 0
+    def __init__(self, window: int, first_sequence: int, corpus: Corpus | None = None):
+        self.window, self.sequence, self.used, self.corpus = window, first_sequence, 0, corpus
         self.open: list[tuple[int, int, bytes, int]] = []  # doc, start, ids, ids of the whole document
 
     def put(self, doc: int, coded: bytes, start: int, room: int, out: list) -> int:
@@ -127,7 +181,7 @@ class Packer:
         self.open, self.used = [], 0
 
     def shard(self, docs: list[tuple[int, bytes]], out: list) -> None:
-        index = Bm25Shard([np.frombuffer(c, "<u4")[:-1] for _, c in docs])
+        index = Bm25Shard([np.frombuffer(c, "<u4")[:-1] for _, c in docs], self.corpus)
         unused = np.ones(len(docs), bool)
         seed = 0
         while unused.any():
@@ -145,11 +199,11 @@ class Packer:
                 now, start = self.fill(docs, index, unused, now, start, out) if start < size else (None, 0)
 
     def fill(self, docs, index, unused, seed, start, out):
-        """Put the rest of seed, then its best unused neighbours; the document that is cut and where, or (None, 0)."""
+        """Put the rest of seed, then its best unused neighbours that share a term with it; the document that is cut and where, or (None, 0)."""
         doc, coded = docs[seed]
         self.put(doc, coded, start, self.window, out)
         score = index.scores(index.terms[seed])
-        left = np.flatnonzero(unused)
+        left = np.flatnonzero(unused & (score > 0))
         for k in left[np.argsort(-score[left], kind="stable")]:
             doc, coded = docs[k]
             unused[k] = False
@@ -163,40 +217,52 @@ class Packer:
         self.close(out, [1 << k for k in range(self.used.bit_length() - 1, -1, -1) if self.used >> k & 1])
 
 
-def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int = 256, shard_chars: int = 2_000_000, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int = 2048, shard_ids: int = 8_000_000, path: str | None = None) -> DataFrame:
     """One row for each piece of each document: where it lies in its document and in its sequence.
 
-    Null texts are empty documents, which hold only the end id; repeated rows are packed each.
-    Shards hold up to shard_docs documents and about shard_chars characters of one input split,
-    so no task holds more than a shard and a batch; no text is moved between tasks. Only the
-    last sequences of a split, powers of two, are shorter than the window: there is no padding.
+    Null texts are empty documents, which hold only the end id; repeated rows are packed each. All
+    documents are encoded once into the shared folder, and dealt by ranges of their three heaviest terms
+    (and their own number, so a common key is no large task). Shards are up to shard_docs documents
+    and about shard_ids ids that follow each other in a range, so no task holds more than a shard and a
+    batch. Only the last sequences of a range, powers of two, are shorter than the window: there is no padding.
     """
 
-    def run(batches):
+    def encode(batches):
         words = once_per_worker(("word_bpe", path), lambda: WordIds(path or tokenizer_path("word_bpe_49k.json")))
-        end = np.array([end_id], "<u4").tobytes()
-        packer = Packer(window, TaskContext.get().partitionId() << 36)
+        end, row = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 36
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in slices(texts):
+                ids = [c + end for c in words.encode(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(range(row + a, row + b), pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
+            row += len(texts)
+
+    coded = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, row long, ids binary"), "ids")
+    corpus = corpus_of(coded)
+
+    def keyed(batches):
+        for batch in batches:
+            tops = [corpus.heaviest(np.frombuffer(c, "<u4")[:-1], 3) for c in batch.column("ids").to_pylist()]
+            columns = list(zip(*tops)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns]], names=[*batch.schema.names, "k1", "k2", "k3"])
+
+    def run(batches):
+        packer = Packer(window, TaskContext.get().partitionId() << 36, corpus)
         shard: list[tuple[int, bytes]] = []
-        chars = 0
+        held = 0
 
         def batch_of(rows):
             columns = list(zip(*rows)) or [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             out: list = []
-            at = 0
-            while at < len(texts):
-                to = at
-                while to < len(texts) and len(shard) + to - at < shard_docs and (chars < shard_chars or to == at):
-                    chars += len(texts[to])
-                    to += 1
-                shard += zip(ids[at:to], [c + end for c in words.encode(texts[at:to])])
-                at = to
-                if len(shard) >= shard_docs or chars >= shard_chars:
+            for doc in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                shard.append(doc)
+                held += len(doc[1]) // 4
+                if len(shard) >= shard_docs or held >= shard_ids:
                     packer.shard(shard, out)
-                    shard, chars = [], 0
+                    shard, held = [], 0
             yield batch_of(out)
         out = []
         if shard:
@@ -204,4 +270,6 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
         packer.finish(out)
         yield batch_of(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, FIELDS)
+    order = ["k1", "k2", "k3", "row"]
+    dealt = coded.mapInArrow(keyed, "doc_id long, row long, ids binary, k1 long, k2 long, k3 long").repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "ids").mapInArrow(run, FIELDS)
