@@ -99,6 +99,20 @@ def test_secrets(spark, docs, odd):
     assert secret_scan.scan_documents(odd).count() == len(ODD) and secret_scan.scan_documents(odd.limit(0)).count() == 0
 
 
+def test_secrets_beside_allowed_strings():
+    def found(text):
+        return [text[a:b] for a, b, kind in secret_scan.scan([text])[0] if kind == "entropy"]
+
+    key = "q8Zr2Lx0Vt6Yw1Bn5Mk9Jh3G"
+    assert found(f"https://hooks.slack.com/services/T0A1B2C3D/B0E4F5G6H/{key}") == [key]
+    assert found(f"/srv/data/{key}/file") == [key] and found("/" + key) == [key] and found(f"www.site.net/{key}") == [key]
+    long = key + "Dd4Ss7Pp2Ww8Cc6Ff"
+    assert any(key in f for f in found(f"{long}_example_{long}"))
+    assert found("q8Zr2Lx0Vt6Yw1Bn5Mk9") == ["q8Zr2Lx0Vt6Yw1Bn5Mk9"] and found("q8Zr2Lx0Vt6Yw1Bn5Mk") == []
+    for known in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "3f2504e0-4f89-41d3-9a0c-0305e82c3301", "/3F2504E0-4F89-41D3-9A0C-0305E82C3301", "/usr/share/documentation/readme-first.txt", "www.site.com/about/us/contact-form"):
+        assert found(known) == []
+
+
 def test_fingerprints(spark, docs, odd):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     got = {r.doc_id: r for r in fingerprint.fingerprint_documents(docs, block_rows=30).collect()}

@@ -3,7 +3,9 @@
 Candidates are maximal runs of 20 or more token characters. Within one, a window slides
 along; its Shannon entropy over the characters of each class (hexadecimal, base64, mixed)
 follows from counts updated by one character in and one out. Windows above the class's
-bound make a span, unless an allow-list knows the string.
+bound make a span, unless an allow-list knows it. Shorter candidates have a window of their
+own length, and a bound lower in proportion to the most bits such a window can have. Paths
+and addresses are scored a segment at a time.
 """
 
 from __future__ import annotations
@@ -32,21 +34,22 @@ CLASSES = {
     "hex": (frozenset(b"0123456789abcdefABCDEF"), 24, 3.0),
     "base64": (frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 24, 4.0),
 }
-#: Strings that look random but are none's secret.
+#: Strings that look random but are none's secret, each as a whole.
 ALLOW = [
     re.compile(rb"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I),  # a UUID
     re.compile(rb"^[A-Za-z]+(?:[_.=/+-][A-Za-z]+)*[_.=/+-]*$"),  # words and identifiers without a digit
     re.compile(rb"^[0-9_.=/+-]+$"),  # numbers and rulers
-    re.compile(rb"(?i)example|placeholder|changeme|x{6}|0{8}|abcdef|123456789"),
-    re.compile(rb"^(?:/|www\.|[a-z0-9-]+\.(?:com|net|org)/)"),  # paths and addresses
 ]
+#: Marks of made-up strings. A span of up to MARKED characters with one is allowed; of longer ones only what is left beside the marks counts.
+MARK, MARKED = re.compile(rb"(?i)example|placeholder|changeme|x{6}|0{8}|abcdef|123456789"), 48
+PATH = re.compile(rb"/|www\.|[a-z0-9-]+\.(?:com|net|org)/")  # paths and addresses start with it
 
 
 def entropy_spans(run: bytes, classes: dict = CLASSES) -> list[tuple[int, int]]:
     """Spans of run whose windows have the entropy of a class; the sum of c log c is updated as the window slides."""
     found: list[tuple[int, int]] = []
-    for chars, window, least in classes.values():
-        table = [c * math.log2(c) if c else 0.0 for c in range(window + 2)]
+    for chars, full, most in classes.values():
+        table = [c * math.log2(c) if c else 0.0 for c in range(full + 2)]
         start = 0
         while start < len(run):
             if run[start] not in chars:
@@ -55,7 +58,9 @@ def entropy_spans(run: bytes, classes: dict = CLASSES) -> list[tuple[int, int]]:
             end = start
             while end < len(run) and run[end] in chars:
                 end += 1
-            if end - start >= window:
+            if end - start >= SHORTEST:
+                window = min(full, end - start)
+                least = most * math.log2(window) / math.log2(full)
                 counts, total = [0] * 256, 0.0
                 for k in range(start, end):
                     c = run[k]
@@ -85,6 +90,27 @@ def allowed(string: bytes) -> bool:
     return any(p.search(string) for p in ALLOW)
 
 
+def run_spans(run: bytes) -> list[tuple[int, int]]:
+    """The entropy spans of a whole run that the allow-list doesn't know."""
+    out = []
+    for a, b in [m.span() for m in re.finditer(rb"[^/]+", run)] if PATH.match(run) else [(0, len(run))]:
+        if b - a >= SHORTEST and not allowed(run[a:b]):
+            for s, e in entropy_spans(run[a:b]):
+                out += [(a + s + x, a + s + y) for x, y in unmarked(run[a + s : a + e])]
+    return out
+
+
+def unmarked(span: bytes) -> list[tuple[int, int]]:
+    """What of an entropy span counts: all of it, nothing, or of long ones the spans between the marks."""
+    if allowed(span):
+        return []
+    marks = [m.span() for m in MARK.finditer(span)]
+    if not marks or len(span) <= MARKED:
+        return [] if marks else [(0, len(span))]
+    gaps = zip([0, *[e for _, e in marks]], [*[s for s, _ in marks], len(span)])
+    return [(a + x, a + y) for a, b in gaps if not allowed(span[a:b]) for x, y in entropy_spans(span[a:b]) if not allowed(span[a + x : a + y])]
+
+
 def scan_text(text: bytes, runs: list[tuple[int, int]], assigns: bool) -> list[tuple[int, int, str]]:
     """(start, end, kind) in bytes, by start and then kind; runs: the maximal runs of token characters; assigns: worth looking for."""
     base: list[tuple[int, int, str]] = []
@@ -95,8 +121,8 @@ def scan_text(text: bytes, runs: list[tuple[int, int]], assigns: bool) -> list[t
         base += [(*m.span(), "hex") for m in HEX.finditer(text, a, b) if m.end() - m.start() >= 24]
     spans = list(base)
     for a, b in runs:
-        if not any(s < b and a < e for s, e, _ in base) and not allowed(text[a:b]):
-            spans += [(a + s, a + e, "entropy") for s, e in entropy_spans(text[a:b]) if not allowed(text[a + s : a + e])]
+        if not any(s < b and a < e for s, e, _ in base):
+            spans += [(a + s, a + e, "entropy") for s, e in run_spans(text[a:b])]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
