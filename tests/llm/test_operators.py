@@ -196,6 +196,20 @@ def test_near_duplicates(spark, docs, odd):
     assert near_dedup.without_near_duplicates(odd).count() == 7 and near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_links_are_all_similar_texts(spark):
+    draw = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(300)] + ["again"] * 20
+    texts = [" ".join(f"x{k}.{n}" if draw.random() < 0.004 + 0.004 * (n % 3) else w for k, w in enumerate(base)) + f" z{n}" for n in range(60)] + ["one two", ""]
+    bags = [bag(t) for t in texts]
+    similar = lambda a, b: bool(a and b) and sum((a & b).values()) >= 0.8 * sum((a | b).values())
+    want = {i: sum(similar(bags[i], bags[j]) for j in range(len(texts)) if j != i) for i in range(len(texts))}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in near_dedup.near_duplicates(rows).collect()} == want and max(want.values()) > 20
+    component = spark.createDataFrame([(i, 0) for i in range(60)], "node long, component long")
+    counted = near_dedup.similar_counts(component, rows.withColumnRenamed("doc_id", "rep"), block=8).collect()
+    assert {r.rep: r.n_links for r in counted} == {i: want[i] for i in range(60)}
+
+
 def test_signatures_are_unbiased():
     a = [f"a{k}" for k in range(300)]
     texts = [" ".join(a), " ".join(a[:200] + [f"b{k}" for k in range(100)]), " ".join((a[:40]) * 6)]

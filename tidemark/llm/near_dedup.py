@@ -258,8 +258,10 @@ def _only_stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
-def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, similarity) that join all similar texts of docs (doc_id, rep, text) into their classes, and those classes (node, component); rows_of: its doc_id and rep.
+def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b, similarity) that join all similar texts of docs (doc_id, rep, text) into their classes, those classes (node, component), and the texts (rep, text) among which they were looked for; rows_of: its doc_id and rep.
+
+    The links span the classes; not every similar pair is among them.
 
     1. In each bucket, every text is compared with the bucket's centre, the text that meets most others
        in its buckets: a pair a row, however large the bucket is. 2. In buckets that still hold several
@@ -311,7 +313,7 @@ def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, simil
     last = materialise(last.join(tested.unionByName(more), ["a", "b"], "left_anti"), "pairs")
     third = materialise(_verified(last, texts, words, similarity), "links")
     component = _extended(component, third)
-    return links.unionByName(second).unionByName(third), component
+    return links.unionByName(second).unionByName(third), component, texts
 
 
 def _extended(components: DataFrame, links: DataFrame) -> DataFrame:
@@ -322,6 +324,45 @@ def _extended(components: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(connected(stars.unionByName(links.select("a", "b"))), "components")
 
 
+def similar_counts(component: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = 128) -> DataFrame:
+    """rep, n_links of the texts of every class (node, component): how many other texts of it are similar, by comparing all pairs exactly.
+
+    A class is dealt into blocks of about `block` texts, and each two blocks are one group: the pairs are
+    quadratic in a class's texts, but a text is copied only once for each block, and no class is one task.
+    """
+    parts = component.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts"))
+    own = component.join(parts, "component").select(F.col("node").alias("rep"), "component", "parts", F.expr("pmod(xxhash64(node), parts)").alias("part"))
+    met = own.join(texts, "rep").withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    met = met.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "text")
+
+    def count(group):
+        reps, part = group.column("rep").to_numpy(), group.column("part").to_numpy()
+        first, last = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        owner, code, counts = shingles(group.column("text").to_pylist(), words)
+        size = np.bincount(owner, counts, len(reps))
+        # Each occurrence of a shingle is a column of its own, so common columns are the multisets' intersection.
+        nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        row, code = np.repeat(owner, counts), np.repeat(code, counts)
+        order = np.lexsort((nth, code))
+        row, code, nth = row[order], code[order], nth[order]
+        column = np.cumsum(np.append(False, (code[1:] != code[:-1]) | (nth[1:] != nth[:-1]))) if len(row) else row
+        both = np.zeros((len(reps), len(reps)), np.float32)
+        width = 4096
+        for at in range(0, int(column[-1]) + 1 if len(row) else 0, width):
+            a, b = np.searchsorted(column, [at, at + width])
+            has = np.zeros((len(reps), width), np.float32)
+            has[row[a:b], column[a:b] - at] = 1
+            both += has @ has.T
+        either = size[:, None] + size[None, :] - both
+        linked = (both > 0) & (both / np.maximum(either, 1.0) >= similarity)
+        np.fill_diagonal(linked, False)
+        if first != last:
+            linked &= part[:, None] != part[None, :]
+        return pa.table({"rep": pa.array(reps, pa.int64()), "n_links": pa.array(linked.sum(1), pa.int64())})
+
+    return met.groupBy("component", "i", "j").applyInArrow(count, "rep long, n_links long").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+
+
 def _open_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
     """The rows of shared in buckets of several components, with their own component and the bucket's largest (main)."""
     placed = shared.join(components, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
@@ -330,8 +371,8 @@ def _open_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
     return placed.join(largest, "key")
 
 
-def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size (rows), n_links (of its text to other texts), is_kept, text_id of every row of docs.
+def near_duplicates(docs: DataFrame, count_links: bool = True, **options) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), class_size (rows), n_links (other texts that are similar to its own; with count_links), is_kept, text_id of every row of docs.
 
     Rows of equal text, null being empty, are one class; texts without words are similar to nothing
     else. Classes are the connected components of weighted Jaccard similarity of at least 0.8 of the
@@ -342,15 +383,16 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", text_number(text).alias("rep"), text.alias("text"))
     rows = materialise(own.select("doc_id", "rep"), "rows")
-    links, component = similar_texts(own, rows, **options)
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
-    ends = component.join(degree, F.col("node") == F.col("a"), "left").select("node", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = rows.join(ends, rows.rep == ends.node, "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    _, component, texts = similar_texts(own, rows, **options)
+    placed = rows.join(component, rows.rep == component.node, "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
+    if count_links:
+        counted = materialise(similar_counts(component, texts, **{k: v for k, v in options.items() if k in ("words", "similarity")}), "counts")
+        placed = placed.join(counted, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     placed = materialise(placed, "placed")
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rep")).alias("keeper")
     least = placed.groupBy("component").agg(keeper, F.count("*").alias("class_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("rep") == F.col("keeper.rep"))
-    return placed.join(least, "component").select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size", "n_links", kept.alias("is_kept"), F.col("rep").alias("text_id"))
+    return placed.join(least, "component").select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size", *["n_links"] * count_links, kept.alias("is_kept"), F.col("rep").alias("text_id"))
 
 
 def text_number(text):
@@ -360,7 +402,7 @@ def text_number(text):
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one for each class, whole and with all columns."""
-    kept = near_duplicates(docs, **options).where("is_kept").select(F.col("doc_id").alias("k_id"), F.col("text_id").alias("k_text")).distinct()
+    kept = near_duplicates(docs, count_links=False, **options).where("is_kept").select(F.col("doc_id").alias("k_id"), F.col("text_id").alias("k_text")).distinct()
     numbered = docs.withColumn("_text_id", text_number(F.coalesce(F.col("text"), F.lit(""))))
     own = numbered.join(kept, numbered.doc_id.eqNullSafe(F.col("k_id")) & (F.col("_text_id") == F.col("k_text")), "left_semi")
     return own.dropDuplicates(["doc_id", "_text_id"]).select(*docs.columns)
