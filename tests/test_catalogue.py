@@ -27,3 +27,9 @@ def test_query_equals_sql(spark, duck, name):
     columns = sorted(found.columns)
     want = duck.sql(f"select {', '.join(columns)} from ({catalogue.ORACLE_SQL[name]})").fetchall()
     assert ordered(found.select(*columns).collect()) == ordered(want)
+
+
+def test_graph_queries_start_from_all_nodes(spark):
+    starts = {r.start[0] for r in catalogue.QUERIES["paths_all"](spark, SF).select("start").distinct().collect()}
+    assert starts == set("opcsn")  # regions have no edge out
+    assert {r.start[0] for r in catalogue.QUERIES["neighbors_all"](spark, SF).select("start").distinct().collect()} == set("opcsnr")

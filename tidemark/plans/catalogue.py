@@ -11,7 +11,7 @@ from ..functions import embed, text
 from ..operators import bm25, conflict, evaluate, graph, retrieve, temporal
 from ..schema import EngineConfig
 from ..sources import store
-from .views import FACTS, RELATIONS, STATE, entities, facts, relations, table, valid_sql
+from .views import ALL_RELATIONS, FACTS, RELATIONS, STATE, all_entities, all_relations, entities, facts, relations, table, valid_sql
 
 AT, START, END, LATE = "2024-01-15 00:00:00", "2024-01-10 00:00:00", "2024-01-20 00:00:00", "2024-01-29 00:00:00"
 TS = {k: f"timestamp '{v}'" for k, v in (("at", AT), ("start", START), ("end", END), ("late", LATE))}
@@ -366,6 +366,27 @@ def graph_summary(spark, sf):
     return graph.summary(entities(spark, sf).where("id like 'n%'"), relations(spark, sf))
 
 
+# The same over all edges and from all nodes.
+
+
+@query(f"with {ALL_RELATIONS} select t as start, s as id, 1::bigint as hops from arel union all select s, t, 1 from arel")
+def neighbors_all(spark, sf):
+    return graph.neighbors(all_relations(spark, sf), all_entities(spark, sf), 1)
+
+
+@query(f"""with recursive {ALL_RELATIONS}, p(start, target, hops, path) as (select s, t, 1::bigint, s || '>' || t from arel
+  union all select p.start, arel.t, p.hops + 1, p.path || '>' || arel.t from p join arel on p.target = arel.s where p.hops < 5)
+select start, target, hops, path from p""")
+def paths_all(spark, sf):
+    found = graph.paths(all_relations(spark, sf), all_entities(spark, sf), max_depth=5)
+    return found.select("start", "target", "hops", F.array_join("path", ">").alias("path"))
+
+
+@query(f"with {ALL_RELATIONS} select (select count(*) from (select id from ent union select s from arel union select t from arel)) as n_nodes, (select count(*) from (select distinct s, t from arel)) as n_edges")
+def graph_summary_all(spark, sf):
+    return graph.summary(all_entities(spark, sf), all_relations(spark, sf))
+
+
 @query("select o_orderkey as id, 0::bigint as pos, concat('c', o_custkey) as entity_id, c_name as name from orders join customer on o_custkey = c_custkey")
 def entities_of_facts(spark, sf):
     f = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.concat(F.lit("c"), "o_custkey"), F.lit("missing")).alias("entity_ids"))

@@ -59,3 +59,23 @@ rel as (select concat('c', c_custkey) as s, concat('n', c_nationkey) as t, 'live
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda n, key, p, name: table(spark, sf_dir, n).select(F.concat(F.lit(p), key).alias("id"), F.col(name).alias("name"))
     return one("customer", "c_custkey", "c", "c_name").unionByName(one("supplier", "s_suppkey", "s", "s_name")).unionByName(one("nation", "n_nationkey", "n", "n_name")).unionByName(one("region", "r_regionkey", "r", "r_name"))
+
+
+def all_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """relations, and order -> customer and part -> supplier."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("source_id"), F.concat(F.lit("c"), "o_custkey").alias("target_id"), F.lit("placed by").alias("type"))
+    p = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"), F.lit("supplied by").alias("type")).distinct()
+    return relations(spark, sf_dir).unionByName(o.unionByName(p).withColumn("seq", F.lit(1)))
+
+
+ALL_RELATIONS = RELATIONS + """, arel as (select s, t from rel union all select concat('o', o_orderkey), concat('c', o_custkey) from orders
+  union all select distinct concat('p', l_partkey), concat('s', l_suppkey) from lineitem),
+ent as (select concat('c', c_custkey) as id from customer union all select concat('s', s_suppkey) from supplier union all select concat('n', n_nationkey) from nation
+  union all select concat('r', r_regionkey) from region union all select concat('o', o_orderkey) from orders union all select concat('p', p_partkey) from part)
+"""
+
+
+def all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entities, orders and parts: a column id."""
+    one = lambda n, key, p: table(spark, sf_dir, n).select(F.concat(F.lit(p), key).alias("id"))
+    return entities(spark, sf_dir).select("id").unionByName(one("orders", "o_orderkey", "o")).unionByName(one("part", "p_partkey", "p"))
