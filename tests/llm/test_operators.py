@@ -196,18 +196,57 @@ def test_near_duplicates(spark, docs, odd):
     assert near_dedup.without_near_duplicates(odd).count() == 7 and near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_links_are_all_similar_texts(spark):
+def classes_of(texts):
+    """The least index of each text's component of similar texts."""
+    bags, root = [bag(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            if texts[i] == texts[j] or bags[i] and bags[j] and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_crowds_about_the_threshold(spark, monkeypatch):
+    """Groups whose texts are a little more or a little less similar than 0.8: no class is lost, whatever the size of the blocks."""
     draw = np.random.default_rng(11)
     base = [f"w{k}" for k in range(300)] + ["again"] * 20
-    texts = [" ".join(f"x{k}.{n}" if draw.random() < 0.004 + 0.004 * (n % 3) else w for k, w in enumerate(base)) + f" z{n}" for n in range(60)] + ["one two", ""]
-    bags = [bag(t) for t in texts]
-    similar = lambda a, b: bool(a and b) and sum((a & b).values()) >= 0.8 * sum((a | b).values())
-    want = {i: sum(similar(bags[i], bags[j]) for j in range(len(texts)) if j != i) for i in range(len(texts))}
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.n_links for r in near_dedup.near_duplicates(rows).collect()} == want and max(want.values()) > 20
-    component = spark.createDataFrame([(i, 0) for i in range(60)], "node long, component long")
-    counted = near_dedup.similar_counts(component, rows.withColumnRenamed("doc_id", "rep"), block=8).collect()
-    assert {r.rep: r.n_links for r in counted} == {i: want[i] for i in range(60)}
+    texts = [" ".join(f"x{k}.{n}" if draw.random() < 0.012 + 0.004 * (n % 5) else w for k, w in enumerate(base)) + f" z{n}" for n in range(120)] + ["one two", "", "one  two"]
+    texts += texts[:10]
+    want = classes_of(texts)
+    assert 10 < len(set(want)) < 110
+    for block in (256, 8):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert [got[i].class_id for i in range(len(texts))] == want
+        assert Counter(want) == Counter({r.class_id: r.class_size for r in got.values()})
+
+
+def test_planted_near_copies(spark):
+    """Of near copies at a similarity of 0.8 or more at least 0.9 are found (all of them, here), and none below."""
+    draw = np.random.default_rng(2)
+    pairs = []
+    for n in range(300):
+        words = [f"v{x}" for x in draw.integers(0, 10**6, 200)]
+        share = draw.uniform(0.002, 0.05)
+        pairs.append((" ".join(words), " ".join(f"e{n}.{k}" if draw.random() < share else w for k, w in enumerate(words))))
+    rows = [(2 * n + k, t) for n, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [sum((bag(a) & bag(b)).values()) >= 0.8 * sum((bag(a) | bag(b)).values()) for a, b in pairs]
+    assert 100 < sum(near) < 290 and [got[2 * n] == got[2 * n + 1] for n in range(300)] == near
+
+
+def test_survivors_keep_all_columns(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(None, text, "a", 1), (1, text, "a", 2), (1, text, "a", 2), (2, None, "b", 3), (3, "", "c", 4)]
+    kept = near_dedup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, __row_key string, digest long"))
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, text, "a", 2), (2, None, "b", 3)] and kept.columns == ["doc_id", "text", "__row_key", "digest"]
 
 
 def test_signatures_are_unbiased():

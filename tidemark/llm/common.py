@@ -1,4 +1,4 @@
-"""Shared helpers: table access, materialising, and vectorised hashing."""
+"""Shared helpers: table access, materialising, names that can't clash, and vectorised hashing."""
 
 from __future__ import annotations
 
@@ -15,17 +15,34 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 U64 = np.uint64
 
+#: Bytes of an Arrow batch that Python workers get, unless the session sets another size than Spark's own.
+BATCH_BYTES, SPARKS_BATCH_BYTES, BATCH_CONF = "8m", "67108864b", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Characters that vectorised steps work on at a time.
+SLICE = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Python workers get smaller Arrow batches, so that a batch of long texts stays small."""
+    if spark.conf.get(BATCH_CONF, SPARKS_BATCH_BYTES) == SPARKS_BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a temporary one on a single machine, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
+        if held.isDefined():
+            path = held.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            path = tempfile.mkdtemp(prefix="tidemark-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
@@ -33,29 +50,57 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder as Parquet and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._written = path
+    return again
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the files of materialised frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_written", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def once_per_worker(key: tuple, make):
-    """make(), kept for later tasks of the same Python worker: functions that travel by value have no module of their own to keep it in."""
+    """make(), kept for later tasks of the same Python worker, in the place of what was kept for other keys: functions that travel by value have no module of their own to keep it in."""
     held = sys.modules.setdefault("_tidemark_worker", type(sys)("_tidemark_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if held.get("key") != key:
+        held["value"] = None
+        held.update(key=key, value=make())
+    return held["value"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
-def slices(texts: list[str], budget: int = 4_000_000):
+def slices(texts: list[str], budget: int = SLICE):
     """Ranges of texts of about `budget` characters in all, at least one text each."""
     at = 0
     while at < len(texts):

@@ -10,50 +10,99 @@ candidates; their multisets are then compared exactly.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, slices
+from .common import SLICE, U64, fresh, materialise, mix, release, slices
 
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 38, 6
 GOLDEN, WORD_BASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+SPACES = b" \t\n\x0b\x0c\r"
 SPACE = np.zeros(256, bool)
-SPACE[list(b" \t\n\x0b\x0c\r")] = True
+SPACE[list(SPACES)] = True
+SPACE_RUN = re.compile(rb"[ \t-\r]")
+#: Words of more bytes than this are hashed by themselves.
+LONG_WORD = 4096
+
 
+def _long_word(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
-def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each white-space separated word of a buffer that ends in white space: its bytes times powers of an odd base, from prefix sums modulo 2**64."""
+    flat = np.frombuffer(data, np.uint8)
+    space = SPACE[flat]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    if not len(starts):
+        return starts, np.zeros(0, U64)
+    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+    size = ends - starts
+    power = np.cumprod(np.full(min(int(size.max()), LONG_WORD), WORD_BASE, U64))
+    place = np.arange(len(flat), dtype=np.int32)
+    place[starts[0] :] -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(flat))))
+    np.minimum(place, len(power) - 1, out=place)
+    term = power[place]
+    del place
+    term *= flat.astype(U64) + U64(1)
+    term[space] = 0
+    np.cumsum(term, out=term)
+    word = term[ends] - np.where(starts > 0, term[starts - 1], U64(0))
+    word = mix(word + size.astype(U64) * GOLDEN)
+    for k in np.flatnonzero(size > LONG_WORD):
+        word[k] = _long_word(data[starts[k] : ends[k]])
+    return starts, word
+
+
+def _words(data: bytes, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """_word_hashes of a buffer of any length, in parts of about `most` bytes that end in white space."""
+    starts, words, at = [], [], 0
+    while at < len(data):
+        found = SPACE_RUN.search(data, min(at + most, len(data) - 1))
+        end = found.end()
+        if end - at > 2 * most:  # a very long word: what is before it first, then itself
+            before = max(data.rfind(SPACES[k : k + 1], at, at + most) for k in range(len(SPACES)))
+            if before < 0:
+                starts.append(np.array([at]))
+                words.append(np.array([_long_word(data[at : end - 1])], U64))
+                at = end
+                continue
+            end = before + 1
+        start, word = _word_hashes(data[at:end])
+        starts.append(start + at)
+        words.append(word)
+        at = end
+    return np.concatenate(starts), np.concatenate(words)
+
+
+def shingles(texts: list[str], words: int = WORDS, most: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle, count): the multisets of hashed shingles of all texts, sorted by text and shingle.
 
     Words are separated by ASCII white space. Texts of 1 to words - 1 words have one shingle, of all of them.
+    Beside the texts, the words' hashes are all that is held of long ones.
     """
     coded = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
-    flat = np.frombuffer(b"".join(coded), np.uint8)
-    if not len(flat):
+    if not coded:
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-    space = SPACE[flat]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    # A word's hash: its bytes times powers of an odd base, from prefix sums modulo 2**64.
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int((ends - starts).max(initial=1)), WORD_BASE, U64))
-        place = np.arange(len(flat)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(flat)]]))) if len(starts) and starts[0] == 0 else None
-        if place is None and len(starts):
-            place = np.arange(len(flat)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.concatenate([starts, [len(flat)]])))])
-        if not len(starts):
-            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-        term = (flat.astype(U64) + U64(1)) * power[np.minimum(place, len(power) - 1)]
-        term[space] = 0
-        total = np.concatenate([[U64(0)], np.cumsum(term, dtype=U64)])
-        word = mix(total[ends] - total[starts] + (ends - starts).astype(U64) * GOLDEN)
-        owner = np.searchsorted(np.cumsum([len(c) for c in coded]), starts, side="right")
-        per_text = np.bincount(owner, minlength=len(texts))
-        left = np.repeat(np.cumsum(per_text), per_text) - np.arange(len(word))  # words from here to the text's end
-        code = np.zeros(len(word), U64)
-        for k in range(words):
-            ahead = np.minimum(np.arange(len(word)) + k, len(word) - 1)
-            code = mix(code * WORD_BASE + np.where(left > k, word[ahead], U64(k + 1)))
+    ends = np.cumsum([len(c) for c in coded])
+    starts, word = _words(b"".join(coded), most)
+    del coded
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+    owner = np.searchsorted(ends, starts, side="right")
+    per_text = np.bincount(owner, minlength=len(texts))
+    left = np.repeat(np.cumsum(per_text), per_text) - np.arange(len(word))  # words from here to the text's end
+    code = np.zeros(len(word), U64)
+    for k in range(words):
+        code *= WORD_BASE
+        code[: len(word) - k] += np.where(left[: len(word) - k] > k, word[k:], U64(k + 1))
+        code[len(word) - k :] += U64(k + 1)
+        code = mix(code)
     first = np.concatenate([[True], owner[1:] != owner[:-1]])
     use = (left >= words) | first & (per_text[owner] < words)
     owner, code = owner[use], code[use]
@@ -189,22 +238,27 @@ def near(a: str, b: str, similarity: float):
     return F.expr(f"({differ}) <= least({most}, {expected})")
 
 
+def _listed(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an array of lists."""
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.int64()), x.shape[1]).cast(pa.list_(pa.int64()))
+
+
 def signatures(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """rep, keys (of the bands), planes, size (shingles) of each distinct text with words of texts (rep, text); copies within a batch are hashed once."""
+    """digest, keys (of the bands; none without words), planes, size (shingles) of each distinct text of texts (digest, text); copies within a batch are hashed once."""
 
     def run(batches):
         for batch in batches:
-            distinct = dict(zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()))
-            reps, texts = np.fromiter(distinct, np.int64, len(distinct)), list(distinct.values())
+            distinct = dict(zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()))
+            digests, texts = list(distinct), list(distinct.values())
             for a, b in slices(texts):
                 owner, code, count = shingles(texts[a:b], words)
                 size = np.bincount(owner, count, b - a).astype(np.int64)
+                sig = bag_minhash(owner, code, count, b - a, bands * rows)
                 some = size > 0
-                sig = bag_minhash(owner, code, count, b - a, bands * rows)[some]
-                listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.int64()), x.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(reps[a:b][some], pa.int64()), listed(band_keys(sig, bands, rows)), listed(bit_planes(sig)), pa.array(size[some], pa.int64())], names=["rep", "keys", "planes", "size"])
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]), pa.int32()), pa.array(band_keys(sig[some], bands, rows).ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(digests[a:b], pa.binary()), keys, _listed(bit_planes(sig)), pa.array(size, pa.int64())], names=["digest", "keys", "planes", "size"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, keys array<long>, planes array<long>, size long").dropDuplicates(["rep"])
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, keys array<long>, planes array<long>, size long").dropDuplicates(["digest"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -234,21 +288,26 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, component (its least node) of every node of edges (a, b).
 
     Large-star and small-star steps alternate until only stars are left; every step is written to
-    the shared folder. Sums are pre-aggregated, so a hot node is no large group.
+    the shared folder. Least neighbours are pre-aggregated, and written before they are joined, so
+    that Spark can split the join at a hot node.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
     while not _only_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         large = materialise(large, label)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        release(now, least)
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), label)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), label)
+        release(large, low)
     ends = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = now.select(F.col("v").alias("node")).distinct().join(ends.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
-    return ends.unionByName(roots.select("node", "component"))
+    found = materialise(ends.unionByName(roots.select("node", "component")), label)
+    release(now)
+    return found
 
 
 def _only_stars(edges: DataFrame) -> bool:
@@ -258,109 +317,90 @@ def _only_stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
-def similar_texts(docs: DataFrame, rows_of: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links (a, b, similarity) that join all similar texts of docs (doc_id, rep, text) into their classes, those classes (node, component), and the texts (rep, text) among which they were looked for; rows_of: its doc_id and rep.
+#: Rows of a block of a bucket's texts: what one task of the last step compares is at most a block by a block at a time.
+BLOCK = 256
+
 
-    The links span the classes; not every similar pair is among them.
+def similar_texts(found: DataFrame, texts_of, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The classes (node, component) into which links between similar texts join those of found (rep, keys, planes, size); texts_of(reps): their rep and text.
 
     1. In each bucket, every text is compared with the bucket's centre, the text that meets most others
        in its buckets: a pair a row, however large the bucket is. 2. In buckets that still hold several
        components, texts outside the largest are compared with eight more centres. 3. What is then left
-       outside is compared with all texts of other components in its bucket, so no link between
-       components is lost. Before texts are compared, sizes and the kept bits of the signatures must leave
-       the similarity possible (a link of just that similarity passes with a chance of 0.99999), in steps 2
-       and 3 the odd sketches of the texts too: in a large group whose texts are a little less similar than
-       that to each other, nearly all pairs end there.
+       outside is compared with all texts of other components in its bucket, block by block, so no link
+       between components is lost. Before texts are compared, sizes and the kept bits of the signatures
+       must leave the similarity possible (a link of just that similarity passes with a chance of 0.99999),
+       in steps 2 and 3 the odd sketches of the texts too: in a large group whose texts are a little less
+       similar than that to each other, nearly all pairs end there.
     """
     slots = bands * rows
-    found = materialise(signatures(docs, words, bands, rows), "signatures")
     keys = found.select("rep", F.explode("keys").alias("key"))
-    crowd = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
     buckets = materialise(keys.join(crowd, "key"), "buckets")
     known = found.select("rep", "planes", "size").join(buckets.groupBy("rep").agg(F.sum("n").alias("score")), "rep")
     shared = materialise(buckets.select("key", "rep").join(known, "rep"), "shared")
-    # Texts are needed of those that share a bucket only, each from the row of its least doc_id.
-    wanted = rows_of.groupBy("rep").agg(F.min("doc_id").alias("doc_id")).join(shared.select("rep").distinct(), "rep")
-    wanted = wanted.select(F.col("doc_id").alias("w_id"), F.col("rep").alias("w_rep"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("rep") == F.col("w_rep")), "left_semi")
-    texts = materialise(texts.groupBy("rep").agg(F.first("text").alias("text")), "texts")
+    texts = materialise(texts_of(shared.select("rep").distinct()), "texts")
+    release(crowd, buckets)
 
     row = F.struct("rep", "planes", "size")
     rank = F.struct("score", F.xxhash64("rep").alias("h"))
     ordered = lambda pairs: pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     close = alike("", "c.", slots, similarity)
 
-    centres = shared.groupBy("key").agg(F.max_by(row, rank).alias("c"))
+    centres = materialise(shared.groupBy("key").agg(F.max_by(row, rank).alias("c")), "centres")
     pairs = shared.join(centres, "key").where((F.col("rep") != F.col("c.rep")) & close).select(F.col("rep").alias("x"), F.col("c.rep").alias("y"))
     tested = materialise(ordered(pairs), "pairs")
-    links = materialise(_verified(tested, texts, words, similarity), "links")
-    component = materialise(connected(links), "components")
-
-    open_ = materialise(_open_buckets(shared, component), "open")
-    odd = materialise(sketches(texts.join(open_.select("rep").distinct(), "rep", "left_semi"), words), "sketches")
-    open_ = open_.join(odd, "rep")
+    links = materialise(_verified(tested, texts, words, similarity).select("a", "b"), "links")
+    component = connected(links)
+    release(links, centres)
+
+    held = materialise(_open_buckets(shared, component), "open")
+    odd = materialise(sketches(texts.join(held.select("rep").distinct(), "rep", "left_semi"), words), "sketches")
+    open_ = materialise(held.join(odd, "rep"), "open")
+    release(shared, held, odd)
     centres = open_.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(8)).alias("part")).agg(F.max_by(F.struct("rep", "planes", "size", "component", "odd"), rank).alias("c"))
+    centres = materialise(centres, "centres")
     pairs = open_.where("component <> main").join(centres, "key").where((F.col("component") != F.col("c.component")) & close & near("", "c.", similarity)).select(F.col("rep").alias("x"), F.col("c.rep").alias("y"))
     more = materialise(ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-    second = materialise(_verified(more, texts, words, similarity), "links")
-    component = _extended(component, second)
-
-    open_ = materialise(_open_buckets(open_.drop("component", "main"), component), "open")
-    outside = open_.where("component <> main").select("key", F.struct("rep", "planes", "size", "component", "main", "odd").alias("o"))
-    rest = open_.select("key", F.struct("rep", "planes", "size", "component", "odd").alias("c"))
-    pairs = outside.join(rest, "key").where(F.expr("o.component <> c.component and (c.component = o.main or o.rep < c.rep)") & alike("o.", "c.", slots, similarity) & near("o.", "c.", similarity))
-    last = ordered(pairs.select(F.col("o.rep").alias("x"), F.col("c.rep").alias("y")))
+    component = _extended(component, _verified(more, texts, words, similarity).select("a", "b"))
+    release(centres)
+
+    left = materialise(_open_buckets(open_.drop("component", "main"), component), "open")
+    release(open_)
+    last = ordered(_across(left, alike("o.", "c.", slots, similarity) & near("o.", "c.", similarity)))
     last = materialise(last.join(tested.unionByName(more), ["a", "b"], "left_anti"), "pairs")
-    third = materialise(_verified(last, texts, words, similarity), "links")
-    component = _extended(component, third)
-    return links.unionByName(second).unionByName(third), component, texts
+    release(left, tested, more)
+    component = _extended(component, _verified(last, texts, words, similarity).select("a", "b"))
+    release(last, texts)
+    return component
+
+
+def _across(left: DataFrame, possible: Column) -> DataFrame:
+    """Pairs x, y of texts of one bucket and different components, each with x outside the bucket's largest, for which `possible` (on o and c) holds.
+
+    Both sides are dealt into blocks, and a block meets a block: however large a bucket is, no task
+    needs it whole, and a text is copied only as often as there are blocks on the other side.
+    """
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("all"), F.ceil(F.count_if(F.expr("component <> main")) / F.lit(BLOCK)).cast("int").alias("out"))
+    sizes = materialise(sizes, "blocks")
+    dealt = left.join(sizes, "key").withColumn("h", F.xxhash64("rep"))
+    own = F.struct("rep", "planes", "size", "component", "main", "odd")
+    outside = dealt.where("component <> main").select("key", F.expr("cast(pmod(h, out) as int)").alias("i"), F.explode(F.expr("sequence(0, all - 1)")).alias("j"), own.alias("o"))
+    rest = dealt.where("out > 0").select("key", F.explode(F.expr("sequence(0, out - 1)")).alias("i"), F.expr("cast(pmod(h, all) as int)").alias("j"), own.alias("c"))
+    pairs = outside.join(rest, ["key", "i", "j"]).where(F.expr("o.component <> c.component and (c.component = o.main or o.rep < c.rep)") & possible)
+    return pairs.select(F.col("o.rep").alias("x"), F.col("c.rep").alias("y"))
 
 
 def _extended(components: DataFrame, links: DataFrame) -> DataFrame:
     """The components with new links (a, b); without any, they stay as they are. Every node starts from its component's least one, so few rounds are needed."""
+    links = materialise(links, "links")
     if links.isEmpty():
+        release(links)
         return components
     stars = components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return materialise(connected(stars.unionByName(links.select("a", "b"))), "components")
-
-
-def similar_counts(component: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = 128) -> DataFrame:
-    """rep, n_links of the texts of every class (node, component): how many other texts of it are similar, by comparing all pairs exactly.
-
-    A class is dealt into blocks of about `block` texts, and each two blocks are one group: the pairs are
-    quadratic in a class's texts, but a text is copied only once for each block, and no class is one task.
-    """
-    parts = component.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts"))
-    own = component.join(parts, "component").select(F.col("node").alias("rep"), "component", "parts", F.expr("pmod(xxhash64(node), parts)").alias("part"))
-    met = own.join(texts, "rep").withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
-    met = met.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "text")
-
-    def count(group):
-        reps, part = group.column("rep").to_numpy(), group.column("part").to_numpy()
-        first, last = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        owner, code, counts = shingles(group.column("text").to_pylist(), words)
-        size = np.bincount(owner, counts, len(reps))
-        # Each occurrence of a shingle is a column of its own, so common columns are the multisets' intersection.
-        nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        row, code = np.repeat(owner, counts), np.repeat(code, counts)
-        order = np.lexsort((nth, code))
-        row, code, nth = row[order], code[order], nth[order]
-        column = np.cumsum(np.append(False, (code[1:] != code[:-1]) | (nth[1:] != nth[:-1]))) if len(row) else row
-        both = np.zeros((len(reps), len(reps)), np.float32)
-        width = 4096
-        for at in range(0, int(column[-1]) + 1 if len(row) else 0, width):
-            a, b = np.searchsorted(column, [at, at + width])
-            has = np.zeros((len(reps), width), np.float32)
-            has[row[a:b], column[a:b] - at] = 1
-            both += has @ has.T
-        either = size[:, None] + size[None, :] - both
-        linked = (both > 0) & (both / np.maximum(either, 1.0) >= similarity)
-        np.fill_diagonal(linked, False)
-        if first != last:
-            linked &= part[:, None] != part[None, :]
-        return pa.table({"rep": pa.array(reps, pa.int64()), "n_links": pa.array(linked.sum(1), pa.int64())})
-
-    return met.groupBy("component", "i", "j").applyInArrow(count, "rep long, n_links long").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    found = connected(stars.unionByName(links))
+    release(links, components)
+    return found
 
 
 def _open_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
@@ -368,41 +408,63 @@ def _open_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
     placed = shared.join(components, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
-    return placed.join(largest, "key")
+    return placed.join(materialise(largest, "largest"), "key")
 
 
-def near_duplicates(docs: DataFrame, count_links: bool = True, **options) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size (rows), n_links (other texts that are similar to its own; with count_links), is_kept, text_id of every row of docs.
+def text_digest(text: Column) -> Column:
+    """128 bits of the text's SHA-256: that any two of 10**11 texts share them has a chance of 2 in 10**17."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+def _row_key(doc_id: Column, digest: Column) -> Column:
+    """128 bits that name a row by its id, which may be null, and its text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.hex(digest))))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), class_size (rows), is_kept, digest (of the text) of every row of docs.
 
     Rows of equal text, null being empty, are one class; texts without words are similar to nothing
     else. Classes are the connected components of weighted Jaccard similarity of at least 0.8 of the
     multisets of five-word shingles. is_kept holds for the row of the least doc_id (nulls last) of
-    each class, of the least text_id where that id is repeated, and for exact repetitions of that row.
-    Equal texts are compared once, and never expanded into pairs.
+    each class, of the least digest where that id is repeated, and for exact repetitions of that row.
+    Equal texts are compared once, and never expanded into pairs. Very long texts are hashed in parts,
+    an empty table gives no rows, and columns other than doc_id and text are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", text_number(text).alias("rep"), text.alias("text"))
-    rows = materialise(own.select("doc_id", "rep"), "rows")
-    _, component, texts = similar_texts(own, rows, **options)
-    placed = rows.join(component, rows.rep == component.node, "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-    if count_links:
-        counted = materialise(similar_counts(component, texts, **{k: v for k, v in options.items() if k in ("words", "similarity")}), "counts")
-        placed = placed.join(counted, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    own = docs.select("doc_id", text_digest(text).alias("digest"), text.alias("text"))
+    rows = materialise(own.select("doc_id", "digest"), "rows")
+    sized = {k: options.get(k, v) for k, v in (("words", WORDS), ("bands", BANDS), ("rows", ROWS))}
+    # Numbers are unique, and stay what they are once they are written.
+    found = materialise(signatures(own, **sized).withColumn("rep", F.monotonically_increasing_id()), "signatures")
+    no_id = F.col("doc_id").isNull().alias("no_id")
+    per_text = rows.groupBy("digest").agg(F.min(F.struct(no_id, "doc_id")).alias("least"), F.count("*").alias("n"))
+    numbered = materialise(per_text.join(found.select("digest", "rep"), "digest"), "numbered")
+
+    def texts_of(reps: DataFrame) -> DataFrame:
+        """Each text from the row of its least doc_id."""
+        wanted = numbered.join(reps, "rep").select(_row_key(F.col("least.doc_id"), F.col("digest")).alias("key"), "rep")
+        return own.select(_row_key(F.col("doc_id"), F.col("digest")).alias("key"), "text").join(wanted, "key").select("rep", "text").dropDuplicates(["rep"])
+
+    component = similar_texts(found, texts_of, **options)
+    placed = numbered.join(component, F.col("rep") == F.col("node"), "left").select("digest", "least", "n", F.coalesce("component", "rep").alias("component"))
     placed = materialise(placed, "placed")
-    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rep")).alias("keeper")
-    least = placed.groupBy("component").agg(keeper, F.count("*").alias("class_size"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("rep") == F.col("keeper.rep"))
-    return placed.join(least, "component").select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size", *["n_links"] * count_links, kept.alias("is_kept"), F.col("rep").alias("text_id"))
-
-
-def text_number(text):
-    """60 bits of the text's digest. Among 10**8 texts, two have one number with a chance below 1 in 200."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    release(found, numbered, component)
+    keeper = F.min(F.struct(F.col("least.no_id"), F.col("least.doc_id"), "digest")).alias("keeper")
+    classes = materialise(placed.groupBy("component").agg(keeper, F.sum("n").alias("class_size")), "classes")
+    judged = materialise(placed.select("digest", "component").join(classes, "component").drop("component"), "judged")
+    release(placed, classes)
+    kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("digest") == F.col("keeper.digest"))
+    return rows.join(judged, "digest").select("doc_id", F.col("keeper.doc_id").alias("class_id"), "class_size", kept.alias("is_kept"), "digest")
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one for each class, whole and with all columns."""
-    kept = near_duplicates(docs, count_links=False, **options).where("is_kept").select(F.col("doc_id").alias("k_id"), F.col("text_id").alias("k_text")).distinct()
-    numbered = docs.withColumn("_text_id", text_number(F.coalesce(F.col("text"), F.lit(""))))
-    own = numbered.join(kept, numbered.doc_id.eqNullSafe(F.col("k_id")) & (F.col("_text_id") == F.col("k_text")), "left_semi")
-    return own.dropDuplicates(["doc_id", "_text_id"]).select(*docs.columns)
+    """The rows of docs that near_duplicates keeps, one for each class, whole and with all columns, whatever their names.
+
+    Of rows that repeat both id and text one stays; which one's other columns, isn't defined.
+    """
+    kept = near_duplicates(docs, **options).where("is_kept")
+    (key,) = fresh(docs, "row_key")
+    kept = kept.select(_row_key(F.col("doc_id"), F.col("digest")).alias(key))
+    keyed = docs.withColumn(key, _row_key(docs["doc_id"], text_digest(F.coalesce(docs["text"], F.lit("")))))
+    return keyed.dropDuplicates([key]).join(kept, key, "left_semi").select(*docs.columns)

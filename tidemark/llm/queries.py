@@ -47,7 +47,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_id")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
