@@ -81,6 +81,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with every column but the needed ones under a name of no operator's, and the names of all its columns now."""
+    now = {c: c if c in needed else f"__column{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*now.values()), now
+
+
 def once_per_worker(key: tuple, make):
     """make(), kept for later tasks of the same Python worker, in the place of what was kept for other keys: functions that travel by value have no module of their own to keep it in."""
     held = sys.modules.setdefault("_tidemark_worker", type(sys)("_tidemark_worker")).__dict__

@@ -3,7 +3,8 @@
 A suffix automaton of labelled text is built per language. A text is parsed greedily into
 the longest phrases that occur in that language's text; the language that needs the fewest
 bits, phrases times log2 of its text's length, wins. Parsing runs in lock-step over many
-blocks of text and all languages with one table lookup a letter.
+blocks of text and all languages with one probe of a sparse table a letter, so that scripts of
+many letters are told apart as well as small alphabets.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import append_columns, slices
 
 FIELDS = "lang_pred string, score double, phrase_rate double"
-STATE, MASK = 28, (1 << 28) - 1
+#: Characters of a document that may be learned, and that texts are judged in slices of.
+LEARNED_CHARS, JUDGED_CHARS = 4_000, 1_000_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -53,40 +55,82 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+class SparseTables:
+    """The transitions of an automaton in one array: the edge of state s by symbol c lies at address[s] + c, and is known as its by `check`.
+
+    Addresses are drawn at random until no two edges share a place, states of many edges first, so a look-up is one probe.
+    """
+
+    def __init__(self, states: list[dict[int, int]], symbols: int):
+        rng = np.random.default_rng(len(states))
+        degree = np.array([len(e) for e in states])
+        edge_at = np.concatenate([[0], np.cumsum(degree)])
+        symbol = np.fromiter((c for e in states for c in e), np.int64, edge_at[-1])
+        to = np.fromiter((t for e in states for t in e.values()), np.int64, edge_at[-1])
+        room = max(64, 3 * int(edge_at[-1]), 2 * len(states))
+        self.size = room + symbols
+        taken, used, address = np.zeros(self.size, bool), np.zeros(room, bool), np.zeros(len(states), np.int64)
+        bounds = [1 << 30, 32, 16, 8, 4, 2, 1, 0, -1]
+        for most, least in zip(bounds, bounds[1:]):
+            left = np.flatnonzero((degree > least) & (degree <= most))
+            while len(left):
+                base = rng.integers(0, room, len(left))
+                n = degree[left]
+                ends = np.cumsum(n)
+                edges = np.repeat(edge_at[left] - (ends - n), n) + np.arange(int(ends[-1]))
+                owner = np.repeat(np.arange(len(left)), n)
+                place = base[owner] + symbol[edges]
+                good = ~used[base]
+                good &= np.isin(np.arange(len(left)), np.unique(base, return_index=True)[1])
+                bad = taken[place]
+                bad |= ~np.isin(np.arange(len(place)), np.unique(place, return_index=True)[1])
+                good[owner[bad]] = False
+                address[left[good]] = base[good]
+                used[base[good]] = True
+                taken[place[good[owner]]] = True
+                left = left[~good]
+        self.check, self.target = np.full(self.size, -1, np.int32), np.zeros(self.size, np.int32)
+        place = np.repeat(address, degree) + symbol
+        self.check[place], self.target[place] = np.repeat(address, degree), address[to]
+        self.root = int(address[0])
+        self.first = np.full(symbols, -1, np.int32)  # where the root goes
+        self.first[list(states[0])] = address[list(states[0].values())]
+
+
 class CrossParser:
-    """Judges texts against labelled text of each language. block: letters parsed from the root at a time."""
+    """Judges texts against labelled text of each language. letters: learned of each language, an equal share of each text; block: letters parsed from the root at a time."""
 
-    def __init__(self, labelled: dict[str, list[str]], letters: int = 32_000, alphabet: int = 120, block: int = 1024):
+    def __init__(self, labelled: dict[str, list[str]], letters: int = 32_000, block: int = 1024):
         self.langs, self.block = sorted(labelled), block
-        counts: dict[str, int] = {}
-        for texts in labelled.values():
-            for c in "".join(texts)[: 4 * letters].lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-        known = sorted(sorted(counts), key=lambda c: -counts[c])[:alphabet]
-        # 0: anything but a letter; 1: a letter that isn't in the alphabet.
-        self.symbol = np.fromiter((chr(k).isalpha() for k in range(0x110000)), np.uint8, 0x110000)
+        known = sorted({c for texts in labelled.values() for c in "".join(texts).lower() if c.isalpha()})[: 2**16 - 2]
+        # 0: anything but a letter; 1: a letter that no labelled text has.
+        self.symbol = np.fromiter((chr(k).isalpha() for k in range(0x110000)), np.uint16, 0x110000)
         self.symbol[[ord(c) for c in known]] = np.arange(2, 2 + len(known))
-        self.width = 2 + len(known)
-        tables, bits, roots, at = [], [], [], 0
+        tables, bits, at = [], [], 0
         for lang in self.langs:
-            learned = self.symbols([" ".join(labelled[lang])])[0][:letters]
-            states = suffix_automaton(learned.tolist())
-            step = np.full((len(states), self.width), -1, np.int64)
-            for s, edges in enumerate(states):
-                step[s, list(edges)] = list(edges.values())
-            root = np.where(step[0] >= 0, step[0], 0)
-            ended = np.where(step[0] >= 0, 1, 2)  # phrases that end where the parse falls back to the root
-            restart = np.broadcast_to((root * self.width + at) + (ended << STATE), step.shape).copy()
-            restart[0] = at + (1 << STATE)  # a symbol unknown at the root is a phrase of its own
-            tables.append(np.where(step >= 0, step * self.width + at, restart).astype(np.int32).ravel())
-            roots.append(at)
-            at += step.size
+            texts = self.symbols(labelled[lang])
+            learned = np.concatenate([t[: self.share([len(t) for t in texts], letters)] for t in texts])[: letters + len(texts)]
+            one = SparseTables(suffix_automaton(learned.tolist()), 2 + len(known))
+            tables.append((one, at))
+            at += one.size
             bits.append(np.log2(len(learned) + 2))
-        if at > MASK:
+        if at >= 2**31:
             raise ValueError("too many languages for the letters kept of each")
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.roots, self.bits = np.array(roots, np.int32), np.array(bits)
+        none = np.zeros(0, np.int32)
+        self.check = np.concatenate([none, *[np.where(t.check >= 0, t.check + at, -1).astype(np.int32) for t, at in tables]])
+        self.target = np.concatenate([none, *[(t.target + at).astype(np.int32) for t, at in tables]])
+        self.first = np.array([np.where(t.first >= 0, t.first + at, -1) for t, at in tables], np.int32).reshape(len(tables), 2 + len(known))
+        self.roots, self.bits = np.array([t.root + at for t, at in tables], np.int32), np.array(bits)
+
+    @staticmethod
+    def share(sizes: list[int], letters: int) -> int:
+        """What each text may give, so that all together give about `letters`: short texts leave their rest to the others."""
+        left, n = letters, len(sizes)
+        for size in sorted(sizes):
+            if size * n > left:
+                break
+            left, n = left - size, n - 1
+        return -(-left // n) if n else letters
 
     def symbols(self, texts: list[str]) -> list[np.ndarray]:
         """Symbols of each text: lower-cased letters, with one separator for each run of anything else."""
@@ -109,18 +153,25 @@ class CrossParser:
             return total, sizes
         size = np.array([min(self.block, sizes[k] - a) for k, a in pieces])
         order = np.argsort(-size, kind="stable")
-        lanes = np.zeros((self.block, len(pieces)), np.uint8)
+        lanes = np.zeros((self.block, len(pieces)), np.uint16)
         for lane, j in enumerate(order):
             k, a = pieces[j]
             lanes[: size[j], lane] = parsed[k][a : a + size[j]]
         alive = len(pieces) - np.searchsorted(size[order][::-1], np.arange(1, size.max() + 1), side="left")
-        at = np.repeat(self.roots[:, None], len(pieces), 1)
+        root = self.roots[:, None]
+        at = np.repeat(root, len(pieces), 1)
         ended = np.zeros(at.shape, np.int32)
         for t, n in enumerate(alive):
-            now = self.table[at[:, :n] + lanes[t, :n]]
-            ended[:, :n] += now >> STATE
-            at[:, :n] = now & MASK
-        ended += at != self.roots[:, None]  # the last phrase
+            now, symbol = at[:, :n], lanes[t, :n]
+            place = now + symbol
+            missing = self.check[place] != now
+            first = self.first[:, symbol]
+            # Without a way on, a phrase ends, and the symbol starts the next; where no phrase starts with it, it is one of its own.
+            unknown = missing & (first < 0)
+            ended[:, :n] += missing
+            ended[:, :n] += unknown & (now != root)
+            at[:, :n] = np.where(missing, np.where(unknown, root, first), self.target[place])
+        ended += at != root  # the last phrase
         np.add.at(total, np.array([k for k, _ in pieces])[order], ended.T)
         return total, sizes
 
@@ -142,40 +193,44 @@ class CrossParser:
 
 
 def learn(docs: DataFrame, rows: int = 64, letters: int = 32_000, most_languages: int = 500) -> CrossParser:
-    """A parser learned from documents with a language that aren't held out.
+    """A parser learned from documents that have a language and a letter and aren't held out.
 
-    The sample is bounded: of each language the `rows` documents first by a hash of the id, and
-    `letters` letters of them. More than `most_languages` languages are refused.
+    The sample is bounded: of each language the `rows` texts first by a hash of their id (then by id and
+    a hash of the text; repeated rows count once), LEARNED_CHARS characters of each, and `letters` letters
+    in all, an equal share of each text. More than `most_languages` languages are refused.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("lang", "doc_id").withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows).select("lang", "doc_id").limit(rows * most_languages + 1).collect()
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
+    usable = usable.select("lang", "doc_id", F.substring("text", 1, LEARNED_CHARS).alias("text"), F.xxhash64("text").alias("h"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    first = usable.select("lang", "doc_id", "h").withColumn("k", F.dense_rank().over(order)).where(F.col("k") <= rows)
+    picked = first.select("lang", "doc_id", "h").distinct().limit(rows * most_languages + 1).collect()
     if len({r.lang for r in picked}) > most_languages or len(picked) > rows * most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not picked:
         return CrossParser({})
-    ids = sorted({r.doc_id for r in picked})
-    texts = usable.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("lang", "doc_id", F.substring("text", 1, letters).alias("text")).limit(4 * len(ids)).collect()
+    chosen = usable.where(F.col("doc_id").isin(sorted({r.doc_id for r in picked})) & F.col("h").isin(sorted({r.h for r in picked})))
+    texts = chosen.groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text")).collect()
     labelled: dict[str, list[str]] = {}
-    for r in sorted(texts, key=lambda r: (r.lang, r.doc_id, r.text)):
-        labelled.setdefault(r.lang, []).append(r.text)
-    share = min(letters, 4 * letters * 8 // max(4, len(labelled)))  # the tables of all languages stay bounded
-    return CrossParser({lang: t for lang, t in labelled.items() if any(c.isalpha() for x in t for c in x)}, share)
+    known = {tuple(r) for r in picked}
+    for r in sorted(texts, key=lambda r: (r.lang, r.doc_id, r.h)):
+        if (r.lang, r.doc_id, r.h) in known:
+            labelled.setdefault(r.lang, []).append(r.text)
+    return CrossParser({lang: t for lang, t in labelled.items() if any(c.isalpha() for x in t for c in x)}, letters)
 
 
 def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
     """docs with lang_pred, score and phrase_rate of every whole text.
 
     Null, empty and letterless texts are `und` with score 0; ties go to the language first by
-    name; columns of docs with these names are replaced. Texts are parsed a few million
-    characters at a time.
+    name; repeated rows are judged each; columns of docs with these names are replaced. A text is
+    judged whole, however long; short ones together, JUDGED_CHARS characters at a time.
     """
     spread = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batch):
         texts = batch.column("text").to_pylist()
         langs, scores, rates = [], [], []
-        for a, b in slices([t or "" for t in texts]):
+        for a, b in slices([t or "" for t in texts], JUDGED_CHARS):
             one = spread.value.judge(texts[a:b])
             langs += one[0]
             scores.append(one[1])

@@ -34,7 +34,7 @@ class WordIds:
     turn into the same ids with the same file; words of anything else go to the library itself.
     """
 
-    def __init__(self, path: str, remember: int = 700_000):
+    def __init__(self, path: str, remember: int = 150_000):
         from tokenizers import Tokenizer
 
         self.merges = ByteBPE(path)
