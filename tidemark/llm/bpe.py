@@ -71,11 +71,15 @@ class ByteBPE:
         k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[k] == key, self.ranks[k], len(self.keys))
 
-    def merge_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word (little-endian unsigned 32-bit), in rounds over all words at once."""
+    def merge_flat(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and how many each has, in rounds over all words at once; flat: their bytes, sizes: of each."""
         none = len(self.keys)
-        symbols = self.symbols_of(words)
-        owner = np.repeat(np.arange(len(words)), np.array([len(w) for w in words], np.int64))
+        symbols = self.first[flat]
+        if self.last is not None:  # a word's last byte carries the mark of its end
+            ends = np.cumsum(sizes)[sizes > 0] - 1
+            symbols[ends] = self.last[flat[ends]]
+        n_words = len(sizes)
+        owner = np.repeat(np.arange(n_words), sizes)
         rank = np.full(len(symbols), none)
         if len(symbols) > 1:
             inner = np.flatnonzero(owner[1:] == owner[:-1])
@@ -110,22 +114,26 @@ class ByteBPE:
                 rank[at] = np.where(last | (owner[at] != owner[right]), none, self.rank(symbols[at], symbols[right]))
         owner = np.concatenate([np.zeros(0, np.int64), *done_owner])
         order = np.argsort(owner, kind="stable")
-        ends = (4 * np.searchsorted(owner[order], np.arange(len(words) + 1))).tolist()
-        flat = np.concatenate([np.zeros(0, np.int64), *done_symbols])[order].astype("<u4").tobytes()
+        return np.concatenate([np.zeros(0, np.int64), *done_symbols])[order], np.bincount(owner, minlength=n_words)
+
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (little-endian unsigned 32-bit)."""
+        ids, counts = self.merge_flat(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64))
+        flat = ids.astype("<u4").tobytes()
+        ends = [0, *(4 * np.cumsum(counts)).tolist()]
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
-    def symbols_of(self, words: list[bytes]) -> np.ndarray:
-        """The first symbols of the words, a byte each; the last one of a word carries the mark of its end if the vocabulary has one."""
-        flat = np.frombuffer(b"".join(words), np.uint8)
+    def symbols_of(self, word: bytes) -> np.ndarray:
+        """The first symbols of a word, a byte each; the last one carries the mark of its end if the vocabulary has one."""
+        flat = np.frombuffer(word, np.uint8)
         symbols = self.first[flat]
         if self.last is not None:
-            ends = np.cumsum(np.array([len(w) for w in words], np.int64)) - 1
-            symbols[ends] = self.last[flat[ends]]
+            symbols[-1:] = self.last[flat[-1:]]
         return symbols
 
     def merge_long(self, word: bytes) -> np.ndarray:
         """Ids of one long word: a heap of pairs over a linked list."""
-        ids = self.symbols_of([word]).tolist()
+        ids = self.symbols_of(word).tolist()
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
         table = self.pair_table()
         heap = [(table[p], k) for k, p in enumerate(zip(ids, ids[1:])) if p in table]

@@ -106,16 +106,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def runs(sizes, budget: int):
+    """Ranges of neighbours whose sizes sum up to `budget` at most, at least one each."""
+    at, n = 0, 0
+    for k, size in enumerate(sizes):
+        if k > at and n + size > budget:
+            yield at, k
+            at, n = k, 0
+        n += size
+    if len(sizes):
+        yield at, len(sizes)
+
+
 def slices(texts: list[str], budget: int = SLICE):
     """Ranges of texts of about `budget` characters in all, at least one text each."""
-    at = 0
-    while at < len(texts):
-        end, n = at, 0
-        while end < len(texts) and (end == at or n + len(texts[end]) <= budget):
-            n += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
+    return runs([len(t) for t in texts], budget)
 
 
 def append_columns(df: DataFrame, fields: str, fn) -> DataFrame:

@@ -11,66 +11,160 @@ the next document in the order becomes the seed of the open window.
 
 from __future__ import annotations
 
+import json
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ByteBPE, tokenizer_path
-from .common import materialise, once_per_worker, slices
+from .bpe import LONG_WORD, ByteBPE, tokenizer_path
+from .common import materialise, once_per_worker, runs
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Python's white space that the tokenizer takes as ordinary characters.
-ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+#: Words of Latin letters up to U+017F (but U+0130, whose lower case is two characters), with full stops and commas after.
+PLAIN = "^[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+[.,]*$"
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """pool[start : start + size] of each, one after another."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class HashedBPE(ByteBPE):
+    """ByteBPE that finds a pair's rank by one probe of a hash table; places that several pairs share are left to the binary search."""
+
+    BITS, FACTOR = 19, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        place = self.place(self.keys)
+        self.held, self.rank_at = np.full(1 << self.BITS, -1, np.int64), np.zeros(1 << self.BITS, np.int64)
+        self.held[place], self.rank_at[place] = self.keys, self.ranks
+        self.shared = np.bincount(place, minlength=1 << self.BITS) > 1
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * self.FACTOR >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        place = self.place(key)
+        own = self.held[place] == key
+        rank = np.where(own, self.rank_at[place], len(self.keys))
+        unsure = np.flatnonzero(self.shared[place] & ~own)
+        rank[unsure] = super().rank(left[unsure], right[unsure])
+        return rank
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
 class WordIds:
     """The ids that the tokenizers library gives texts, found once for each distinct white-space separated word.
 
     A run of Latin letters is one token run in that library, which the batched merge rounds of ByteBPE
-    turn into the same ids with the same file; words of anything else go to the library itself.
+    turn into the same ids with the same file; words of anything else go to the library itself. Up to
+    `remember` words are kept from text to text.
     """
 
-    def __init__(self, path: str, remember: int = 150_000):
+    def __init__(self, path: str, remember: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.merges = ByteBPE(path)
-
+        self.merges = HashedBPE(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
         self.remember = remember
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def parts(word: str) -> list[str] | None:
-        """A word of Latin letters up to U+017F, full stops and commas after it included, as the tokenizer splits it; None for any other."""
-        low = word.lower()
-        core = low.rstrip(".,")
-        if core.isalpha() and max(core) < "\u0180" and len(low) == len(word) and "\u0130" not in word:
-            return [core, low[len(core) :]] if len(core) < len(low) else [core]
-        return None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if ODD_SPACE & set(t) else t.split() for t in texts]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        fresh = set().union(*[ws for ws in words if ws]).difference(self.known)
-        split = {w: self.parts(w) for w in fresh}
-        plain = list({p for ps in split.values() if ps for p in ps})
-        ids = dict(zip(plain, self.merges.merge(plain)))
-        self.known.update((w, b"".join([ids[p] for p in ps])) for w, ps in split.items() if ps)
-        odd = [w for w, ps in split.items() if not ps]
-        for k in range(0, len(odd), 20_000):
-            self.known.update(zip(odd[k : k + 20_000], self.library(odd[k : k + 20_000])))
-        get = self.known.__getitem__
-        return [self.library([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # ids and their number a word, in the order of the slots
+        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each text, by the library."""
+        ids = [np.array(e.ids, np.uint32) for k in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(i) for i in ids], np.int64)
+
+    def merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for words of lower-case letters, or of full stops and commas; very long words apart."""
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(size) and size.max() > LONG_WORD:
+            coded = [w.encode() for w in words.to_pylist()]
+            ids = [np.frombuffer(c, "<u4") for c in self.merges.merge([c.decode() for c in coded])]
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(i) for i in ids], np.int64)
+        flat = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+        ids, counts = self.merges.merge_flat(flat, size)
+        return ids.astype(np.uint32), counts
+
+    def learn(self, words: pa.Array, names: list[str]) -> np.ndarray:
+        """The slots of words, also listed as names, which are not known yet and get the next ones."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(words.filter(plain))
+        ids, sizes = [], []
+        for part in (pc.utf8_rtrim(low, characters=".,"), pc.replace_substring_regex(low, pattern="^[^.,]+", replacement="")):
+            coded = part.dictionary_encode()
+            own, n = self.merged(coded.dictionary)
+            which = coded.indices.to_numpy()
+            ids.append(own)
+            sizes.append((_offsets(n)[which], n[which]))
+        (at, n), (tail_at, tail_n) = sizes
+        both = gathered(np.concatenate(ids), np.stack([at, tail_at + len(ids[0])], 1).ravel(), np.stack([n, tail_n], 1).ravel())
+        more, more_n = self.library([names[k] for k in np.flatnonzero(~is_plain)])
+        slots = np.empty(len(names), np.int64)
+        slots[is_plain] = len(self.slot) + np.arange(len(low))
+        slots[~is_plain] = len(self.slot) + len(low) + np.arange(len(more_n))
+        self.slot.update(zip(names, slots.tolist()))
+        self.ids = np.concatenate([self.ids, both, more])
+        self.size = np.concatenate([self.size, n + tail_n, more_n])
+        self.start = _offsets(self.size)
+        return slots
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        listed = pc.ascii_split_whitespace(texts)
+        words = listed.flatten().dictionary_encode()
+        if len(self.slot) > self.remember:
+            self.forget()
+        names = words.dictionary.to_pylist()
+        known = np.fromiter(map(self.slot.get, names, repeat(-1)), np.int64, len(names))
+        fresh = np.flatnonzero(known < 0)
+        if len(fresh):
+            known[fresh] = self.learn(words.dictionary.take(pa.array(fresh)), [names[k] for k in fresh])
+        slot = known[words.indices.to_numpy()]
+        size = self.size[slot]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False))])
+        return gathered(self.ids, self.start[slot], size), np.diff(ends[per_text])
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int, kind: str) -> pa.Array:
+    """The ids of each text and an end id as binary values of numbers of that kind."""
+    flat = np.full(len(ids) + len(counts), end_id, kind)
+    keep = np.ones(len(flat), bool)
+    keep[np.cumsum(counts + 1) - 1] = False
+    flat[keep] = ids
+    ends = flat.itemsize * np.concatenate([[0], np.cumsum(counts + 1)])
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def tallied(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms, ascending, and how often each comes."""
+    ids = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    return ids[first], np.diff(np.append(first, len(ids)))
+
+
+#: Bytes of text that are encoded at a time, or else a single text.
+ENCODED_BYTES = 8_000_000
 
 
 class Corpus:
@@ -85,7 +179,7 @@ class Corpus:
 
     def heaviest(self, ids: np.ndarray, n: int) -> list[int]:
         """The n terms of greatest weight that another document has too; -1 where there are fewer."""
-        terms, tf = np.unique(ids, return_counts=True)
+        terms, tf = tallied(ids)
         shared = self.df[terms] > 1
         terms, tf = terms[shared], tf[shared]
         top = terms[np.argsort(-self.weight(terms, tf, len(ids)), kind="stable")[:n]].tolist()
@@ -94,19 +188,17 @@ class Corpus:
 
 def _counts(docs: list[np.ndarray]) -> tuple[np.ndarray, int, int]:
     """Document frequencies by id, documents, ids in all."""
-    df = np.zeros(1 + max((int(d.max()) for d in docs if len(d)), default=0), np.int64)
-    for d in docs:
-        df[np.unique(d)] += 1
-    return df, len(docs), sum(map(len, docs))
+    terms = np.concatenate([np.zeros(0, np.int64), *[tallied(d)[0] for d in docs]]).astype(np.int64)
+    return np.bincount(terms), len(docs), sum(map(len, docs))
 
 
-def corpus_of(coded: DataFrame) -> Corpus:
-    """The statistics of all rows of coded (ids: little-endian, an end id last); the driver gets one row for each term of the vocabulary."""
+def corpus_of(coded: DataFrame, kind: str = "<u4") -> Corpus:
+    """The statistics of all rows of coded (ids: numbers of that kind, an end id last); the driver gets one row for each term of the vocabulary."""
 
     def run(batches):
         df, n, size = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            some, more, ids = _counts([np.frombuffer(c, "<u4")[:-1] for c in batch.column("ids").to_pylist()])
+            some, more, ids = _counts([np.frombuffer(c, kind)[:-1] for c in batch.column("ids").to_pylist()])
             if len(some) > len(df):
                 df, some = some, df
             df[: len(some)] += some
@@ -129,9 +221,9 @@ class Bm25Shard:
         if corpus is None:
             df, n, ids = _counts(docs)
             corpus = Corpus(df, n, ids / max(1, n))
-        pairs = [np.unique(d, return_counts=True) for d in docs]
+        pairs = [tallied(d) for d in docs]
         self.terms = [p[0] for p in pairs]
-        term = np.concatenate([p[0] for p in pairs])
+        term = np.concatenate([p[0] for p in pairs]).astype(np.int64)
         tf = np.concatenate([p[1] for p in pairs]).astype(float)
         doc = np.repeat(np.arange(len(docs)), [len(p[0]) for p in pairs])
         size = np.array([len(d) for d in docs], float)
@@ -155,13 +247,13 @@ class Packer:
 
     def __init__(self, window: int, first_sequence: int, corpus: Corpus | None = None):
         self.window, self.sequence, self.used, self.corpus = window, first_sequence, 0, corpus
-        self.open: list[tuple[int, int, bytes, int]] = []  # doc, start, ids, ids of the whole document
+        self.open: list[tuple[int, int, np.ndarray, int]] = []  # doc, start, ids, ids of the whole document
 
-    def put(self, doc: int, coded: bytes, start: int, room: int, out: list) -> int:
+    def put(self, doc: int, ids: np.ndarray, start: int, room: int, out: list) -> int:
         """Put up to `room` ids of a document from `start` on; where the next ones start."""
-        total = len(coded) // 4
+        total = len(ids)
         end = min(total, start + room)
-        self.open.append((doc, start, coded[4 * start : 4 * end], total))
+        self.open.append((doc, start, ids[start:end], total))
         self.used += end - start
         if self.used == self.window:
             self.close(out, [self.window])
@@ -172,16 +264,16 @@ class Packer:
         offset, k = 0, 0
         for doc, start, ids, total in self.open:
             at = 0
-            while at < len(ids) // 4:
-                n = min(len(ids) // 4 - at, sizes[k] - offset)
-                out.append((doc, start + at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total, self.sequence, offset))
+            while at < len(ids):
+                n = min(len(ids) - at, sizes[k] - offset)
+                out.append((doc, start + at, n, zlib.crc32(ids[at : at + n].astype("<u4").tobytes()), total, self.sequence, offset))
                 at, offset = at + n, offset + n
                 if offset == sizes[k]:
                     self.sequence, offset, k = self.sequence + 1, 0, k + 1
         self.open, self.used = [], 0
 
-    def shard(self, docs: list[tuple[int, bytes]], out: list) -> None:
-        index = Bm25Shard([np.frombuffer(c, "<u4")[:-1] for _, c in docs], self.corpus)
+    def shard(self, docs: list[tuple[int, np.ndarray]], out: list) -> None:
+        index = Bm25Shard([ids[:-1] for _, ids in docs], self.corpus)
         unused = np.ones(len(docs), bool)
         seed = 0
         while unused.any():
@@ -190,26 +282,26 @@ class Packer:
             now, start = seed, 0
             while now is not None:
                 unused[now] = False
-                doc, coded = docs[now]
-                size = len(coded) // 4
+                doc, ids = docs[now]
+                size = len(ids)
                 while size - start >= self.window - self.used or start < size and not unused.any():
-                    start = self.put(doc, coded, start, self.window - self.used, out)
+                    start = self.put(doc, ids, start, self.window - self.used, out)
                     if start == size:
                         break
                 now, start = self.fill(docs, index, unused, now, start, out) if start < size else (None, 0)
 
     def fill(self, docs, index, unused, seed, start, out):
         """Put the rest of seed, then its best unused neighbours that share a term with it; the document that is cut and where, or (None, 0)."""
-        doc, coded = docs[seed]
-        self.put(doc, coded, start, self.window, out)
+        doc, ids = docs[seed]
+        self.put(doc, ids, start, self.window, out)
         score = index.scores(index.terms[seed])
         left = np.flatnonzero(unused & (score > 0))
         for k in left[np.argsort(-score[left], kind="stable")]:
-            doc, coded = docs[k]
+            doc, ids = docs[k]
             unused[k] = False
-            end = self.put(doc, coded, 0, self.window - self.used, out)
+            end = self.put(doc, ids, 0, self.window - self.used, out)
             if not self.open:
-                return (int(k), end) if end < len(coded) // 4 else (None, 0)
+                return (int(k), end) if end < len(ids) else (None, 0)
         return None, 0
 
     def finish(self, out: list) -> None:
@@ -217,6 +309,12 @@ class Packer:
         self.close(out, [1 << k for k in range(self.used.bit_length() - 1, -1, -1) if self.used >> k & 1])
 
 
+def vocabulary_size(path: str) -> int:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+
+
 def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int = 2048, shard_ids: int = 8_000_000, path: str | None = None) -> DataFrame:
     """One row for each piece of each document: where it lies in its document and in its sequence.
 
@@ -227,28 +325,31 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
     batch. Only the last sequences of a range, powers of two, are shorter than the window: there is no padding.
     """
 
+    kind = "<u2" if max(vocabulary_size(path or tokenizer_path("word_bpe_49k.json")), end_id + 1) <= 1 << 16 else "<u4"
+
     def encode(batches):
         words = once_per_worker(("word_bpe", path), lambda: WordIds(path or tokenizer_path("word_bpe_49k.json")))
-        end, row = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 36
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices(texts):
-                ids = [c + end for c in words.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(range(row + a, row + b), pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
+            texts = batch.column("text").fill_null("")
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            for a, b in runs(sizes, ENCODED_BYTES):
+                coded = with_end(*words.encode(texts.slice(a, b - a)), end_id, kind)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(range(row + a, row + b), pa.int64()), coded], names=["doc_id", "row", "ids"])
             row += len(texts)
 
     coded = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, row long, ids binary"), "ids")
-    corpus = corpus_of(coded)
+    corpus = corpus_of(coded, kind)
 
     def keyed(batches):
         for batch in batches:
-            tops = [corpus.heaviest(np.frombuffer(c, "<u4")[:-1], 3) for c in batch.column("ids").to_pylist()]
+            tops = [corpus.heaviest(np.frombuffer(c, kind)[:-1], 3) for c in batch.column("ids").to_pylist()]
             columns = list(zip(*tops)) or [()] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns]], names=[*batch.schema.names, "k1", "k2", "k3"])
 
     def run(batches):
         packer = Packer(window, TaskContext.get().partitionId() << 36, corpus)
-        shard: list[tuple[int, bytes]] = []
+        shard: list[tuple[int, np.ndarray]] = []
         held = 0
 
         def batch_of(rows):
@@ -258,8 +359,8 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
         for batch in batches:
             out: list = []
             for doc in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                shard.append(doc)
-                held += len(doc[1]) // 4
+                shard.append((doc[0], np.frombuffer(doc[1], kind)))
+                held += len(shard[-1][1])
                 if len(shard) >= shard_docs or held >= shard_ids:
                     packer.shard(shard, out)
                     shard, held = [], 0
