@@ -12,6 +12,7 @@ the next document in the order becomes the seed of the open window.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from itertools import repeat
 
@@ -26,8 +27,9 @@ from .bpe import LONG_WORD, ByteBPE, tokenizer_path
 from .common import materialise, once_per_worker, runs
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words of Latin letters up to U+017F (but U+0130, whose lower case is two characters), with full stops and commas after.
-PLAIN = "^[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+[.,]*$"
+#: Words of Latin letters up to U+017F (but U+0130, whose lower case is two characters), with marks after that are never part of a contraction or a special token.
+MARKS = "!#$%&()*+,./:;=?@^_~-"
+PLAIN = f"^[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+[{re.escape(MARKS)}]*$"
 
 
 def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -94,7 +96,7 @@ class WordIds:
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(i) for i in ids], np.int64)
 
     def merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number for words of lower-case letters, or of full stops and commas; very long words apart."""
+        """Ids and their number for words of lower-case letters, or of marks; very long words apart."""
         size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(size) and size.max() > LONG_WORD:
             coded = [w.encode() for w in words.to_pylist()]
@@ -110,7 +112,7 @@ class WordIds:
         is_plain = plain.to_numpy(zero_copy_only=False)
         low = pc.utf8_lower(words.filter(plain))
         ids, sizes = [], []
-        for part in (pc.utf8_rtrim(low, characters=".,"), pc.replace_substring_regex(low, pattern="^[^.,]+", replacement="")):
+        for part in (pc.utf8_rtrim(low, characters=MARKS), pc.replace_substring_regex(low, pattern="^[A-Za-zªµºÀ-ÖØ-öø-ſ]+", replacement="")):
             coded = part.dictionary_encode()
             own, n = self.merged(coded.dictionary)
             which = coded.indices.to_numpy()
@@ -231,15 +233,24 @@ class Bm25Shard:
         self.doc = doc[order]
         self.vocabulary, start, df = np.unique(term[order], return_index=True, return_counts=True)
         self.start, self.df = start, df
-        self.weight = corpus.weight(term[order], tf[order], size[self.doc])
+        self.weight = corpus.weight(term[order], tf[order], size[self.doc]).astype(np.float32)
         self.n = len(docs)
+        # Terms of an eighth of the documents or more are rows of a matrix: adding those is cheaper than their postings.
+        common = np.flatnonzero(8 * df >= self.n) if self.n >= 64 else np.zeros(0, np.int64)
+        self.row = np.full(len(self.vocabulary), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        at = np.repeat(start[common] - (np.cumsum(df[common]) - df[common]), df[common]) + np.arange(int(df[common].sum()))
+        self.dense[np.repeat(np.arange(len(common)), df[common]), self.doc[at]] = self.weight[at]
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         k = np.searchsorted(self.vocabulary, terms)
+        row = self.row[k]
+        k = k[row < 0]
         size = self.df[k]
         ends = np.cumsum(size)
         at = np.repeat(self.start[k] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        return np.bincount(self.doc[at], self.weight[at], self.n) + self.dense[row[row >= 0]].sum(0)
 
 
 class Packer:
