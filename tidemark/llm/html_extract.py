@@ -4,12 +4,19 @@ Standard-library parser events are streamed into block lines. Each line gets a
 text-to-tag ratio, the ratios are smoothed by a Gaussian along the page, and lines
 above a threshold form the content cluster. The cluster selects the container that
 holds it; the text is every block of that container that isn't page furniture.
+
+Elements that are furniture by their tag, role or hiding have no ratio. Names of classes
+and ids are only hints: they lower the ratio of their lines, and count for nothing in
+the ancestors of the densest line. Blocks of links within the container are dropped by
+their share of linked text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,56 +27,91 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article aside body blockquote div dl fieldset footer form header html main nav ol section table td th ul menu".split())
+#: Elements that lines belong to; content is looked for in the first kind, blocks of links in the second.
 CONTAINERS = frozenset("article body center div html main section table tbody td tr".split())
+LISTS = frozenset("ul ol dl menu table div section p".split())
 FURNITURE = frozenset("applet aside audio button canvas datalist dialog fieldset footer form head iframe input label legend map menu nav noframes noscript object optgroup option progress script select style svg template textarea title video".split())
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-FURNITURE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner "
-    "aside sidebar sidebars widget widgets related recommended share sharing social "
+#: Names that mostly mark furniture, and by how much they lower the ratio of their lines.
+STRONG_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion "
+    "sidebar sidebars widget widgets share sharing social "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination toolbar topbar "
-    "footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login register "
-    "comment comments commentlist disqus reply replies respond discussion feedback".split()
+    "footer masthead cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login "
+    "comment comments commentlist disqus respond".split()
 )
-#: Names that mark furniture only outside an article.
-OUTER_NAMES = frozenset(["header"])
+STRONG = 0.05
+#: Names that are found in articles too.
+WEAK_NAMES = frozenset("aside banner related recommended notice notices alert register reply replies discussion feedback".split())
+WEAK = 0.5
+#: What such names are joined with; any other part, as in with-sidebar, comments-open or related-work, makes it a name of something else.
+NEUTRAL_PARTS = frozenset("area block bottom box container group holder inner item items left links list outer panel post posts reader readers right section site slot top unit user users wrap wrapper".split())
+#: Elements whose names are looked at: text blocks only for the strong ones.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figure figcaption".split())
 PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)>")
+HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 def _furniture(tag: str, attrs: list, in_article: bool) -> bool:
-    if tag in FURNITURE:
+    """Whether an element is furniture by its tag, its role or because it is hidden."""
+    if tag in FURNITURE or tag == "header" and not in_article:
         return True
-    if tag == "header":
-        return not in_article
-    if not attrs or tag in ("html", "body", "main"):
+    if tag in ("html", "body", "main", "article"):
         return False
-    names: set[str] = set()
     for key, value in attrs:
-        if key in ("class", "id"):
-            names.update(x.lower() for x in NAME_PARTS.findall(value or ""))
-        elif key == "role" and (value or "").lower() in FURNITURE_ROLES:
+        if key == "role" and (value or "").lower() in FURNITURE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        elif key == "hidden" or key == "aria-hidden" and value == "true":
+        if key == "style" and value and HIDING.search(value):
             return True
-    if tag == "article":
-        names &= {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo"}
-    return bool(names & FURNITURE_NAMES or not in_article and names & OUTER_NAMES)
+    return False
+
+
+def _hint(tag: str, attrs: list) -> float:
+    """By how much the names of an element lower the ratio of its lines."""
+    factor = 1.0
+    if tag in ("html", "body", "main"):
+        return factor
+    for key, value in attrs:
+        if key not in ("class", "id"):
+            continue
+        for name in (value or "").split():
+            parts = {x.lower() for x in NAME_PARTS.findall(name)} - NEUTRAL_PARTS
+            if parts and parts <= STRONG_NAMES | WEAK_NAMES or name.lower() == "header" and tag != "article":
+                strong = not parts.isdisjoint(STRONG_NAMES)
+                if strong or tag not in TEXT_BLOCKS and tag != "article":
+                    factor = min(factor, STRONG if strong else WEAK)
+    return factor
+
+
+class Line(NamedTuple):
+    """A block line: its text, the characters of it in links, its tags, whether it is furniture, and the element it belongs to."""
+
+    text: str
+    linked: int
+    tags: int
+    dropped: bool
+    node: int
 
 
 class BlockLines(HTMLParser):
-    """Turns parser events into block lines: (text, characters in links, tags, furniture?, chain of containers)."""
+    """Turns parser events into block lines, and the elements around them into a tree of parent pointers."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        #: open elements: tag, within furniture, chain of containers, within an article, within a link
-        self.stack: list[tuple[str, bool, tuple[int, ...], bool, bool]] = [("", False, (0,), False, False)]
-        self.kinds = ["body"]
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        #: open elements: tag, within furniture, element, within an article, within a link
+        self.stack: list[tuple[str, bool, int, bool, bool]] = [("", False, 0, False, False)]
+        self.open: Counter[str] = Counter()
+        self.kinds, self.parents, self.hints = ["body"], [0], [1.0]
+        self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
 
+    def parse_html_declaration(self, i):
+        """Marked sections, whatever is in them, end at the next '>', as in a browser."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def updatepos(self, i, j):
         return j  # line numbers aren't needed
 
@@ -95,15 +137,22 @@ class BlockLines(HTMLParser):
         if self.parts or self.tags:
             text = " ".join("".join(self.parts).split())
             if text or self.tags:
-                _, dropped, chain, _, _ = self.stack[-1]
-                self.lines.append((text, self.linked, self.tags, dropped, chain))
+                _, dropped, node, _, _ = self.stack[-1]
+                self.lines.append(Line(text, min(self.linked, len(text)), self.tags, dropped, node))
             self.parts, self.tags, self.linked = [], 0, 0
 
+    def cut(self, k: int) -> None:
+        """Close the open elements from the k-th on."""
+        self.open.subtract(x[0] for x in self.stack[k:])
+        del self.stack[k:]
+
     def close_tag(self, tags: set[str] | frozenset[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             name = self.stack[k][0]
             if name in tags:
-                del self.stack[k:]
+                self.cut(k)
                 return
             if name in SCOPES:
                 return
@@ -121,14 +170,18 @@ class BlockLines(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
-        _, dropped, chain, article, link = self.stack[-1]
+        _, dropped, node, article, link = self.stack[-1]
         dropped_here = dropped or _furniture(tag, attrs, article)
-        if not block and dropped_here != dropped:
+        hint = _hint(tag, attrs) if attrs else 1.0
+        if not block and (dropped_here != dropped or hint < 1):
             self.flush()
-        if tag in CONTAINERS:
-            chain = (*chain, len(self.kinds))
+        if tag in CONTAINERS or tag in LISTS or hint < 1:
+            self.parents.append(node)
+            node = len(self.kinds)
             self.kinds.append(tag)
-        self.stack.append((tag, dropped_here, chain, article or tag in ("article", "main"), link or tag == "a"))
+            self.hints.append(hint)
+        self.stack.append((tag, dropped_here, node, article or tag in ("article", "main"), link or tag == "a"))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -136,16 +189,18 @@ class BlockLines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag == "br":
+            self.parts.append(" ")
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
-                if tag not in INLINE or self.stack[k][1] != self.stack[k - 1][1]:
+                if tag not in INLINE or self.stack[k][1:3] != self.stack[k - 1][1:3]:
                     self.flush()
-                del self.stack[k:]
+                self.cut(k)
                 return
             if tag in INLINE and self.stack[k][0] in SCOPES:
                 return
-        if tag == "br":
-            self.parts.append(" ")
 
     def handle_data(self, data):
         self.parts.append(data)
@@ -164,56 +219,116 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratio, kernel, "full")[reach:-reach] / np.convolve(np.ones_like(ratio), kernel, "full")[reach:-reach]
 
 
+class Page:
+    """The lines of a page and what they add up to by element."""
+
+    def __init__(self, parsed: BlockLines):
+        self.kinds, self.hints, lines = parsed.kinds, parsed.hints, parsed.lines
+        self.parent = parsed.parents
+        self.text = [x.text for x in lines]
+        self.node = np.array([x.node for x in lines], np.int64)
+        self.chars = np.array([len(x.text) for x in lines], np.int64)
+        self.linked = np.array([x.linked for x in lines], np.int64)
+        self.dropped = np.array([x.dropped for x in lines], bool)
+        self.ratio = np.where(self.dropped, 0.0, (self.chars - self.linked) / np.maximum(1, [x.tags for x in lines]))
+
+    def summed(self, values: np.ndarray) -> list[float]:
+        """For each element the sum of the values of its lines, those of elements within it too."""
+        total = np.bincount(self.node, values, len(self.kinds)).tolist()
+        for k in range(len(total) - 1, 0, -1):  # an element comes after its parent
+            total[self.parent[k]] += total[k]
+        return total
+
+    def spread(self, own: list, merge) -> np.ndarray:
+        """For each line what merge makes of the values of its element and all around it, from the outermost on."""
+        for k in range(1, len(own)):
+            own[k] = merge(own[self.parent[k]], own[k])
+        return np.array(own)[self.node]
+
+    def ancestors(self, node: int) -> set[int]:
+        found = {0, node}
+        while node:
+            node = self.parent[node]
+            found.add(node)
+        return found
+
+
+def densest(page: Page, sigma: float, exempt: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hints, lowered ratios and smoothed ones of each line, the hints of exempt elements counting for nothing."""
+    hint = page.spread([1.0 if k in exempt else h for k, h in enumerate(page.hints)], min)
+    ratio = page.ratio * hint
+    return hint, ratio, smoothed(ratio, sigma)
+
+
 def extract(html: str | None, sigma: float = 1.0) -> str:
     """The main text: blocks in page order, one to a line; '' for null, empty or text-free pages."""
     if not html:
         return ""
-    page = BlockLines()
-    page.feed(html)
-    page.finish()
-    lines = page.lines
-    if not any(text and not dropped for text, _, _, dropped, _ in lines):
+    parsed = BlockLines()
+    parsed.feed(html)
+    parsed.finish()
+    if not any(x.text and not x.dropped for x in parsed.lines):
         return ""
-    ratio = np.array([0.0 if dropped else (len(text) - min(linked, len(text))) / max(1, tags) for text, linked, tags, dropped, _ in lines])
-    smooth = smoothed(ratio, sigma)
-    # The paper-style threshold is the spread of the ratios; the cluster can't be empty.
-    chosen = (smooth >= min(smooth.std(), smooth.max())) & (ratio > 0)
+    page = Page(parsed)
+    _, ratio, smooth = densest(page, sigma, set())
+    # The ancestors of the densest line, of articles if there are any, are never judged by their names.
+    dense = np.minimum(ratio, smooth)
+    in_article = page.spread([k in ("article", "main") for k in page.kinds], lambda a, b: a or b) & (dense > 0)
+    peak = int((np.where(in_article, dense, -1.0) if in_article.any() else dense).argmax())
+    hint, ratio, smooth = densest(page, sigma, page.ancestors(int(page.node[peak])))
+    # The threshold is the spread of the smoothed ratios; the cluster can't be empty.
+    least = min(smooth.std(), smooth.max())
+    chosen = (smooth >= least) & (ratio > 0)
     if not chosen.any():
         chosen = ratio > 0
     if not chosen.any():
         return ""
-    held: dict[int, int] = {}
-    for k in np.flatnonzero(chosen):
-        for box in lines[k][4]:
-            held[box] = held.get(box, 0) + len(lines[k][0])
-    total = held[0]
-    articles = [b for b in held if page.kinds[b] in ("article", "main") and held[b] >= 0.5 * total]
+    held = page.summed(np.where(chosen, page.chars * hint, 0.0))
+    articles = [k for k, kind in enumerate(page.kinds) if kind in ("article", "main") and 2 * held[k] >= held[0]]
     if articles:
-        box = max(articles) if len({held[b] for b in articles}) == 1 else max(articles, key=lambda b: (held[b], b))
-        keep = [box in chain for *_, chain in lines]
+        box = max(articles, key=lambda k: (held[k], k))
     else:
-        box = max((b for b in held if held[b] >= 0.9 * total))
-        if page.kinds[box] in ("div", "section", "center", "td"):
-            keep = [box in chain for *_, chain in lines]
-        else:
-            first, last = np.flatnonzero(chosen)[[0, -1]]
-            keep = [first <= k <= last or bool(chosen[k]) for k in range(len(lines))]
-            k = first - 1
-            while k >= 0 and not lines[k][3] and lines[k][1] * 2 <= len(lines[k][0]):  # a heading just above
-                keep[k] = True
-                k -= 1
-            k = last + 1
-            while k < len(lines) and not lines[k][3] and lines[k][1] * 2 <= len(lines[k][0]):
-                keep[k] = True
-                k += 1
-    return "\n".join(text for (text, _, _, dropped, _), kept in zip(lines, keep) if kept and text and not dropped)
+        box = max(k for k, kind in enumerate(page.kinds) if kind in CONTAINERS and held[k] >= 0.9 * held[0] - 1e-6)
+    within = page.spread([k == box for k in range(len(page.kinds))], lambda a, b: a or b)
+    if not articles and page.kinds[box] not in ("div", "section", "center", "td"):
+        # No container of its own: from the first to the last line of the cluster, and blocks without many links beside them.
+        beside = ~page.dropped & (2 * page.linked <= page.chars)
+        first, last = np.flatnonzero(chosen)[[0, -1]]
+        while first > 0 and beside[first - 1]:
+            first -= 1
+        while last + 1 < len(beside) and beside[last + 1]:
+            last += 1
+        within &= (np.arange(len(within)) >= first) & (np.arange(len(within)) <= last)
+    # Named blocks stay if their own density carries them: a strong name must do so without its neighbours.
+    carried = np.where(hint <= STRONG, np.minimum(ratio, smooth), smooth) >= least
+    keep = within & ~page.dropped & ((hint == 1) | carried) & ~_link_blocks(page, box)
+    return "\n".join(t for t, k in zip(page.text, keep) if k and t)
+
+
+def _link_blocks(page: Page, box: int) -> np.ndarray:
+    """Lines within an element of two or more linked lines, half of whose text or more is links, and in runs of three or more such lines; not the box and what is around it."""
+    heavy = (page.linked * 2 >= page.chars) & (page.chars > 0)
+    around = page.ancestors(box)
+    chars, linked, lines = page.summed(page.chars), page.summed(page.linked), page.summed(heavy & ~page.dropped)
+    block = [k not in around and kind in LISTS and lines[k] >= 2 and 2 * linked[k] >= chars[k] for k, kind in enumerate(page.kinds)]
+    in_block = page.spread(block, lambda a, b: a or b)
+    some = np.flatnonzero(page.chars > 0)
+    run = heavy[some]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], run.astype(np.int8), [0]])))
+    out = in_block.copy()
+    for a, b in zip(edges[::2], edges[1::2]):
+        if b - a >= 3:
+            out[some[a:b]] = True
+    return out
 
 
 def extract_pages(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
-    Null or empty html, and pages of furniture only, give an empty text. Repeated rows each
-    give a row. One page is parsed at a time, so memory is bounded by the largest page.
+    Null or empty html, and pages of furniture only, give an empty text; broken markup is read as
+    far as a browser would, and never fails. Repeated rows each give a row, an empty table none, and
+    columns but these three are not read. Of lines equally dense, the first is the densest. One page
+    is parsed at a time, in memory and time linear in its length.
     """
 
     def run(batches):
