@@ -113,27 +113,91 @@ def test_secrets_beside_allowed_strings():
         assert found(known) == []
 
 
+def plain_fingerprint(text, k=fingerprint.K, bases=fingerprint.BASES, turns=fingerprint.TURNS):
+    """Order MinHash by the book: for every hash function, all k-mers are ordered by it."""
+    import xxhash
+
+    def h64(data, seed=42):
+        return xxhash.xxh64(data, seed=seed).intdigest()
+
+    def of(*longs):  # Spark's xxhash64 of longs and ints: each is the next one's seed
+        seed = 42
+        for x, width in longs:
+            seed = h64((x & (1 << 8 * width) - 1).to_bytes(width, "little"), seed)
+        return seed
+
+    words = [u for w in re.findall(r"[^\x20\x09-\x0D]+", text) for u in ([w] if len(w) <= fingerprint.LONG_RUN else w)]
+    h = [h64(w.encode()) for w in words]
+    if not h:
+        return ""
+    kmers = [of(*[(x, 8) for x in h[i : i + k]]) >> 27 for i in range(max(1, len(h) - k + 1))]
+    seen, numbered = Counter(), []
+    for x in kmers:
+        numbered.append(x if not seen[x] else of((x, 8), (seen[x], 4)) >> 27)
+        seen[x] += 1
+    out = ""
+    for b in range(bases):
+        own = [of((x, 8), (b, 4)) >> 27 for x in numbered]
+        for t in range(turns):
+            function = lambda i: (own[i] - (t << 37) // turns) % (1 << 37)
+            two = sorted(sorted(range(len(own)), key=function)[:2])
+            out += f"{of(*[(own[i], 8) for i in two]):016x}"[: fingerprint.DIGITS]
+    return out
+
+
 def test_fingerprints(spark, docs, odd):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     got = {r.doc_id: r for r in fingerprint.fingerprint_documents(docs, block_rows=30).collect()}
-    prints = {}
+    short = 0
     for (i, t), (j, u) in zip(rows, rows[1:] + rows[:1]):
         half = len(t) // 2
-        r = got[i]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()
-        assert prints.setdefault(t, r.fingerprint) == r.fingerprint
-        a, b = ({x[k : k + 6] for k in range(0, len(x), 6)} for x in (r.fingerprint, got[j].fingerprint))
-        filled = {x[:2] for x in a | b}
-        assert abs(r.near_next - (len(a & b) / len(filled) if a and b else float(a == b))) < 1e-9
-    base = " ".join(f"w{k}" for k in range(300))
-    forms = spark.createDataFrame([(base, base + " end", " ".join(reversed(base.split())))], "a string, b string, c string")
-    for c in "abc":
-        forms = fingerprint.with_fingerprint(forms, c, f"f{c}")
-    near, far = forms.select(fingerprint.likeness("fa", "fb"), fingerprint.likeness("fa", "fc")).first()
-    assert near > 0.9 and far < 0.1
+        r, edited = got[i], t[: len(t) - half] + u[:half]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        if len(t) < 3000:
+            short += 1
+            assert r.fingerprint == plain_fingerprint(t) and r.edited_fingerprint == plain_fingerprint(edited), i
+        for near, other in ((r.near_edited, r.edited_fingerprint), (r.near_next, got[j].fingerprint)):
+            slots = [(r.fingerprint[k : k + 4], other[k : k + 4]) for k in range(0, 256, 4)]
+            assert abs(near - (np.mean([a == b for a, b in slots]) if r.fingerprint and other else float(r.fingerprint == other))) < 1e-9
+    assert short > 100
     strange = fingerprint.fingerprint_documents(odd).collect()
     assert len(strange) == len(ODD) and {r.fingerprint for r in strange if r.doc_id in (1, 2, 3)} == {""}
+    assert {r.fingerprint for r in strange if r.doc_id in (4, 7)} == {plain_fingerprint(t) for i, t in ODD if i in (4, 7)}
     assert fingerprint.fingerprint_documents(odd.limit(0)).count() == 0 and fingerprint.fingerprint_documents(odd.where("doc_id = 4")).first().near_next == 1
+    assert len({r.fingerprint for r in strange if r.doc_id == 5}) == 1
+
+
+def test_fingerprints_follow_edits(spark):
+    """Likeness falls when the order changes, by far more than the share of common k-mers does, and hardly with one character."""
+    few, many = ([f"w{k}" for k in range(n)] for n in (40, 1000))
+    unspaced = "".join(chr(0x4E00 + (k * 7919) % 5000) for k in range(3000))
+    pairs = {
+        "swapped": (" ".join(few), " ".join(few[20:] + few[:20])), "swapped long": (" ".join(many), " ".join(many[500:] + many[:500])), "reversed": (" ".join(many), " ".join(many[::-1])),
+        "one word more": (" ".join(many), " ".join([*many[:500], "x", *many[500:]])), "one character before": (unspaced, "\u5b57" + unspaced), "the same": ("a b", "a b"), "empty": ("", " \n"), "one empty": ("", "a"),
+    }
+    frame = spark.createDataFrame([(n, a, b) for n, (a, b) in pairs.items()], "n string, a string, b string")
+    frame = fingerprint.with_fingerprint(fingerprint.with_fingerprint(frame, "a", "fa"), "b", "fb")
+    got = {r.n: r.x for r in frame.select("n", fingerprint.likeness("fa", "fb").alias("x")).collect()}
+    kmers = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    for n in ("swapped", "swapped long"):
+        a, b = map(kmers, pairs[n])
+        assert len(a & b) / len(a | b) > 0.85 and got[n] < 0.7
+    assert got["reversed"] < 0.05 and got["one word more"] > 0.9 and got["one character before"] > 0.9
+    assert got["the same"] == got["empty"] == 1 and got["one empty"] == 0
+
+
+def test_a_flood_of_one_id_is_several_blocks(spark):
+    rows = [(None if k % 3 else 7, f"text number {k} of many") for k in range(600)] + [(k, f"other {k}") for k in range(100, 400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = fingerprint.with_next_text(frame, block_rows=50)
+    sizes = Counter(r.block for r in dealt.where("not guest").collect())
+    assert sum(sizes.values()) == 900 and max(sizes.values()) < 200
+    follow = {(r.doc_id, r.text): r.next_text for r in dealt.where("not guest").collect()}
+    at, seen = min(t for (i, t) in follow if i is None), set()
+    for _ in rows:
+        seen.add(at)
+        at = next(n for (i, t), n in follow.items() if t == at)
+    assert len(seen) == 900  # one ring through all rows
 
 
 TEXTS = ["", "  a  b ", "x \n\n y\t z  ", "aaaaaaaaaaaaaaaaaaa " * 3, "hello<|endoftext|> world", "It's we'll 'd' don't", "日本語 한국어 🙂🙂 '", "x" * 3000 + " " + "abcdefghij" * 500, "ΑΣ ΣΑΣ. İstanbul ǅ", "é\x1c\x1dab\x85x"]
