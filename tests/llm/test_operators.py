@@ -46,9 +46,40 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(rows).collect()}
     assert got[0] == ("a.example.com", "/en/7x", "example.com/en/7", "allow") and got[1] == ("x.com", "/en/", "com/en/", "block")
     assert got[2] == ("www.foo.net", "/de/1", "net/de/", "allow") and got[3] == ("example.net", "/de/88", "example.net/de/8", "block") and got[4][2:] == ("org/es/", "block")
-    assert got[5] == got[6] == ("", "", None, "allow") and got[7][2] is None and got[8][3] == "block"
-    held, labels = url_filter.labelled_urls(1000, seed=77)
-    assert ((url_filter.UrlTrees(*url_filter.labelled_urls()).probability(held) > 0.5) == np.array(labels)).mean() > 0.95
+    assert got[5] == got[6] == ("", "", None, "allow") and got[7][2] is None
+    assert url_filter.judge_urls(rows.limit(0)).count() == 0 and url_filter.judge_urls(rows.where("url is null")).first().verdict == "allow"
+    assert url_filter.judge_urls(rows.union(rows)).count() == 2 * len(urls)
+
+
+def test_url_columns_equal_sql(spark):
+    import duckdb
+
+    want = {r[0]: r[1:] for r in duckdb.sql(url_filter.RULED_SQL.format(pages="'/root/testdata/sf0.01/pages.parquet'")).fetchall()}
+    got = queries.QUERIES["op2_url_filter"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(want) and all((r.host, r.path, r.rule) == want[r.page_id][:3] and (r.rule is None or r.verdict == want[r.page_id][3]) for r in got)
+    assert {r.verdict for r in got if r.rule is None} <= {"allow", "block"}
+
+
+def test_url_trees_on_hosts_they_have_not_seen(spark):
+    """Labels are those of the rules; the hosts of a quarter are held out. What a path's first digit decides, no lexical feature shows: without those urls accuracy is nearly 1, with them above the commoner label's share."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = [(r.url, r.label, zlib.crc32(r.url.split("/")[2].encode()) % 4 == 2) for r in url_filter.ruled(pages).collect()]
+    trees = url_filter.learn(spark.createDataFrame([r[:2] for r in rows if not r[2]], "url string, label string"))
+    held = [r for r in rows if r[2]]
+    guess = trees.probability([u for u, *_ in held]) > 0.5
+    truth = np.array([label == "block" for _, label, _ in held])
+    seen = np.array([not re.search("example.com/en/7|example.net/de/8", u) for u, *_ in held])
+    assert len(held) > 50 and (guess == truth)[seen].mean() > 0.98 and (guess == truth).mean() > max(truth.mean(), 1 - truth.mean())
+
+
+def test_url_trees_with_odd_labels(spark):
+    one = spark.createDataFrame([(f"http://h{k}.com/{k}", "block") for k in range(50)] + [(None, "allow"), ("x", None)], "url string, label string")
+    assert url_filter.learn(one).probability(["http://h3.com/3"])[0] > 0.9
+    assert url_filter.learn(one.limit(0)).probability(["http://h3.com/3", None]).tolist() == [0, 0]
+    long = "http://" + "a" * 100_000 + ".com/" + "b/" * 50_000
+    rows = spark.createDataFrame([(1, long, "x", "y"), (2, "", None, None)], "page_id long, url string, host string, verdict string")
+    got = {r.page_id: r for r in url_filter.judge_urls(rows, labelled=one).collect()}
+    assert len(got[1].host) == 100_004 and len(got[1].path) == 100_001 and (got[2].host, got[2].path, got[2].verdict) == ("", "", "allow")
 
 
 def test_language(spark, docs, odd):
@@ -213,21 +244,57 @@ def test_bpe_equals_the_library(docs, odd):
     assert bpe.encode_documents(odd, keep_ids=True).count() == len(ODD) and bpe.encode_documents(odd.limit(0)).count() == 0
 
 
+WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files (the Software),
+to deal in the Software without restriction"""
+
+
+def plain_licences(model, text):
+    """The findings of a text by the plain formulas."""
+
+    def judged(k, n, p):
+        probability = model.probabilities(p)
+        best = int(probability.argmax())
+        if best and probability[best] >= 0.5:
+            return [(k, n, model.classes[best], round(float(probability[best]), 5), model.confirmed(p, model.classes[best]))]
+        return []
+
+    lines = text.split("\n") if text else []
+    found = [x for k, p in enumerate(lines) for x in judged(k, 1, p)]
+    blocks, k = [], 0
+    while k < len(lines):
+        n = 0
+        while k + n < len(lines) and license_scan.words(lines[k + n]):
+            n += 1
+        if n > 1:
+            blocks += [b for b in judged(k, n, " ".join(lines[k : k + n])) if b[4] and not any(x[4] and x[2] == b[2] and k <= x[0] < k + n for x in found)]
+        k += max(n, 1)
+    return sorted([x for x in found if x[4] or not any(b[0] <= x[0] < b[0] + b[1] for b in blocks)] + blocks)
+
+
 def test_licences(spark, docs, odd):
-    model = license_scan.LicenceModel()
-    assert model.held_out_accuracy > 0.95
-    more = spark.createDataFrame([(900, "prose here\nReleased under the MIT License.\nThe license plate was found."), (901, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
+    model = license_scan.LicenceModel(license_scan.paragraphs_of(docs))
+    assert model.precision > 0.85 and model.recall > 0.55  # of templates held out whole
+    more = spark.createDataFrame([(900, "prose here\nReleased under the MIT License.\nThe license plate was found."), (901, "Licensed under the Apache License, Version 2.0."), (902, f"Copyright someone\n\n{WRAPPED}\n\nint main() {{}}"), (903, "The apache licence of the general public was permitted.\nA free copy.")], "doc_id long, text string")
     for r in license_scan.scan_licences(docs.select("doc_id", "text").unionByName(more), model).collect():
-        want = []
-        for k, p in enumerate(r.text.split("\n") if r.text else []):
-            probability = model.probabilities(p)
-            best = int(probability.argmax())
-            if best and probability[best] >= 0.5:
-                want.append((k, model.classes[best], round(float(probability[best]), 6), model.confirmed(p, model.classes[best])))
-        assert [(x.paragraph, x.family, round(x.probability, 6), x.confirmed) for x in r.licences] == want
-        if r.doc_id == 900:
-            assert [w[:2] for w in want] == [(1, "MIT")]
-    assert license_scan.scan_licences(odd).count() == len(ODD) and license_scan.scan_licences(odd.limit(0)).count() == 0
+        want = plain_licences(model, r.text)
+        assert [(x.paragraph, x.n_lines, x.family, round(x.probability, 5), x.confirmed) for x in r.licences] == want, r.doc_id
+        sure = [w[:3] for w in want if w[4]]
+        if r.doc_id >= 900:
+            assert sure == {900: [(1, 1, "MIT")], 901: [(0, 1, "Apache-2.0")], 902: [(2, 3, "MIT")], 903: []}[r.doc_id]
+    strange = license_scan.scan_licences(odd.withColumn("__lines", F.lit("x")).withColumn("__found", F.lit("y")))
+    assert {(r["__lines"], r["__found"]) for r in strange.collect()} == {("x", "y")} and strange.count() == len(ODD) and license_scan.scan_licences(odd.limit(0)).count() == 0
+
+
+def test_licence_lines_of_the_documents(spark, docs):
+    """Confirmed families against a plain search for the licence's name in the line."""
+    named = {"MIT": r"\bMIT License", "Apache-2.0": r"Apache License, Version 2", "GPL": r"GNU General Public License", "CC-BY-NC": r"CC BY-NC", "proprietary": r"All rights reserved"}
+    planted = found = right = 0
+    for r in queries.QUERIES["op7_license_scan"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        want = {f for f, p in named.items() if re.search(p, r.text or "")}
+        got = set(filter(None, r.families.split(",")))
+        planted, found, right = planted + len(want), found + len(got), right + len(want & got)
+    assert planted > 20 and right >= 0.95 * planted and right >= 0.95 * found
 
 
 def bag(t):

@@ -1,10 +1,11 @@
 """Licence scanning, in DataFrame functions only on the main path.
 
-Paragraphs (lines) are classified by a logistic regression over sparse word n-grams, trained
-here on the templates below and on prose that only sounds like them. A paragraph without
-enough evidence is `unknown`: the softmax has that class, with a calibrated temperature. A
-predicted family is confirmed if enough of one of its templates' word pairs occur in the
-paragraph.
+Paragraphs (lines, and blocks of lines between blank ones) are classified by a logistic
+regression over sparse word n-grams, trained here on the templates below, on paragraphs of
+the documents that are no template's, and on prose that only sounds like licences. A
+paragraph without enough evidence is `unknown`: the softmax has that class, with a
+temperature calibrated on templates and paragraphs that the model has not seen. A predicted
+family is confirmed if enough of one of its templates' word pairs occur in the paragraph.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The notices and opening clauses by which the public licences are known.
 TEMPLATES = {
     "Apache-2.0": [
@@ -55,6 +58,23 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "proprietary": ["All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited.", "Proprietary and confidential."],
 }
+#: How the families are named, and sentences that say by which of them a work is licensed.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0 License"],
+    "MIT": ["MIT License", "MIT/Expat License"],
+    "GPL": ["GNU General Public License, version 3", "GNU GPL version 2 or later", "GPL v3 License"],
+    "LGPL": ["GNU Lesser General Public License, version 2.1", "GNU LGPL version 3"],
+    "AGPL": ["GNU Affero General Public License, version 3", "GNU AGPL version 3"],
+    "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "New BSD License"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License (MPL) 2.0"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0 License", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC0": ["CC0 1.0 Universal", "Creative Commons Zero License"],
+    "ISC": ["ISC License", "OpenBSD ISC License"],
+    "Unlicense": ["Unlicense License", "The Unlicense"],
+}
+FRAMES = ["Released under the {}.", "Licensed under {}.", "This project is licensed under the terms of the {}.", "Distributed under the {}; see the LICENSE file.", "You may use this work under the {}.", "SPDX-License-Identifier: {}"]
 #: Prose with words of licences that is none.
 PROSE = [
     "You need a driving license to rent a car.", "The license plate was found near the river.", "The apache helicopter landed at noon.", "He studied at MIT and later moved to Boston.",
@@ -77,48 +97,71 @@ def grams(tokens: list[str]) -> list[str]:
     return tokens + [" ".join(p) for p in zip(tokens, tokens[1:])]
 
 
+def word_pairs(text: str) -> set[str]:
+    tokens = words(text)
+    return {" ".join(p) for p in zip(tokens, tokens[1:])}
+
+
 class LicenceModel:
     """Multinomial logistic regression on the presence of word n-grams (1 and 2), with an unknown class.
 
-    variants: training paragraphs made of each template, by leaving words out and by putting prose
-    around it. The temperature is the one, of a few, that gives held-out variants the best log loss.
+    paragraphs: real text; those with more than `foreign` of some template's word pairs are left out, the
+    others are examples of the unknown class, together with the prose. variants: training paragraphs made
+    of each template and of each name in each frame, by leaving words out and by putting real text around
+    it. Each of two folds holds out every other one of these of a family, whole, and every other paragraph; the temperature is the one, of
+    a few, that gives these the best log loss. precision and recall are those of families among them.
     """
 
-    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, prose: list[str] = PROSE, variants: int = 12, steps: int = 300, seed: int = 5):
+    def __init__(self, paragraphs: list[str] = (), templates: dict[str, list[str]] = TEMPLATES, names: dict[str, list[str]] = NAMES, prose: list[str] = PROSE, variants: int = 8, steps: int = 200, foreign: float = 0.3, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.classes = [UNKNOWN, *sorted(templates)]
+        # What confirms a family: most word pairs of a template, or of one of its names.
+        confirming = {f: [*ts, *names.get(f, [])] for f, ts in templates.items()}
+        self.template_pairs = {f: [sorted(word_pairs(t)) for t in ts if len(words(t)) > 1] for f, ts in confirming.items()}
+        templates = {f: [*ts, *[frame.format(n) for n in names.get(f, []) for frame in FRAMES]] for f, ts in templates.items()}
         common = {w for t in prose for w in words(t)}  # alone, these say nothing
         vocabulary = sorted({g for ts in templates.values() for t in ts for g in grams(words(t)) if g not in common})
         self.features = {g: k for k, g in enumerate(vocabulary)}
-        rows, labels = [], []
+        own_pairs = [set(t) for ts in self.template_pairs.values() for t in ts]
+        others = [p for p in paragraphs if words(p) and not any(len(word_pairs(p) & t) > foreign * len(t) for t in own_pairs)] + list(prose)
+        rows, labels, folds, whole = [], [], [], []
         for family, texts in templates.items():
-            for text in texts:
+            for k, text in enumerate(texts):  # names and frames alternate, so a fold holds out every other sentence of a name
                 tokens = words(text)
                 for v in range(variants):
                     kept = tokens if v < 2 else [w for w in tokens if rng.random() > 0.08]
-                    around = words(prose[int(rng.integers(len(prose)))]) if v % 3 == 1 else []
+                    around = words(others[int(rng.integers(len(others)))])[:40] if v % 3 == 1 else []
                     rows.append(around + kept)
                     labels.append(self.classes.index(family))
-        for text in prose:
-            for v in range(variants):
-                other = words(prose[int(rng.integers(len(prose)))]) if v else []
-                rows.append(words(text) + other)
-                labels.append(0)
+                    folds.append(k % 2 if len(texts) > 1 else -1)  # a lone template is never held out
+                    whole.append(v == 0)
+        for k, text in enumerate(others):
+            rows.append(words(text))
+            labels.append(0)
+            folds.append(k % 2)
+            whole.append(True)
         for _ in range(6 * variants):  # a few words out of context say nothing
             rows.append([w for w in rng.choice([g for g in vocabulary if " " not in g], int(rng.integers(1, 4)))])
             labels.append(0)
-        x = np.zeros((len(rows), len(vocabulary)))
+            folds.append(-1)
+            whole.append(False)
+        x = np.zeros((len(rows), len(vocabulary)), np.float32)
         for r, tokens in enumerate(rows):
             x[r, [self.features[g] for g in set(grams(tokens)) if g in self.features]] = 1
-        y = np.array(labels)
-        held = rng.random(len(y)) < 0.2
-        self.weights, self.bias = self._fit(x[~held], y[~held], steps)
-        logits = x[held] @ self.weights + self.bias
-        self.held_out_accuracy = float((logits.argmax(1) == y[held]).mean())
-        loss = lambda t: -np.log(self._softmax(logits / t)[np.arange(len(logits)), y[held]] + 1e-12).mean()
-        self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0), key=loss)
-        pairs = lambda t: {" ".join(p) for p in zip(words(t), words(t)[1:])}
-        self.template_pairs = {f: [sorted(pairs(t)) for t in ts] for f, ts in templates.items()}
+        y, folds, whole = np.array(labels), np.array(folds), np.array(whole)
+        logits, truth = [], []
+        for fold in (0, 1):
+            weights, bias = self._fit(x[folds != fold], y[folds != fold], steps)
+            held = (folds == fold) & whole
+            logits.append(x[held] @ weights + bias)
+            truth.append(y[held])
+        logits, truth = np.concatenate(logits), np.concatenate(truth)
+        loss = lambda t: -np.log(self._softmax(logits / t)[np.arange(len(logits)), truth] + 1e-12).mean()
+        self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
+        guess = logits.argmax(1)
+        right = ((guess == truth) & (truth > 0)).sum()
+        self.precision, self.recall = float(right / max(1, (guess > 0).sum())), float(right / max(1, (truth > 0).sum()))
+        self.weights, self.bias = self._fit(x, y, steps)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -126,10 +169,14 @@ class LicenceModel:
         return e / e.sum(1, keepdims=True)
 
     def _fit(self, x, y, steps, rate=2.0, decay=1e-4):
-        w, b = np.zeros((x.shape[1], len(self.classes))), np.zeros(len(self.classes))
-        target = np.eye(len(self.classes))[y]
+        w, b = np.zeros((x.shape[1], len(self.classes)), np.float32), np.zeros(len(self.classes), np.float32)
+        target = np.eye(len(self.classes), dtype=np.float32)[y]
+        # Every class weighs as much as its rows' square root, or the unknown class would outweigh all others.
+        balance = (1 / np.sqrt(np.bincount(y, minlength=len(self.classes))[y]))[:, None].astype(np.float32)
+        balance *= len(y) / balance.sum()
         for _ in range(steps):
             error = (self._softmax(x @ w + b) - target) / len(y)
+            error *= balance
             w -= rate * (x.T @ error + decay * w)
             b -= rate * error.sum(0)
         return w, b
@@ -141,7 +188,7 @@ class LicenceModel:
         return self._softmax((x @ self.weights + self.bias) / self.temperature)[0]
 
     def confirmed(self, text: str, family: str, least: float = 0.6) -> bool:
-        pairs = {" ".join(p) for p in zip(words(text), words(text)[1:])}
+        pairs = word_pairs(text)
         return any(len(pairs & set(t)) >= least * len(t) for t in self.template_pairs.get(family, []))
 
 
@@ -174,17 +221,28 @@ def lookup_table(hashes: list[int]) -> tuple[list[int], int]:
     raise ValueError("too many features for the table")
 
 
+def paragraphs_of(docs: DataFrame, rows: int = 400, chars: int = 2000, most: int = 1500) -> list[str]:
+    """Real paragraphs for the unknown class, a bounded sample: lines of the first `chars` characters of the `rows` texts first by a hash, at most `most` lines in all."""
+    first = docs.where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text")).orderBy("h", "text").limit(rows).collect()
+    return [p for r in first for p in r.text.split("\n") if words(p)][:most]
+
+
 def scan_licences(docs: DataFrame, model: LicenceModel | None = None, least: float = 0.5, confirm: float = 0.6) -> DataFrame:
-    """docs with n_paragraphs and licences, an array of (paragraph, family, probability, confirmed).
+    """docs with n_paragraphs and licences, an array of (paragraph, n_lines, family, probability, confirmed).
 
-    Paragraphs are the text's lines, numbered from 0; in each, every word and word pair is looked up.
-    Paragraphs whose likeliest class is a family, with a probability of at least `least`, are listed.
-    Null and empty texts have no paragraphs. Repeated rows each get theirs; columns of docs with these
-    names are replaced. A text stays in its row, so nothing is shuffled.
+    model: by default trained with paragraphs_of(docs). Paragraphs are the text's lines, numbered from 0,
+    and blocks of two or more lines with words between lines without, named by their first line: in each,
+    every word and word pair is looked up. Lines whose likeliest class is a family, with a probability of
+    at least `least`, are listed; blocks only if they are confirmed and none of their lines is, of that
+    family, and then in place of their unconfirmed lines. Of equally likely classes the first by name
+    counts. Null and empty texts have no paragraphs, an empty table gives no rows, repeated rows each get
+    theirs; columns of docs with these names are replaced, all others stay. A text, however long, stays in
+    its row, so nothing is shuffled.
     """
-    model = model or LicenceModel()
+    model = model or LicenceModel(paragraphs_of(docs))
     docs = docs.drop("licences", "n_paragraphs")
     own = docs.columns
+    lines, hashed, block_at, found, scored, best_of, listed = fresh(docs, "lines", "hashed", "blocks", "found", "scored", "best", "listed")
     hashes = [gram_hash(g) for g in model.features]
     table, shift = lookup_table(hashes)
     numbers, known = _literal(table, "array<int>"), _literal(hashes, "array<bigint>")
@@ -201,18 +259,31 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None, least: flo
         return F.array_distinct(F.filter(F.transform(F.concat(h, pairs), number), lambda x: x.isNotNull()))
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_t", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")))
-    out = out.select(*own, F.size("_t").alias("n_paragraphs"), F.transform("_t", lambda t: F.transform(F.array_remove(F.split(F.lower(t), NOT_WORD), ""), lambda w: F.xxhash64(w))).alias("_h"))
-    out = out.withColumn("_f", F.filter(F.transform("_h", lambda h, i: F.struct(i.alias("paragraph"), features(h).alias("f"))), lambda s: F.size(s["f"]) > 0)).drop("_h")
+    out = docs.withColumn(lines, F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")))
+    out = out.select(*own, F.size(lines).cast("long").alias("n_paragraphs"), F.transform(lines, lambda t: F.transform(F.array_remove(F.split(F.lower(t), NOT_WORD), ""), lambda w: F.xxhash64(w))).alias(hashed))
+    own = [*own, "n_paragraphs"]
+    some = lambda i: F.coalesce(F.size(F.get(F.col(hashed), i)) > 0, F.lit(False))
+    edge = lambda step: F.filter(F.transform(hashed, lambda h, i: F.when((F.size(h) > 0) & ~some(i + step), i)), lambda i: i.isNotNull())
+    spans = F.filter(F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("a"), (b - a + 1).alias("n"))), lambda s: s["n"] > 1)
+    out = out.withColumn(block_at, spans)
+    single = F.transform(hashed, lambda h, i: F.struct(i.alias("paragraph"), F.lit(1).alias("n_lines"), features(h).alias("f")))
+    blocks = F.transform(block_at, lambda s: F.struct(s["a"].alias("paragraph"), s["n"].alias("n_lines"), features(F.flatten(F.slice(hashed, s["a"] + 1, s["n"]))).alias("f")))
+    out = out.select(*own, F.filter(F.concat(single, blocks), lambda s: F.size(s["f"]) > 0).alias(found))
     score = lambda f: F.transform(bias, lambda b, c: F.aggregate(f, b, lambda z, x: z + F.get(F.get(weights, x), c)))
-    out = out.withColumn("_z", F.transform("_f", lambda s: F.struct(s["paragraph"].alias("paragraph"), s["f"].alias("f"), score(s["f"]).alias("z")))).drop("_f")
+    out = out.select(*own, F.transform(found, lambda s: F.struct(s["paragraph"].alias("paragraph"), s["n_lines"].alias("n_lines"), s["f"].alias("f"), score(s["f"]).alias("z"))).alias(scored))
     best = lambda s: F.array_max(F.transform(s["z"], lambda z, c: F.struct(z.alias("z"), (-c).alias("c"))))
-    out = out.withColumn("_b", F.filter(F.transform("_z", lambda s: F.struct(s["paragraph"].alias("paragraph"), s["f"].alias("f"), s["z"].alias("z"), best(s).alias("b"))), lambda s: s["b"]["c"] != 0)).drop("_z")
+    kept = F.filter(F.transform(scored, lambda s: F.struct(s["paragraph"].alias("paragraph"), s["n_lines"].alias("n_lines"), s["f"].alias("f"), s["z"].alias("z"), best(s).alias("b"))), lambda s: s["b"]["c"] != 0)
+    out = out.select(*own, kept.alias(best_of))
 
     def finding(s: Column) -> Column:
         top = s["b"]["z"]
         probability = 1 / F.aggregate(s["z"], F.lit(0.0), lambda t, z: t + F.exp((z - top) / F.lit(model.temperature)))
         sure = F.exists(F.get(templates, -s["b"]["c"]), lambda t: F.size(F.array_intersect(t, s["f"])) >= F.size(t) * F.lit(confirm))
-        return F.struct(s["paragraph"].alias("paragraph"), F.get(names, -s["b"]["c"]).alias("family"), probability.alias("probability"), sure.alias("confirmed"))
+        return F.struct(s["paragraph"].alias("paragraph"), s["n_lines"].alias("n_lines"), F.get(names, -s["b"]["c"]).alias("family"), probability.alias("probability"), sure.alias("confirmed"))
 
-    return out.select(*own, F.col("n_paragraphs").cast("long").alias("n_paragraphs"), F.filter(F.transform("_b", finding), lambda x: x["probability"] >= least).alias("licences"))
+    out = out.select(*own, F.filter(F.transform(best_of, finding), lambda x: x["probability"] >= least).alias(listed))
+    inside = lambda x, b: (x["paragraph"] >= b["paragraph"]) & (x["paragraph"] < b["paragraph"] + b["n_lines"])
+    alone = F.filter(listed, lambda x: x["n_lines"] == 1)
+    whole = F.filter(listed, lambda b: (b["n_lines"] > 1) & b["confirmed"] & ~F.exists(alone, lambda x: x["confirmed"] & (x["family"] == b["family"]) & inside(x, b)))
+    alone = F.filter(alone, lambda x: x["confirmed"] | ~F.exists(whole, lambda b: inside(x, b)))
+    return out.select(*own, F.array_sort(F.concat(alone, whole)).alias("licences"))

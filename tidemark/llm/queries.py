@@ -39,10 +39,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    listed = F.transform("licences", lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"], F.when(x["confirmed"], "confirmed").otherwise("unconfirmed")))
+    listed = F.transform("licences", lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["n_lines"].cast("string"), x["family"], F.when(x["confirmed"], "confirmed").otherwise("unconfirmed")))
+    sure = F.filter("licences", lambda x: x["confirmed"])
     return found.select(
-        "doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",").alias("families"), F.array_join(listed, ",").alias("findings"),
+        "doc_id", "n_paragraphs", F.size(sure).cast("long").alias("n_licences"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"), F.array_join(listed, ",").alias("findings"),
     )
 
 

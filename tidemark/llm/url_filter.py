@@ -1,13 +1,15 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features.
 
 Rules decide first. Where none fits, boosted trees judge the url from its length, depth,
-digit ratio, entropy, parameter counts and the blocking rate of its host's suffixes; they
-are trained here, from labelled urls.
+digit ratio, entropy, parameter counts and the blocking rate of its host's suffixes. They
+are trained here, from a table of labelled urls; where there is none, from the urls that
+the rules decide.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable
 
@@ -67,23 +69,27 @@ def lexical(url: str | None, rates: list[dict[str, float]], prior: float) -> lis
 
 
 class UrlTrees:
-    """Gradient-boosted regression trees for log loss, on binned features."""
+    """Gradient-boosted regression trees for log loss, on binned features. Without labelled urls, nothing is blocked; of one class, all labels count as half a label of the other too."""
 
-    def __init__(self, urls: list[str], blocked: list[int], rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, smoothing: float = 4.0):
+    def __init__(self, urls: list[str], blocked: list[int], rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, smoothing: float = 4.0, folds: int = 5):
         y = np.asarray(blocked, float)
-        self.prior = float(y.mean())
-        counts: list[dict[str, list[float]]] = [{}, {}, {}]
-        for url, label in zip(urls, blocked):
-            for seen, tail in zip(counts, suffixes(url.partition("://")[2].partition("/")[0].lower())):
-                pair = seen.setdefault(tail, [0.0, 0.0])
-                pair[0] += label
-                pair[1] += 1
-        self.rates = [{t: (a + smoothing * self.prior) / (n + smoothing) for t, (a, n) in seen.items()} for seen in counts]
+        self.prior = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
+        hosts = [u.partition("://")[2].partition("/")[0].lower() for u in urls]
+        tails = [suffixes(h) for h in hosts]
+        self.rates = self._rates(tails, y, smoothing)
+        self.trees: list = []
+        if not len(y):
+            return
         x = np.array([lexical(u, self.rates, self.prior) for u in urls])
-        for row, url, label in zip(x, urls, blocked):  # a url's own label stays out of its suffix rates, as it will for new urls
-            tails = suffixes(url.partition("://")[2].partition("/")[0].lower())
-            row[-3:] = [(seen[t][0] - label + smoothing * self.prior) / (seen[t][1] - 1 + smoothing) for seen, t in zip(counts, tails)]
-        self.base, self.rate, self.trees = math.log(self.prior / (1 - self.prior)), rate, []
+        # A url's suffix rates are those of other hosts, as they will be for new ones: its own label mustn't show in them.
+        fold = np.array([zlib.crc32(h.encode("utf-8", "surrogatepass")) % folds for h in hosts])
+        for k in range(folds):
+            own = np.flatnonzero(fold == k)
+            others = np.flatnonzero(fold != k)
+            rates = self._rates([tails[i] for i in others], y[others], smoothing)
+            for i in own:
+                x[i, -3:] = [r.get(t, self.prior) for r, t in zip(rates, tails[i])]
+        self.base, self.rate = math.log(self.prior / (1 - self.prior)), rate
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], 1)
         score = np.full(len(y), self.base)
@@ -94,6 +100,16 @@ class UrlTrees:
             self.trees.append(tree)
             score += rate * self._values(tree, x)
 
+    def _rates(self, tails: list[tuple[str, str, str]], y: np.ndarray, smoothing: float) -> list[dict[str, float]]:
+        """The smoothed blocking rate of each suffix, by kind."""
+        counts: list[dict[str, list[float]]] = [{}, {}, {}]
+        for own, label in zip(tails, y):
+            for seen, tail in zip(counts, own):
+                pair = seen.setdefault(tail, [0.0, 0.0])
+                pair[0] += label
+                pair[1] += 1
+        return [{t: (a + smoothing * self.prior) / (n + smoothing) for t, (a, n) in seen.items()} for seen in counts]
+
     def _grow(self, tree, binned, edges, grad, hess, rows, depth, bins) -> int:
         g, h, best = grad[rows].sum(), hess[rows].sum(), (1e-6, -1, -1)
         for f in range(binned.shape[1]) if depth else ():
@@ -123,45 +139,42 @@ class UrlTrees:
 
     def probability(self, urls: list[str | None]) -> np.ndarray:
         """Probability that each url is to be blocked."""
-        if not urls:
-            return np.zeros(0)
+        if not urls or not self.trees:
+            return np.zeros(len(urls))
         x = np.array([lexical(u, self.rates, self.prior) for u in urls])
         score = self.base + self.rate * sum(self._values(t, x) for t in self.trees)
         return 1 / (1 + np.exp(-score))
 
 
-def labelled_urls(n: int = 4000, seed: int = 11) -> tuple[list[str], list[int]]:
-    """n labelled urls made from a rule (1: block): unwanted hosts are built from the stems below, wanted ones from syllables and ordinary words."""
-    unwanted = "casino bets poker slots jackpot gambling adult xxx porn cams escort dating spam pills pharma viagra loans payday crypto warez torrent keygen clickbait replica".split()
-    decoys = "free cheap best win farm x hot real top buy now online deals bonus 24 777 365 club mega".split()
-    words = "news blog docs wiki shop garden travel school museum music library science health forum photo recipe weather river".split()
-    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve tion ble ing ther wh ha ou sh mo ka lu pri gen".split()
-    tails = ["com", "net", "org", "info", "io", "de", "fr", "es"]
-    rng = np.random.default_rng(seed)
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    urls, labels = [], []
-    for k in range(n):
-        bad = k % 2
-        if bad:
-            a, b = pick(unwanted), pick(decoys)
-            name = pick([f"{a}-{b}", f"{b}-{a}", f"{b}-{a}-{pick(decoys)}", f"{a}{b}{int(rng.integers(100))}", f"{a}-{a}"])
-        else:
-            name = pick(["".join(pick(syllables) for _ in range(int(rng.integers(2, 6)))), pick(words) + pick(syllables), pick(words), f"{pick(words)}-{pick(words)}", f"{pick(syllables)}{pick(words)}"])
-        host = f"{pick(['', '', 'www.', 'm.', 'blog.'])}{name}.{pick(['', 'example.'])}{pick(tails)}"
-        path = pick(["", f"{pick(['en', 'de', 'fr', 'es'])}/{int(rng.integers(1, 9999))}", f"{pick(words)}/{pick(words)}.html", f"{int(rng.integers(2000, 2026))}/{int(rng.integers(1, 13))}/{pick(words)}"])
-        query = pick(["", "", "", "#top", "?page=2", "?page=2&ref=x", "?utm_source=feed", *[f"?aff={int(rng.integers(1e6))}&click={int(rng.integers(1e6))}&sub={pick(decoys)}"] * (2 * bad)])
-        urls.append(f"{pick(['http', 'https'])}://{host}/{path}{query}")
-        labels.append(bad)
-    return urls, labels
-
-
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, trees: UrlTrees | None = None, block_at: float = 0.5) -> DataFrame:
+def learn(labelled: DataFrame, rows: int = 4000) -> UrlTrees:
+    """Trees from a table of labelled urls (url, label: 'block' or 'allow'; rows without either are left out).
+
+    The sample is bounded: of each label, the `rows` rows first by a hash of their url (then by url);
+    a url that is repeated with one label counts once.
+    """
+    urls: dict[tuple[str, str], None] = {}
+    for label in ("allow", "block"):
+        first = labelled.where((F.col("label") == label) & F.col("url").isNotNull()).select("url").orderBy(F.xxhash64("url"), "url").limit(rows)
+        urls.update(((r.url, label), None) for r in first.collect())
+    return UrlTrees([u for u, _ in urls], [int(label == "block") for _, label in urls])
+
+
+def ruled(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES) -> DataFrame:
+    """url and label of the pages that a rule decides."""
+    host, path = host_and_path("url")
+    split = pages.select("url", host.alias("host"), path.alias("path"))
+    return split.select("url", best_rule(F.col("host"), F.col("path"), rules)[1].alias("label")).where("label is not null")
+
+
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, labelled: DataFrame | None = None, block_at: float = 0.5, sample_rows: int = 4000) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block for every row of pages; only page_id and url are read.
 
-    Null or malformed urls have an empty host and path, fit no rule, and get the trees' verdict on an
-    empty url, which is 'allow' as nothing speaks against it. Repeated rows each give a row.
+    labelled: urls with labels from which the trees learn (see learn, sample_rows of each label); by
+    default the pages that a rule decides. Null or malformed urls have an empty host and path, fit no
+    rule and are allowed. Of rules equally long, the last in alphabetical order wins. Repeated rows each
+    give a row, an empty table gives none, very long urls are judged whole.
     """
-    trees = trees or UrlTrees(*labelled_urls())
+    trees = learn(ruled(pages, rules) if labelled is None else labelled, sample_rows)
 
     @F.pandas_udf("double")
     def p_block(urls):
@@ -169,13 +182,30 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, trees
 
         distinct = urls.fillna("").unique()
         known = dict(zip(distinct, trees.probability(list(distinct))))
-        return pd.Series([known[u] if "://" in u else 0.0 for u in urls.fillna("")])
+        return pd.Series([known[u] if "://" in u else 0.0 for u in urls.fillna("")], dtype=float)
 
     host, path = host_and_path("url")
     split = pages.select("page_id", host.alias("host"), path.alias("path"), p_block("url").alias("p_block"))
-    rule, ruled = best_rule(F.col("host"), F.col("path"), rules)
-    judged = F.coalesce(ruled, F.when(F.col("p_block") >= block_at, "block").otherwise("allow"))
+    rule, decided = best_rule(F.col("host"), F.col("path"), rules)
+    judged = F.coalesce(decided, F.when(F.col("p_block") >= block_at, "block").otherwise("allow"))
     return split.select("page_id", "host", "path", rule.alias("rule"), judged.alias("verdict"), "p_block")
 
 
-__all__ = ["RULES", "UrlTrees", "judge_urls", "labelled_urls", "host_and_path", "best_rule", "lexical"]
+#: DuckDB SQL of host, path, rule and the rule's verdict of every page.
+RULED_SQL = """
+with s as (
+  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from {pages}
+), h as (
+  select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from s
+), u as (
+  select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h
+), r(rule, own, start, verdict) as (
+  values ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
+    ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')
+)
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path,
+  (select arg_max(rule, length(rule)) from r where (u.host = own or ends_with(u.host, '.' || own)) and starts_with(u.path, start)) as rule,
+  (select arg_max(verdict, length(rule)) from r where (u.host = own or ends_with(u.host, '.' || own)) and starts_with(u.path, start)) as verdict
+from u
+"""
