@@ -91,6 +91,9 @@ def test_language(spark, docs, odd):
     assert language_id.identify(docs.limit(0), parser).count() == 0
     assert {r.lang_pred for r in language_id.identify(odd, language_id.learn(odd.where("doc_id < 0"))).collect()} == {"und"}
 
+    empty = spark.createDataFrame([(k, None if k < 400 else f"der hund und die katze {k}", "de") for k in range(420)], "doc_id long, text string, lang string")
+    assert language_id.learn(empty).langs == ["de"]
+
     def plain(text, learned, block=1024):  # greedy longest phrases by substring search
         s = re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
         n = 0
@@ -106,7 +109,27 @@ def test_language(spark, docs, odd):
     sample = {"a": "the cat sat on the mat and the dog", "b": "der hund und die katze im haus"}
     small = language_id.CrossParser({k: [v] for k, v in sample.items()})
     for t in ["the dog sat on the katze", "und die cat, zzz!", "x", "die " * 600]:
-        assert small.phrases([t])[0][0].tolist() == [plain(t, v + " ") for v in (sample["a"], sample["b"])]
+        counts = [plain(t, v + " ") for v in (sample["a"], sample["b"])]
+        assert small.phrases([t])[0][0].tolist() == counts
+        symbols = len(re.sub(r"[\W\d_]+", " ", t.lower()).lstrip()) + (t[-1:].isalpha())
+        cost = [n * np.log2(len(v) + 3) / symbols for n, v in zip(counts, sample.values())]
+        (lang,), (score,), _ = small.judge([t])
+        assert lang == "ab"[int(np.argmin(cost))] and abs(score - (1 - min(cost) / max(cost))) < 1e-9
+
+
+def test_languages_of_several_scripts():
+    """Letters of every script are told apart, however many there are."""
+    rng = np.random.default_rng(1)
+    draw = lambda first, n, size: "".join(chr(first + int(k)) for k in rng.zipf(1.3, size) % n)
+    scripts = {"zh": (0x4E00, 3000), "zh2": (0x5E00, 3000), "ko": (0xAC00, 2000), "th": (0xE01, 46), "ru": (0x430, 32), "el": (0x3B1, 24)}
+    parser = language_id.CrossParser({k: [draw(*v, 800) for _ in range(20)] for k, v in scripts.items()})
+    assert [parser.judge([draw(*v, 200)])[0][0] for v in scripts.values()] == list(scripts)
+
+
+def test_every_sampled_text_gives_its_share():
+    assert language_id.CrossParser.share([10, 1000, 1000], 410) == 200 and language_id.CrossParser.share([5, 5], 100) >= 5
+    parser = language_id.CrossParser({"a": ["x" * 40_000 + "y", "quick brown fox"]}, letters=1000)
+    assert parser.phrases(["quick brown fox"])[0][0, 0] == 1
 
 
 def test_secrets(spark, docs, odd):
@@ -121,13 +144,46 @@ def test_secrets(spark, docs, odd):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and r.n_hex == sum(k == "hex" for *_, k in base)
         if r.doc_id == 9000:
             assert "entropy" in r.spans and "q8Zr2" not in r.clean_text
-    run = b"q8Zr2Lx0Vt6Yw1Bn5Mk9Jh3Gf7Dd4Ss"
-    least, window = 4.0, 24
-    def bits(w):
-        return -sum(c / len(w) * np.log2(c / len(w)) for c in Counter(w).values())
-    hits = [k for k in range(len(run) - window + 1) if bits(run[k : k + window]) >= least]
-    assert secret_scan.entropy_spans(run) == ([(hits[0], hits[-1] + window)] if hits else [])
-    assert secret_scan.scan_documents(odd).count() == len(ODD) and secret_scan.scan_documents(odd.limit(0)).count() == 0
+        assert (r.n_assign, r.n_access) == tuple(sum(k == kind for *_, k in base) for kind in ("assign", "access"))
+        want = [(a, e, k) for a, _, e, k in base] + plain_entropy(r.text, [(a, e) for a, _, e, _ in base])
+        assert r.spans == ",".join(f"{k}:{a}:{e}" for a, e, k in sorted(want, key=lambda x: (x[0], secret_scan.KINDS.index(x[2]), x[1])))
+    strange = secret_scan.scan_documents(odd).collect()
+    assert len(strange) == len(ODD) and secret_scan.scan_documents(odd.limit(0)).count() == 0
+    assert {(r.spans, r.base_sha256) for r in strange if r.doc_id in (1, 2)} == {("", hashlib.sha256(b"").hexdigest())}
+
+
+def plain_entropy(text, base):
+    """Entropy spans of a whole text with every window counted anew; the allow-list is the operator's."""
+    classes = [("0123456789abcdefABCDEF", 24, 3.0), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0)]
+
+    def spans_of(run):
+        marked = set()
+        for chars, full, most in classes:
+            for piece in re.finditer(f"[{re.escape(chars)}]{{20,}}", run):
+                n = min(full, len(piece[0]))
+                for k in range(len(piece[0]) - n + 1):
+                    if -sum(c / n * np.log2(c / n) for c in Counter(piece[0][k : k + n]).values()) >= most * np.log2(n) / np.log2(full) - 1e-9:
+                        marked |= set(range(piece.start() + k, piece.start() + k + n))
+        return [m.span() for m in re.finditer("x+", "".join("x" if k in marked else "." for k in range(len(run))))]
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]{20,}", text):
+        inside = [k for k in range(*m.span()) if not any(a <= k < b for a, b in base)]
+        pieces = [p for p in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1) if len(p)] if inside else []
+        for p in pieces:
+            at, run = int(p[0]), text[p[0] : p[-1] + 1]
+            for seg in re.finditer("[^/]+", run) if secret_scan.PATH.match(run.encode()) else [re.match("(?s).*", run)]:
+                if len(seg[0]) >= 20 and not secret_scan.allowed(seg[0].encode()):
+                    for a, b in spans_of(seg[0]):
+                        out += [(at + seg.start() + a + x, at + seg.start() + a + y, "entropy") for x, y in secret_scan.unmarked(seg[0][a:b].encode())]
+    return out
+
+
+def test_secrets_beside_base_matches():
+    key, hexes = "q8Zr2Lx0Vt6Yw1Bn5Mk9Jh3G", "0123456789abcdef" * 2
+    text = f"{key}/{hexes[:26]} {key}_AKIA{'AB12' * 5}"
+    found = secret_scan.scan([text])[0]
+    assert {k for *_, k in found} >= {"entropy", "hex"} and any(text[a:b].startswith(key) for a, b, k in found if k == "entropy")
 
 
 def test_secrets_beside_allowed_strings():
@@ -495,12 +551,46 @@ def test_quality(spark, docs, odd):
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(words), sum(map(len, words)), len(covered), len(lines) - len(set(lines)))
         assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", d.text)) and r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words))
     noisy = "## ** && good enough words in a line of text that goes on for twenty words or more to be counted as such ## && **"
-    bad = spark.createDataFrame([(k, f"{noisy} {k}", "bad" if k < 60 else "good") for k in range(120)] + [(200, "plain words " + " ".join(f"w{k}" for k in range(30)), "bad")] + [(k, " ".join(f"v{k}x{j}" for j in range(30)), "good") for k in range(300, 400)], "doc_id long, text string, source string")
+    bad = spark.createDataFrame([(k, f"{noisy} {k}", "bad" if k < 60 else "good") for k in range(120)] + [(200, "plain words " + " ".join(f"w{k}" for k in range(40)), "bad")] + [(k, " ".join(f"v{k}x{j}" for j in range(50)), "good") for k in range(300, 400)], "doc_id long, text string, source string")
     kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(bad).collect()}
     assert not kept[0] and kept[200] and kept[350] and kept[100]
+    clash = odd.withColumn("__words", F.lit("mine")).withColumn("__host", F.lit("own"))
+    assert {(r["__words"], r["__host"]) for r in quality_rules.quality_rules(clash).collect()} == {("mine", "own")}
     assert quality_rules.quality_rules(odd).count() == len(ODD) and quality_rules.quality_rules(odd.limit(0)).count() == 0
 
 
+def test_host_rates_are_a_beta_fit(spark):
+    """Shrunken rates against the fit written out, where some hosts' rules bind and others' don't; SQL gives the same verdicts."""
+    import duckdb
+
+    draw = np.random.default_rng(4)
+    rows = []
+    for h in range(12):
+        for k in range(int(draw.integers(1, 60))):
+            n = int(draw.integers(5, 25)) if draw.random() < (0.9 if h in (3, 7) else 0.05) else int(draw.integers(45, 90))
+            rows.append((len(rows), " ".join(f"w{draw.integers(0, 10**6)}" for _ in range(n)), None if h == 11 else f"h{h}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counted = quality_rules.with_counts(frame)
+    by = {}
+    for _, t, h in rows:
+        by.setdefault(h, []).append(len(t.split()) < 40)
+    n, f = np.array([len(v) for v in by.values()]), np.array([sum(v) for v in by.values()])
+    mean = f.sum() / n.sum()
+    between = np.var(f / n) - mean * (1 - mean) * np.mean(1 / n)
+    assert between > 0
+    weight = min(max(mean * (1 - mean) / between - 1, quality_rules.LEAST_WEIGHT), quality_rules.MOST_WEIGHT)
+    got = {r.host: r for r in quality_rules.host_rates(counted, "source").collect()}
+    for h, a, b in zip(by, f, n):
+        assert (got[h].f_few_words, got[h].n) == (a, b) and abs(got[h].r_few_words - (a + mean * weight) / (b + weight)) < 1e-9
+    judged = quality_rules.quality_rules(frame).collect()
+    bound = {h for h in by if got[h].r_few_words >= 0.5}
+    assert 0 < len(bound) < len(by)
+    assert all(r.kept == (r.n_words >= 20 and not (r.source in bound and r.n_words < 40)) for r in judged) and any(not r.kept and not r.base_failed for r in judged)
+    pandas = frame.toPandas()  # noqa: F841  read by name
+    sql = duckdb.sql(quality_rules.SQL.format(docs="pandas")).fetchall()
+    assert {r[0]: r[-1] for r in sql} == {r.doc_id: r.kept for r in judged}
+
+
 def test_pipeline(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "near_dedup", "secret_scan", "packing"]

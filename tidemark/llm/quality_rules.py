@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Softer rules: name, and the SQL condition under which a document fails it.
@@ -18,7 +18,11 @@ SOFT_RULES = {
     "symbols": "n_symbols > 0.1D * n_words",
     "dup_lines": "n_dup_lines >= 5 and n_dup_lines * 10 > n_lines * 3",
     "word_length": "word_chars > 12D * n_words or word_chars < 2D * n_words",
+    "few_words": "n_words < 40",  # documents that fail a base rule fail these too, so that they count against their host
+    "repeats": "100 * n_repeat_words > 15 * n_words",
 }
+#: Documents that a prior may weigh, at least and at most: of hosts that are all alike, every one has the common rate.
+LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1e6
 #: Hosts up to this many, each a name and a few flags, may be broadcast.
 BROADCAST_HOSTS = 20_000
 
@@ -40,37 +44,38 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     docs = docs.drop(*made)
     own = docs.columns
+    words_, lines_, h_, h8_, repeats_, s_, same_, at_ = fresh(docs, "words", "lines", "hashes", "windows", "repeats", "sorted", "same", "at")
     t = F.coalesce(F.col(text), F.lit(""))
     staged = docs.withColumns({
-        "_words": split_words(t),
-        "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t-\\r]")),
+        words_: split_words(t),
+        lines_: F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t-\\r]")),
         "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))).cast("long"),
     })
     staged = staged.select(
         *own, "n_symbols",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
+        F.size(words_).cast("long").alias("n_words"),
+        F.length(F.array_join(words_, "")).cast("long").alias("word_chars"),
+        F.size(lines_).cast("long").alias("n_lines"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
+        F.transform(words_, lambda w: F.xxhash64(w)).alias(h_),
     )
     shifted = lambda c, by: F.slice(c, by + 1, F.greatest(F.size(c) - by, F.lit(0)))
-    windows = F.transform(F.slice("_h", 1, F.greatest(F.size("_h") - 7, F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get("_h", i + k) for k in range(1, 8)]))
-    staged = staged.withColumn("_h8", windows).drop("_h")
-    staged = staged.withColumn("_repeats", F.size(F.array_distinct("_h8")) < F.size("_h8"))
+    windows = F.transform(F.slice(h_, 1, F.greatest(F.size(h_) - 7, F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(h_, i + k) for k in range(1, 8)]))
+    staged = staged.withColumn(h8_, windows).drop(h_)
+    staged = staged.withColumn(repeats_, F.size(F.array_distinct(h8_)) < F.size(h8_))
     # Only texts with a repeated window are looked at further: positions whose hash equals that of a neighbour in sorted order.
-    sorted_windows = F.array_sort(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    staged = staged.withColumn("_s", F.when(F.col("_repeats"), sorted_windows)).drop("_h8")
-    same = F.zip_with("_s", shifted("_s", 1), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
-    staged = staged.withColumn("_same", F.when(F.col("_s").isNotNull() & (F.size("_s") > 0), same))
+    sorted_windows = F.array_sort(F.transform(h8_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    staged = staged.withColumn(s_, F.when(F.col(repeats_), sorted_windows)).drop(h8_)
+    same = F.zip_with(s_, shifted(s_, 1), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
+    staged = staged.withColumn(same_, F.when(F.col(s_).isNotNull() & (F.size(s_) > 0), same))
     # _same[i]: window i equals window i + 1; a window is repeated if either it or the one before says so.
-    before = F.concat(F.array(F.lit(False)), F.slice("_same", 1, F.greatest(F.size("_same") - 1, F.lit(0))))
-    either = F.zip_with("_same", before, lambda a, b: a | b)
-    at = F.zip_with("_s", either, lambda s, e: F.when(e, s["i"]))
-    staged = staged.withColumn("_at", F.when(F.col("_same").isNotNull() & (F.size("_same") > 0), F.sort_array(F.filter(at, lambda i: i.isNotNull())))).drop("_s", "_same")
+    before = F.concat(F.array(F.lit(False)), F.slice(same_, 1, F.greatest(F.size(same_) - 1, F.lit(0))))
+    either = F.zip_with(same_, before, lambda a, b: a | b)
+    at = F.zip_with(s_, either, lambda s, e: F.when(e, s["i"]))
+    staged = staged.withColumn(at_, F.when(F.col(same_).isNotNull() & (F.size(same_) > 0), F.sort_array(F.filter(at, lambda i: i.isNotNull())))).drop(s_, same_)
     # Words covered: each window adds 8, or what lies before the next one's start.
-    covered = F.aggregate(F.zip_with("_at", shifted("_at", 1), lambda a, b: F.least(F.lit(8), F.coalesce(b - a, F.lit(8)))), F.lit(0), lambda x, y: x + y)
-    staged = staged.withColumn("n_repeat_words", F.when(F.size("_at") > 0, covered).otherwise(0).cast("long"))
+    covered = F.aggregate(F.zip_with(at_, shifted(at_, 1), lambda a, b: F.least(F.lit(8), F.coalesce(b - a, F.lit(8)))), F.lit(0), lambda x, y: x + y)
+    staged = staged.withColumn("n_repeat_words", F.when(F.size(at_) > 0, covered).otherwise(0).cast("long"))
     return staged.select(*own, *made)
 
 
@@ -78,23 +83,31 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def host_verdicts(counted: DataFrame, host: str, least_rate: float = 0.5, prior_rows: float = 20.0) -> DataFrame:
-    """_host and, for each soft rule, whether it binds there: its shrunken failure rate is at least least_rate.
+def host_rates(counted: DataFrame, host: str) -> DataFrame:
+    """host, n (documents) and for each soft rule f_ (failures) and r_ (their shrunken rate) of every host.
 
-    The beta prior of a rule has the mean of the hosts' rates and, by the method of moments, their
-    spread; its weight is at least prior_rows documents, so a small host's few failures don't bind.
-    A null host is a host of its own.
+    The prior of a rule is the beta distribution fitted to the hosts' rates by the method of moments: its
+    mean is the rate of all documents, its variance that of the hosts' rates less what chance alone gives
+    hosts of their sizes; it weighs as many documents as follows from both, within LEAST_WEIGHT and
+    MOST_WEIGHT. A null host is a host of its own.
     """
-    hosts = counted.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("n"), *[F.sum(F.expr(f"cast({c} as int)")).alias(f"f_{r}") for r, c in SOFT_RULES.items()])
-    rates = [F.col(f"f_{r}") / F.col("n") for r in SOFT_RULES]
-    prior = hosts.agg(*[F.avg(x).alias(f"m_{r}") for r, x in zip(SOFT_RULES, rates)], *[F.var_pop(x).alias(f"v_{r}") for r, x in zip(SOFT_RULES, rates)])
+    hosts = counted.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *[F.sum(F.expr(f"cast({c} as int)")).alias(f"f_{r}") for r, c in SOFT_RULES.items()])
+    pooled = [(F.sum(f"f_{r}") / F.sum("n")).alias(f"m_{r}") for r in SOFT_RULES]
+    spread = [F.var_pop(F.col(f"f_{r}") / F.col("n")).alias(f"v_{r}") for r in SOFT_RULES]
+    prior = hosts.agg(F.avg(1 / F.col("n")).alias("chance"), *pooled, *spread)
     judged = hosts.crossJoin(F.broadcast(prior))  # one row
-    binds = {}
+    rates = []
     for r in SOFT_RULES:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        weight = F.greatest(F.lit(prior_rows), F.when(v > 0, m * (1 - m) / v - 1).otherwise(F.lit(prior_rows)))
-        binds[r] = (F.col(f"f_{r}") + m * weight) / (F.col("n") + weight) >= F.lit(least_rate)
-    return judged.select("_host", *[b.alias(f"binds_{r}") for r, b in binds.items()])
+        m, n = F.col(f"m_{r}"), F.col("n")
+        between = F.col(f"v_{r}") - m * (1 - m) * F.col("chance")
+        weight = F.least(F.greatest(F.when(between > 0, m * (1 - m) / between - 1).otherwise(F.lit(MOST_WEIGHT)), F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))
+        rates.append(((F.col(f"f_{r}") + m * weight) / (n + weight)).alias(f"r_{r}"))
+    return judged.select("host", "n", *[f"f_{r}" for r in SOFT_RULES], *rates)
+
+
+def host_verdicts(counted: DataFrame, host: str, least_rate: float = 0.5) -> DataFrame:
+    """host and, for each soft rule, whether it binds there: its shrunken failure rate is at least least_rate."""
+    return host_rates(counted, host).select("host", *[(F.col(f"r_{r}") >= F.lit(least_rate)).alias(f"binds_{r}") for r in SOFT_RULES])
 
 
 def judge(counted: DataFrame, host: str = "source", **options) -> DataFrame:
@@ -106,18 +119,22 @@ def judge(counted: DataFrame, host: str = "source", **options) -> DataFrame:
     bad = materialise(host_verdicts(counted, host, **options).where(" or ".join(f"binds_{r}" for r in SOFT_RULES)), "hosts")
     few = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     own = [c for c in counted.columns if c not in ("base_failed", "kept")]
-    joined = counted.join(F.broadcast(bad) if few else bad, counted[host].eqNullSafe(F.col("_host")), "left")
+    at, *flags = fresh(counted, "host", *[f"binds_{r}" for r in SOFT_RULES])
+    bad = bad.toDF(at, *flags)
+    joined = counted.join(F.broadcast(bad) if few else bad, counted[host].eqNullSafe(F.col(at)), "left")
     failed = F.lit(False)
-    for r, c in SOFT_RULES.items():
-        failed = failed | F.coalesce(F.col(f"binds_{r}") & F.expr(c), F.lit(False))
+    for flag, c in zip(flags, SOFT_RULES.values()):
+        failed = failed | F.coalesce(F.col(flag) & F.expr(c), F.lit(False))
     return joined.select(*own, base_failed().alias("base_failed"), (~base_failed() & ~failed).alias("kept"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", keep_text: bool = False, **options) -> DataFrame:
     """Every row of docs with its counts, base_failed and kept; its text only with keep_text.
 
-    Null and empty texts have no words and fail. Repeated rows count each. docs is read once: the
-    counted rows are written to the shared folder, as they are needed for the hosts and for the result.
+    Null and empty texts have no words and fail. Repeated rows count each; an empty table gives no rows;
+    a rate that equals the bound binds. Columns of docs with the names of counts or verdicts are replaced,
+    all others stay. A text, however long, stays in its row. docs is read once: the counted rows are
+    written to the shared folder, as they are needed for the hosts and for the result.
     """
     counted = with_counts(docs)
     return judge(materialise(counted if keep_text else counted.drop("text"), "counted"), host, **options)
@@ -144,19 +161,23 @@ with t as (
   from w left join cov using (rid)
 ), f as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols > 0.1e0 * n_words as s1,
-    n_dup_lines >= 5 and n_dup_lines * 10 > n_lines * 3 as s2, word_chars > 12e0 * n_words or word_chars < 2e0 * n_words as s3 from m
+    n_dup_lines >= 5 and n_dup_lines * 10 > n_lines * 3 as s2, word_chars > 12e0 * n_words or word_chars < 2e0 * n_words as s3,
+    n_words < 40 as s4, 100 * n_repeat_words > 15 * n_words as s5 from m
 ), h as (
-  select source, count(*) as n, sum(s1::int)::double as f1, sum(s2::int)::double as f2, sum(s3::int)::double as f3 from f group by source
+  select source, count(*) as n, sum(s1::int)::double as f1, sum(s2::int)::double as f2, sum(s3::int)::double as f3,
+    sum(s4::int)::double as f4, sum(s5::int)::double as f5 from f group by source
+), u as (
+  select source, n, rule, f from h, lateral (values (1, f1), (2, f2), (3, f3), (4, f4), (5, f5)) as x(rule, f)
 ), p as (
-  select avg(f1 / n) as m1, var_pop(f1 / n) as v1, avg(f2 / n) as m2, var_pop(f2 / n) as v2, avg(f3 / n) as m3, var_pop(f3 / n) as v3 from h
+  select rule, sum(f) / sum(n) as m, var_pop(f / n) - (sum(f) / sum(n)) * (1 - sum(f) / sum(n)) * avg(1e0 / n) as v from u group by rule
 ), q as (
-  select *, greatest(20e0, case when v1 > 0 then m1 * (1 - m1) / v1 - 1 else 20e0 end) as w1,
-    greatest(20e0, case when v2 > 0 then m2 * (1 - m2) / v2 - 1 else 20e0 end) as w2,
-    greatest(20e0, case when v3 > 0 then m3 * (1 - m3) / v3 - 1 else 20e0 end) as w3 from p
+  select rule, m, least(greatest(case when v > 0 then m * (1 - m) / v - 1 else 1e6 end, 1e0), 1e6) as w from p
 ), b as (
-  select source, (f1 + m1 * w1) / (n + w1) >= 0.5e0 as b1, (f2 + m2 * w2) / (n + w2) >= 0.5e0 as b2, (f3 + m3 * w3) / (n + w3) >= 0.5e0 as b3 from h, q
+  select source, bool_or(rule = 1 and rate >= 0.5e0) as b1, bool_or(rule = 2 and rate >= 0.5e0) as b2, bool_or(rule = 3 and rate >= 0.5e0) as b3,
+    bool_or(rule = 4 and rate >= 0.5e0) as b4, bool_or(rule = 5 and rate >= 0.5e0) as b5
+  from (select source, rule, (f + m * w) / (n + w) as rate from u join q using (rule)) group by source
 )
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (s1 and b1) and not (s2 and b2) and not (s3 and b3) as kept
+  not base_failed and not (s1 and b1) and not (s2 and b2) and not (s3 and b3) and not (s4 and b4) and not (s5 and b5) as kept
 from f join b on f.source is not distinct from b.source
 """

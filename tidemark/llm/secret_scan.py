@@ -1,7 +1,7 @@
 """Secret scanning: three base patterns, and sliding-window entropy over candidate strings.
 
 Candidates are maximal runs of 20 or more token characters. Within one, a window slides
-along; its Shannon entropy over the characters of each class (hexadecimal, base64, mixed)
+along; its Shannon entropy over the characters of each class (hexadecimal, base64)
 follows from counts updated by one character in and one out. Windows above the class's
 bound make a span, unless an allow-list knows it. Shorter candidates have a window of their
 own length, and a bound lower in proportion to the most bits such a window can have. Paths
@@ -111,6 +111,17 @@ def unmarked(span: bytes) -> list[tuple[int, int]]:
     return [(a + x, a + y) for a, b in gaps if not allowed(span[a:b]) for x, y in entropy_spans(span[a:b]) if not allowed(span[a + x : a + y])]
 
 
+def _beside(a: int, b: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a to b beside the sorted spans covered."""
+    out = []
+    for s, e in covered:
+        if s < b and a < e:
+            if s > a:
+                out.append((a, s))
+            a = max(a, e)
+    return [*out, (a, b)] if a < b else out
+
+
 def scan_text(text: bytes, runs: list[tuple[int, int]], assigns: bool) -> list[tuple[int, int, str]]:
     """(start, end, kind) in bytes, by start and then kind; runs: the maximal runs of token characters; assigns: worth looking for."""
     base: list[tuple[int, int, str]] = []
@@ -120,9 +131,10 @@ def scan_text(text: bytes, runs: list[tuple[int, int]], assigns: bool) -> list[t
         base += [(*m.span(), "access") for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= 20]
         base += [(*m.span(), "hex") for m in HEX.finditer(text, a, b) if m.end() - m.start() >= 24]
     spans = list(base)
+    covered = sorted((s, e) for s, e, _ in base)
     for a, b in runs:
-        if not any(s < b and a < e for s, e, _ in base):
-            spans += [(a + s, a + e, "entropy") for s, e in run_spans(text[a:b])]
+        for x, y in _beside(a, b, covered):
+            spans += [(x + s, x + e, "entropy") for s, e in run_spans(text[x:y])]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -175,8 +187,9 @@ def scan_documents(docs: DataFrame, replace: bool = False) -> DataFrame:
     """docs with the counts and spans of every whole text; with replace, text has its secrets replaced.
 
     Null and empty texts have no spans, and base_sha256 is then that of the empty string. All base
-    matches stay, overlapping kinds included; entropy spans lie in runs without a base match.
-    Columns of docs with these names are replaced; repeated rows each get their own.
+    matches stay, overlapping kinds included; entropy spans are looked for in what of a run the base
+    matches leave. Columns of docs with these names are replaced, all others stay; repeated rows each get
+    their own, an empty table gives no rows. Short texts are scanned together, a long one by itself.
     """
 
     def run(batch):
