@@ -532,8 +532,17 @@ def test_packing_meets_neighbours_of_the_whole_table(spark):
 
 def test_packing_takes_the_statistics_of_all_documents(spark):
     docs = [np.array([1, 2, 3, 0], "<u4"), np.array([2, 0], "<u4"), np.array([2, 2, 5, 0], "<u4")]
-    frame = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "ids binary").repartition(3)
+    about = [bytearray(np.stack(packing.statistics([d[:-1]])).astype("<i8").tobytes()) for d in docs]
+    frame = spark.createDataFrame([(-1, a) for a in about] + [(0, bytearray(b"x"))], "row long, ids binary").repartition(3)
     corpus = packing.corpus_of(frame)
+    few = packing.Corpus(np.array([0, 1, 3, 2, 0, 2, 9]), 12, 3.0)
+    for n in (1, 3):
+        plain = []
+        for d in ([1, 2, 3, 3, 5], [], [6, 6, 2], [1]):
+            terms = {t: d.count(t) for t in d if few.df[t] > 1}
+            weight = {t: float(few.weight(np.array([t]), np.array([c]), len(d))[0]) for t, c in terms.items()}
+            plain.append((sorted(terms, key=lambda t: (-weight[t], t)) + [-1] * n)[:n])
+        assert np.stack(few.heaviest([np.array(d, "<u2") for d in ([1, 2, 3, 3, 5], [], [6, 6, 2], [1])], n), 1).tolist() == plain
     assert corpus.df.tolist() == [0, 1, 3, 1, 0, 1] and corpus.average == 7 / 3
     shard = packing.Bm25Shard([d[:-1] for d in docs[:1]], corpus)
     assert np.allclose(shard.scores(np.array([1])), np.log1p(2.5 / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / (7 / 3))))

@@ -14,7 +14,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from itertools import repeat
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +76,7 @@ class WordIds:
     `remember` words are kept from text to text.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 800_000):
         from tokenizers import Tokenizer
 
         self.merges = HashedBPE(path)
@@ -86,8 +87,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # ids and their number a word, in the order of the slots
+        self.words = pa.array([], pa.string())
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +102,19 @@ class WordIds:
             coded = [w.encode() for w in words.to_pylist()]
             ids = [np.frombuffer(c, "<u4") for c in self.merges.merge([c.decode() for c in coded])]
             return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(i) for i in ids], np.int64)
-        flat = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+        _, ends, data = words.buffers()
+        ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1]
+        flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
         ids, counts = self.merges.merge_flat(flat, size)
         return ids.astype(np.uint32), counts
 
-    def learn(self, words: pa.Array, names: list[str]) -> np.ndarray:
-        """The slots of words, also listed as names, which are not known yet and get the next ones."""
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """The slots of words, which are not known yet and get the next ones."""
         plain = pc.match_substring_regex(words, PLAIN)
         is_plain = plain.to_numpy(zero_copy_only=False)
-        low = pc.utf8_lower(words.filter(plain))
+        odd = words.filter(pc.invert(plain))
+        words = words.filter(plain)
+        low = pc.utf8_lower(words)
         ids, sizes = [], []
         for part in (pc.utf8_rtrim(low, characters=MARKS), pc.replace_substring_regex(low, pattern="^[A-Za-zªµºÀ-ÖØ-öø-ſ]+", replacement="")):
             coded = part.dictionary_encode()
@@ -120,11 +124,11 @@ class WordIds:
             sizes.append((_offsets(n)[which], n[which]))
         (at, n), (tail_at, tail_n) = sizes
         both = gathered(np.concatenate(ids), np.stack([at, tail_at + len(ids[0])], 1).ravel(), np.stack([n, tail_n], 1).ravel())
-        more, more_n = self.library([names[k] for k in np.flatnonzero(~is_plain)])
-        slots = np.empty(len(names), np.int64)
-        slots[is_plain] = len(self.slot) + np.arange(len(low))
-        slots[~is_plain] = len(self.slot) + len(low) + np.arange(len(more_n))
-        self.slot.update(zip(names, slots.tolist()))
+        more, more_n = self.library(odd.to_pylist())
+        slots = np.empty(len(is_plain), np.int64)
+        slots[is_plain] = len(self.words) + np.arange(len(words))
+        slots[~is_plain] = len(self.words) + len(words) + np.arange(len(odd))
+        self.words = pa.concat_arrays([self.words, words, odd])
         self.ids = np.concatenate([self.ids, both, more])
         self.size = np.concatenate([self.size, n + tail_n, more_n])
         self.start = _offsets(self.size)
@@ -134,13 +138,12 @@ class WordIds:
         """Ids of all texts, one after another, and how many each has."""
         listed = pc.ascii_split_whitespace(texts)
         words = listed.flatten().dictionary_encode()
-        if len(self.slot) > self.remember:
+        if len(self.words) > self.remember:
             self.forget()
-        names = words.dictionary.to_pylist()
-        known = np.fromiter(map(self.slot.get, names, repeat(-1)), np.int64, len(names))
+        known = pc.index_in(words.dictionary, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero(known < 0)
         if len(fresh):
-            known[fresh] = self.learn(words.dictionary.take(pa.array(fresh)), [names[k] for k in fresh])
+            known[fresh] = self.learn(words.dictionary.take(pa.array(fresh)))
         slot = known[words.indices.to_numpy()]
         size = self.size[slot]
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -169,48 +172,71 @@ def tallied(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 ENCODED_BYTES = 8_000_000
 
 
+#: Names of the number of documents and of all their ids, among the terms.
+STATISTICS = (-2, -1)
+
+
 class Corpus:
     """What BM25 must know of all documents: the document frequency of each term (df, by id), their number and average length."""
 
     def __init__(self, df: np.ndarray, n: int, average: float, k1: float = 1.2, b: float = 0.75):
-        self.df, self.average, self.k1, self.b = df, max(1.0, average), k1, b
+        self.df, self.n, self.average, self.k1, self.b = df, n, max(1.0, average), k1, b
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
 
     def weight(self, terms: np.ndarray, tf: np.ndarray, size) -> np.ndarray:
         return self.idf[terms] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * size / self.average))
 
-    def heaviest(self, ids: np.ndarray, n: int) -> list[int]:
-        """The n terms of greatest weight that another document has too; -1 where there are fewer."""
-        terms, tf = tallied(ids)
+    def heaviest(self, docs: list[np.ndarray], n: int) -> list[np.ndarray]:
+        """The n terms of greatest weight that another document has too, of every document (the first of them, the second and so on); -1 where there are fewer."""
+        doc, terms, tf = flat_tallies(docs)
         shared = self.df[terms] > 1
-        terms, tf = terms[shared], tf[shared]
-        top = terms[np.argsort(-self.weight(terms, tf, len(ids)), kind="stable")[:n]].tolist()
-        return top + [-1] * (n - len(top))
-
-
-def _counts(docs: list[np.ndarray]) -> tuple[np.ndarray, int, int]:
-    """Document frequencies by id, documents, ids in all."""
-    terms = np.concatenate([np.zeros(0, np.int64), *[tallied(d)[0] for d in docs]]).astype(np.int64)
-    return np.bincount(terms), len(docs), sum(map(len, docs))
-
-
-def corpus_of(coded: DataFrame, kind: str = "<u4") -> Corpus:
-    """The statistics of all rows of coded (ids: numbers of that kind, an end id last); the driver gets one row for each term of the vocabulary."""
+        doc, terms, tf = doc[shared], terms[shared], tf[shared]
+        weight = self.weight(terms, tf, np.array([len(d) for d in docs])[doc])
+        out = []
+        for _ in range(n):
+            top = np.full(len(docs), -1)
+            if len(doc):
+                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                most = np.repeat(np.maximum.reduceat(weight, first), np.diff(np.append(first, len(doc))))
+                at = np.flatnonzero(weight == most)[::-1]
+                top[doc[at]] = terms[at]  # of equal weights the least term, which is written last
+                weight[terms == top[doc]] = -1.0
+                top[doc[first][np.maximum.reduceat(weight, first) < -1.0]] = -1
+                left = weight >= 0
+                doc, terms, weight = doc[left], terms[left], weight[left]
+            out.append(top)
+        return out
+
+
+def flat_tallies(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and how often it comes there, by document and term."""
+    key = np.repeat(np.arange(len(docs), dtype=np.int64), [len(d) for d in docs]) << 32
+    key |= np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(np.append(first, len(key)))
+
+
+def statistics(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms with their document frequencies, and under STATISTICS the number of documents and of ids in all."""
+    df = np.bincount(flat_tallies(docs)[1], minlength=1)
+    terms = np.flatnonzero(df)
+    return np.append(terms, STATISTICS), np.append(df[terms], [len(docs), sum(map(len, docs))])
+
+
+def corpus_of(coded: DataFrame) -> Corpus:
+    """The statistics of all rows of coded: the sums of those that were written beside the documents; the driver gets one row for each term of the vocabulary."""
 
     def run(batches):
-        df, n, size = np.zeros(0, np.int64), 0, 0
+        sums: Counter[int] = Counter()
         for batch in batches:
-            some, more, ids = _counts([np.frombuffer(c, kind)[:-1] for c in batch.column("ids").to_pylist()])
-            if len(some) > len(df):
-                df, some = some, df
-            df[: len(some)] += some
-            n, size = n + more, size + ids
-        terms = np.flatnonzero(df)
-        columns = [np.append(terms, [-2, -1]), np.append(df[terms], [n, size])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "n"])
-
-    sums = {r.term: r.n for r in coded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n, size = sums.pop(-2, 0), sums.pop(-1, 0)
+            for packed in batch.column("ids").to_pylist():
+                terms, n = np.frombuffer(packed, "<i8").reshape(2, -1).tolist()
+                sums.update(dict(zip(terms, n)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["term", "n"])
+
+    sums = {r.term: r.n for r in coded.where("row < 0").select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, size = (sums.pop(k, 0) for k in STATISTICS)
     df = np.zeros(1 + max(sums, default=0), np.int64)
     df[list(sums)] = list(sums.values())
     return Corpus(df, n, size / max(1, n))
@@ -221,8 +247,8 @@ class Bm25Shard:
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         if corpus is None:
-            df, n, ids = _counts(docs)
-            corpus = Corpus(df, n, ids / max(1, n))
+            terms, n = statistics(docs)
+            corpus = Corpus(np.bincount(terms[:-2], n[:-2], 1 + max(terms)), n[-2], n[-1] / max(1, n[-2]))
         pairs = [tallied(d) for d in docs]
         self.terms = [p[0] for p in pairs]
         term = np.concatenate([p[0] for p in pairs]).astype(np.int64)
@@ -320,6 +346,10 @@ class Packer:
         self.close(out, [1 << k for k in range(self.used.bit_length() - 1, -1, -1) if self.used >> k & 1])
 
 
+#: Keys drawn for each range that documents are dealt into.
+DRAWN = 64
+
+
 def vocabulary_size(path: str) -> int:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -345,18 +375,33 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
             texts = batch.column("text").fill_null("")
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             for a, b in runs(sizes, ENCODED_BYTES):
-                coded = with_end(*words.encode(texts.slice(a, b - a)), end_id, kind)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(range(row + a, row + b), pa.int64()), coded], names=["doc_id", "row", "ids"])
+                ids, counts = words.encode(texts.slice(a, b - a))
+                coded = with_end(ids, counts, end_id, kind)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(range(row + a, row + b), pa.int64()), coded], names=names)
+                # A row of statistics, for these documents; it has no document's number.
+                about = np.stack(statistics(np.split(ids, np.cumsum(counts)[:-1]))).astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1]), pa.array([about], pa.binary())], names=names)
             row += len(texts)
 
+    names = ["doc_id", "row", "ids"]
     coded = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, row long, ids binary"), "ids")
-    corpus = corpus_of(coded, kind)
+    corpus = corpus_of(coded)
+    coded = coded.where("row >= 0")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def keyed(batches):
+    def keyed(batches, bounds):
         for batch in batches:
-            tops = [corpus.heaviest(np.frombuffer(c, kind)[:-1], 3) for c in batch.column("ids").to_pylist()]
-            columns = list(zip(*tops)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns]], names=[*batch.schema.names, "k1", "k2", "k3"])
+            tops = corpus.heaviest([np.frombuffer(c, kind)[:-1] for c in batch.column("ids").to_pylist()], 3)
+            keys = list(zip(*[t.tolist() for t in tops], batch.column("row").to_pylist()))
+            part = [bisect_right(bounds, k) for k in keys]
+            columns = list(zip(*keys)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(part, pa.int32())], names=[*names, "k1", "k2", "k3", "part"])
+
+    with_keys = "doc_id long, row long, ids binary, k1 long, k2 long, k3 long, part int"
+    drawn = coded.sample(min(1.0, DRAWN * parts / max(1, corpus.n)), 1).mapInArrow(lambda b: keyed(b, []), with_keys).select("k1", "k2", "k3", "row").limit(4 * DRAWN * parts).collect()
+    drawn = sorted(map(tuple, drawn))
+    bounds = [drawn[len(drawn) * k // parts] for k in range(1, parts)] if drawn else []
 
     def run(batches):
         packer = Packer(window, TaskContext.get().partitionId() << 36, corpus)
@@ -382,6 +427,5 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
         packer.finish(out)
         yield batch_of(out)
 
-    order = ["k1", "k2", "k3", "row"]
-    dealt = coded.mapInArrow(keyed, "doc_id long, row long, ids binary, k1 long, k2 long, k3 long").repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = coded.mapInArrow(lambda b: keyed(b, bounds), with_keys).repartitionById(parts, "part").sortWithinPartitions("k1", "k2", "k3", "row")
     return dealt.select("doc_id", "ids").mapInArrow(run, FIELDS)
