@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LONG_WORD, ByteBPE, tokenizer_path
-from .common import materialise, once_per_worker, runs
+from .common import SLICE, materialise, once_per_worker, runs
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words of Latin letters up to U+017F (but U+0130, whose lower case is two characters), with marks after that are never part of a contraction or a special token.
@@ -76,7 +76,7 @@ class WordIds:
     `remember` words are kept from text to text.
     """
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
 
         self.merges = HashedBPE(path)
@@ -169,7 +169,7 @@ def tallied(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text that are encoded at a time, or else a single text.
-ENCODED_BYTES = 8_000_000
+ENCODED_BYTES = 4_000_000
 
 
 #: Names of the number of documents and of all their ids, among the terms.
@@ -392,8 +392,9 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
 
     def keyed(batches, bounds):
         for batch in batches:
-            tops = corpus.heaviest([np.frombuffer(c, kind)[:-1] for c in batch.column("ids").to_pylist()], 3)
-            keys = list(zip(*[t.tolist() for t in tops], batch.column("row").to_pylist()))
+            ids = [np.frombuffer(c, kind)[:-1] for c in batch.column("ids").to_pylist()]
+            tops = [k for a, b in runs([len(i) for i in ids], SLICE) for k in zip(*[t.tolist() for t in corpus.heaviest(ids[a:b], 3)])]
+            keys = [(*t, row) for t, row in zip(tops, batch.column("row").to_pylist())]
             part = [bisect_right(bounds, k) for k in keys]
             columns = list(zip(*keys)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(part, pa.int32())], names=[*names, "k1", "k2", "k3", "part"])
