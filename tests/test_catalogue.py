@@ -1,8 +1,13 @@
 """Every engine query against its SQL, on the smallest tables."""
 
+import math
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 
+from tidemark.functions import text
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +26,7 @@ def ordered(rows):
     return sorted(map(tuple, rows), key=lambda r: [(x is None, str(x)) for x in r])
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     found = catalogue.QUERIES[name](spark, SF)
     columns = sorted(found.columns)
@@ -33,3 +38,55 @@ def test_graph_queries_start_from_all_nodes(spark):
     starts = {r.start[0] for r in catalogue.QUERIES["paths_all"](spark, SF).select("start").distinct().collect()}
     assert starts == set("opcsn")  # regions have no edge out
     assert {r.start[0] for r in catalogue.QUERIES["neighbors_all"](spark, SF).select("start").distinct().collect()} == set("opcsnr")
+
+
+def plain_vector(text, dim=512):
+    """The hashing embedder by single characters and bytes."""
+    t = re.sub(r"\s+", " ", text.lower()).strip()
+    counts = Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    for w in re.findall("[a-z0-9]+", t):
+        if len(w) >= 2:
+            counts["w:" + w] += 3
+    v = [0.0] * dim
+    for gram, c in counts.items():
+        h = 0xCBF29CE484222325
+        for b in gram.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        v[h % dim] += 1 + math.log(c)
+    norm = math.sqrt(sum(x * x for x in v))
+    return [x / norm if norm else x for x in v]
+
+
+def test_vectors_of_whole_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 2500").collect()}
+    got = {}
+    for r in catalogue.QUERIES["hashing_embed"](spark, SF).collect():
+        got.setdefault(r.doc_id, {})[r.bucket] = r.weight
+    assert len(texts) > 50
+    for i, t in texts.items():
+        assert all(abs(x - got.get(i, {}).get(k, 0.0)) < 2e-5 for k, x in enumerate(plain_vector(t)))
+
+
+def test_conflicts_scored_by_vectors(spark):
+    facts = catalogue._typed(spark, SF).select("id", "seq", "content", "entity_ids").collect()
+    vectors = {r.id: plain_vector(r.content) for r in facts}
+    tokens = {r.id: {w for w in re.findall("[a-z0-9]+", r.content) if len(w) > 1 and w not in text.TOPIC_STOP} for r in facts}
+    want = {}
+    for k, a in enumerate(facts):
+        for b in facts[k + 1 :]:
+            if a.entity_ids == b.entity_ids:
+                old, new = sorted((a.id, b.id))
+                jac, sim = len(tokens[old] & tokens[new]) / len(tokens[old] | tokens[new]), sum(x * y for x, y in zip(vectors[old], vectors[new]))
+                score = 0.1 * sim if jac < 0.2 else sim * (0.4 + 0.6 * min(2 * jac, 1))
+                if score >= 0.55:
+                    want[old, new] = score
+    got = {(r.old_id, r.new_id): r.score for r in catalogue.QUERIES["embedder_conflicts"](spark, SF).collect()}
+    assert set(got) == set(want) and len(want) > 100 and all(abs(got[p] - want[p]) < 2e-4 for p in want)
+
+
+def test_search_scans_the_texts_once(spark):
+    """The plan of BM25 without an index: one accent fold, whose exchange is used again."""
+    plan = catalogue.QUERIES["bm25_topk"](spark, SF)
+    plan.collect()
+    text_ = plan._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert "ReusedExchange" in text_

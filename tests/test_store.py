@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tidemark import cli, server
 from tidemark.functions import embed, text
 from tidemark.memory import FactStore
-from tidemark.operators import conflict, evaluate, temporal
+from tidemark.operators import bm25, conflict, evaluate, graph, retrieve, temporal
 from tidemark.schema import EngineConfig
-from tidemark.streaming.ingest import ingest
+from tidemark.sources import store as tables
+from tidemark.streaming.ingest import ingest, windowed_counts
 
 
 @pytest.fixture()
@@ -110,8 +111,179 @@ def test_stream_and_command_line(spark, store, tmp_path, capsys):
     assert store.recall("f1")["content"] == "Oslo harbour opened"
     db = ["--db", store.catalog.base]
     assert cli.main([*db, "list"], spark) == 0 and "Oslo" in capsys.readouterr().out
-    assert cli.main([*db, "graph", "nobody"], spark) == 1
-    assert server.tools(store)["query"]("harbour in Oslo", 1)[0]["content"] == "Oslo harbour opened"
+    assert cli.main([*db, "graph", "--entity", "nobody"], spark) == 1
+    assert cli.main([*db, "add", "Oslo harbour closed", "--entity", "Oslo", "--no-resolve", "--show-id", "--effective-at", "2099-01-01"], spark) == 0
+    stored, again = capsys.readouterr().out.split("\n")[-3:-1]
+    assert stored == f"stored {again}" and not store.recall("f1")["deprecated"]
+    assert cli.main([*db, "list"], spark) == 0 and "closed" not in capsys.readouterr().out  # not begun
+    assert cli.main([*db, "list", "--all"], spark) == 0 and "closed" in capsys.readouterr().out
+    found = server.tools(store)["query"]("harbour in Oslo", 1)[0]
+    assert (found["content"], found["id"]) == ("Oslo harbour opened", "f1")
+    assert server.tools(store)["remember"]("Bergen has rain").startswith("stored ")
+
+
+def test_late_rows_fall_into_their_window(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("a", "2024-01-02 10:00:00"), ("b", "2024-01-01 11:00:00")], "source string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    counts = windowed_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    counts.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
+    assert sorted((r.source, r.window.start.day, r.n) for r in spark.table("windows").collect()) == [("a", 1, 1), ("a", 2, 1), ("b", 1, 1)]
+
+
+def test_versions_and_events_follow_one_order(store):
+    a = store.remember("Delta office moved into Rome centre", ["Delta"], metadata={"k": [1, "é"]})
+    b = store.remember("Delta office moved into Turin centre", ["Delta"])
+    assert store.recall(a)["replaced_by"] == b and store.recall(a)["metadata"] == {"k": [1, "é"]}
+    store.update(a, deprecated=False)
+    assert store.recall(a)["deprecated"] is False and store.recall(a)["replaced_by"] is None
+    store.deprecate(a, "elsewhere")
+    assert (store.recall(a)["deprecated"], store.recall(a)["replaced_by"]) == (True, "elsewhere")
+    store.update(a, metadata={"x": 1})
+    assert store.recall(a)["deprecated"] and store.recall(a)["metadata"] == {"x": 1}
+    assert store.delete(a) and not store.delete(a)
+    store.compact()
+    assert store.recall(a) is None and store.recall(b)["content"].endswith("Turin centre")
+
+
+def test_preview_is_what_writing_does(spark, tmp_path):
+    """Scores of the preview and of writing are the embedder's, for stored facts and within a batch."""
+    texts = ["Omega plant makes red bricks daily", "Omega plant makes blue bricks daily", "A wholly other subject here", "omega PLANT makes red bricks weekly"]
+    store = FactStore(spark, str(tmp_path / "db"))
+    for t in texts:
+        expected = {r.id for r in store.conflicts_for(t).collect()}
+        made = store.remember(t)
+        assert {r.id for r in store.list(True).where(F.col("replaced_by") == made).collect()} == expected
+    batch = FactStore(spark, str(tmp_path / "batch"))
+    batch.remember(texts[0])
+    rows = spark.createDataFrame([(f"b{k}", t, [], "s", "{}", k) for k, t in enumerate(texts[1:])], "id string, content string, entities array<string>, source string, metadata string, pos int")
+    batch.remember_batch(rows.withColumn("effective_at", F.current_timestamp()).withColumn("created_at", F.current_timestamp()))
+    state = lambda s: {r.content: r.deprecated for r in s.list(True).collect()}
+    assert state(batch) == state(store) and any(state(store).values())
+
+
+def test_pairs_below_the_judges_bound_are_found(spark):
+    rows = [(1, 1, "one two three four five six seven", []), (2, 2, "one b2 c2 d2 e2 f2 g2", [])]
+    facts = spark.createDataFrame(rows, "id long, seq long, content string, entity_ids array<string>")
+    assert conflict.conflicts(facts, threshold=0.0, related=0.05).count() == 1 and conflict.conflicts(facts, threshold=0.0).count() == 0
+
+
+def test_entities(store):
+    france = store.add_entity("France", {"kind": "country"})
+    assert store.add_entity("FRANCE") == france and store.get_entity(france) == store.find_entity("france")
+    store.upsert_entity(france, "French Republic", {"kind": "state"})
+    store.upsert_entity("x", "Andorra")
+    assert store.get_entity(france)["name"] == "French Republic" and store.get_entity(france)["metadata"] == {"kind": "state"} and store.get_entity("none") is None
+    assert [r.name for r in store.list_entities().collect()] == ["Andorra", "French Republic"]
+    edge = store.add_relation("Andorra", "French Republic", "borders", {"km": 55})
+    assert store.list_relations().count() == 1 and store.delete_relation(edge) and store.list_relations().count() == 0 and not store.delete_relation(edge)
+    assert [tables.from_json(x) for x in ("", None, "junk", "[1]", '{"a": 1}')] == [{}, {}, {}, {}, {"a": 1}]
+
+
+def test_wildcards_fold_ascii_only(spark):
+    docs = spark.createDataFrame([(1, "\u00c9cole License"), (2, "\u00e9cole"), (3, "50% off\\now"), (4, "LICENSE")], "doc_id long, text string")
+    ids = lambda p: [r.doc_id for r in bm25.like_search(docs, p, 9).collect()]
+    assert ids("license") == [4, 1] and ids("\u00c9COLE") == [1] and ids("off\\now") == [3] and ids("l_cense") == [4, 1] and ids("5%w") == [3]
+
+
+def test_both_ways_of_search_agree(spark):
+    docs = spark.createDataFrame([(1, "red fox jumps"), (2, "red red wine, \u00e9cole"), (3, ""), (4, None), (5, "ecole of foxes")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "red fox fox"), (2, "ecole"), (3, "nothing here"), (4, "")], "query_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    found = rows(bm25.search_documents(docs, asked, 5))
+    assert found == rows(bm25.search(bm25.build_index(docs), asked, 5)) and {r[0] for r in found} == {1, 2}
+    assert bm25.search_documents(docs.limit(0), asked, 5).count() == 0
+
+
+def test_many_questions_go_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    v = np.random.default_rng(0).normal(size=(30, 8))
+    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v / np.linalg.norm(v, axis=1)[:, None])], "doc_id long, embedding array<double>")
+    asked = vectors.where("doc_id < 12").withColumnRenamed("doc_id", "query_id")
+    want = sorted(map(tuple, retrieve.dense_candidates(vectors, asked, 4).collect()))
+    monkeypatch.setattr(retrieve, "BROADCAST_QUERIES", 5)
+    assert sorted(map(tuple, retrieve.dense_candidates(vectors, asked, 4).select("query_id", "doc_id", "sim", "rank").collect())) == want
+
+
+def test_paths_of_no_length_and_overlaps_of_none(spark):
+    edges = spark.createDataFrame([("a", "b", "t", 1)], "source_id string, target_id string, type string, seq int")
+    start = spark.createDataFrame([("a",)], "id string")
+    assert graph.paths(edges, start, max_depth=0).count() == 0 and graph.paths(edges, start, max_depth=1).count() == 1
+    docs = spark.createDataFrame([(k, ["w"] if k == 7 else ["z"]) for k in range(9)], "doc_id long, tokens array<string>")
+    found = retrieve.overlap_search(docs, spark.createDataFrame([(1, ["w"])], "query_id long, tokens array<string>"), 3)
+    assert [(r.doc_id, r.overlap) for r in found.orderBy("rank").collect()] == [(7, 1), (0, 0), (1, 0)]
+
+
+def test_fitted_weights(spark):
+    import math
+
+    docs = spark.createDataFrame([("ab",), ("b",)], "content string")
+    idf = embed.collect_idf(embed.fit_idf(docs), 2)
+    assert abs(idf.known["a"] - (math.log(3 / 2) + 1)) < 1e-9 and abs(idf.unseen - (math.log(3) + 1)) < 1e-9
+    kind = embed.Features(grams=(1, 1), words=False)
+    v = spark.createDataFrame([("az",)], "t string").select(embed.hashing_embedder(16, idf, kind)("t").alias("v")).first().v
+    want = [0.0] * 16
+    want[embed.bucket_of("a", 16)] += idf.known["a"]
+    want[embed.bucket_of("z", 16)] += idf.unseen
+    norm = sum(x * x for x in want) ** 0.5
+    assert all(abs(x - y / norm) < 1e-6 for x, y in zip(v, want))
+    with pytest.raises(ValueError):
+        embed.collect_idf(embed.fit_idf(docs), 2, most=1)
+
+
+def test_model_embedder(spark):
+    class Model:
+        def encode(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    got = spark.createDataFrame([("abc",), (None,)], "t string").select(embed.model_embedder(Model)("t").alias("v")).collect()
+    assert [r.v for r in got] == [[3.0, 1.0], [0.0, 1.0]]
+
+
+def test_loaders_and_generators(spark, tmp_path):
+    import json
+
+    facts = {"topics": [{"topic": "t", "facts": [{"content": "x", "entities": ["E"], "effective_at": "2024-01-01T00:00:00+00:00", "created_at": "2024-01-01T02:00:00+02:00"}], "queries": [{"question": "q", "at": "2024-01-02T00:00:00+00:00", "gold": "x"}]}]}
+    (tmp_path / "facts.json").write_text(json.dumps(facts))
+    rows, questions = tables.read_fact_set(spark, str(tmp_path / "facts.json"))
+    assert rows.first().effective_at == rows.first().created_at and questions.first().gold == "x"
+    for make, writes, probes in ((tables.supersession_flood, 60, 10), (tables.entity_flood, 40, 8)):
+        make(str(tmp_path / "s.json"))
+        w, p = tables.read_scenarios(spark, str(tmp_path / "s.json"))
+        w = w.orderBy("session_pos").collect()
+        assert (len(w), p.count()) == (writes, probes) and any(a.at > b.at for a, b in zip(w, w[1:]))  # writing order isn't that of time
+        said = {r.content for r in w}
+        assert all(r.banned and set(r.expected) | set(r.banned) <= said for r in p.collect())
+
+
+def test_strategies_side_by_side(spark):
+    results = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 20, 3), (3, 30, 11)], "query_id long, doc_id long, rank long")
+    gold = spark.createDataFrame([(1, "t", 11), (2, "u", 20), (3, "u", 30)], "query_id long, topic string, doc_id long")
+    topics = spark.createDataFrame([(10, "t"), (11, "t"), (20, "u"), (30, "u")], "doc_id long, topic string")
+    compared = evaluate.compare({"some": results, "none": results.limit(0)}, gold, topics)
+    rows = {r.strategy: r for r in compared.collect()}
+    assert (rows["some"].recall_at_2, rows["some"].recall_at_3, rows["some"].mrr, rows["some"].acc_at_1, rows["some"].anachronism_at_5) == (0.333333, 0.666667, 0.277778, 0.0, 0.166667)
+    assert rows["none"].mrr == 0 and evaluate.report(compared).count("\n") == 2
+
+
+def test_results_lead_back_to_sessions(spark):
+    sessions = spark.createDataFrame([(1, "s1", 0, "user: hello there", ["hello there"]), (1, "s2", 1, "user: bye", ["bye", ""])], "query_id long, session_id string, pos int, text string, openings array<string>")
+    results = spark.createDataFrame([(1, 1, "unknown"), (1, 2, "they said bye to us"), (1, 3, "user: hello there")], "query_id long, rank long, text string")
+    answers = spark.createDataFrame([(1, "s1")], "query_id long, session_id string")
+    row = evaluate.session_hits(results, sessions, answers).first()
+    assert (row.recall_at_1, row.recall_at_3, row.mrr) == (0.0, 1.0, 0.333333)
+
+
+def test_quickstart(spark, tmp_path, capsys):
+    import importlib.util
+    from pathlib import Path
+
+    spec = importlib.util.spec_from_file_location("quickstart", Path(__file__).resolve().parents[1] / "examples/quickstart.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    module.main(str(tmp_path / "db"), spark)
+    out = capsys.readouterr().out
+    assert "opens at nine" in out and "replaced: The harbour office of Lisbon opens at nine" in out and "seven" not in out.split("active:")[1].split("replaced")[0]
 
 
 def test_demotion_keeps_outdated_facts_last(spark, tmp_path):

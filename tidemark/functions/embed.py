@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,59 +25,129 @@ def fnv_bucket(c: str | Column, dim: int = 512) -> Column:
     return F.when(F.octet_length(text) == 0, F.lit(offset)).otherwise(F.aggregate(octets, F.lit(offset), lambda h, b: (h.bitwiseXOR(b) * F.lit(prime)).bitwiseAND(F.lit(low))))
 
 
-def features(text: str, word_repeats: int = 3, most: int = 3) -> Counter:
-    """Character n-grams of 1 to `most`, and words of two or more characters, repeated."""
-    import re
-
-    counts = Counter(text[i : i + n] for n in range(1, most + 1) for i in range(len(text) - n + 1))
-    for w in re.findall("[a-z0-9]+", text):
-        if len(w) >= 2:
-            counts["w:" + w] += word_repeats
-    return counts
+OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
 def bucket_of(gram: str, dim: int) -> int:
-    h = 0xCBF29CE484222325
+    h = OFFSET
     for b in gram.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ b) * PRIME & 0xFFFFFFFFFFFFFFFF
     return h % dim
 
 
-def hashing_embedder(dim: int = 512, idf: dict[str, float] | None = None) -> Callable[[str | Column], Column]:
+@dataclass(frozen=True)
+class Features:
+    """What is counted in a text: character n-grams of `grams[0]` to `grams[1]`, and with `words` its words of two or more characters, each `repeats` times."""
+
+    grams: tuple[int, int] = (1, 3)
+    words: bool = True
+    repeats: int = 3
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, list[tuple[str, int]]]:
+        """Start and length of the first of each distinct n-gram, how often it comes, and the words with their counts."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts, counts = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+        for n in range(self.grams[0], min(self.grams[1], len(points)) + 1):
+            rows = np.stack([points[k : len(points) - n + 1 + k] for k in range(n)], 1)
+            _, first, count = np.unique(rows, axis=0, return_index=True, return_counts=True) if n > 3 else np.unique(self._packed(rows), return_index=True, return_counts=True)
+            starts.append(np.stack([first, np.full(len(first), n)], 1))
+            counts.append(count)
+        words = Counter(w for w in re.findall("[a-z0-9]+", text) if len(w) >= 2) if self.words else {}
+        return np.concatenate(starts), np.concatenate(counts), [(f"w:{w}", c * self.repeats) for w, c in words.items()]
+
+    @staticmethod
+    def _packed(rows: np.ndarray) -> np.ndarray:
+        """Up to three code points, of 21 bits each, as one number."""
+        key = np.zeros(len(rows), np.uint64)
+        for column in rows.T:
+            key = key << np.uint64(21) | column.astype(np.uint64)
+        return key
+
+    def names(self, text: str) -> list[str]:
+        """The distinct features by name."""
+        starts, _, words = self.of(text)
+        return [*(text[a : a + n] for a, n in starts.tolist()), *(w for w, _ in words)]
+
+
+def buckets(text: str, starts: np.ndarray, dim: int) -> np.ndarray:
+    """bucket_of the n-grams of a text that start and are as long as given: all advance by a byte at a time."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    at, end = first[starts[:, 0]], first[starts.sum(1)]
+    h = np.full(len(starts), OFFSET, np.uint64)
+    left = np.arange(len(starts))
+    while len(left):
+        h[left] = (h[left] ^ data[at[left]].astype(np.uint64)) * np.uint64(PRIME)
+        at[left] += 1
+        left = left[at[left] < end[left]]
+    return (h % np.uint64(dim)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Idf:
+    """Inverse document frequencies by feature name; unseen is that of a feature which no document has."""
+
+    known: dict[str, float]
+    unseen: float
+
+
+def hashing_embedder(dim: int = 512, idf: Idf | None = None, kind: Features = Features()) -> Callable[[str | Column], Column]:
     """A Column function text -> unit vector (array<float>); the zero vector for texts without features. Works on Arrow batches."""
 
     @F.pandas_udf("array<float>")
     def embed(texts):
-        import numpy as np
-
         seen: dict[str, int] = {}
 
         def one(text):
-            v = np.zeros(dim)
-            for gram, c in features(text or "").items():
-                if gram not in seen:
-                    seen[gram] = bucket_of(gram, dim)
-                v[seen[gram]] += (1 + math.log(c)) * (1.0 if idf is None else idf.get(gram, idf.get("", 1.0)))
+            starts, counts, words = kind.of(text or "")
+            names = [w for w, _ in words]
+            seen.update((w, bucket_of(w, dim)) for w in names if w not in seen)
+            at = np.concatenate([buckets(text or "", starts, dim), np.array([seen[w] for w in names], np.int64)])
+            weight = 1 + np.log(np.concatenate([counts, np.array([c for _, c in words], np.int64)]).astype(float))
+            if idf is not None:
+                weight *= [idf.known.get(f, idf.unseen) for f in [*(text[a : a + n] for a, n in starts.tolist()), *names]]
+            v = np.bincount(at, weight, dim)
             norm = float(np.sqrt((v * v).sum()))
-            return (v / norm if norm else v).astype(np.float32).tolist()
+            return (v / norm if norm else v).astype(np.float32)
 
         return texts.map(one)
 
     return lambda c: embed(normalise(c))
 
 
-def fit_idf(docs: DataFrame, text: str = "content", smooth: float = 1.0) -> DataFrame:
-    """feature, df, idf over all documents: ln((N + s) / (df + s)) + 1."""
+def model_embedder(load: Callable[[], object]) -> Callable[[str | Column], Column]:
+    """A Column function for a sentence model: load() gives, once in each Python worker, an object whose encode(list of texts) returns unit vectors."""
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield pd.Series(list(np.asarray(model.encode(texts.fillna("").tolist()), np.float32)))
+
+    return lambda c: embed(F.col(c) if isinstance(c, str) else c)
 
-    @F.pandas_udf("array<string>")
-    def distinct(texts):
-        return texts.map(lambda t: list(features(t or "")))
+
+def fit_idf(docs: DataFrame, text: str = "content", smooth: float = 1.0, kind: Features = Features()) -> DataFrame:
+    """feature, df, idf over all documents: ln((N + s) / (df + s)) + 1. Frequencies are added up within each batch before they are shuffled."""
+
+    def count(batches):
+        for batch in batches:
+            df = Counter(f for t in batch["t"] for f in kind.names(t or ""))
+            yield pd.DataFrame({"feature": list(df), "df": np.fromiter(df.values(), np.int64, len(df))})
 
     n = docs.select(F.count("*").alias("n"))
-    df = docs.select(F.explode(distinct(normalise(text))).alias("feature")).groupBy("feature").agg(F.count("*").alias("df"))
+    df = docs.select(normalise(text).alias("t")).mapInPandas(count, "feature string, df long").groupBy("feature").agg(F.sum("df").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("feature", "df", (F.log((F.col("n") + smooth) / (F.col("df") + smooth)) + 1).alias("idf"))
 
 
+def collect_idf(fitted: DataFrame, documents: int, smooth: float = 1.0, most: int = 1_000_000) -> Idf:
+    """fit_idf's result for hashing_embedder; more than `most` features are refused, as every Python worker holds them."""
+    rows = fitted.select("feature", "idf").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} features: fit on a sample, or count fewer kinds of features")
+    return Idf({r.feature: r.idf for r in rows}, math.log((documents + smooth) / smooth) + 1)
+
+
 def cosine(a: str | Column, b: str | Column) -> Column:
     """Dot product of two unit vectors, summed in double."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))

@@ -58,15 +58,19 @@ def overlap_tokens(c: str | Column) -> Column:
 
 
 def fold_accents(c: str | Column) -> Column:
-    """Lower case without combining marks. Marks are looked up by Python's tables, a batch at a time."""
+    """Lower case without combining marks. Only texts beyond ASCII go to Python, for its tables of marks; the others stay in the JVM."""
 
     @F.pandas_udf("string")
     def fold(s):
+        import sys
         import unicodedata
 
-        return s.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(x)))
+        marks = {k: None for k in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(k))} if s.notna().any() else {}
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFD", t.lower()).translate(marks))
 
-    return fold(_col(c))
+    text = _col(c)
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(fold(F.when(~plain, text)))
 
 
 def document_tokens(c: str | Column, folded: bool = False) -> Column:
@@ -84,9 +88,3 @@ def char_ngrams(c: str | Column, n: int) -> Column:
     """All character n-grams of a text, in order."""
     text = _col(c)
     return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-
-def contains_any(hay: str | Column, needles: str | Column) -> Column:
-    """Whether any needle occurs in hay, cases apart; no needles: no."""
-    low = F.lower(_col(hay))
-    return F.exists(_col(needles), lambda n: F.contains(low, F.lower(n)))

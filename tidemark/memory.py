@@ -7,17 +7,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.embed import cosine, hashing_embedder
+from . import schema
+from .functions.embed import hashing_embedder
 from .functions.text import ascii_fold
 from .operators import bm25, conflict, graph, retrieve, temporal
 from .schema import EngineConfig
-from .sources.store import Catalog
+from .sources.store import TABLES, Catalog, from_json, to_json
 
 
 def new_id() -> str:
     return uuid.uuid4().hex
 
 
+def _decoded(row) -> dict | None:
+    """A row as a dictionary, its metadata read from JSON."""
+    return None if row is None else {k: from_json(v) if k == "metadata" else v for k, v in row.asDict(True).items()}
+
+
 class FactStore:
     """Writes go in batches; every read is a lazy DataFrame."""
 
@@ -26,11 +32,20 @@ class FactStore:
         self.catalog = Catalog(spark, path)
         self.embedder = embedder or hashing_embedder(config.dim)
 
+    def __enter__(self) -> FactStore:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Nothing is held open: every write is complete when it returns. The session is its owner's."""
+
     # -- writing
 
-    def remember(self, content: str, entities: list[str] = (), relations: list[tuple[str, str, str]] = (), source: str = "", effective_at=None, created_at=None, metadata: str = "{}", auto_resolve: bool | None = None) -> str:
+    def remember(self, content: str, entities: list[str] = (), relations: list[tuple[str, str, str]] = (), source: str = "", effective_at=None, created_at=None, metadata: dict | None = None, auto_resolve: bool | None = None) -> str:
         """One fact. Its names become entities, relations (source, target, type) edges; contradicted facts are replaced."""
-        rows = self.spark.createDataFrame([(content, list(entities), source, metadata)], "content string, entities array<string>, source string, metadata string")
+        rows = self.spark.createDataFrame([(content, list(entities), source, to_json(metadata or {}))], "content string, entities array<string>, source string, metadata string")
         for name, at in (("effective_at", effective_at), ("created_at", created_at)):
             rows = rows.withColumn(name, F.lit(at).cast("timestamp") if at else F.current_timestamp())
         fact_id = new_id()
@@ -48,7 +63,7 @@ class FactStore:
         names = self.catalog.entities().select(ascii_fold("name").alias("folded"), F.col("id").alias("entity_id"))
         listed = rows.select("id", F.posexplode_outer("entities").alias("k", "name")).withColumn("folded", ascii_fold("name")).join(names, "folded", "left")
         ids = listed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("entity_id").isNotNull(), F.struct("k", "entity_id")))), lambda x: x["entity_id"]).alias("entity_ids"))
-        base = self.catalog.next_seq("facts")
+        base = self.catalog.next_seq()
         facts = rows.drop("entities").join(ids, "id").withColumn("seq", F.lit(base) + F.col("pos")).withColumn("deprecated", F.lit(False)).withColumn("replaced_by", F.lit(None).cast("string"))
         before = self.catalog.facts()
         self.catalog.append("facts", facts)
@@ -56,58 +71,93 @@ class FactStore:
             moment = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
             active = before.where(temporal.is_effective(moment)).unionByName(self.catalog.log("facts").where((F.col("seq") >= base) & (F.col("effective_at") <= moment)))
             incoming = self.catalog.log("facts").where(F.col("seq") >= base)
-            self.catalog.append("supersession", self._replaced(active.unionByName(incoming).dropDuplicates(["id"]), active, base))
+            facts = active.unionByName(incoming).dropDuplicates(["id"])
+            found = self._conflicts(facts, base).join(active.select(F.col("id").alias("old_id")), "old_id", "left_semi")
+            self.catalog.append("supersession", conflict.resolve(found).withColumn("manual", F.lit(False)).withColumn("score", F.lit(None).cast("double")))
 
-    def _replaced(self, facts: DataFrame, active: DataFrame, base: int) -> DataFrame:
-        vectors = facts.select("id", self.embedder("content").alias("v"))
-        pairs = conflict.conflicts(facts, threshold=-1.0, related=self.config.related_jaccard, judge=lambda s, j: j, similarity=lambda a, b: F.lit(1.0))
-        pairs = pairs.where(F.col("new_seq") >= base).join(active.select(F.col("id").alias("old_id")), "old_id", "left_semi")
-        pairs = pairs.join(vectors.select(F.col("id").alias("old_id"), F.col("v").alias("a")), "old_id").join(vectors.select(F.col("id").alias("new_id"), F.col("v").alias("b")), "new_id")
-        scored = pairs.withColumn("score", self.judge(cosine("a", "b"), F.col("score"))).where(F.col("score") >= self.config.conflict_threshold)
-        return conflict.resolve(scored).withColumn("manual", F.lit(False)).withColumn("score", F.lit(None).cast("double"))
+    def _conflicts(self, facts: DataFrame, since: int) -> DataFrame:
+        """What facts written since then contradict. Only the new ones' blocking keys meet the store's, and only related facts are embedded."""
+        return conflict.conflicts(facts, self.config.conflict_threshold, self.config.related_jaccard, self.judge, embedder=self.embedder, since=since)
 
     def ensure_entities(self, names: DataFrame) -> None:
         """Get or create: names are equal by ASCII case; the first spelling stays."""
         fresh = names.where("name is not null").groupBy(ascii_fold("name").alias("folded")).agg(F.min("name").alias("name"))
         known = self.catalog.entities().select(ascii_fold("name").alias("folded"))
-        made = fresh.join(known, "folded", "left_anti").select(F.sha2("folded", 256).substr(1, 32).alias("id"), "name", F.lit("{}").alias("metadata"), F.lit(1).alias("seq"))
+        made = fresh.join(known, "folded", "left_anti").select(F.sha2("folded", 256).substr(1, 32).alias("id"), "name", F.lit("{}").alias("metadata"), F.lit(self.catalog.next_seq()).alias("seq"))
         self.catalog.append("entities", made)
 
-    def add_relation(self, source: str, target: str, kind: str) -> str:
+    def upsert_entity(self, entity_id: str, name: str, metadata: dict | None = None) -> None:
+        """Adds an entity, or gives one of this id another name and other metadata."""
+        self.catalog.append("entities", self.spark.createDataFrame([(entity_id, name, to_json(metadata or {}), self.catalog.next_seq())], schema.ENTITIES))
+
+    def add_entity(self, name: str, metadata: dict | None = None, entity_id: str | None = None) -> str:
+        """A node of the graph; of a known name the one that there is."""
+        known = self.entity_id(name)
+        if known is None or entity_id is not None:
+            known = entity_id or new_id()
+            self.upsert_entity(known, name, metadata)
+        return known
+
+    def add_relation(self, source: str, target: str, kind: str, metadata: dict | None = None, relation_id: str | None = None) -> str:
+        """An edge between two names, which become entities; one of a known id is replaced."""
         self.ensure_entities(self.spark.createDataFrame([(source,), (target,)], "name string"))
-        rows = self.spark.createDataFrame([(new_id(), self.catalog.next_seq("relations"), self.entity_id(source), self.entity_id(target), kind, "{}")], "id string, seq long, source_id string, target_id string, type string, metadata string")
+        made = relation_id or new_id()
+        rows = self.spark.createDataFrame([(made, self.catalog.next_seq(), self.entity_id(source), self.entity_id(target), kind, to_json(metadata or {}))], "id string, seq long, source_id string, target_id string, type string, metadata string")
         self.catalog.append("relations", rows)
-        return rows.first()["id"]
+        return made
 
     def update(self, fact_id: str, **changes) -> None:
-        """A new version; nothing happens where the id is unknown."""
+        """A new version; nothing happens where the id is unknown. deprecated=False restores a replaced fact, unless replaced_by is given too."""
         found = self.catalog.facts().where(F.col("id") == fact_id)
+        if changes.get("deprecated") is False:
+            changes = {"replaced_by": None} | changes
         for name, value in changes.items():
-            found = found.withColumn(name, F.lit(value))
-        self.catalog.append("facts", found.withColumn("seq", F.lit(self.catalog.next_seq("facts"))))
+            found = found.withColumn(name, F.lit(to_json(value) if name == "metadata" else value).cast(found.schema[name].dataType))
+        self.catalog.append("facts", found.withColumn("seq", F.lit(self.catalog.next_seq())))
 
     def delete(self, fact_id: str, table: str = "facts") -> bool:
-        known = not self.catalog.log(table).where(F.col("id") == fact_id).isEmpty()
+        """Whether there was something to delete, which is gone then."""
+        known = not getattr(self.catalog, table)().where(F.col("id") == fact_id).isEmpty()
         if known:
-            self.catalog.append("tombstones", self.spark.createDataFrame([(fact_id, self.catalog.next_seq(table))], "id string, seq long"))
+            self.catalog.append("tombstones", self.spark.createDataFrame([(fact_id, self.catalog.next_seq())], "id string, seq long"))
         return known
 
+    def delete_relation(self, relation_id: str) -> bool:
+        return self.delete(relation_id, "relations")
+
     def deprecate(self, fact_id: str, replaced_by: str | None = None) -> bool:
         if self.recall(fact_id) is None:
             return False
-        seq = (self.catalog.log("supersession").agg(F.max("at_seq")).first()[0] or 0) + self.catalog.next_seq("facts")
-        self.catalog.append("supersession", self.spark.createDataFrame([(fact_id, replaced_by, seq, None, True)], "old_id string, new_id string, at_seq long, score double, manual boolean"))
+        self.catalog.append("supersession", self.spark.createDataFrame([(fact_id, replaced_by, self.catalog.next_seq(), None, True)], "old_id string, new_id string, at_seq long, score double, manual boolean"))
         return True
 
+    def compact(self) -> None:
+        """Rewrites the logs of many small writes as few files."""
+        for name in TABLES:
+            if self.catalog.exists(name):
+                self.catalog.compact(name)
+
     # -- reading
 
     def recall(self, fact_id: str) -> dict | None:
-        row = self.catalog.facts().where(F.col("id") == fact_id).first()
-        return row.asDict(True) if row else None
+        """A fact as a dictionary, its metadata read; None where the id is unknown."""
+        return _decoded(self.catalog.facts().where(F.col("id") == fact_id).first())
+
+    def get_entity(self, entity_id: str) -> dict | None:
+        return _decoded(self.catalog.entities().where(F.col("id") == entity_id).first())
+
+    def find_entity(self, name: str) -> dict | None:
+        return _decoded(self.catalog.entities().where(ascii_fold("name") == ascii_fold(F.lit(name))).orderBy("id").first())
+
+    def list_entities(self) -> DataFrame:
+        return self.catalog.entities().orderBy("name", "id")
+
+    def list_relations(self) -> DataFrame:
+        return self.catalog.relations()
 
     def entity_id(self, name: str) -> str | None:
-        row = self.catalog.entities().where(ascii_fold("name") == ascii_fold(F.lit(name))).first()
-        return row["id"] if row else None
+        found = self.find_entity(name)
+        return found["id"] if found else None
 
     def list(self, include_deprecated: bool = False) -> DataFrame:
         return temporal.list_facts(self.catalog.facts(), include_deprecated)
@@ -129,13 +179,12 @@ class FactStore:
     def conflicts_for(self, content: str, entities: list[str] = ()) -> DataFrame:
         known = [e for e in map(self.entity_id, entities) if e]
         active = self.catalog.facts().where(temporal.is_effective(F.current_timestamp()))
-        return conflict.preview(content, known, active, self.config.conflict_threshold, self.config.related_jaccard, self.judge)
+        return conflict.preview(content, known, active, self.config.conflict_threshold, self.config.related_jaccard, self.judge, embedder=self.embedder)
 
     def search(self, questions: DataFrame, k: int = 5, at=None, now=None, entities: list[str] | None = None, min_score: float = 0.0) -> DataFrame:
         """The k best facts of each question (query_id, text): one plan for all of them."""
         facts = self.catalog.facts()
-        index = bm25.build_index(facts, "id", "content")
-        sparse = bm25.search(index, questions, 3 * k)
+        sparse = bm25.search_documents(facts, questions, 3 * k, "id", "content")
         vectors = facts.select(F.col("id").alias("doc_id"), self.embedder("content").alias("embedding"))
         dense = retrieve.dense_candidates(vectors, questions.select("query_id", self.embedder("text").alias("embedding")), max(3 * k, 10))
         moment = lambda t: F.lit(t).cast("timestamp") if t else F.current_timestamp()
@@ -144,7 +193,7 @@ class FactStore:
 
     def query(self, question: str, k: int = 5, **options) -> list[dict]:
         asked = self.spark.createDataFrame([(0, question)], "query_id long, text string")
-        return [r.asDict(True) for r in self.search(asked, k, **options).orderBy("rank").collect()]
+        return [_decoded(r) for r in self.search(asked, k, **options).orderBy("rank").collect()]
 
     def neighbors(self, name: str, depth: int = 1) -> DataFrame:
         start = self.spark.createDataFrame([(self.entity_id(name) or "",)], "id string")

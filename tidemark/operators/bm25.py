@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import document_tokens, search_tokens
+from ..functions.text import LOWER, UPPER, ascii_fold, document_tokens, search_tokens
 
 K1, B = 1.2, 0.75
 
@@ -21,23 +21,60 @@ class Index:
     stats: DataFrame
 
 
+def tokens_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, dl, tokens of each document; a null text is an empty one."""
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), document_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    return tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens")
+
+
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    """Tokens are counted within each document's row, so no token is shuffled on its own."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), document_tokens(text).alias("tokens"))
-    tokens = tokens.select("doc_id", "tokens", F.size("tokens").cast("long").alias("dl"))
+    """The postings of all terms: every document's tokens are counted in the task that reads it, then by document and term."""
+    tokens = tokens_of(docs, doc_id, text)
     postings = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, qtf: a term repeated in a query counts as often."""
+    return queries.select("query_id", F.explode(search_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+#: Stands for a document as a whole among its terms; no token is empty.
+WHOLE = ""
+#: Distinct terms of all questions up to this many are broadcast, a short string each; beyond, the join is a shuffled one.
+BROADCAST_TERMS = 200_000
+
+
+def search_documents(docs: DataFrame, queries: DataFrame, k: int | None = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """search() of documents (doc_id, text) that have no index: one scan of the texts.
+
+    Only terms that some question has leave the task that reads a document, and a row for the document
+    as a whole. Those rows give the terms' document frequencies, the number of documents and their
+    average length, over all documents.
+    """
+    asked = asked_terms(queries)
+    distinct = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([(WHOLE,)], "term string"))
+    if distinct.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        distinct = F.broadcast(distinct)
+    occurring = tokens_of(docs, doc_id, text).select("doc_id", "dl", F.explode(F.array_append("tokens", F.lit(WHOLE))).alias("term"))
+    postings = occurring.join(distinct, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    # Lengths and counts are both taken on, so that the scan's one exchange serves this sum and the postings.
+    terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"), F.sum("tf").alias("occurrences")).where("occurrences > 0")
+    stats = terms.where(F.col("term") == WHOLE).select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    return _ranked(Index(postings, terms.select("term", "df"), stats), asked, k)
+
+
 def search(index: Index, queries: DataFrame, k: int | None = 20) -> DataFrame:
     """query_id, doc_id, bm25, rank of the k best documents of each query (query_id, text); None: of all that match.
 
-    A term repeated in a query counts as often; the inverse document frequency is at least 1e-6.
-    Postings of other terms never leave the scan: the queries' terms are joined to them, broadcast
-    where Spark finds them small.
+    A term repeated in a query counts as often; the inverse document frequency is at least 1e-6. Only the
+    questions' terms are taken from the index, by a join that Spark broadcasts where it finds them few.
     """
-    terms = queries.select("query_id", F.explode(search_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = index.postings.join(terms, "term").join(index.terms, "term").crossJoin(F.broadcast(index.stats))
+    return _ranked(index, asked_terms(queries), k)
+
+
+def _ranked(index: Index, asked: DataFrame, k: int | None) -> DataFrame:
+    hits = index.postings.join(asked.join(index.terms, "term").crossJoin(F.broadcast(index.stats)), "term")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     tf = F.col("tf").cast("double")
     weight = F.col("qtf") * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -47,5 +84,7 @@ def search(index: Index, queries: DataFrame, k: int | None = 20) -> DataFrame:
 
 
 def like_search(docs: DataFrame, pattern: str, limit: int, text: str = "text", newest: str = "doc_id") -> DataFrame:
-    """The fallback: substring match, ASCII cases apart, % and _ of the pattern being wildcards; newest first."""
-    return docs.where(F.col(text).ilike(f"%{pattern}%")).orderBy(F.desc(newest)).limit(limit)
+    """The fallback: substring match, cases of A to Z apart, % and _ of the pattern being wildcards and nothing an escape; newest first."""
+    folded = pattern.translate({ord(u): low for u, low in zip(UPPER, LOWER)})
+    found = F.like(ascii_fold(text), F.lit(f"%{folded}%"), F.lit("\x00"))
+    return docs.where(found).orderBy(F.desc(newest)).limit(limit)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.embed import cosine
 from ..functions.text import content_tokens, jaccard
 
 Judge = Callable[[Column, Column], Column]
@@ -36,11 +37,12 @@ def _prefix(tokens: DataFrame, least: float) -> DataFrame:
     return ranked.where(F.col("k") <= F.col("m") - F.ceil(F.lit(least) * F.col("m")) + 1).select("id", "token")
 
 
-def candidate_pairs(facts: DataFrame, by: str = "both", least: float = 0.2) -> DataFrame:
+def candidate_pairs(facts: DataFrame, by: str = "both", least: float = 0.2, since: int | None = None) -> DataFrame:
     """(old_id, new_id), old written before new, of facts (id, seq, content, entity_ids) that share an entity or enough tokens.
 
     Blocking keys are joined, not all pairs: entities, and each fact's rarest tokens (lossless for a
-    Jaccard of at least `least`; the default judge can't reach its threshold below 0.2).
+    Jaccard of at least `least`). since: only pairs whose new fact has this seq or a later one, so that
+    a write meets the store's keys once.
     """
     keys = []
     if by in ("both", "entities"):
@@ -51,19 +53,38 @@ def candidate_pairs(facts: DataFrame, by: str = "both", least: float = 0.2) -> D
         keys.append(rare.join(facts.select("id", "seq"), "id").select("id", "seq", F.concat(F.lit("t:"), "token").alias("key")))
     all_keys = keys[0] if len(keys) == 1 else keys[0].unionByName(keys[1])
     old = all_keys.select(F.col("id").alias("old_id"), F.col("seq").alias("old_seq"), "key")
-    new = all_keys.select(F.col("id").alias("new_id"), F.col("seq").alias("new_seq"), "key")
+    new = (all_keys if since is None else all_keys.where(F.col("seq") >= since)).select(F.col("id").alias("new_id"), F.col("seq").alias("new_seq"), "key")
     return old.join(new, "key").where("old_seq < new_seq").select("old_id", "new_id").distinct()
 
 
-def conflicts(facts: DataFrame, threshold: float = 0.55, related: float = 0.25, judge: Judge = default_judge, similarity: Judge = token_cosine, by: str = "both") -> DataFrame:
-    """old_id, new_id, score, old_seq, new_seq of contradicting facts. similarity takes the two facts' tokens."""
+def related_pairs(facts: DataFrame, related: float = 0.25, by: str = "both", least: float = 0.2, since: int | None = None) -> DataFrame:
+    """candidate_pairs that share an entity or whose tokens' Jaccard is at least `related`: old_ and new_ id, seq, entity_ids and tokens, and jac.
+
+    Pairs below `related` without a common entity can't conflict, and the judges hardly score pairs
+    below `least`; so tokens are blocked for the lesser of the two.
+    """
     known = facts.select("id", "seq", "entity_ids", content_tokens("content").alias("tokens"))
     side = lambda p: known.select(*[F.col(c).alias(f"{p}_{c}") for c in known.columns])
-    pairs = candidate_pairs(facts, by).join(side("old"), "old_id").join(side("new"), "new_id")
-    jac = jaccard("old_tokens", "new_tokens")
-    pairs = pairs.withColumn("jac", jac).withColumn("sim", similarity(F.col("old_tokens"), F.col("new_tokens")))
-    gate = F.arrays_overlap("old_entity_ids", "new_entity_ids") | (F.col("jac") >= related)
-    return pairs.where(gate).withColumn("score", judge(F.col("sim"), F.col("jac"))).where(F.col("score") >= threshold).select("old_id", "new_id", "score", "old_seq", "new_seq")
+    pairs = candidate_pairs(facts, by, min(least, related), since).join(side("old"), "old_id").join(side("new"), "new_id")
+    pairs = pairs.withColumn("jac", jaccard("old_tokens", "new_tokens"))
+    return pairs.where(F.arrays_overlap("old_entity_ids", "new_entity_ids") | (F.col("jac") >= related))
+
+
+def conflicts(facts: DataFrame, threshold: float = 0.55, related: float = 0.25, judge: Judge = default_judge, similarity: Judge | None = token_cosine, by: str = "both", embedder=None, since: int | None = None) -> DataFrame:
+    """old_id, new_id, score, old_seq, new_seq of contradicting facts.
+
+    similarity takes the two facts' tokens; with an embedder, it is the cosine of their contents'
+    vectors, which are made for facts of related pairs only.
+    """
+    pairs = related_pairs(facts, related, by, since=since)
+    if embedder is None:
+        pairs = pairs.withColumn("sim", similarity(F.col("old_tokens"), F.col("new_tokens")))
+    else:
+        pairs = pairs.select("old_id", "new_id", "old_seq", "new_seq", "jac")
+        met = pairs.select(F.explode(F.array("old_id", "new_id")).alias("id")).distinct()
+        vectors = facts.join(met, "id", "left_semi").select("id", embedder("content").alias("v"))
+        pairs = pairs.join(vectors.select(F.col("id").alias("old_id"), F.col("v").alias("a")), "old_id").join(vectors.select(F.col("id").alias("new_id"), F.col("v").alias("b")), "new_id").withColumn("sim", cosine("a", "b"))
+    return pairs.withColumn("score", judge(F.col("sim"), F.col("jac"))).where(F.col("score") >= threshold).select("old_id", "new_id", "score", "old_seq", "new_seq")
 
 
 def resolve(found: DataFrame) -> DataFrame:
@@ -75,10 +96,13 @@ def resolve(found: DataFrame) -> DataFrame:
     return found.groupBy("old_id").agg(F.min_by("new_id", "new_seq").alias("new_id"), F.min("new_seq").alias("at_seq"))
 
 
-def preview(content: str, entity_ids: list[str], facts: DataFrame, threshold: float = 0.55, related: float = 0.25, judge: Judge = default_judge, similarity: Judge = token_cosine) -> DataFrame:
-    """Facts that a new one would contradict, without writing; the scan is one pass, the new fact a literal."""
+def preview(content: str, entity_ids: list[str], facts: DataFrame, threshold: float = 0.55, related: float = 0.25, judge: Judge = default_judge, similarity: Judge | None = token_cosine, embedder=None) -> DataFrame:
+    """Facts that a new one would contradict, with the score that conflicts() would give them, without writing; the new fact is a literal, so the scan is one pass."""
+    own = facts.columns
     tokens = content_tokens(F.lit(content))
-    scored = facts.withColumn("_t", content_tokens("content"))
-    scored = scored.withColumn("_j", jaccard(F.col("_t"), tokens)).withColumn("score", judge(similarity(F.col("_t"), tokens), F.col("_j")))
+    scored = facts.select(F.struct("*").alias("fact"), content_tokens("content").alias("tokens"), *([embedder("content").alias("a"), embedder(F.lit(content)).alias("b")] if embedder else []))
+    scored = scored.withColumn("jac", jaccard("tokens", tokens))
+    scored = scored.withColumn("score", judge(cosine("a", "b") if embedder else similarity(F.col("tokens"), tokens), F.col("jac")))
     entities = F.array(*[F.lit(e) for e in entity_ids]).cast("array<string>")
-    return scored.where((F.arrays_overlap("entity_ids", entities) | (F.col("_j") >= related)) & (F.col("score") >= threshold)).orderBy(F.desc("score"), "id").drop("_t", "_j")
+    found = scored.where((F.arrays_overlap("fact.entity_ids", entities) | (F.col("jac") >= related)) & (F.col("score") >= threshold))
+    return found.select(*[F.col("fact")[c].alias(c) for c in own if c != "score"], "score").orderBy(F.desc("score"), "id")

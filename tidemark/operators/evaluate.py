@@ -12,10 +12,48 @@ def first_hits(results: DataFrame, gold: DataFrame) -> DataFrame:
     return gold.select("query_id").distinct().join(hits, "query_id", "left")
 
 
-def recall_and_mrr(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
-    """One row: recall_at_k for each k, and mrr."""
-    first = first_hits(results, gold)
-    return first.agg(*[F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias(f"recall_at_{k}") for k in ks], F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+#: The ranks at which recall is measured; results beyond the last one don't count.
+KS = (1, 2, 3, 5, 8, 10)
+
+
+def recall_and_mrr(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """One row: recall_at_k for each k, mrr and acc_at_1, over the results up to the largest k."""
+    first = first_hits(results.where(F.col("rank") <= max(ks)), gold)
+    share = lambda c, name: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6).alias(name)
+    return first.agg(*[share(F.col("first") <= k, f"recall_at_{k}") for k in ks], F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), share(F.col("first") == 1, "acc_at_1"))
+
+
+def compare(strategies: dict[str, DataFrame], gold: DataFrame, topic_of: DataFrame, ks: tuple[int, ...] = KS, stale_at: int = 5) -> DataFrame:
+    """A row for each strategy's results (query_id, doc_id, rank): its name, recall_and_mrr and the mean anachronism.
+
+    gold: query_id, topic, doc_id; topic_of: doc_id, topic. Questions without results count as misses and as free of anachronisms.
+    """
+    rows = None
+    questions = gold.select("query_id").distinct()
+    for name, results in strategies.items():
+        stale = questions.join(anachronism(results, topic_of, gold, stale_at), "query_id", "left").agg(F.round(F.avg(F.coalesce("anachronism", F.lit(0.0))), 6).alias(f"anachronism_at_{stale_at}"))
+        row = recall_and_mrr(results, gold.select("query_id", "doc_id"), ks).crossJoin(F.broadcast(stale)).select(F.lit(name).alias("strategy"), "*")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def report(compared: DataFrame, columns: tuple[str, ...] = ("mrr", "acc_at_1", "anachronism_at_5")) -> str:
+    """The table of compare() as text, a strategy a line; as many lines as there are strategies."""
+    lines = [f"{'strategy':28s}" + "".join(f"{c:>18s}" for c in columns)]
+    return "\n".join(lines + [f"{r['strategy']:28s}" + "".join(f"{r[c]:18.3f}" for c in columns) for r in compared.collect()])
+
+
+def session_hits(results: DataFrame, sessions: DataFrame, answers: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """recall_and_mrr of sessions: results (query_id, rank, text) are led back to the sessions (query_id, session_id, pos, text, openings) that they come from; answers: query_id, session_id.
+
+    A result is of the first session by pos whose text it equals, else of the first one of which it
+    contains an opening, the first 80 characters of a turn.
+    """
+    met = results.select("query_id", "rank", F.col("text").alias("found")).join(sessions, "query_id")
+    exact = F.col("found") == F.col("text")
+    part = F.exists("openings", lambda o: (o != "") & F.contains(F.col("found"), o))
+    placed = met.where(exact | part).groupBy("query_id", "rank").agg(F.min_by("session_id", F.struct(~exact, F.col("pos"))).alias("doc_id"))
+    return recall_and_mrr(placed, answers.select("query_id", F.col("session_id").alias("doc_id")), ks)
 
 
 def misses(results: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:

@@ -25,14 +25,14 @@ def neighbors(relations: DataFrame, start: DataFrame, depth: int = 1) -> DataFra
 
 
 def paths(relations: DataFrame, start: DataFrame, targets: DataFrame | None = None, max_depth: int = 5) -> DataFrame:
-    """start, target, hops, path (array of nodes), types of every simple directed path of at most max_depth edges; targets: a column `id`."""
+    """start, target, hops, path (array of nodes), types of every simple directed path of at most max_depth edges (none for 0); targets: a column `id`."""
     links = edges(relations)
     front = start.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"), F.array().cast("array<string>").alias("types"))
-    found = None
+    found = front.where("false").select("start", "at", "path", "types")
     for _ in range(max_depth):
         front = front.join(links, (front["at"] == links.source_id) & ~F.array_contains("path", F.col("target_id")))
         front = front.select("start", F.col("target_id").alias("at"), F.array_append("path", F.col("target_id")).alias("path"), F.array_append("types", F.col("type")).alias("types"))
-        found = front if found is None else found.unionByName(front)
+        found = found.unionByName(front)
     found = found.select("start", F.col("at").alias("target"), F.size("types").cast("long").alias("hops"), "path", "types")
     return found if targets is None else found.join(targets.select(F.col("id").alias("target")), "target", "left_semi")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +17,36 @@ BROADCAST_QUERIES = 2_000
 
 def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, sim, rank of the k nearest vectors (doc_id, embedding) of each query (query_id, embedding)."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+        return _dense_blocks(vectors, queries, k)
     asked = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = vectors.crossJoin(F.broadcast(asked) if few else asked)  # the stated queries against all rows
+    pairs = vectors.crossJoin(F.broadcast(asked))  # the stated queries against all rows
     scored = pairs.select("query_id", "doc_id", F.round(cosine("embedding", "q"), 6).alias("sim"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), F.desc("doc_id"))).cast("long"))
     return ranked.where(F.col("rank") <= k)
 
 
+def _dense_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """dense_candidates of many queries: blocks of queries meet blocks of vectors as a matrix product, of which the k best of each query are left."""
+    schema = queries.select("query_id").join(vectors.select("doc_id")).schema
+    cells = lambda df, n, own, other: df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")).withColumn(other, F.lit(None).cast("int"))
+    n_q, n_v = (max(1, -(-df.count() // BROADCAST_QUERIES)) for df in (queries, vectors))
+    asked = cells(queries.select("query_id", F.col("embedding").alias("e")), n_q, "i", "j").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+    held = cells(vectors.select("doc_id", F.col("embedding").alias("e")), n_v, "j", "i").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+    def best(_, q, v):
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": q["query_id"][:0], "doc_id": v["doc_id"][:0], "sim": []})
+        sim = np.round(np.stack(q["e"]).astype(float) @ np.stack(v["e"]).astype(float).T, 6)
+        ids = v["doc_id"].to_numpy()
+        top = [np.lexsort((-ids.argsort().argsort(), -row))[:k] for row in sim]
+        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), [len(t) for t in top]), "doc_id": ids[np.concatenate(top)], "sim": np.concatenate([row[t] for row, t in zip(sim, top)])})
+
+    found = asked.groupBy("i", "j").cogroup(held.groupBy("i", "j")).applyInPandas(best, schema.add("sim", "double"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), F.desc("doc_id"))).cast("long"))
+    return ranked.where(F.col("rank") <= k)
+
+
 def fuse(sparse: DataFrame, dense: DataFrame, rrf_k: int = 60) -> DataFrame:
     """query_id, doc_id, score, sparse_rank, dense_rank: reciprocal rank fusion of two ranked lists."""
     lists = sparse.select("query_id", "doc_id", F.col("rank").alias("s"), F.lit(None).cast("long").alias("d"))
@@ -66,11 +90,19 @@ def rerank(results: DataFrame, sim: str = "sim", weight: float = 0.5) -> DataFra
 
 
 def overlap_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The keyword-overlap baseline: docs (doc_id, tokens), queries (query_id, tokens). An inverted join; rows without overlap aren't returned."""
+    """The keyword-overlap baseline: docs (doc_id, tokens), queries (query_id, tokens); query_id, doc_id, overlap, rank of the k best.
+
+    An inverted join finds documents that share a word. Where a question has fewer than k of them, the
+    first others by id fill up with an overlap of 0: of any k documents that are looked at besides, enough share nothing.
+    """
     words = docs.select("doc_id", F.explode("tokens").alias("t"))
     asked = queries.select("query_id", F.explode("tokens").alias("t"))
     hits = words.join(asked, "t").groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")).cast("long")).where(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)  # a question with fewer than k hits shares nothing with k of these
+    fill = queries.select("query_id").crossJoin(F.broadcast(first)).join(best, ["query_id", "doc_id"], "left_anti").withColumn("overlap", F.lit(0).cast("long"))
+    return best.unionByName(fill).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def recency(results: DataFrame, k: int, newest: str = "created_at") -> DataFrame:

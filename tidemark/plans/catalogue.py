@@ -163,7 +163,7 @@ def _questions(spark, sf):
 
 
 def _sparse(spark, sf, k):
-    return bm25.search(bm25.build_index(table(spark, sf, "documents")), _questions(spark, sf), k)
+    return bm25.search_documents(table(spark, sf, "documents"), _questions(spark, sf), k)
 
 
 @query(f"with {BM25} select query_id, doc_id, round(bm25, 6) as bm25, rank from sparse where rank <= 10")
@@ -317,12 +317,24 @@ def resolve_batch(spark, sf):
     return conflict.resolve(conflict.conflicts(_typed(spark, sf), by="entities")).select("old_id", "new_id")
 
 
-@query(f"""with t as (select item_id as id, {content_sql('text')} as tk from benchmark),
-pairs as (select a.id as old_id, b.id as new_id, {SIM} as sim, {JAC} as jac from t a join t b on a.id < b.id)
-select old_id, new_id, round({JUDGE}, 6) as score from pairs where jac >= 0.25e0 and {JUDGE} >= 0.3e0""")
+@query(f"""with t as (select conv_id * 1000 + turn as id, {content_sql('text')} as tk from conversations),
+pairs as (select a.id as old_id, b.id as new_id, {SIM} as sim, {JAC} as jac from t a join t b on a.id < b.id and list_has_any(a.tk, b.tk))
+select old_id, new_id, round({JUDGE}, 6) as score from pairs where jac >= 0.15e0 and {JUDGE} >= 0.02e0""")
 def conflict_tokens(spark, sf):
-    f = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("seq"), F.col("text").alias("content"), F.array().cast("array<string>").alias("entity_ids"))
-    return conflict.conflicts(f, threshold=0.3, by="tokens").select("old_id", "new_id", F.round("score", 6).alias("score"))
+    c = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    f = c.select("id", F.col("id").alias("seq"), F.col("text").alias("content"), F.array().cast("array<string>").alias("entity_ids"))
+    return conflict.conflicts(f, threshold=0.02, related=0.15, by="tokens").select("old_id", "new_id", F.round("score", 6).alias("score"))
+
+
+def embedder_conflicts(spark, sf):
+    """Scored by the embedder, as the facade does it; tests hold it against a plain computation."""
+    return conflict.conflicts(_typed(spark, sf), by="entities", embedder=embed.hashing_embedder()).select("old_id", "new_id", F.round("score", 4).alias("score"))
+
+
+def hashing_embed(spark, sf):
+    """The nonzero buckets of every whole document; tests hold the vectors against a plain computation."""
+    v = table(spark, sf, "documents").select("doc_id", embed.hashing_embedder()("text").alias("v"))
+    return v.select("doc_id", F.posexplode("v").alias("bucket", "weight")).where("weight <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("weight").cast("double"), 5).alias("weight"))
 
 
 @query(f"""with {FACTS}, {TOKEN_FACTS}, b as (select {content_sql("'user 7 click value 100'")} as tk), s as (select a.id, a.user_id, {SIM} as sim, {JAC} as jac from tf a, b where not deprecated)
@@ -393,9 +405,12 @@ def entities_of_facts(spark, sf):
     return graph.entities_of(f, entities(spark, sf))
 
 
-@query("select lower(p_brand) as folded, min(p_brand) as name, count(*) as n from part group by 1")
+@query("""with v as (select concat('c', c_custkey) as id, 0 as seq, c_name as name from customer union all select concat('c', o_custkey), o_orderkey, concat('order ', o_orderkey) from orders)
+select id, arg_max(name, seq) as name, max(seq)::bigint as seq from v group by id""")
 def entity_upsert(spark, sf):
-    return table(spark, sf, "part").groupBy(text.ascii_fold("p_brand").alias("folded")).agg(F.min("p_brand").alias("name"), F.count("*").alias("n"))
+    known = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit(0).cast("long").alias("seq"), F.col("c_name").alias("name"))
+    incoming = table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("order "), "o_orderkey").alias("name"))
+    return store.upserted(known, incoming)
 
 
 # -- evaluation
@@ -409,17 +424,32 @@ def _gold(spark, sf):
     return d.join(F.broadcast(b), F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), "doc_id")
 
 
-FIRST = f"with {BM25}, {GOLD}, first as (select query_id, min(rank) as r from gold left join sparse using (query_id, doc_id) group by query_id)"
+FIRST = f"with {BM25}, {GOLD}, first as (select query_id, min(rank) filter (where rank <= 10) as r from gold left join sparse using (query_id, doc_id) group by query_id)"
 
 
-@query(FIRST + " select " + ", ".join(f"round(avg(case when r <= {k} then 1e0 else 0e0 end), 6) as recall_at_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1e0 / r, 0e0)), 6) as mrr from first")
+@query(FIRST + " select " + ", ".join(f"round(avg(case when r <= {k} then 1e0 else 0e0 end), 6) as recall_at_{k}" for k in evaluate.KS) + ", round(avg(coalesce(1e0 / r, 0e0)), 6) as mrr, round(avg(case when r = 1 then 1e0 else 0e0 end), 6) as acc_at_1 from first")
 def recall_and_mrr(spark, sf):
-    return evaluate.recall_and_mrr(_sparse(spark, sf, None), _gold(spark, sf))
+    return evaluate.recall_and_mrr(_sparse(spark, sf, max(evaluate.KS)), _gold(spark, sf))
 
 
-@query(FIRST + " select query_id from first where coalesce(r > 1, true)")
+@query(FIRST + " select query_id from first where r is null")
 def misses(spark, sf):
-    return evaluate.misses(_sparse(spark, sf, None), _gold(spark, sf), 1)
+    return evaluate.misses(_sparse(spark, sf, 10), _gold(spark, sf))
+
+
+@query(f"""with {BM25}, {DENSE_ASKED}, {GOLD}, lists as (select 'sparse' as strategy, query_id, doc_id, rank from sparse where rank <= 10 union all select 'dense', query_id, doc_id, rank from dense where rank <= 10),
+strategies as (select unnest(['sparse', 'dense']) as strategy), asked as (select query_id, min(lang) as topic from gold join documents using (doc_id) group by query_id),
+first as (select strategy, gold.query_id, min(rank) as r from strategies cross join gold left join lists using (strategy, query_id, doc_id) group by all),
+shown as (select strategy, lists.query_id, avg(coalesce(lang = topic and gold.doc_id is null, false)::int::double) as wrong from lists left join documents using (doc_id) join asked using (query_id) left join gold using (query_id, doc_id) where rank <= 5 group by all)
+select strategy, {", ".join(f"round(avg(case when r <= {k} then 1e0 else 0e0 end), 6) as recall_at_{k}" for k in evaluate.KS)}, round(avg(coalesce(1e0 / r, 0e0)), 6) as mrr, round(avg(case when r = 1 then 1e0 else 0e0 end), 6) as acc_at_1,
+  round(avg(coalesce(wrong, 0e0)), 6) as anachronism_at_5 from first left join shown using (strategy, query_id) group by strategy""")
+def compare_strategies(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("topic"))
+    gold = _gold(spark, sf)
+    gold = gold.join(gold.join(docs, "doc_id").groupBy("query_id").agg(F.min("topic").alias("topic")), "query_id")
+    v = _vectors(spark, sf)
+    asked = v.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    return evaluate.compare({"sparse": _sparse(spark, sf, 10), "dense": retrieve.dense_candidates(v, asked, 10)}, gold, docs)
 
 
 @query(f"""with {BM25}, {GOLD}, q as (select query_id, min(lang) as asked from gold join documents using (doc_id) group by query_id),
@@ -471,7 +501,9 @@ def recency_baseline(spark, sf):
 
 
 @query(f"""with d as (select doc_id, unnest({overlap_sql('text')}) as t from documents), q as (select item_id as query_id, unnest({overlap_sql('text')}) as t from benchmark),
-h as (select query_id, doc_id, count(*) as overlap from d join q using (t) group by 1, 2), r as (select *, row_number() over (partition by query_id order by overlap desc, doc_id) as rank from h) select * from r where rank <= 5""")
+h as (select query_id, doc_id, count(*) as overlap from d join q using (t) group by 1, 2),
+o as (select b.item_id as query_id, documents.doc_id, coalesce(overlap, 0) as overlap from benchmark b cross join documents left join h on h.query_id = b.item_id and h.doc_id = documents.doc_id),
+r as (select *, row_number() over (partition by query_id order by overlap desc, doc_id) as rank from o) select * from r where rank <= 5""")
 def grep_baseline(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", text.overlap_tokens("text").alias("tokens"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.overlap_tokens("text").alias("tokens"))
@@ -498,3 +530,6 @@ select old_id, case when bool_or(manual) then arg_max(new_id, at_seq) filter (wh
 def deprecate_log(spark, sf):
     e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("old_id"), F.col("l_orderkey").alias("new_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at_seq"), (F.col("l_returnflag") == "R").alias("manual"))
     return store.chosen(e)
+
+# Without SQL: vectors of 512 sums of logarithms.
+QUERIES |= {f.__name__: f for f in (embedder_conflicts, hashing_embed)}

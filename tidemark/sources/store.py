@@ -6,6 +6,8 @@ replacements an event. Nothing is rewritten; a version wins by its sequence numb
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +35,32 @@ def chosen(supersession: DataFrame) -> DataFrame:
 
 
 def apply_supersession(facts: DataFrame, supersession: DataFrame) -> DataFrame:
-    """facts with deprecated and replaced_by as the events say."""
-    events = chosen(supersession).select("old_id", F.col("new_id").alias("_new"), F.lit(True).alias("_hit"))
+    """facts with deprecated and replaced_by as the events since their version was written say; earlier ones are part of it."""
+    later = supersession.join(facts.select(F.col("id").alias("old_id"), "seq"), "old_id").where(F.col("at_seq") >= F.col("seq"))
+    events = chosen(later).select("old_id", F.col("new_id").alias("_new"), F.lit(True).alias("_hit"))
     joined = facts.join(events, facts.id == events.old_id, "left")
     new = {"deprecated": F.coalesce("deprecated", F.lit(False)) | F.col("_hit").isNotNull(), "replaced_by": F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("replaced_by"))}
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in facts.columns])
 
 
+def upserted(known: DataFrame, incoming: DataFrame, key: str = "id", version: str = "seq") -> DataFrame:
+    """The rows of both, of each key the last version: incoming ones replace known ones whose versions are earlier."""
+    return latest(known.unionByName(incoming), key, version)
+
+
+def to_json(value) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
+def from_json(text: str | None) -> dict:
+    """A JSON object; empty for anything that isn't one."""
+    try:
+        value = json.loads(text or "")
+    except ValueError:
+        return {}
+    return value if isinstance(value, dict) else {}
+
+
 class Catalog:
     """The tables under base_path."""
 
@@ -63,8 +84,19 @@ class Catalog:
         want = self.spark.createDataFrame([], TABLES[name]).schema
         rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]).write.mode("append").parquet(self.path(name))
 
-    def next_seq(self, name: str) -> int:
-        return (self.log(name).agg(F.max("seq")).first()[0] or 0) + 1
+    def next_seq(self) -> int:
+        """One more than any number given out so far: versions, replacements and deletions follow one order."""
+        last = [self.log(t).agg(F.max("at_seq" if t == "supersession" else "seq").alias("m")) for t in TABLES if self.exists(t)]
+        return max([0, *(r.m or 0 for df in last for r in df.collect())]) + 1
+
+    def compact(self, name: str) -> None:
+        """Rewrites a log as few files: the new ones are complete before they take the place of the old."""
+        rows, path = self.log(name), self.path(name)
+        rows.repartition(max(1, len(rows.inputFiles()) // 64)).write.mode("overwrite").parquet(path + ".new")
+        fs = (place := self.spark._jvm.org.apache.hadoop.fs.Path)(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.rename(place(path), place(path + ".old"))
+        fs.rename(place(path + ".new"), place(path))
+        fs.delete(place(path + ".old"), True)
 
     def facts(self) -> DataFrame:
         return apply_supersession(without(latest(self.log("facts")), self.log("tombstones")), self.log("supersession"))
@@ -97,12 +129,37 @@ def read_haystacks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
-def session_record(timestamp: str, texts: list[str], probes: list[dict], session_id: int) -> dict:
-    return {"session_id": session_id, "timestamp": timestamp, "writes": [{"text": t, "meta": {}} for t in texts], "probes": probes}
-
-
-def write_flood(spark: SparkSession, path: str, topics: int = 10, versions: int = 6) -> None:
-    """A generated scenario: each topic's value is replaced again and again; one probe a topic asks for the last."""
-    rows = spark.range(topics).select(F.col("id").alias("topic"), F.explode(F.sequence(F.lit(0), F.lit(versions - 1))).alias("version"))
-    rows = rows.select("topic", "version", F.format_string("The %s limit of unit %d is %d.", F.lit("daily"), "topic", F.col("version") * 10 + F.col("topic")).alias("text"), F.make_timestamp(F.lit(2024), F.lit(1), (F.col("topic") * 5 + F.col("version")) % 28 + 1, F.lit(0), F.lit(0), F.lit(0)).alias("timestamp"))
-    rows.write.mode("overwrite").json(path)
+def write_scenario(path: str, suite: str, sessions: list[tuple[str, list[str]]], probes: list[dict]) -> None:
+    """A session file that read_scenarios reads: sessions (timestamp, texts) in order, all probes in the last one."""
+    listed = [{"session_id": k, "timestamp": at, "writes": [{"text": t, "meta": {}} for t in texts], "probes": []} for k, (at, texts) in enumerate(sessions, 1)]
+    if listed:
+        listed[-1]["probes"] = probes
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"suite": suite, "sessions": listed}, f, ensure_ascii=False)
+
+
+def _day(n: int) -> str:
+    """A day of January 2024; after the 28th they begin again, so writing order isn't the order of time."""
+    return f"2024-01-{n % 28 + 1:02d}T00:00:00"
+
+
+def supersession_flood(path: str, topics: int = 10, earlier: int = 5) -> None:
+    """Each topic's value is replaced again and again in the words of the question; a probe a topic asks for the last."""
+    said = lambda k, value: f"The daily limit of unit {k} is {value}."
+    sessions, probes = [], []
+    for k in range(topics):
+        values = [100 * k + 10 * v for v in range(earlier + 1)]
+        sessions += [(_day(5 * k + v), [said(k, x)]) for v, x in enumerate(values)]
+        probes.append({"id": f"sup-{k:02d}", "question": f"What is the daily limit of unit {k} now?", "expected": [said(k, values[-1])], "must_not_contain": [said(k, x) for x in values[:-1]], "supersedes": said(k, values[-2])})
+    write_scenario(path, "supersession_flood", sessions, probes)
+
+
+def entity_flood(path: str, names: int = 8, variants: tuple[str, ...] = ("north", "south", "spare", "trial")) -> None:
+    """Near-miss variants of each name are written before the fact about the name itself; a probe a name asks for that."""
+    said = lambda name, value: f"{name} listens on gate {value}."
+    sessions, probes = [], []
+    for k in range(names):
+        others = [(f"station{k}-{v}", 1000 * (k + 1) + n) for n, v in enumerate(variants, 1)]
+        sessions += [(_day(6 * k + n), [said(*o)]) for n, o in enumerate(others)] + [(_day(6 * k + 5), [said(f"station{k}", 1000 * (k + 1))])]
+        probes.append({"id": f"ent-{k:02d}", "question": f"On what gate does station{k} listen?", "expected": [said(f"station{k}", 1000 * (k + 1))], "must_not_contain": [said(*o) for o in others], "supersedes": None})
+    write_scenario(path, "entity_flood", sessions, probes)
