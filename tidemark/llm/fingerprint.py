@@ -16,6 +16,8 @@ only in texts of few k-mers, whose estimate then varies more and stays unbiased.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,7 +142,7 @@ def with_next_text(docs: DataFrame, block_rows: int = 500) -> DataFrame:
     ids; a block's first row also goes to the block before, as the row that follows its last one.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
-    cuts = docs.sparkSession.createDataFrame([(cuts_of(docs, block_rows),)], "cuts array<long>")
+    cuts = docs.sparkSession.range(1).select(F.from_json(F.lit(json.dumps(cuts_of(docs, block_rows))), "array<bigint>").alias("cuts"))
     rows = rows.crossJoin(F.broadcast(cuts))  # one row, of MOST_BLOCKS ids at most
     rows = rows.withColumn("block", _block(F.col("cuts"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)), F.col("h"))).drop("cuts")
     firsts = rows.groupBy("block").agg(F.min(F.struct("doc_id", "h")).alias("first"))  # a row a block, MOST_BLOCKS at most
