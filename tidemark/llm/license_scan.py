@@ -267,7 +267,9 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None, least: flo
     spans = F.filter(F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("a"), (b - a + 1).alias("n"))), lambda s: s["n"] > 1)
     out = out.withColumn(block_at, spans)
     single = F.transform(hashed, lambda h, i: F.struct(i.alias("paragraph"), F.lit(1).alias("n_lines"), features(h).alias("f")))
-    blocks = F.transform(block_at, lambda s: F.struct(s["a"].alias("paragraph"), s["n"].alias("n_lines"), features(F.flatten(F.slice(hashed, s["a"] + 1, s["n"]))).alias("f")))
+    # The words of a block are put together once, before they are looked up.
+    joined = F.transform(block_at, lambda s: F.struct(s["a"].alias("paragraph"), s["n"].alias("n_lines"), F.flatten(F.slice(hashed, s["a"] + 1, s["n"])).alias("h")))
+    blocks = F.transform(joined, lambda s: F.struct(s["paragraph"].alias("paragraph"), s["n_lines"].alias("n_lines"), features(s["h"]).alias("f")))
     out = out.select(*own, F.filter(F.concat(single, blocks), lambda s: F.size(s["f"]) > 0).alias(found))
     score = lambda f: F.transform(bias, lambda b, c: F.aggregate(f, b, lambda z, x: z + F.get(F.get(weights, x), c)))
     out = out.select(*own, F.transform(found, lambda s: F.struct(s["paragraph"].alias("paragraph"), s["n_lines"].alias("n_lines"), s["f"].alias("f"), score(s["f"]).alias("z"))).alias(scored))
