@@ -68,6 +68,12 @@ def release(*frames: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def drawn(df: DataFrame, rows: int, over: int = 8) -> DataFrame:
+    """About `over` times `rows` rows of df, at random but the same for the same files, or all of a smaller one: what reaches the driver is bounded however many tasks read df."""
+    n = df.count()
+    return (df if n <= over * rows else df.sample(over * rows / n, 1)).limit(4 * over * rows)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

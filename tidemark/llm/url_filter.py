@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drawn
+
 #: (host/path, verdict)
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
@@ -149,13 +151,13 @@ class UrlTrees:
 def learn(labelled: DataFrame, rows: int = 4000) -> UrlTrees:
     """Trees from a table of labelled urls (url, label: 'block' or 'allow'; rows without either are left out).
 
-    The sample is bounded: of each label, the `rows` rows first by a hash of their url (then by url);
-    a url that is repeated with one label counts once.
+    The sample is bounded: of each label, the `rows` urls first by a hash among those drawn; a url that is
+    repeated with one label counts once.
     """
     urls: dict[tuple[str, str], None] = {}
     for label in ("allow", "block"):
-        first = labelled.where((F.col("label") == label) & F.col("url").isNotNull()).select("url").orderBy(F.xxhash64("url"), "url").limit(rows)
-        urls.update(((r.url, label), None) for r in first.collect())
+        some = drawn(labelled.where((F.col("label") == label) & F.col("url").isNotNull()).select("url"), rows).select(F.xxhash64("url").alias("h"), "url").collect()
+        urls.update(((u, label), None) for _, u in sorted({(r.h, r.url) for r in some})[:rows])
     return UrlTrees([u for u, _ in urls], [int(label == "block") for _, label in urls])
 
 
