@@ -346,8 +346,8 @@ class Packer:
         self.close(out, [1 << k for k in range(self.used.bit_length() - 1, -1, -1) if self.used >> k & 1])
 
 
-#: Keys drawn for each range that documents are dealt into.
-DRAWN = 64
+#: Ids of a range that documents are dealt into, about; there are as many ranges as shuffle partitions, or more if these ids need them.
+RANGE_IDS = 128_000_000
 
 
 def vocabulary_size(path: str) -> int:
@@ -363,7 +363,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
     documents are encoded once into the shared folder, and dealt by ranges of their three heaviest terms
     (and their own number, so a common key is no large task). Shards are up to shard_docs documents
     and about shard_ids ids that follow each other in a range, so no task holds more than a shard and a
-    batch. Only the last sequences of a range, powers of two, are shorter than the window: there is no padding.
+    batch. The ranges' bounds are drawn keys, 8 to 64 for each. Only the last sequences of a range, powers of two, are shorter than the window: there is no padding.
     """
 
     kind = "<u2" if max(vocabulary_size(path or tokenizer_path("word_bpe_49k.json")), end_id + 1) <= 1 << 16 else "<u4"
@@ -388,7 +388,8 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
     corpus = corpus_of(coded)
     coded = coded.where("row >= 0")
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(corpus.n * corpus.average // RANGE_IDS) + 1)
+    per_range = min(64, max(8, 640_000 // parts))
 
     def keyed(batches, bounds):
         for batch in batches:
@@ -400,7 +401,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(part, pa.int32())], names=[*names, "k1", "k2", "k3", "part"])
 
     with_keys = "doc_id long, row long, ids binary, k1 long, k2 long, k3 long, part int"
-    drawn = coded.sample(min(1.0, DRAWN * parts / max(1, corpus.n)), 1).mapInArrow(lambda b: keyed(b, []), with_keys).select("k1", "k2", "k3", "row").limit(4 * DRAWN * parts).collect()
+    drawn = coded.sample(min(1.0, per_range * parts / max(1, corpus.n)), 1).mapInArrow(lambda b: keyed(b, []), with_keys).select("k1", "k2", "k3", "row").limit(4 * per_range * parts).collect()
     drawn = sorted(map(tuple, drawn))
     bounds = [drawn[len(drawn) * k // parts] for k in range(1, parts)] if drawn else []
 
