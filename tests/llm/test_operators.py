@@ -40,6 +40,59 @@ def test_html(spark):
     assert html_extract.extract_pages(rows.limit(0)).count() == 0
 
 
+P = "A paragraph with a good deal of text in it, to be kept as the main part of the page it is on."
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<p>{P}</p><![bad[x]]><p>{P}</p><![ <p>", [P, P]),  # marked sections that the parser doesn't know
+    (f'<nav><a href=x>Home</a></nav><div class="content with-sidebar"><p>{P}</p><p>{P}</p></div><footer>f</footer>', [P, P]),
+    (f'<div class="post comments-open"><h1>T</h1><p>{P}</p><p>{P}</p></div>', ["T", P, P]),
+    (f'<article><h1>T</h1><p>{P}</p><p class="alert">{P}</p><div id="related-work"><p>{P}</p></div><p>{P}</p></article>', ["T", P, P, P, P]),
+    (f"<div><ul><li><a href=1>One link</a><li><a href=2>Two link</a><li><a href=3>Three</a></ul><h1>T</h1><p>{P}</p><p>{P}</p></div>", ["T", P, P]),
+    (f'<div id=main><h1>T</h1><p>{P}</p><p>{P}</p></div><div class="comments"><p>{P} {P} said</p><p>{P} said</p><p>{P} said</p></div>', ["T", P, P]),
+    (f'<div class="sidebar"><h1>T</h1><p>{P}</p><p>{P}</p></div><div class=ad>buy</div>', ["T", P, P]),  # a name in the densest line's ancestors
+    (f'<article><h1>T</h1><p>{P}</p><div class="ad">Buy now, good value</div><p>{P}</p><div class="cookie-notice">We use cookies</div></article>', ["T", P, P]),
+])
+def test_densities_decide(html, want):
+    assert html_extract.extract(html) == "\n".join(want)
+
+
+def test_smoothing_is_the_plain_formula():
+    ratio = np.array([0.0, 30.0, 2.0, 90.0, 80.0, 0.0, 5.0])
+    for sigma in (0.5, 1.0, 2.0):
+        reach = int(np.ceil(3 * sigma))
+        for i, got in enumerate(html_extract.smoothed(ratio, sigma)):
+            near = [(np.exp(-0.5 * ((i - j) / sigma) ** 2), ratio[j]) for j in range(len(ratio)) if abs(i - j) <= reach]
+            assert abs(got - sum(w * x for w, x in near) / sum(w for w, _ in near)) < 1e-9
+
+
+def test_articles_of_all_pages(spark):
+    """Every page's article against its blocks cut out by plain patterns."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    held = 0
+    for r in pages.collect():
+        inner = re.search(r"(?s)<article>(.*?)</article>", r.html or "")
+        if inner and not re.search(r"<(aside|section|form|ul|div)", inner[1]):
+            held += 1
+            blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1|h2)>", inner[1])]
+            assert got[r.page_id] == "\n".join(b for b in blocks if b), r.page_id
+    assert held > 100
+
+
+def test_pages_with_odd_rows(spark):
+    import tracemalloc
+
+    deep = "<div>" * 50_000 + P + "</div>" * 50_000 + "</x>" * 50_000
+    tracemalloc.start()
+    assert html_extract.extract(deep) == P and tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    rows = spark.createDataFrame([(1, "u", f"<p>{P}</p>", "mine", 5)] * 3, "page_id long, url string, html string, text string, n_chars int")
+    assert [(r.text, r.n_chars) for r in html_extract.extract_pages(rows).collect()] == [(P, len(P))] * 3
+
+
 def test_urls(spark):
     urls = ["http://a.example.com/en/7x", "http://x.com/en/", "HTTP://WWW.Foo.NET/de/1?q", "s://example.net/de/88#t", "https://org/es/", "no url", None, "http://notcom/en/", "http://casino-win.example.io/x"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
