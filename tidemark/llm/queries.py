@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, html_extract, language_id, license_scan, merkle, near_dedup, packing, quality_rules, secret_scan, url_filter
+from . import alignment, bpe, decontaminate, fingerprint, html_extract, language_id, license_scan, merkle, near_dedup, packing, quality_rules, secret_scan, url_filter
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extract, op2_url_filter, op3_language_id, op4_secret_scan, op5_order_minhash, op6_bpe, op7_license_scan, op8_near_dedup, op9_packing, op10_quality_rules, op12_merkle, op13_decontaminate)
+    f.__name__: f for f in (op1_html_extract, op2_url_filter, op3_language_id, op4_secret_scan, op5_order_minhash, op6_bpe, op7_license_scan, op8_near_dedup, op9_packing, op10_quality_rules, op11_alignment, op12_merkle, op13_decontaminate)
 }
 ORACLE_SQL = {
     "op10_quality_rules": quality_rules.SQL.format(docs="documents"),
