@@ -96,6 +96,22 @@ def resolve(found: DataFrame) -> DataFrame:
     return found.groupBy("old_id").agg(F.min_by("new_id", "new_seq").alias("new_id"), F.min("new_seq").alias("at_seq"))
 
 
+def written(keys: DataFrame, new_keys: DataFrame, old: DataFrame, new: DataFrame, threshold: float = 0.55, related: float = 0.25, judge: Judge = default_judge) -> DataFrame:
+    """old_id, new_id, score, old_seq, new_seq of what new facts contradict, from stored blocking keys and sketches alone.
+
+    keys: key, id, seq of what new keys may meet, the new ones included; old and new: sketches (id, seq,
+    tokens, entity_ids, v) of facts that may be replaced, and of the new ones.
+    """
+    side = lambda rows, p, *cs: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in cs])
+    met = keys.select("key", F.col("id").alias("old_id"), F.col("seq").alias("old_seq"))
+    pairs = met.join(new_keys.select("key", F.col("id").alias("new_id"), F.col("seq").alias("new_seq")), "key").where("old_seq < new_seq").drop("key").distinct()
+    columns = ("id", "seq", "tokens", "entity_ids", "v")
+    found = pairs.join(side(old, "old", *columns), ["old_id", "old_seq"]).join(side(new, "new", *columns), ["new_id", "new_seq"]).withColumn("jac", jaccard("old_tokens", "new_tokens"))
+    found = found.where(F.coalesce(F.arrays_overlap("old_entity_ids", "new_entity_ids"), F.lit(False)) | (F.col("jac") >= related))
+    scored = found.withColumn("score", judge(cosine("old_v", "new_v"), F.col("jac")))
+    return scored.where(F.col("score") >= threshold).select("old_id", "new_id", "score", "old_seq", "new_seq")
+
+
 def preview(content: str, entity_ids: list[str], facts: DataFrame, threshold: float = 0.55, related: float = 0.25, judge: Judge = default_judge, similarity: Judge | None = token_cosine, embedder=None) -> DataFrame:
     """Facts that a new one would contradict, with the score that conflicts() would give them, without writing; the new fact is a literal, so the scan is one pass."""
     own = facts.columns

@@ -15,8 +15,13 @@ from .temporal import moment, valid, with_successor
 BROADCAST_QUERIES = 2_000
 
 
-def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, sim, rank of the k nearest vectors (doc_id, embedding) of each query (query_id, embedding)."""
+def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """query_id, doc_id, sim, rank of the k nearest vectors (doc_id, embedding) of each query (query_id, embedding).
+
+    probes: look only into so many cells of stored vectors (a column cell) for each query; see nearby().
+    """
+    if probes is not None:
+        return nearby(vectors, queries, k, probes)
     if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
         return _dense_blocks(vectors, queries, k)
     asked = queries.select("query_id", F.col("embedding").alias("q"))
@@ -26,6 +31,22 @@ def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFram
     return ranked.where(F.col("rank") <= k)
 
 
+def nearby(vectors: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """dense_candidates among the vectors (doc_id, embedding, cell) of the `probes` cells that each query's neighbours lie in most likely, scored exactly.
+
+    Cells that no query looks into aren't read where vectors are stored by cell.
+    """
+    from ..sources.derived import cells_near
+
+    asked = queries.select("query_id", F.col("embedding").alias("q"), F.explode(cells_near(probes)("embedding")).alias("cell"))
+    cells = [r.cell for r in asked.select("cell").distinct().collect()]  # at most all cells, a fixed number
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        asked = F.broadcast(asked)
+    scored = vectors.where(F.col("cell").isin(cells)).join(asked, "cell").select("query_id", "doc_id", F.round(cosine("embedding", "q"), 6).alias("sim"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), F.desc("doc_id"))).cast("long"))
+    return ranked.where(F.col("rank") <= k)
+
+
 def _dense_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """dense_candidates of many queries: blocks of queries meet blocks of vectors as a matrix product, of which the k best of each query are left."""
     schema = queries.select("query_id").join(vectors.select("doc_id")).schema

@@ -1,19 +1,38 @@
-"""Append-only storage: Parquet logs, with the current state derived by aggregation.
+"""Storage: immutable Parquet folders under one commit log, with the current state derived by joins.
 
-Plain Parquet has no MERGE, so updates append a new version, deletions a tombstone, and
-replacements an event. Nothing is rewritten; a version wins by its sequence number.
+Updates write a new version and a tombstone of the old one, deletions a tombstone, replacements
+an event; a commit makes all that a write appended to any table visible at once. Facts lie in
+partitions by the day since which they matter (the earlier of becoming true and of being
+learned), sorted by effective_at, so that views of a moment read no later partition. Postings,
+blocking keys and sketches (token sets and vectors) are written with the facts.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from .commits import Commit, CommitLog
 
-TABLES = {"facts": schema.FACTS, "entities": schema.ENTITIES, "relations": schema.RELATIONS, "supersession": schema.SUPERSESSION, "tombstones": schema.TOMBSTONES}
+TABLES = {
+    "facts": schema.FACTS, "entities": schema.ENTITIES, "relations": schema.RELATIONS, "supersession": schema.SUPERSESSION, "tombstones": schema.TOMBSTONES,
+    "postings": schema.POSTINGS, "keys": schema.KEYS, "sketches": schema.SKETCHES,
+}
+#: Tables whose folders are partitioned, by what; and how rows are sorted within a file, for the statistics that let readers skip.
+PARTITIONS = {"facts": ("since", "int"), "sketches": ("cell", "int")}
+SORTED = {"facts": ["since", "effective_at"], "postings": ["term", "id"], "keys": ["key", "id"], "sketches": ["cell", "id"], "entities": ["id"], "relations": ["id"]}
+#: Tombstones up to this many are broadcast, 50 bytes each.
+BROADCAST_TOMBSTONES = 200_000
+
+
+def day_of(moment: Column) -> Column:
+    """Days since 1970, whatever the session's time zone."""
+    return F.floor(F.unix_seconds(moment.cast("timestamp")) / 86400).cast("int")
 
 
 def latest(log: DataFrame, key: str = "id", version: str = "seq") -> DataFrame:
@@ -37,10 +56,11 @@ def chosen(supersession: DataFrame) -> DataFrame:
 def apply_supersession(facts: DataFrame, supersession: DataFrame) -> DataFrame:
     """facts with deprecated and replaced_by as the events since their version was written say; earlier ones are part of it."""
     later = supersession.join(facts.select(F.col("id").alias("old_id"), "seq"), "old_id").where(F.col("at_seq") >= F.col("seq"))
-    events = chosen(later).select("old_id", F.col("new_id").alias("_new"), F.lit(True).alias("_hit"))
-    joined = facts.join(events, facts.id == events.old_id, "left")
-    new = {"deprecated": F.coalesce("deprecated", F.lit(False)) | F.col("_hit").isNotNull(), "replaced_by": F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("replaced_by"))}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in facts.columns])
+    events = chosen(later).select("old_id", F.struct("new_id").alias("event"))
+    joined = facts.select(F.struct("*").alias("fact"), "id").join(events, F.col("id") == F.col("old_id"), "left")
+    own = lambda c: F.col("fact")[c]
+    new = {"deprecated": F.coalesce(own("deprecated"), F.lit(False)) | F.col("event").isNotNull(), "replaced_by": F.when(F.col("event").isNotNull(), F.col("event.new_id")).otherwise(own("replaced_by"))}
+    return joined.select(*[new.get(c, own(c)).alias(c) for c in facts.columns])
 
 
 def upserted(known: DataFrame, incoming: DataFrame, key: str = "id", version: str = "seq") -> DataFrame:
@@ -61,51 +81,155 @@ def from_json(text: str | None) -> dict:
     return value if isinstance(value, dict) else {}
 
 
+class View:
+    """The tables as one commit has them. folders: of each table; counts: of live facts, and of their tokens."""
+
+    def __init__(self, spark: SparkSession, base: str, folders: dict[str, list[str]], counts: dict[str, int] | None = None):
+        self.spark, self.base, self.folders, self.counts = spark, base, folders, counts or {}
+
+    def log(self, name: str) -> DataFrame:
+        """All that was appended to a table, with the column that partitions it; empty before the first time."""
+        ddl = TABLES[name] + (f", {' '.join(PARTITIONS[name])}" if name in PARTITIONS else "")
+        held = [f"{self.base}/{folder}" for folder in self.folders.get(name, [])]
+        if not held:
+            return self.spark.createDataFrame([], ddl)
+        read = self.spark.read.schema(ddl)
+        return read.option("basePath", f"{self.base}/{name}").parquet(*held).drop("segment") if name in PARTITIONS else read.parquet(*held)
+
+    def live(self, name: str, rows: DataFrame | None = None) -> DataFrame:
+        """The rows of a table, or those given of it, that belong to no deleted or replaced version."""
+        gone = self.log("tombstones")
+        if not self.folders.get("tombstones"):
+            return self.log(name) if rows is None else rows
+        return without(self.log(name) if rows is None else rows, F.broadcast(gone) if gone.limit(BROADCAST_TOMBSTONES + 1).count() <= BROADCAST_TOMBSTONES else gone)
+
+    def facts(self, until: Column | None = None) -> DataFrame:
+        """The facts; until: only those that are true or known by then, from the partitions up to its day."""
+        log = self.log("facts")
+        rows = self.live("facts", log if until is None else log.where(F.col("since") <= day_of(until))).drop("since")
+        return apply_supersession(rows, self.log("supersession")) if self.folders.get("supersession") else rows
+
+    def entities(self) -> DataFrame:
+        return latest(self.log("entities"))
+
+    def relations(self) -> DataFrame:
+        return self.live("relations", latest(self.log("relations")))
+
+
+class Write(View):
+    """A write in the making: it sees what it has appended itself, besides the commit that it began with."""
+
+    def __init__(self, catalog: Catalog, commit: Commit):
+        super().__init__(catalog.spark, catalog.base, {t: list(f) for t, f in commit.live.items()}, dict(commit.counts))
+        self.catalog, self.commit, self.next_seq = catalog, commit, commit.next_seq
+        self.added: list[str] = []
+
+    def take(self, n: int = 1) -> int:
+        """The first of n numbers; versions, replacements and deletions follow one order."""
+        self.next_seq += n
+        return self.next_seq - n
+
+    def before(self) -> View:
+        """What this write sees now, and nothing that it appends later."""
+        return View(self.spark, self.base, {t: list(f) for t, f in self.folders.items()}, dict(self.counts))
+
+    def count(self, **more: int) -> None:
+        for name, n in more.items():
+            self.counts[name] = self.counts.get(name, 0) + n
+
+    def append(self, name: str, rows: DataFrame) -> DataFrame:
+        """The rows as they are stored, in a folder of their own."""
+        wanted = self.spark.createDataFrame([], TABLES[name]).schema
+        extra = [F.col(PARTITIONS[name][0])] if name in PARTITIONS else []
+        rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted], *extra)
+        folder = f"{name}/{'segment=' * (name in PARTITIONS)}{uuid.uuid4().hex}"
+        self.added.append(folder)
+        by = PARTITIONS[name][0] if name in PARTITIONS else SORTED.get(name, [None])[0]
+        if by:
+            rows = rows.hint("rebalance", F.col(by))  # few files a partition, and parts of a large one in several tasks
+        if name in SORTED:
+            rows = rows.sortWithinPartitions(*SORTED[name])
+        writer = rows.write.partitionBy(by) if name in PARTITIONS else rows.write
+        writer.parquet(f"{self.base}/{folder}")
+        self.folders.setdefault(name, []).append(folder)
+        return View(self.spark, self.base, {name: [folder]}).log(name)
+
+
 class Catalog:
     """The tables under base_path."""
 
     def __init__(self, spark: SparkSession, base_path: str):
         self.spark, self.base = spark, base_path.rstrip("/")
-
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
-    def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        self.commits = CommitLog(spark, self.base)
+
+    def view(self) -> View:
+        commit = self.commits.latest()
+        return View(self.spark, self.base, commit.live, commit.counts)
+
+    def write(self, build: Callable[[Write], object], batch: tuple[str, int] | None = None, tries: int = 5):
+        """What build(write) returns, once all that it appended is committed; None without building where the batch (writer, number) or a later one of the writer was committed before.
+
+        Another writer's commit in between makes it start again, from that commit.
+        """
+        for _ in range(tries):
+            began = self.commits.latest()
+            if batch and began.batches.get(batch[0], -1) >= batch[1]:
+                return None
+            write = Write(self, began)
+            made = build(write)
+            batches = began.batches | ({batch[0]: batch[1]} if batch else {})
+            if self.commits.publish(Commit(began.version + 1, write.folders, write.next_seq, batches, write.counts)):
+                return made
+            self._remove(write.added)
+        raise RuntimeError(f"{tries} times another writer was first")
+
+    def _remove(self, folders: list[str]) -> None:
+        fs = self.commits.files()
+        for folder in folders:
+            fs.delete(self.commits.place(f"{self.base}/{folder}"), True)
+
+    def compact(self) -> None:
+        """Rewrites the tables as few files without what is dead, in one commit. Readers of earlier commits keep their files until vacuum()."""
+
+        def build(write: Write) -> None:
+            before = write.before()
+            rows = {"supersession": before.log("supersession")} if before.folders.get("supersession") else {}
+            rows |= {"entities": before.entities()} if before.folders.get("entities") else {}
+            rows |= {t: before.live(t) for t in ("facts", "postings", "keys", "sketches") if before.folders.get(t)}
+            rows |= {"relations": before.relations()} if before.folders.get("relations") else {}
+            write.folders.clear()
+            for t, df in rows.items():
+                write.append(t, df)
+
+        self.write(build)
+
+    def vacuum(self, keep: int = 10, age_hours: float = 24.0) -> int:
+        """Deletes commits but the last `keep`, and folders that none of these names and that are older than age_hours: no reader of a kept commit and no write in the making loses any. How many folders went."""
+        kept = self.commits.versions()[-keep:]
+        if not kept:
+            return 0
+        named = {folder for v in kept for folders in self.commits.read(v).live.values() for folder in folders}
+        self.commits.remove_before(kept[0])
+        fs, oldest = self.commits.files(), self.spark._jvm.java.lang.System.currentTimeMillis() - age_hours * 3_600_000
+        gone = []
+        for t in TABLES:
+            if fs.exists(self.commits.place(f"{self.base}/{t}")):
+                found = fs.listStatus(self.commits.place(f"{self.base}/{t}"))
+                gone += [f"{t}/{s.getPath().getName()}" for s in found if f"{t}/{s.getPath().getName()}" not in named and s.getModificationTime() <= oldest]
+        self._remove(gone)
+        return len(gone)
 
     def log(self, name: str) -> DataFrame:
-        """All that was appended to a table; empty before the first time."""
-        if not self.exists(name):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(self.path(name))
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        want = self.spark.createDataFrame([], TABLES[name]).schema
-        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]).write.mode("append").parquet(self.path(name))
-
-    def next_seq(self) -> int:
-        """One more than any number given out so far: versions, replacements and deletions follow one order."""
-        last = [self.log(t).agg(F.max("at_seq" if t == "supersession" else "seq").alias("m")) for t in TABLES if self.exists(t)]
-        return max([0, *(r.m or 0 for df in last for r in df.collect())]) + 1
-
-    def compact(self, name: str) -> None:
-        """Rewrites a log as few files: the new ones are complete before they take the place of the old."""
-        rows, path = self.log(name), self.path(name)
-        rows.repartition(max(1, len(rows.inputFiles()) // 64)).write.mode("overwrite").parquet(path + ".new")
-        fs = (place := self.spark._jvm.org.apache.hadoop.fs.Path)(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.rename(place(path), place(path + ".old"))
-        fs.rename(place(path + ".new"), place(path))
-        fs.delete(place(path + ".old"), True)
-
-    def facts(self) -> DataFrame:
-        return apply_supersession(without(latest(self.log("facts")), self.log("tombstones")), self.log("supersession"))
+        return self.view().log(name)
+
+    def facts(self, until: Column | None = None) -> DataFrame:
+        return self.view().facts(until)
 
     def entities(self) -> DataFrame:
-        return latest(self.log("entities"))
+        return self.view().entities()
 
     def relations(self) -> DataFrame:
-        return without(latest(self.log("relations")), self.log("tombstones"))
+        return self.view().relations()
 
 
 def read_fact_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

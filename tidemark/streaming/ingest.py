@@ -9,13 +9,14 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..memory import FactStore
 
 
-def ingest(stream: DataFrame, store: FactStore, checkpoint: str, once: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, store: FactStore, checkpoint: str, once: bool = True, name: str | None = None) -> StreamingQuery:
     """Writes a stream of facts (id, content, entities, effective_at, created_at, source, metadata, pos) to a store.
 
     The write order is that of the batches and, within one, of pos; late facts are no special case,
-    as both clocks are columns.
+    as both clocks are columns. A batch that Spark replays after a stop is known by its number and
+    changes nothing: name is the stream's in the store's commits, by default its checkpoint folder.
     """
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: store.remember_batch(rows))
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, n: store.remember_batch(rows, batch=(name or checkpoint, n)))
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
