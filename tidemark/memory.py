@@ -101,9 +101,9 @@ class FactStore:
         """What new facts (keys, sketches) contradict among themselves and among those that are active in `before`."""
         met = derived.listed(before.log("keys"), "key", keys, "key").unionByName(keys)
         replaced = before.log("supersession").select(F.col("old_id").alias("id"), F.col("at_seq"))
-        candidates = derived.listed(before.log("sketches"), "id", met, "id").drop("cell")
+        candidates = derived.listed(before.log("sketches"), "id", met, "id")
         active = write.live("sketches", candidates).join(replaced, (candidates.id == replaced.id) & (F.col("at_seq") >= F.col("seq")), "left_anti")
-        new = sketches.drop("cell")
+        new = sketches
         old = active.unionByName(new).where(~F.coalesce("deprecated", F.lit(False)) & (F.col("effective_at") <= moment))
         return conflict.written(met, keys, old, new, self.config.conflict_threshold, self.config.related_jaccard, self.judge)
 
@@ -242,14 +242,14 @@ class FactStore:
         found = self._contradicted(view, view, derived.keys_of(sketch, self._least()), sketch, now).select(F.col("old_id").alias("id"), "score")
         return view.facts().join(found, "id").orderBy(F.desc("score"), "id")
 
-    def search(self, questions: DataFrame, k: int = 5, at=None, now=None, entities: list[str] | None = None, min_score: float = 0.0, probes: int | None = None) -> DataFrame:
+    def search(self, questions: DataFrame, k: int = 5, at=None, now=None, entities: list[str] | None = None, min_score: float = 0.0, candidates: int | None = None) -> DataFrame:
         """The k best facts of each question (query_id, text): one plan for all of them, from stored postings and vectors.
 
-        probes: look for similar vectors in so many cells only; by default in all, which is exact.
+        candidates: compare with so many vectors only, those of the nearest signatures; by default with all, which is exact.
         """
         view = self.catalog.view()
         sparse = derived.search_stored(view, questions, 3 * k)
-        dense = retrieve.dense_candidates(derived.vectors_of(view), questions.select("query_id", self.embedder("text").alias("embedding")), max(3 * k, 10), probes)
+        dense = retrieve.dense_candidates(derived.vectors_of(view), questions.select("query_id", self.embedder("text").alias("embedding")), max(3 * k, 10), candidates)
         moment = lambda t: F.lit(t).cast("timestamp") if t else F.current_timestamp()
         ids = None if entities is None else [r["id"] for r in (_named(view.entities(), e) for e in entities) if r]
         return retrieve.hybrid(retrieve.fuse(sparse, dense, self.config.rrf_k), view.facts(), k, self.config, at=moment(at) if at else None, now=moment(now), min_score=min_score, entities=ids)

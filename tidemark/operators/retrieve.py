@@ -15,13 +15,13 @@ from .temporal import moment, valid, with_successor
 BROADCAST_QUERIES = 2_000
 
 
-def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int, candidates: int | None = None) -> DataFrame:
     """query_id, doc_id, sim, rank of the k nearest vectors (doc_id, embedding) of each query (query_id, embedding).
 
-    probes: look only into so many cells of stored vectors (a column cell) for each query; see nearby().
+    candidates: of the vectors (with a column signature), score only so many for each query; see nearby().
     """
-    if probes is not None:
-        return nearby(vectors, queries, k, probes)
+    if candidates is not None:
+        return nearby(vectors, queries, k, candidates)
     if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
         return _dense_blocks(vectors, queries, k)
     asked = queries.select("query_id", F.col("embedding").alias("q"))
@@ -31,22 +31,29 @@ def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int, probes: int
     return ranked.where(F.col("rank") <= k)
 
 
-def nearby(vectors: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """dense_candidates among the vectors (doc_id, embedding, cell) of the `probes` cells that each query's neighbours lie in most likely, scored exactly.
+def nearby(vectors: DataFrame, queries: DataFrame, k: int, candidates: int) -> DataFrame:
+    """dense_candidates among the `candidates` vectors (doc_id, embedding, signature) whose signatures differ least from each query's, scored exactly.
 
-    Cells that no query looks into aren't read where vectors are stored by cell.
+    The stated queries meet all signatures, 64 bytes each; whole vectors are read of candidates only.
     """
-    from ..sources.derived import cells_near
+    from ..sources.derived import BITS, signature_of
 
-    asked = queries.select("query_id", F.col("embedding").alias("q"), F.explode(cells_near(probes)("embedding")).alias("cell"))
-    cells = [r.cell for r in asked.select("cell").distinct().collect()]  # at most all cells, a fixed number
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        asked = F.broadcast(asked)
-    scored = vectors.where(F.col("cell").isin(cells)).join(asked, "cell").select("query_id", "doc_id", F.round(cosine("embedding", "q"), 6).alias("sim"))
+    asked = queries.select("query_id", F.col("embedding").alias("q"), signature_of("embedding").alias("s"))
+    differ = sum((F.bit_count(F.col("signature")[i].bitwiseXOR(F.col("s")[i])) for i in range(BITS // 64)), F.lit(0))
+    met = vectors.select("doc_id", "signature").crossJoin(F.broadcast(asked.select("query_id", "s"))) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else _signature_blocks(vectors, asked)
+    few = met.select("query_id", "doc_id", differ.alias("differ")).withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("differ", F.desc("doc_id")))).where(F.col("k") <= candidates)
+    scored = few.join(vectors.select("doc_id", "embedding"), "doc_id").join(asked.select("query_id", "q"), "query_id").select("query_id", "doc_id", F.round(cosine("embedding", "q"), 6).alias("sim"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), F.desc("doc_id"))).cast("long"))
     return ranked.where(F.col("rank") <= k)
 
 
+def _signature_blocks(vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each query's signature with every vector's, the queries in blocks that come to all blocks of vectors."""
+    n = max(1, -(-vectors.count() // 100_000))
+    held = vectors.select("doc_id", "signature", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"))
+    return held.join(asked.select("query_id", "s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")), "block")
+
+
 def _dense_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """dense_candidates of many queries: blocks of queries meet blocks of vectors as a matrix product, of which the k best of each query are left."""
     schema = queries.select("query_id").join(vectors.select("doc_id")).schema

@@ -12,7 +12,7 @@ TOMBSTONES = "id string, seq long"
 # What is derived from a fact's content when it is written, so that no search and no write reads contents again.
 POSTINGS = "term string, id string, seq long, tf long, dl long"
 KEYS = "key string, id string, seq long"
-SKETCHES = "id string, seq long, tokens array<string>, entity_ids array<string>, effective_at timestamp, deprecated boolean, v array<float>"
+SKETCHES = "id string, seq long, tokens array<string>, entity_ids array<string>, effective_at timestamp, deprecated boolean, v array<float>, signature array<long>"
 
 
 @dataclass(frozen=True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,46 +11,28 @@ from ..functions.text import content_tokens
 from ..operators.bm25 import Index, search, tokens_of
 from .store import View, Write, day_of
 
-#: Cells of the stored vectors: the signs of so many random projections.
-BITS = 6
+#: Random projections of the stored vectors' signatures.
+BITS = 512
 #: Terms, keys or ids up to this many go into a scan as a list, where file statistics skip what has none of them; more are joined.
 LISTED = 5_000
 
 
-def planes(dim: int, bits: int = BITS) -> np.ndarray:
-    """Random projections, the same for one number of dimensions, blind to what all non-negative vectors have in common."""
-    p = np.random.default_rng(dim).normal(size=(bits, dim))
-    return p - p.mean(1, keepdims=True)
-
-
-def cell_of(vector: str | Column) -> Column:
-    """The cell of a vector."""
-
-    @F.pandas_udf("int")
-    def cell(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype="int32")
-        sides = np.stack(vectors) @ planes(len(vectors.iloc[0])).T > 0
-        return pd.Series((sides << np.arange(BITS)).sum(1).astype("int32"))
-
-    return cell(vector)
-
+def signature_of(vector: str | Column) -> Column:
+    """On which sides of BITS random planes a vector lies, as array<long>: the more bits two have in common, the smaller their angle.
 
-def cells_near(probes: int) -> Callable[[str | Column], Column]:
-    """A Column function: the cells that a vector's neighbours lie in most likely, its own and those over the borders that are nearest."""
+    The planes are the same for one number of dimensions, and blind to what all non-negative vectors have in common.
+    """
 
-    @F.pandas_udf("array<int>")
-    def near(vectors: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<long>")
+    def signed(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype="object")
-        margin = np.stack(vectors) @ planes(len(vectors.iloc[0])).T
-        own = ((margin > 0) << np.arange(BITS)).sum(1)
-        flips = np.arange(2**BITS)
-        cost = margin**2 @ ((flips[:, None] >> np.arange(BITS) & 1).T)
-        best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-        return pd.Series(list((own[:, None] ^ flips[best]).astype(np.int32)))
+        v = np.stack(vectors)
+        planes = np.random.default_rng(v.shape[1]).normal(size=(BITS, v.shape[1]))
+        sides = v @ (planes - planes.mean(1, keepdims=True)).T > 0
+        return pd.Series(list(np.packbits(sides, axis=1).view(np.int64)))
 
-    return near
+    return signed(vector)
 
 
 def keys_of(sketches: DataFrame, least: float) -> DataFrame:
@@ -67,7 +47,7 @@ def keys_of(sketches: DataFrame, least: float) -> DataFrame:
 def sketches_of(facts: DataFrame, embedder) -> DataFrame:
     """Token set and vector of each fact, with what decides whether it is active."""
     sketched = facts.select("id", "seq", content_tokens(F.coalesce("content", F.lit(""))).alias("tokens"), "entity_ids", "effective_at", "deprecated", embedder("content").alias("v"))
-    return sketched.withColumn("cell", cell_of("v"))
+    return sketched.withColumn("signature", signature_of("v"))
 
 
 def add_facts(write: Write, facts: DataFrame, embedder, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -113,5 +93,5 @@ def search_stored(view: View, queries: DataFrame, k: int | None = 20) -> DataFra
 
 
 def vectors_of(view: View) -> DataFrame:
-    """doc_id, embedding, cell of every live fact."""
-    return view.live("sketches", view.log("sketches").select("id", "seq", "v", "cell")).select(F.col("id").alias("doc_id"), F.col("v").alias("embedding"), "cell")
+    """doc_id, embedding, signature of every live fact."""
+    return view.live("sketches").select(F.col("id").alias("doc_id"), F.col("v").alias("embedding"), "signature")

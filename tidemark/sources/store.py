@@ -24,8 +24,8 @@ TABLES = {
     "postings": schema.POSTINGS, "keys": schema.KEYS, "sketches": schema.SKETCHES,
 }
 #: Tables whose folders are partitioned, by what; and how rows are sorted within a file, for the statistics that let readers skip.
-PARTITIONS = {"facts": ("since", "int"), "sketches": ("cell", "int")}
-SORTED = {"facts": ["since", "effective_at"], "postings": ["term", "id"], "keys": ["key", "id"], "sketches": ["cell", "id"], "entities": ["id"], "relations": ["id"]}
+PARTITIONS = {"facts": ("since", "int")}
+SORTED = {"facts": ["since", "effective_at"], "postings": ["term", "id"], "keys": ["key", "id"], "sketches": ["id"], "entities": ["id"], "relations": ["id"]}
 #: Tombstones up to this many are broadcast, 50 bytes each.
 BROADCAST_TOMBSTONES = 200_000
 
