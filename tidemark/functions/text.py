@@ -62,11 +62,15 @@ def fold_accents(c: str | Column) -> Column:
 
     @F.pandas_udf("string")
     def fold(s):
-        import sys
+        import re
         import unicodedata
 
-        marks = {k: None for k in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(k))} if s.notna().any() else {}
-        return s.map(lambda t: None if t is None else unicodedata.normalize("NFD", t.lower()).translate(marks))
+        parted = s.map(lambda t: None if t is None else unicodedata.normalize("NFD", t.lower()))
+        marks = [c for c in set("".join(parted.dropna())) if unicodedata.combining(c)]
+        if not marks:
+            return parted
+        marked = re.compile(f"[{''.join(marks)}]+")
+        return parted.map(lambda t: None if t is None else marked.sub("", t))
 
     text = _col(c)
     plain = F.octet_length(text) == F.char_length(text)

@@ -97,15 +97,19 @@ class FactStore:
         """The Jaccard that blocking keys are chosen for: judges hardly score pairs below 0.2."""
         return min(0.2, self.config.related_jaccard)
 
-    def _contradicted(self, write: View, before: View, keys: DataFrame, sketches: DataFrame, moment) -> DataFrame:
-        """What new facts (keys, sketches) contradict among themselves and among those that are active in `before`."""
+    def _contradicted(self, write: View, before: View, keys: DataFrame, sketches: DataFrame, moment, unwritten: DataFrame | None = None) -> DataFrame:
+        """What new facts (keys, sketches) contradict among themselves and among those that are active in `before`. unwritten: new facts that aren't stored."""
         met = derived.listed(before.log("keys"), "key", keys, "key").unionByName(keys)
         replaced = before.log("supersession").select(F.col("old_id").alias("id"), F.col("at_seq"))
         candidates = derived.listed(before.log("sketches"), "id", met, "id")
         active = write.live("sketches", candidates).join(replaced, (candidates.id == replaced.id) & (F.col("at_seq") >= F.col("seq")), "left_anti")
         new = sketches
         old = active.unionByName(new).where(~F.coalesce("deprecated", F.lit(False)) & (F.col("effective_at") <= moment))
-        return conflict.written(met, keys, old, new, self.config.conflict_threshold, self.config.related_jaccard, self.judge)
+        facts = None
+        if isinstance(self.judge, conflict.PairJudge):
+            facts = write.live("facts", derived.listed(write.log("facts"), "id", met, "id"))
+            facts = facts if unwritten is None else facts.unionByName(unwritten, allowMissingColumns=True)
+        return conflict.written(met, keys, old, new, self.config.conflict_threshold, self.config.related_jaccard, self.judge, facts)
 
     def ensure_entities(self, names: DataFrame) -> None:
         """Get or create: names are equal by ASCII case; the first spelling stays."""
@@ -237,9 +241,9 @@ class FactStore:
         view = self.catalog.view()
         known = [r["id"] for r in (_named(view.entities(), e) for e in entities) if r]
         now = F.current_timestamp()
-        asked = self.spark.createDataFrame([("", 2**62, content, known, False)], "id string, seq long, content string, entity_ids array<string>, deprecated boolean").withColumn("effective_at", F.lit("9999-01-01").cast("timestamp"))
+        asked = self.spark.createDataFrame([("", 2**62, content, known, False)], "id string, seq long, content string, entity_ids array<string>, deprecated boolean").withColumn("effective_at", F.lit("2200-01-01").cast("timestamp"))
         sketch = derived.sketches_of(asked, self.embedder)
-        found = self._contradicted(view, view, derived.keys_of(sketch, self._least()), sketch, now).select(F.col("old_id").alias("id"), "score")
+        found = self._contradicted(view, view, derived.keys_of(sketch, self._least()), sketch, now, asked).select(F.col("old_id").alias("id"), "score")
         return view.facts().join(found, "id").orderBy(F.desc("score"), "id")
 
     def search(self, questions: DataFrame, k: int = 5, at=None, now=None, entities: list[str] | None = None, min_score: float = 0.0, candidates: int | None = None) -> DataFrame:

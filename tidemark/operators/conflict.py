@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,28 @@ from ..functions.text import content_tokens, jaccard
 Judge = Callable[[Column, Column], Column]
 
 
+@dataclass(frozen=True)
+class PairJudge:
+    """A judge of both facts: score(old, new, sim, jac) takes two pandas DataFrames with `columns` of the facts of many related pairs, and their similarities, and returns their scores."""
+
+    score: Callable
+    columns: tuple[str, ...] = ("content", "entity_ids", "metadata", "source", "effective_at", "created_at")
+
+
+def judged(pairs: DataFrame, judge: Judge | PairJudge, facts: DataFrame | None = None) -> DataFrame:
+    """pairs (old_id, new_id, old_seq, new_seq, sim, jac) with score; facts (id, seq, ...): what a PairJudge looks at, read of the pairs' facts only."""
+    if not isinstance(judge, PairJudge):
+        return pairs.withColumn("score", judge(F.col("sim"), F.col("jac")))
+
+    @F.pandas_udf("double")
+    def score(old: pd.DataFrame, new: pd.DataFrame, sim: pd.Series, jac: pd.Series) -> pd.Series:
+        return judge.score(old, new, sim, jac)
+
+    side = lambda p: facts.select(F.col("id").alias(f"{p}_id"), F.col("seq").alias(f"{p}_seq"), F.struct(*judge.columns).alias(p))
+    both = pairs.join(side("old"), ["old_id", "old_seq"]).join(side("new"), ["new_id", "new_seq"])
+    return both.withColumn("score", score("old", "new", "sim", "jac")).drop("old", "new")
+
+
 def default_judge(sim: Column, jac: Column) -> Column:
     """Similar texts on one topic; below a token overlap of 0.2 hardly anything is left."""
     return F.when(jac < 0.2, 0.1 * sim).otherwise(sim * (0.4 + 0.6 * F.least(2 * jac, F.lit(1.0))))
@@ -84,7 +108,7 @@ def conflicts(facts: DataFrame, threshold: float = 0.55, related: float = 0.25,
         met = pairs.select(F.explode(F.array("old_id", "new_id")).alias("id")).distinct()
         vectors = facts.join(met, "id", "left_semi").select("id", embedder("content").alias("v"))
         pairs = pairs.join(vectors.select(F.col("id").alias("old_id"), F.col("v").alias("a")), "old_id").join(vectors.select(F.col("id").alias("new_id"), F.col("v").alias("b")), "new_id").withColumn("sim", cosine("a", "b"))
-    return pairs.withColumn("score", judge(F.col("sim"), F.col("jac"))).where(F.col("score") >= threshold).select("old_id", "new_id", "score", "old_seq", "new_seq")
+    return judged(pairs.select("old_id", "new_id", "old_seq", "new_seq", "sim", "jac"), judge, facts).where(F.col("score") >= threshold).select("old_id", "new_id", "score", "old_seq", "new_seq")
 
 
 def resolve(found: DataFrame) -> DataFrame:
@@ -96,8 +120,8 @@ def resolve(found: DataFrame) -> DataFrame:
     return found.groupBy("old_id").agg(F.min_by("new_id", "new_seq").alias("new_id"), F.min("new_seq").alias("at_seq"))
 
 
-def written(keys: DataFrame, new_keys: DataFrame, old: DataFrame, new: DataFrame, threshold: float = 0.55, related: float = 0.25, judge: Judge = default_judge) -> DataFrame:
-    """old_id, new_id, score, old_seq, new_seq of what new facts contradict, from stored blocking keys and sketches alone.
+def written(keys: DataFrame, new_keys: DataFrame, old: DataFrame, new: DataFrame, threshold: float = 0.55, related: float = 0.25, judge: Judge | PairJudge = default_judge, facts: DataFrame | None = None) -> DataFrame:
+    """old_id, new_id, score, old_seq, new_seq of what new facts contradict, from stored blocking keys and sketches alone but for a PairJudge, which gets facts.
 
     keys: key, id, seq of what new keys may meet, the new ones included; old and new: sketches (id, seq,
     tokens, entity_ids, v) of facts that may be replaced, and of the new ones.
@@ -108,7 +132,7 @@ def written(keys: DataFrame, new_keys: DataFrame, old: DataFrame, new: DataFrame
     columns = ("id", "seq", "tokens", "entity_ids", "v")
     found = pairs.join(side(old, "old", *columns), ["old_id", "old_seq"]).join(side(new, "new", *columns), ["new_id", "new_seq"]).withColumn("jac", jaccard("old_tokens", "new_tokens"))
     found = found.where(F.coalesce(F.arrays_overlap("old_entity_ids", "new_entity_ids"), F.lit(False)) | (F.col("jac") >= related))
-    scored = found.withColumn("score", judge(cosine("old_v", "new_v"), F.col("jac")))
+    scored = judged(found.select("old_id", "new_id", "old_seq", "new_seq", cosine("old_v", "new_v").alias("sim"), "jac"), judge, facts)
     return scored.where(F.col("score") >= threshold).select("old_id", "new_id", "score", "old_seq", "new_seq")
 
 

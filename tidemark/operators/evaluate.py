@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .substring import containing
+
 
 def first_hits(results: DataFrame, gold: DataFrame) -> DataFrame:
     """query_id, first (null: none) for each query of gold (query_id, doc_id): the rank of the first right result."""
@@ -43,16 +45,18 @@ def report(compared: DataFrame, columns: tuple[str, ...] = ("mrr", "acc_at_1", "
     return "\n".join(lines + [f"{r['strategy']:28s}" + "".join(f"{r[c]:18.3f}" for c in columns) for r in compared.collect()])
 
 
-def session_hits(results: DataFrame, sessions: DataFrame, answers: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+def session_hits(results: DataFrame, sessions: DataFrame, answers: DataFrame, ks: tuple[int, ...] = (1, 2, 3, 5, 10)) -> DataFrame:
     """recall_and_mrr of sessions: results (query_id, rank, text) are led back to the sessions (query_id, session_id, pos, text, openings) that they come from; answers: query_id, session_id.
 
     A result is of the first session by pos whose text it equals, else of the first one of which it
-    contains an opening, the first 80 characters of a turn.
+    contains an opening, the first 80 characters of a turn. Both are equi joins.
     """
-    met = results.select("query_id", "rank", F.col("text").alias("found")).join(sessions, "query_id")
-    exact = F.col("found") == F.col("text")
-    part = F.exists("openings", lambda o: (o != "") & F.contains(F.col("found"), o))
-    placed = met.where(exact | part).groupBy("query_id", "rank").agg(F.min_by("session_id", F.struct(~exact, F.col("pos"))).alias("doc_id"))
+    found = results.select("query_id", "rank", F.col("text").alias("found"))
+    same = found.join(sessions.select("query_id", "session_id", "pos", F.col("text").alias("found")), ["query_id", "found"]).select("query_id", "rank", "session_id", F.lit(False).alias("part"), "pos")
+    openings = sessions.select("query_id", F.struct("session_id", "pos").alias("passage_id"), F.explode("openings").alias("passage"))
+    parts = containing(found.select("query_id", F.col("rank").alias("id"), F.col("found").alias("text")), openings, ["query_id"])
+    parts = parts.select("query_id", F.col("id").alias("rank"), "passage_id.session_id", F.lit(True).alias("part"), "passage_id.pos")
+    placed = same.unionByName(parts).groupBy("query_id", "rank").agg(F.min_by("session_id", F.struct("part", "pos")).alias("doc_id"))
     return recall_and_mrr(placed, answers.select("query_id", F.col("session_id").alias("doc_id")), ks)
 
 
@@ -79,19 +83,19 @@ def grade(probes: DataFrame) -> DataFrame:
     low = lambda c: F.transform(c, F.lower)
     has = lambda text, needles: F.exists(needles, lambda n: F.contains(text, n))
     expected, banned = low("expected"), low("banned")
-    staged = probes.select("*", low("texts").alias("_t"), expected.alias("_e"), banned.alias("_b"))
-    answered = F.size("_t") > 0
-    judged = answered & (F.size("_b") > 0)
-    top = F.get("_t", 0)
+    staged = probes.select("probe_id", "suite", low("texts").alias("said"), expected.alias("right"), banned.alias("wrong"))
+    answered = F.size("said") > 0
+    judged = answered & (F.size("wrong") > 0)
+    top = F.get("said", 0)
     return staged.select(
         "probe_id", "suite",
-        F.exists("_t", lambda t: has(t, F.col("_e"))).cast("int").alias("hit"),
-        F.coalesce(has(top, F.col("_e")), F.lit(False)).cast("int").alias("hit_at_1"),
+        F.exists("said", lambda t: has(t, F.col("right"))).cast("int").alias("hit"),
+        F.coalesce(has(top, F.col("right")), F.lit(False)).cast("int").alias("hit_at_1"),
         answered.cast("int").alias("answered"),
-        F.when(answered, F.size(F.filter("_t", lambda t: has(t, F.col("_e")))) / F.size("_t")).otherwise(0.0).alias("precision"),
-        F.when(judged, (has(top, F.col("_b")) & ~has(top, F.col("_e"))).cast("int")).alias("stale_at_1"),
-        F.when(judged, F.exists("_t", lambda t: has(t, F.col("_b"))).cast("int")).alias("leaked"),
-        F.aggregate("_t", F.lit(0), lambda n, t: n + F.floor(F.length(t) / 4).cast("int")).cast("long").alias("tokens"),
+        F.when(answered, F.size(F.filter("said", lambda t: has(t, F.col("right")))) / F.size("said")).otherwise(0.0).alias("precision"),
+        F.when(judged, (has(top, F.col("wrong")) & ~has(top, F.col("right"))).cast("int")).alias("stale_at_1"),
+        F.when(judged, F.exists("said", lambda t: has(t, F.col("wrong"))).cast("int")).alias("leaked"),
+        F.aggregate("said", F.lit(0), lambda n, t: n + F.floor(F.length(t) / 4).cast("int")).cast("long").alias("tokens"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def edges(relations: DataFrame) -> DataFrame:
     """One edge for each ordered pair, the last written (by seq)."""
@@ -24,13 +26,30 @@ def neighbors(relations: DataFrame, start: DataFrame, depth: int = 1) -> DataFra
     return seen.where("hops > 0")
 
 
+def distances(links: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """node, left: over how many directed steps, `most` at most, each node reaches one of the targets (a column id)."""
+    seen = targets.select(F.col("id").alias("node"), F.lit(0).alias("left")).distinct()
+    front = seen
+    for step in range(1, most + 1):
+        front = links.join(front, links.target_id == front.node).select(F.col("source_id").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("left", F.lit(step))
+        front = written(front, "front")
+        seen = seen.unionByName(front)
+    return written(seen, "distances")
+
+
 def paths(relations: DataFrame, start: DataFrame, targets: DataFrame | None = None, max_depth: int = 5) -> DataFrame:
-    """start, target, hops, path (array of nodes), types of every simple directed path of at most max_depth edges (none for 0); targets: a column `id`."""
+    """start, target, hops, path (array of nodes), types of every simple directed path of at most max_depth edges (none for 0); targets: a column `id`.
+
+    With targets, a search backwards says first how far each node is from one; a path is carried on only
+    to nodes that can still reach a target in the steps that are left.
+    """
     links = edges(relations)
+    left = None if targets is None else distances(links, targets, max_depth)
     front = start.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"), F.array().cast("array<string>").alias("types"))
     found = front.where("false").select("start", "at", "path", "types")
-    for _ in range(max_depth):
-        front = front.join(links, (front["at"] == links.source_id) & ~F.array_contains("path", F.col("target_id")))
+    for step in range(1, max_depth + 1):
+        on = links if left is None else links.join(left.where(F.col("left") <= max_depth - step), F.col("target_id") == F.col("node"), "left_semi")
+        front = front.join(on, (front["at"] == on.source_id) & ~F.array_contains("path", F.col("target_id")))
         front = front.select("start", F.col("target_id").alias("at"), F.array_append("path", F.col("target_id")).alias("path"), F.array_append("types", F.col("type")).alias("types"))
         found = found.unionByName(front)
     found = found.select("start", F.col("at").alias("target"), F.size("types").cast("long").alias("hops"), "path", "types")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def moment(at) -> Column:
     return at if isinstance(at, Column) else F.lit(at).cast("timestamp_ntz") if isinstance(at, str) else F.lit(at)
@@ -71,3 +73,21 @@ def version_chain(facts: DataFrame, key: list[str]) -> DataFrame:
     """facts with the end of each version, the next one's created_at within its key."""
     order = Window.partitionBy(*key).orderBy("created_at", "id")
     return facts.withColumn("valid_to", F.lead("created_at").over(order)).withColumn("version", F.row_number().over(order).cast("long"))
+
+
+def link_chains(facts: DataFrame) -> DataFrame:
+    """id, latest, hops of each fact: where its replaced_by links lead in the end, and over how many of them; both null where they run in a circle.
+
+    A link to no fact leads nowhere. Pointers double their reach in each round, so that the rounds grow
+    with the logarithm of the longest chain, and end when a round reaches no further end.
+    """
+    known = facts.select(F.col("id").alias("known"))
+    linked = facts.select("id", "replaced_by").join(known, F.col("replaced_by") == F.col("known"), "left")
+    at = written(linked.select("id", F.coalesce("known", "id").alias("to"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("known").isNull().alias("ended")), "links")
+    before = None
+    while (open_ := at.where(~F.col("ended")).count()) and open_ != before:
+        before = open_
+        ahead = at.select(F.col("id").alias("next"), F.col("to").alias("further"), F.col("hops").alias("more"), F.col("ended").alias("done"))
+        # A link to an end has met it already; every other one takes over the reach of where it leads.
+        at = written(at.join(ahead, F.col("to") == F.col("next")).select("id", F.when(F.col("ended"), F.col("to")).otherwise(F.col("further")).alias("to"), F.when(F.col("ended"), F.col("hops")).otherwise(F.col("hops") + F.col("more")).alias("hops"), (F.col("ended") | F.col("done")).alias("ended")), "links")
+    return at.select("id", F.when(F.col("ended"), F.col("to")).alias("latest"), F.when(F.col("ended"), F.col("hops")).alias("hops"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import embed, text
-from ..operators import bm25, conflict, evaluate, graph, retrieve, temporal
+from ..operators import bm25, conflict, evaluate, graph, retrieve, substring, temporal
 from ..schema import EngineConfig
-from ..sources import store
+from ..sources import derived, store
+from ..sources.scratch import new_folder
 from .views import ALL_RELATIONS, FACTS, RELATIONS, STATE, all_entities, all_relations, entities, facts, relations, table, valid_sql
 
 AT, START, END, LATE = "2024-01-15 00:00:00", "2024-01-10 00:00:00", "2024-01-20 00:00:00", "2024-01-29 00:00:00"
@@ -260,6 +261,13 @@ def hybrid_demote(spark, sf):
     return _shown(retrieve.hybrid(_fused(spark, sf), _doc_facts(spark, sf), 5, EngineConfig(freshness_weight=0.5, current_state_demote=True), now="2024-02-01 00:00:00"))
 
 
+@query(_ranked_sql(f"effective_at <= {TS['at']}", "score"))
+def ablation_no_deprecation(spark, sf):
+    """The search as if nothing was ever replaced."""
+    kept = _doc_facts(spark, sf).withColumn("deprecated", F.lit(False)).withColumn("replaced_by", F.lit(None).cast("long"))
+    return _shown(retrieve.hybrid(_fused(spark, sf), kept, 5, at=AT))
+
+
 @query(_ranked_sql(f"{valid_sql(TS['at'])} and score >= 0.014e0 and id in (select doc_id from documents where source in ('src1', 'src2', 'src3'))", "score"))
 def entity_filter(spark, sf):
     return _shown(retrieve.hybrid(_fused(spark, sf), _doc_facts(spark, sf), 5, at=AT, min_score=0.014, entities=["src1", "src2", "src3"]))
@@ -394,6 +402,16 @@ def paths_all(spark, sf):
     return found.select("start", "target", "hops", F.array_join("path", ">").alias("path"))
 
 
+@query(f"""with recursive {ALL_RELATIONS}, p(start, target, hops, path) as (select s, t, 1::bigint, s || '>' || t from arel
+  union all select p.start, arel.t, p.hops + 1, p.path || '>' || arel.t from p join arel on p.target = arel.s where p.hops < 5)
+select start, target, hops, path from p where target in (select concat('n', n_nationkey) from nation where n_regionkey = 1)""")
+def paths_to(spark, sf):
+    """From all nodes to the nations of one region: what can't reach them isn't carried on."""
+    targets = table(spark, sf, "nation").where("n_regionkey = 1").select(F.concat(F.lit("n"), "n_nationkey").alias("id"))
+    found = graph.paths(all_relations(spark, sf), all_entities(spark, sf), targets, max_depth=5)
+    return found.select("start", "target", "hops", F.array_join("path", ">").alias("path"))
+
+
 @query(f"with {ALL_RELATIONS} select (select count(*) from (select id from ent union select s from arel union select t from arel)) as n_nodes, (select count(*) from (select distinct s, t from arel)) as n_edges")
 def graph_summary_all(spark, sf):
     return graph.summary(all_entities(spark, sf), all_relations(spark, sf))
@@ -421,7 +439,8 @@ GOLD = "gold as (select item_id as query_id, doc_id from benchmark b join docume
 def _gold(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
     d = table(spark, sf, "documents")
-    return d.join(F.broadcast(b), F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), "doc_id")
+    met = substring.containing(d.select(F.col("doc_id").alias("id"), "text"), b.withColumnRenamed("item_id", "passage_id"))
+    return met.select(F.col("passage_id").alias("query_id"), F.col("id").alias("doc_id"))
 
 
 FIRST = f"with {BM25}, {GOLD}, first as (select query_id, min(rank) filter (where rank <= 10) as r from gold left join sparse using (query_id, doc_id) group by query_id)"
@@ -510,9 +529,42 @@ def grep_baseline(spark, sf):
     return retrieve.overlap_search(d, q, 5)
 
 
+@query("select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
+def passages_in_documents(spark, sf):
+    return _gold(spark, sf).withColumnRenamed("query_id", "item_id")
+
+
+SESSIONS = """sess as (select conv_id as doc_id, string_agg(role || ': ' || trim(text), chr(10) order by turn) as text from conversations where trim(text) <> '' group by conv_id),
+asked as (select conv_id as item_id, arg_min(text, turn) as text from conversations where conv_id % 100 = 0 and trim(text) <> '' group by conv_id), """
+SESSION_BM25 = BM25.replace("from documents", "from sess").replace("from benchmark", "from asked")
+
+
+@query(f"""with {SESSIONS}{SESSION_BM25}, texts as (select query_id, rank, sess.text from sparse join sess using (doc_id) where rank <= 10),
+first as (select item_id as query_id, min(rank) as r from asked left join texts on query_id = item_id and texts.text = (select text from sess where doc_id = item_id) group by item_id)
+select {", ".join(f"round(avg(case when r <= {k} then 1e0 else 0e0 end), 6) as recall_at_{k}" for k in (1, 2, 3, 5, 10))}, round(avg(coalesce(1e0 / r, 0e0)), 6) as mrr, round(avg(case when r = 1 then 1e0 else 0e0 end), 6) as acc_at_1 from first""")
+def session_recall(spark, sf):
+    """The first turn of every hundredth conversation asks for its session among all; equal sessions count as the first of them by their text."""
+    c = table(spark, sf, "conversations")
+    sessions = evaluate.session_text(c)
+    asked = c.where((F.col("conv_id") % 100 == 0) & (F.trim("text") != "")).groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("text"))
+    found = bm25.search_documents(sessions, asked, 10, "conv_id").join(sessions.select(F.col("conv_id").alias("doc_id"), F.col("text").alias("found")), "doc_id")
+    # The sessions of a question are those that answer it and those that were found.
+    own = asked.select("query_id").join(sessions.select(F.col("conv_id").alias("query_id"), "text"), "query_id").select("query_id", F.col("query_id").alias("session_id"), F.lit(0).cast("long").alias("pos"), "text")
+    others = found.where("doc_id <> query_id").select("query_id", F.col("doc_id").alias("session_id"), F.col("rank").alias("pos"), F.col("found").alias("text"))
+    haystack = own.unionByName(others).withColumn("openings", F.array().cast("array<string>"))
+    return evaluate.session_hits(found.select("query_id", "rank", F.col("found").alias("text")), haystack, own.select("query_id", "session_id"))
+
+
 # -- mutation
 
 
+@query(f"""with recursive {FACTS}, way(id, latest, hops) as (select f.id, f.id, 0::bigint from facts f left join facts r on f.replaced_by = r.id where r.id is null
+  union all select f.id, way.latest, way.hops + 1 from facts f join way on f.replaced_by = way.id)
+select f.id, way.latest, way.hops from facts f left join way using (id)""")
+def link_chains(spark, sf):
+    return temporal.link_chains(facts(spark, sf))
+
+
 @query("with v as (select o_custkey as id, o_orderkey as seq, o_orderstatus as status, row_number() over (partition by o_custkey order by o_orderkey desc) as k from orders) select id, seq, status from v where k = 1")
 def update_latest(spark, sf):
     return store.latest(table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status")))
@@ -531,5 +583,32 @@ def deprecate_log(spark, sf):
     e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("old_id"), F.col("l_orderkey").alias("new_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at_seq"), (F.col("l_returnflag") == "R").alias("manual"))
     return store.chosen(e)
 
+
+# -- stored facts: written to a store, and read back through what it keeps
+
+
+def _stored_documents(spark, sf) -> store.View:
+    """The documents as facts of a store, with postings, keys and sketches."""
+    kept = store.Catalog(spark, new_folder(spark, "documents-store"))
+    f = _doc_facts(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
+    rows = f.withColumn("seq", F.col("id") + 1).withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0")).withColumn("effective_at", F.col("effective_at").cast("timestamp")).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    kept.write(lambda write: derived.add_facts(write, rows, embed.hashing_embedder(64), 0.2))
+    return kept.view()
+
+
+@query(f"with {BM25} select query_id, doc_id, round(bm25, 6) as bm25, rank from sparse where rank <= 10")
+def stored_bm25(spark, sf):
+    found = derived.search_stored(_stored_documents(spark, sf), _questions(spark, sf), 10)
+    return found.select("query_id", F.col("doc_id").cast("long").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
+
+
+@query(f"with {STATE} select {SHOWN_SQL} from state where {valid_sql(TS['at'])}")
+def stored_active_at(spark, sf):
+    kept = store.Catalog(spark, new_folder(spark, "facts-store"))
+    f = facts(spark, sf).withColumn("effective_at", F.col("effective_at").cast("timestamp")).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    kept.write(lambda write: write.append("facts", f.withColumn("since", store.day_of(F.least("effective_at", "created_at")))))
+    at = F.lit(AT).cast("timestamp")
+    return temporal.active_at(kept.facts(at), at).withColumn("id", F.col("id").cast("long")).select(*shown())
+
 # Without SQL: vectors of 512 sums of logarithms.
 QUERIES |= {f.__name__: f for f in (embedder_conflicts, hashing_embed)}
