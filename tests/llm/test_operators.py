@@ -52,6 +52,14 @@ P = "A paragraph with a good deal of text in it, to be kept as the main part of
     (f'<div id=main><h1>T</h1><p>{P}</p><p>{P}</p></div><div class="comments"><p>{P} {P} said</p><p>{P} said</p><p>{P} said</p></div>', ["T", P, P]),
     (f'<div class="sidebar"><h1>T</h1><p>{P}</p><p>{P}</p></div><div class=ad>buy</div>', ["T", P, P]),  # a name in the densest line's ancestors
     (f'<article><h1>T</h1><p>{P}</p><div class="ad">Buy now, good value</div><p>{P}</p><div class="cookie-notice">We use cookies</div></article>', ["T", P, P]),
+    (f'<body><form id=f action=x><div><h1>T</h1><p>{P}</p><p>{P}</p></div><input type=hidden><button>Send</button></form></body>', ["T", P, P]),  # a page within a form
+    (f'<article><h1>T</h1><p>{P}</p><form><p>Subscribe to our letter and get all news.</p><input><button>Send</button></form><p>{P}</p></article>', ["T", P, P]),
+    (f'<article><h1>T</h1><a href=x><p>{P}</p><p>{P}</p><p>{P}</p><p>{P}</p></a></article>', ["T", P, P, P, P]),  # paragraphs within a link
+    (f'<article><h1>A</h1><p>{P}</p><p>{P}</p><p>{P}</p></article><article><h1>B</h1><p>{P}</p><p>{P}</p></article>', ["A", P, P, P, "B", P, P]),  # two articles
+    (f'<article><h1>T</h1><p>{P}</p><p>{P}</p><h2>Sources</h2><ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul></article>', ["T", P, P, "Sources", "First source", "Second source"]),
+    (f'<article><p>A <x-note>word</x-note> in {P}</p><p>Sum <math><mi>x</mi></math> is {P}</p><p>Press <button>OK</button> and <label>name</label>go {P}</p></article>', [f"A word in {P}", f"Sum x is {P}", f"Press and go {P}"]),  # unknown elements, and furniture within a line
+    (f'<body><h1>T</h1><p>{P}</p><div class="footer">Copyright 2024 Some Company, all rights reserved.</div></body>', ["T", P]),  # a short page
+    (f'<article><h1>T</h1><p>{P}<span style="display:none">hidden</span> on</p></article>', ["T", f"{P} on"]),
 ])
 def test_densities_decide(html, want):
     assert html_extract.extract(html) == "\n".join(want)

@@ -7,8 +7,10 @@ holds it; the text is every block of that container that isn't page furniture.
 
 Elements that are furniture by their tag, role or hiding have no ratio. Names of classes
 and ids are only hints: they lower the ratio of their lines, and count for nothing in
-the ancestors of the densest line. Blocks of links within the container are dropped by
-their share of linked text.
+the ancestors of the densest line; a form is as such a name. Blocks of links within the
+container are dropped by their share of linked text, but for those after an article's
+beginning; a link around whole paragraphs is no link's caption. Furniture within a line, as a
+button, is left out of it without cutting it. Articles side by side are kept together.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section table ul".split())
+#: Elements that begin a line; all others, unknown ones too, are within one.
+BLOCKS = CLOSES_P | frozenset("caption colgroup frameset head legend noframes search summary tbody td tfoot th thead title tr".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article aside body blockquote div dl fieldset footer form header html main nav ol section table td th ul menu".split())
 #: Elements that lines belong to; content is looked for in the first kind, blocks of links in the second.
 CONTAINERS = frozenset("article body center div html main section table tbody td tr".split())
 LISTS = frozenset("ul ol dl menu table div section p".split())
-FURNITURE = frozenset("applet aside audio button canvas datalist dialog fieldset footer form head iframe input label legend map menu nav noframes noscript object optgroup option progress script select style svg template textarea title video".split())
+FURNITURE = frozenset("applet aside audio button canvas datalist dialog fieldset footer head iframe input label legend map menu nav noframes noscript object optgroup option progress script select style svg template textarea title video".split())
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Names that mostly mark furniture, and by how much they lower the ratio of their lines.
 STRONG_NAMES = frozenset(
@@ -46,6 +49,10 @@ WEAK_NAMES = frozenset("aside banner related recommended notice notices alert re
 WEAK = 0.5
 #: What such names are joined with; any other part, as in with-sidebar, comments-open or related-work, makes it a name of something else.
 NEUTRAL_PARTS = frozenset("area block bottom box container group holder inner item items left links list outer panel post posts reader readers right section site slot top unit user users wrap wrapper".split())
+#: A link around two lines and so many characters or more is a passage, not a link's caption.
+PASSAGE = 300
+#: Articles beside the one with the most content, of which they have this share or more, are kept with it.
+BESIDE = 0.25
 #: Elements whose names are looked at: text blocks only for the strong ones.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figure figcaption".split())
 PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)>")
@@ -68,8 +75,8 @@ def _furniture(tag: str, attrs: list, in_article: bool) -> bool:
 
 
 def _hint(tag: str, attrs: list) -> float:
-    """By how much the names of an element lower the ratio of its lines."""
-    factor = 1.0
+    """By how much the names of an element lower the ratio of its lines; a form is as a strong name, as whole pages may stand in one."""
+    factor = STRONG if tag == "form" else 1.0
     if tag in ("html", "body", "main"):
         return factor
     for key, value in attrs:
@@ -99,14 +106,18 @@ class BlockLines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        #: open elements: tag, within furniture, element, within an article, within a link
-        self.stack: list[tuple[str, bool, int, bool, bool]] = [("", False, 0, False, False)]
+        #: open elements: tag, within furniture, element, within an article, number of the link around or 0, whether its text is left out of a line
+        self.stack: list[tuple[str, bool, int, bool, int, bool]] = [("", False, 0, False, 0, False)]
         self.open: Counter[str] = Counter()
         self.kinds, self.parents, self.hints = ["body"], [0], [1.0]
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
+        self.links = 0
+        #: of each link that a line's text ends in, the lines and characters of it, and which lines
+        self.link_lines: dict[int, list[int]] = {}
+        self.last_link = 0
 
     def parse_html_declaration(self, i):
         """Marked sections, whatever is in them, end at the next '>', as in a browser."""
@@ -137,7 +148,9 @@ class BlockLines(HTMLParser):
         if self.parts or self.tags:
             text = " ".join("".join(self.parts).split())
             if text or self.tags:
-                _, dropped, node, _, _ = self.stack[-1]
+                _, dropped, node, _, _, _ = self.stack[-1]
+                if text and 2 * self.linked >= len(text):
+                    self.link_lines.setdefault(self.last_link, []).append(len(self.lines))
                 self.lines.append(Line(text, min(self.linked, len(text)), self.tags, dropped, node))
             self.parts, self.tags, self.linked = [], 0, 0
 
@@ -158,7 +171,7 @@ class BlockLines(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
-        block = tag not in INLINE
+        block = tag in BLOCKS
         if block:
             self.flush()
             if tag in CLOSES_P:
@@ -170,17 +183,21 @@ class BlockLines(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
-        _, dropped, node, article, link = self.stack[-1]
+        _, dropped, node, article, link, _ = self.stack[-1]
         dropped_here = dropped or _furniture(tag, attrs, article)
-        hint = _hint(tag, attrs) if attrs else 1.0
-        if not block and (dropped_here != dropped or hint < 1):
+        hint = _hint(tag, attrs) if attrs or tag == "form" else 1.0
+        mute = self.stack[-1][5] or not block and dropped_here and not dropped  # as a button or a hidden word: its line goes on after it
+        if not block and hint < 1 and not mute:
             self.flush()
         if tag in CONTAINERS or tag in LISTS or hint < 1:
             self.parents.append(node)
             node = len(self.kinds)
             self.kinds.append(tag)
             self.hints.append(hint)
-        self.stack.append((tag, dropped_here, node, article or tag in ("article", "main"), link or tag == "a"))
+        if tag == "a" and not link:
+            self.links += 1
+            link = self.links
+        self.stack.append((tag, dropped_here, node, article or tag in ("article", "main"), link, mute))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
@@ -195,21 +212,28 @@ class BlockLines(HTMLParser):
             return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
-                if tag not in INLINE or self.stack[k][1:3] != self.stack[k - 1][1:3]:
+                if tag in BLOCKS or self.stack[k][2] != self.stack[k - 1][2] and not self.stack[k][5]:
                     self.flush()
                 self.cut(k)
                 return
-            if tag in INLINE and self.stack[k][0] in SCOPES:
+            if tag not in BLOCKS and self.stack[k][0] in SCOPES:
                 return
 
     def handle_data(self, data):
+        if self.stack[-1][5]:
+            return
         self.parts.append(data)
         if self.stack[-1][4]:
-            self.linked += len(data)
+            self.last_link = self.stack[-1][4]
+            self.linked += len(data.strip())
 
     def finish(self) -> None:
         self.close()
         self.flush()
+        for held in self.link_lines.values():
+            if len(held) >= 2 and sum(len(self.lines[k].text) for k in held) >= PASSAGE:
+                for k in held:
+                    self.lines[k] = self.lines[k]._replace(linked=0)
 
 
 def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -289,7 +313,10 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
         box = max(articles, key=lambda k: (held[k], k))
     else:
         box = max(k for k, kind in enumerate(page.kinds) if kind in CONTAINERS and held[k] >= 0.9 * held[0] - 1e-6)
-    within = page.spread([k == box for k in range(len(page.kinds))], lambda a, b: a or b)
+    # Articles beside it are kept too; of those within or around others, the outermost.
+    around = page.ancestors(box)
+    boxes = {box} | {k for k, kind in enumerate(page.kinds) if articles and kind == "article" and k not in around and held[k] >= BESIDE * held[box]}
+    within = page.spread([k in boxes for k in range(len(page.kinds))], lambda a, b: a or b)
     if not articles and page.kinds[box] not in ("div", "section", "center", "td"):
         # No container of its own: from the first to the last line of the cluster, and blocks without many links beside them.
         beside = ~page.dropped & (2 * page.linked <= page.chars)
@@ -299,9 +326,13 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
         while last + 1 < len(beside) and beside[last + 1]:
             last += 1
         within &= (np.arange(len(within)) >= first) & (np.arange(len(within)) <= last)
-    # Named blocks stay if their own density carries them: a strong name must do so without its neighbours.
-    carried = np.where(hint <= STRONG, np.minimum(ratio, smooth), smooth) >= least
-    keep = within & ~page.dropped & ((hint == 1) | carried) & ~_link_blocks(page, box)
+    # Named blocks stay if their own density carries them: a strong name must do so without its neighbours, and be denser than all that has no name.
+    densest_plain = float(page.ratio[hint == 1].max(initial=0.0))
+    carried = np.where(hint <= STRONG, (np.minimum(ratio, smooth) >= least) & (page.ratio > densest_plain), smooth >= least)
+    links = _link_blocks(page, box)
+    if page.kinds[box] == "article":
+        links &= np.arange(len(links)) < int(np.flatnonzero(chosen & within)[0] if (chosen & within).any() else 0)  # lists of links after an article's beginning are part of it
+    keep = within & ~page.dropped & ((hint == 1) | carried) & ~links
     return "\n".join(t for t, k in zip(page.text, keep) if k and t)
 
 
