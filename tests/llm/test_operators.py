@@ -569,6 +569,70 @@ def test_packing(docs, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_does_not_depend_on_the_session(spark, docs):
+    """The same pieces for few and many partitions, and few short sequences."""
+    rows, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("2", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        rows.append(sorted(tuple(r) for r in packing.pack(docs, shard_docs=16).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rows[0] == rows[1] and packing.ranges_of(200, 1, 16) == 7
+    sizes = Counter()
+    for r in rows[0]:
+        sizes[r[5]] += r[2]
+    assert sum(n < 4096 for n in sizes.values()) <= 12
+
+
+def test_packing_fills_by_score():
+    """A shard's sequences against a plain search for the best unused neighbour of each seed."""
+    rng = np.random.default_rng(5)
+    docs = [(k, np.append(rng.integers(3, 60, rng.integers(1, 40)), 2)) for k in range(50)]
+    docs += [(50, docs[7][1]), (51, docs[7][1]), (52, np.array([2])), (53, np.append(rng.integers(3, 60, 300), 2))]
+    corpus = packing.Corpus(np.bincount(np.concatenate([np.unique(d[:-1]) for _, d in docs]), minlength=60), len(docs), float(np.mean([len(d) - 1 for _, d in docs])))
+    packer, out = packing.Packer(64, 0, corpus), []
+    packer.shard(docs, out)
+    packer.finish(out)
+    got = [(r[0], r[1], r[2], r[5]) for r in sorted(out, key=lambda r: (r[5], r[6]))]
+
+    def score(a, b):
+        tf = Counter(b[:-1].tolist())
+        return sum(float(corpus.weight(np.array([t]), np.array([tf[t]]), len(b) - 1)[0]) for t in set(a[:-1].tolist()) if t in tf)
+
+    unused, order = list(range(len(docs))), []  # documents as they follow each other
+    room, now = 64, None
+    while unused or now is not None:
+        if now is None:
+            now, left = unused.pop(0), None
+            left = len(docs[now][1])
+            order.append(now)
+        # The seed fills windows by itself; its rest is followed by its neighbours.
+        while left >= room:
+            left, room = left - room, 64
+        if left == 0:
+            now = None
+            continue
+        room -= left
+        seed, now = now, None
+        ranked = sorted(unused, key=lambda k: (-round(score(docs[seed][1], docs[k][1]), 4), k))
+        for k in [k for k in ranked if score(docs[seed][1], docs[k][1]) > 0]:
+            unused.remove(k)
+            order.append(k)
+            n = len(docs[k][1])
+            if n < room:
+                room -= n
+                continue
+            now, left, room = k, n - room, 64
+            if left == 0:
+                now = None
+            break
+    want, seen = [], set()
+    for doc, *_ in got:
+        if doc not in seen:
+            seen.add(doc)
+            want.append(doc)
+    assert want == [docs[k][0] for k in order]
+
+
 def test_packing_prefers_lexical_neighbours():
     shard = packing.Bm25Shard([np.array([1, 2, 3]), np.array([7, 8, 9]), np.array([2, 3, 4])])
     assert shard.scores(np.array([1, 2, 3])).argsort()[::-1].tolist() == [0, 2, 1]

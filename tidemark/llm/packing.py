@@ -341,13 +341,40 @@ class Packer:
                 return (int(k), end) if end < len(ids) else (None, 0)
         return None, 0
 
+    def add(self, doc: int, start: int, ids: np.ndarray, total: int, out: list) -> None:
+        """Put ids of a document, from `start` on, into this window and the next ones."""
+        while len(ids):
+            part, ids = np.split(ids, [self.window - self.used])
+            self.open.append((doc, start, part, total))
+            start += len(part)
+            self.used += len(part)
+            if self.used == self.window:
+                self.close(out, [self.window])
+
     def finish(self, out: list) -> None:
         """The last, unfilled window becomes sequences whose sizes are powers of two, which need no padding."""
         self.close(out, [1 << k for k in range(self.used.bit_length() - 1, -1, -1) if self.used >> k & 1])
 
 
-#: Ids of a range that documents are dealt into, about; there are as many ranges as shuffle partitions, or more if these ids need them.
-RANGE_IDS = 128_000_000
+#: Shards of a range; ranges beyond which they get longer instead of more, and the ids that one may have.
+RANGE_SHARDS, RANGES, RANGE_IDS = 2, 20_000, 128_000_000
+#: Ranges whose last, unfilled windows are put together by one task.
+TAILS = 2048
+
+
+def ranges_of(documents: int, ids: float, shard_docs: int) -> int:
+    """How many ranges documents are dealt into: by their number alone, whatever the cluster's settings."""
+    return max(1, min(RANGES, -(-documents // (RANGE_SHARDS * shard_docs))), -(-int(ids) // RANGE_IDS))
+
+
+def names_of(fields: str) -> list[str]:
+    return [f.split()[0] for f in fields.split(", ")]
+
+
+def pieces(rows: list[tuple], ids: list[bytes] | None = None) -> pa.RecordBatch:
+    """Rows of FIELDS, with the ids of those that wait for a sequence."""
+    columns = list(zip(*rows)) or [()] * len(names_of(FIELDS))
+    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(ids or [None] * len(rows), pa.binary())], names=[*names_of(FIELDS), "ids"])
 
 
 def vocabulary_size(path: str) -> int:
@@ -363,7 +390,12 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
     documents are encoded once into the shared folder, and dealt by ranges of their three heaviest terms
     (and their own number, so a common key is no large task). Shards are up to shard_docs documents
     and about shard_ids ids that follow each other in a range, so no task holds more than a shard and a
-    batch. The ranges' bounds are drawn keys, 8 to 64 for each. Only the last sequences of a range, powers of two, are shorter than the window: there is no padding.
+    batch. The ranges follow from the number of documents, so that the session's settings don't change
+    what meets; their bounds are drawn keys, 8 to 64 for each. The last, unfilled windows of TAILS ranges
+    are put together; only what is left of these, in powers of two, is shorter than the window: there is
+    no padding. Documents of equal weight for a seed follow in the order of their range; columns but
+    doc_id and text aren't read; an empty table has no pieces; a text of any length is cut as often as
+    need be.
     """
 
     kind = "<u2" if max(vocabulary_size(path or tokenizer_path("word_bpe_49k.json")), end_id + 1) <= 1 << 16 else "<u4"
@@ -387,8 +419,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
     coded = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, row long, ids binary"), "ids")
     corpus = corpus_of(coded)
     coded = coded.where("row >= 0")
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(corpus.n * corpus.average // RANGE_IDS) + 1)
+    parts = ranges_of(corpus.n, corpus.n * corpus.average, shard_docs)
     per_range = min(64, max(8, 640_000 // parts))
 
     def keyed(batches, bounds):
@@ -403,17 +434,15 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
     with_keys = "doc_id long, row long, ids binary, k1 long, k2 long, k3 long, part int"
     drawn = coded.sample(min(1.0, per_range * parts / max(1, corpus.n)), 1).mapInArrow(lambda b: keyed(b, []), with_keys).select("k1", "k2", "k3", "row").limit(4 * per_range * parts).collect()
     drawn = sorted(map(tuple, drawn))
+    alike = Counter(d[:3] for d in drawn)
     bounds = [drawn[len(drawn) * k // parts] for k in range(1, parts)] if drawn else []
+    bounds = [b if alike[b[:3]] > per_range else (*b[:3], -1) for b in bounds]  # documents of equal terms stay together, unless they are more than a range
 
     def run(batches):
         packer = Packer(window, TaskContext.get().partitionId() << 36, corpus)
         shard: list[tuple[int, np.ndarray]] = []
         held = 0
 
-        def batch_of(rows):
-            columns = list(zip(*rows)) or [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
         for batch in batches:
             out: list = []
             for doc in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
@@ -422,12 +451,27 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, shard_docs: int =
                 if len(shard) >= shard_docs or held >= shard_ids:
                     packer.shard(shard, out)
                     shard, held = [], 0
-            yield batch_of(out)
+            yield pieces(out)
         out = []
         if shard:
             packer.shard(shard, out)
+        yield pieces(out)
+        tail = [(doc, start, len(ids), 0, total, packer.sequence, k) for k, (doc, start, ids, total) in enumerate(packer.open)]
+        yield pieces(tail, [ids.astype("<u4").tobytes() for _, _, ids, _ in packer.open])
+
+    def join_tails(batches):
+        packer = Packer(window, (1 << 62) + (TaskContext.get().partitionId() << 36))
+        for batch in batches:
+            out: list = []
+            for doc, start, total, ids in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")]):
+                packer.add(doc, start, np.frombuffer(ids, "<u4"), total, out)
+            yield pieces(out).select(names_of(FIELDS))
+        out = []
         packer.finish(out)
-        yield batch_of(out)
+        yield pieces(out).select(names_of(FIELDS))
 
     dealt = coded.mapInArrow(lambda b: keyed(b, bounds), with_keys).repartitionById(parts, "part").sortWithinPartitions("k1", "k2", "k3", "row")
-    return dealt.select("doc_id", "ids").mapInArrow(run, FIELDS)
+    packed = materialise(dealt.select("doc_id", "ids").mapInArrow(run, FIELDS + ", ids binary"), "packed")
+    tails = packed.where("ids is not null").withColumn("group", F.floor(F.col("sequence_id") / (TAILS << 36)).cast("int"))
+    tails = tails.repartitionById(-(-parts // TAILS), "group").sortWithinPartitions("sequence_id", "offset").select("doc_id", "start", "doc_tokens", "ids")
+    return packed.where("ids is null").drop("ids").unionByName(tails.mapInArrow(join_tails, FIELDS))
