@@ -95,3 +95,26 @@ def test_versions_of_a_stream_equal_the_batch(spark, tmp_path):
         own = sorted({r for r in rows if r[0] == e}, key=lambda r: (r[2], r[1]))
         want |= {(e, r[1]): (k + 1, own[k - 1][1] if k else None) for k, r in enumerate(own)}
     assert {k: v for k, v in got.items() if not k[1].startswith("end")} == want
+
+
+@pytest.mark.parametrize("size", ["40", "64m"])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_arrays_are_read_in_splits(spark, tmp_path, size, indent):
+    """Objects with braces, quotes and escapes in their strings, over splits of a few bytes."""
+    import json
+
+    from tidemark.sources.store import read_haystacks
+
+    tricky = ["}", "{", '"}', "a\\\"} , {", "[]", "", "é日", "\\", "x" * 90, "}}}}", "\n} ]"]
+    samples = [{"haystack_session_ids": [str(k)], "haystack_sessions": [[{"role": "user", "content": t}, {"content": t * 2, "role": "a"}], []], "answer_session_ids": [], "question": f"{t}{k}", "answer": t, "more": {"deep": [{"x": [1, {}]}]}} for k, t in enumerate(tricky * 3)]
+    (tmp_path / "in").mkdir()
+    for n, part in enumerate([samples[:20], samples[20:], [], samples[:1]]):
+        (tmp_path / f"in/{n}.json").write_text(json.dumps(part, ensure_ascii=False, indent=indent))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = [(r.question, r.answer, [[tuple(x) for x in s] for s in r.haystack_sessions]) for r in read_haystacks(spark, str(tmp_path / "in")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(s["question"], s["answer"], [[(x["role"], x["content"]) for x in y] for y in s["haystack_sessions"]]) for s in samples + samples[:1]]
+    assert sorted(got) == sorted(want)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from .commits import Commit, CommitLog
+from .json_array import read_objects
 
 TABLES = {
     "facts": schema.FACTS, "entities": schema.ENTITIES, "relations": schema.RELATIONS, "supersession": schema.SUPERSESSION, "tombstones": schema.TOMBSTONES,
@@ -248,9 +249,12 @@ def read_scenarios(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return writes, probes
 
 
-def read_haystacks(spark: SparkSession, path: str) -> DataFrame:
-    """Conversation haystacks: a top-level JSON array of samples."""
-    return spark.read.json(path, multiLine=True)
+HAYSTACK = "haystack_session_ids array<string>, haystack_sessions array<array<struct<role: string, content: string>>>, answer_session_ids array<string>, question string, answer string"
+
+
+def read_haystacks(spark: SparkSession, path: str, schema: str = HAYSTACK) -> DataFrame:
+    """Conversation haystacks: a JSON array of samples, of which each split is read by a task of its own."""
+    return read_objects(spark, path, schema)
 
 
 def write_scenario(path: str, suite: str, sessions: list[tuple[str, list[str]]], probes: list[dict]) -> None:
