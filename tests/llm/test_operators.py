@@ -545,6 +545,25 @@ def test_components_equal_a_union_of_edges(spark):
         assert {r.node: r.component for r in found} == root and len(found) == len(root)
 
 
+def test_of_many_languages_the_commonest_are_learned(spark):
+    rows = [(k, f"alpha beta gamma {k}", "aa") for k in range(40)] + [(100 + k, f"да нет {k}", "bb") for k in range(40)] + [(200, "rare words", "cc")] + [(300 + k, f"αβγ δε {k}", "dd") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.learn(df, most_languages=3).langs == ["aa", "bb", "dd"] and language_id.learn(df, rows=1, most_languages=1).langs == ["aa"]
+    parser = language_id.CrossParser({"aa": ["aaab" * 9], "bb": ["bbba" * 9]})
+    assert parser.judge(["aaab aaab", "bbba bbba"])[0] == ["aa", "bb"]
+
+
+def test_samples_do_not_depend_on_files(spark, docs):
+    """The same draw from one file and from many, copies counting once."""
+    from tidemark.llm.common import drawn
+
+    rows = docs.select("text").unionByName(docs.select("text").where("doc_id < 90"))
+    for n in (5, 40, 10_000):
+        one = drawn(rows.coalesce(1), "text", n)
+        assert one == drawn(rows.repartition(9), "text", n) and len(one) == len(set(one)) == min(n, rows.distinct().count())
+    assert drawn(rows.limit(0), "text", 3) == []
+
+
 def test_packing(docs, odd):
     for frame in (docs.select("doc_id", "text"), odd.where("doc_id <> 5")):
         texts = {r.doc_id: r.text or "" for r in frame.collect()}

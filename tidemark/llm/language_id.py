@@ -9,6 +9,8 @@ many letters are told apart as well as small alphabets.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -102,7 +104,8 @@ class CrossParser:
 
     def __init__(self, labelled: dict[str, list[str]], letters: int = 32_000, block: int = 1024):
         self.langs, self.block = sorted(labelled), block
-        known = sorted({c for texts in labelled.values() for c in "".join(texts).lower() if c.isalpha()})[: 2**16 - 2]
+        met = Counter(c for texts in labelled.values() for c in "".join(texts).lower() if c.isalpha())
+        known = sorted(sorted(met, key=lambda c: (-met[c], c))[: 2**16 - 2])  # of more letters than symbols, the commonest
         # 0: anything but a letter; 1: a letter that no labelled text has.
         self.symbol = np.fromiter((chr(k).isalpha() for k in range(0x110000)), np.uint16, 0x110000)
         self.symbol[[ord(c) for c in known]] = np.arange(2, 2 + len(known))
@@ -197,7 +200,9 @@ def learn(docs: DataFrame, rows: int = 64, letters: int = 32_000, most_languages
 
     The sample is bounded: of each language the `rows` texts first by a hash of their id (then by id and
     a hash of the text; repeated rows count once), LEARNED_CHARS characters of each, and `letters` letters
-    in all, an equal share of each text. More than `most_languages` languages are refused.
+    in all, an equal share of each text. Of more than `most_languages` languages the commonest are learned
+    (of equally common ones the first by name), as every worker holds them; a text of another one gets the
+    nearest of these. Of more than 65,534 distinct letters in the sample the commonest are told apart.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
     usable = usable.select("lang", "doc_id", F.substring("text", 1, LEARNED_CHARS).alias("text"), F.xxhash64("text").alias("h"))
@@ -205,7 +210,8 @@ def learn(docs: DataFrame, rows: int = 64, letters: int = 32_000, most_languages
     first = usable.select("lang", "doc_id", "h").withColumn("k", F.dense_rank().over(order)).where(F.col("k") <= rows)
     picked = first.select("lang", "doc_id", "h").distinct().limit(rows * most_languages + 1).collect()
     if len({r.lang for r in picked}) > most_languages or len(picked) > rows * most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+        common = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+        return learn(docs.where(F.col("lang").isin([r.lang for r in common])), rows, letters, most_languages)
     if not picked:
         return CrossParser({})
     chosen = usable.where(F.col("doc_id").isin(sorted({r.doc_id for r in picked})) & F.col("h").isin(sorted({r.h for r in picked})))

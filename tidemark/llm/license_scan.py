@@ -222,10 +222,9 @@ def lookup_table(hashes: list[int]) -> tuple[list[int], int]:
 
 
 def paragraphs_of(docs: DataFrame, rows: int = 400, chars: int = 2000, most: int = 1500) -> list[str]:
-    """Real paragraphs for the unknown class, a bounded sample: lines of the first `chars` characters of `rows` drawn texts, first by a hash, at most `most` lines in all."""
-    texts = docs.where(F.length("text") > 0).select("text")
-    some = drawn(texts, rows).select(F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text")).collect()
-    return [p for r in sorted(some, key=lambda r: (r.h, r.text))[:rows] for p in r.text.split("\n") if words(p)][:most]
+    """Real paragraphs for the unknown class, a bounded sample: lines of the first `chars` characters of the `rows` distinct texts first by a hash, at most `most` lines in all."""
+    some = drawn(docs.where(F.length("text") > 0), "text", rows, F.substring("text", 1, chars))
+    return [p for text in some for p in text.split("\n") if words(p)][:most]
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel | None = None, least: float = 0.5, confirm: float = 0.6) -> DataFrame:

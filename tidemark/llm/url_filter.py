@@ -151,13 +151,12 @@ class UrlTrees:
 def learn(labelled: DataFrame, rows: int = 4000) -> UrlTrees:
     """Trees from a table of labelled urls (url, label: 'block' or 'allow'; rows without either are left out).
 
-    The sample is bounded: of each label, the `rows` urls first by a hash among those drawn; a url that is
-    repeated with one label counts once.
+    The sample is bounded: of each label, the `rows` urls first by a hash, whatever files they lie in; a url
+    that is repeated with one label counts once.
     """
     urls: dict[tuple[str, str], None] = {}
     for label in ("allow", "block"):
-        some = drawn(labelled.where((F.col("label") == label) & F.col("url").isNotNull()).select("url"), rows).select(F.xxhash64("url").alias("h"), "url").collect()
-        urls.update(((u, label), None) for _, u in sorted({(r.h, r.url) for r in some})[:rows])
+        urls.update(((u, label), None) for u in drawn(labelled.where(F.col("label") == label), "url", rows))
     return UrlTrees([u for u, _ in urls], [int(label == "block") for _, label in urls])
 
 
