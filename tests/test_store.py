@@ -291,3 +291,41 @@ def test_demotion_keeps_outdated_facts_last(spark, tmp_path):
     a = store.remember("Zeta rate is nine percent", ["Zeta"], effective_at="2024-01-01")
     b = store.remember("Zeta rate is four percent", ["Zeta"], effective_at="2024-01-02")
     assert [r["id"] for r in store.query("Zeta rate percent", 2)] == [b, a]
+
+
+def test_moments_of_text(spark):
+    """The same in any session's zone."""
+    from tidemark.functions.time import parse_time
+
+    said = ["2024-01-01T10:00:00+00:00", "2024-01-01T12:00:00+02:00", "2024-01-01T12:00:00+0200", "2024-01-01T10:00:00Z", "2024-01-01 10:00:00", "2024-01-01T10:00:00.123456", "2024-01-01", "junk", "2024-13-01", "", None, "10:00"]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(said)], "k int, s string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = [r.m for r in df.orderBy("k").select(F.unix_micros(parse_time("s")).alias("m")).collect()]
+        spark.conf.set("spark.sql.session.timeZone", before)
+        ten, midnight = 1704103200000000, 1704067200000000
+        assert got == [ten] * 5 + [ten + 123456, midnight] + [None] * 5
+
+
+def test_records_go_both_ways(spark, store, tmp_path):
+    store.add_records([{"id": "a", "content": "one", "entity_ids": ["e"], "effective_at": "2024-01-01T00:00:00+02:00", "created_at": "2024-01-02", "metadata": {"k": [1, "\u00e9"]}, "deprecated": True, "replaced_by": "b"}, {"id": "b", "content": "two"}, {"content": "three"}])
+    kept = list(store.records())
+    assert {r["content"] for r in kept} == {"one", "two", "three"} and len({r["id"] for r in kept}) == 3
+    one = next(r for r in kept if r["id"] == "a")
+    assert one == {"id": "a", "content": "one", "entity_ids": ["e"], "effective_at": "2023-12-31T22:00:00.000000+00:00", "created_at": "2024-01-02T00:00:00.000000+00:00", "source": None, "metadata": {"k": [1, "\u00e9"]}, "deprecated": True, "replaced_by": "b"}
+    other = FactStore(spark, str(tmp_path / "other"))
+    other.add_records(kept)
+    other.add_records([one | {"content": "uno"}])
+    assert sorted(map(str, other.records())) == sorted(str(r | {"content": "uno"} if r["id"] == "a" else r) for r in kept)
+    assert [r["id"] for r in other.query("two", 1)] == ["b"]
+
+
+def test_a_failing_strategy_leaves_the_others(spark):
+    probes = spark.createDataFrame([(1, "s1", ["old is nine", "new is ten"], ["ten"], ["nine"]), (2, "s2", ["yes"], ["yes"], [])], "probe_id long, suite string, texts array<string>, expected array<string>, banned array<string>")
+
+    def broken():
+        raise RuntimeError("no model here")
+
+    lines = evaluate.suite_report({"good": lambda: evaluate.grade(probes), "bad": broken, "none": lambda: evaluate.grade(probes.limit(0))}).split("\n")
+    assert [x.split()[0] for x in lines] == ["suite", "s1", "s2", "all", "bad"] and "1.000 | 1.000" in lines[1] and "1.000 | -" in lines[2] and "no model here" in lines[-1]

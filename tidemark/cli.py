@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if not found:
                 print("nothing found")
         elif args.command == "timeline":
-            for n, r in enumerate(store.timeline(args.entity).collect(), 1):
+            for n, r in enumerate(store.timeline(args.entity).toLocalIterator(), 1):
                 print(shown(n, r))
         elif args.command == "graph":
             if store.entity_id(args.entity) is None:
@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif args.command == "deprecate":
             print("deprecated" if store.deprecate(args.id, args.replaced_by) else "not found")
         else:
-            for n, r in enumerate((store.list(True) if args.all else store.active()).collect(), 1):
+            for n, r in enumerate((store.list(True) if args.all else store.active()).toLocalIterator(), 1):
                 print(shown(n, r))
     return 0
 

@@ -13,7 +13,7 @@ from .functions.text import ascii_fold
 from .operators import conflict, graph, retrieve, temporal
 from .schema import EngineConfig
 from .sources import derived
-from .sources.store import Catalog, View, Write, from_json, latest, to_json
+from .sources.store import Catalog, View, Write, from_json, from_records, latest, to_json, to_records
 
 
 def new_id() -> str:
@@ -93,6 +93,21 @@ class FactStore:
             found = self._contradicted(write, before, keys, sketches, moment)
             write.append("supersession", conflict.resolve(found).withColumn("manual", F.lit(False)).withColumn("score", F.lit(None).cast("double")))
 
+    def add_records(self, records: list[dict]) -> None:
+        """Facts as they are (dictionaries as records() gives them), in their order and in one commit: nothing is replaced, and a known id gets a new version."""
+        made = [{"id": new_id()} | {k: v for k, v in r.items() if v is not None} for r in records]
+
+        def build(write: Write) -> None:
+            base = write.take(len(made))
+            rows = from_records(self.spark, [r | {"seq": base + k} for k, r in enumerate(made)], "facts")
+            again = write.log("facts").select("id").join(rows.select("id"), "id", "left_semi").distinct()
+            if not again.isEmpty():
+                derived.bury(write, again, base - 1)
+            now = F.current_timestamp()
+            derived.add_facts(write, latest(rows).withColumn("effective_at", F.coalesce("effective_at", now)).withColumn("created_at", F.coalesce("created_at", now)), self.embedder, self._least())
+
+        self.catalog.write(build)
+
     def _least(self) -> float:
         """The Jaccard that blocking keys are chosen for: judges hardly score pairs below 0.2."""
         return min(0.2, self.config.related_jaccard)
@@ -199,6 +214,10 @@ class FactStore:
         """A fact as a dictionary, its metadata read; None where the id is unknown."""
         return _decoded(self.catalog.facts().where(F.col("id") == fact_id).first())
 
+    def records(self, include_deprecated: bool = True):
+        """All facts as dictionaries, one after another."""
+        return to_records(self.list(include_deprecated).drop("seq"))
+
     def get_entity(self, entity_id: str) -> dict | None:
         return _decoded(self.catalog.entities().where(F.col("id") == entity_id).first())
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,3 +111,22 @@ def session_text(turns: DataFrame, session: str = "conv_id", turn: str = "turn")
     """A text for each session: 'role: content' lines in order, blank ones left out, content stripped, the role by default assistant."""
     kept = turns.where(F.trim("text") != "").select(F.col(session), F.struct(F.col(turn).alias("turn"), F.concat(F.coalesce("role", F.lit("assistant")), F.lit(": "), F.trim("text")).alias("line")).alias("t"))
     return kept.groupBy(session).agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["line"]), "\n").alias("text"))
+
+
+def suite_report(strategies: dict[str, Callable[[], DataFrame]]) -> str:
+    """A table as text: for each suite and over all probes, each strategy's recall and staleness at 1.
+
+    strategies: of each name what gives its graded probes. One that fails, as for want of a model, has
+    its reason in the last lines and leaves the others' figures alone. The driver gets a row a suite.
+    """
+    figures, failed = {}, []
+    for name, graded in strategies.items():
+        try:
+            figures[name] = {r.suite: r for r in roll_up(graded()).collect()}
+        except Exception as reason:  # whatever a strategy's own code may raise
+            failed.append(f"{name} failed: {str(reason).strip().splitlines()[0] if str(reason).strip() else type(reason).__name__}")
+    suites = sorted({s for f in figures.values() for s in f if s is not None})
+    cell = lambda r: "-" if r is None else f"{r.recall:.3f} | " + ("-" if r.staleness_at_1 is None else f"{r.staleness_at_1:.3f}")
+    lines = [f"{'suite':28s}" + "".join(f"{name:>20s}" for name in figures)]
+    lines += [f"{s or 'all probes':28s}" + "".join(f"{cell(f.get(s)):>20s}" for f in figures.values()) for s in [*suites, None]]
+    return "\n".join(lines + failed)

@@ -291,6 +291,14 @@ def fit_idf(spark, sf):
     return embed.fit_idf(table(spark, sf, "benchmark"), "text").select("feature", "df", F.round("idf", 6).alias("idf"))
 
 
+IDF_DOCUMENTS = ORACLE_SQL["fit_idf"].replace("benchmark", "documents").replace("item_id", "doc_id")
+
+
+@query(IDF_DOCUMENTS)
+def fit_idf_documents(spark, sf):
+    return embed.fit_idf(table(spark, sf, "documents"), "text").select("feature", "df", F.round("idf", 6).alias("idf"))
+
+
 # -- conflicts
 
 TOKEN_FACTS = f"tf as (select *, {content_sql('content')} as tk from facts)"

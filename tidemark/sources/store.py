@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.time import parse_time
 from .commits import Commit, CommitLog
 from .json_array import read_objects
 
@@ -82,6 +83,23 @@ def from_json(text: str | None) -> dict:
     return value if isinstance(value, dict) else {}
 
 
+def to_records(rows: DataFrame):
+    """Each row as a dictionary, one after another: metadata as an object, moments as ISO texts in UTC."""
+    zoned = [F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias(c) if kind == "timestamp" else F.col(c) for c, kind in rows.dtypes]
+    for row in rows.select(*zoned).toLocalIterator():
+        yield {k: from_json(v) if k == "metadata" else v for k, v in row.asDict(True).items()}
+
+
+def from_records(spark: SparkSession, records: list[dict], table: str) -> DataFrame:
+    """Rows of a table from dictionaries as to_records gives them; what one leaves out is null, but for entity_ids (none), metadata (an empty object) and deprecated (false)."""
+    wanted = spark.createDataFrame([], TABLES[table]).schema
+    usual = {"entity_ids": [], "metadata": {}, "deprecated": False}
+    said = lambda r, f: to_json(r.get(f, {}) or {}) if f == "metadata" else str(r[f]) if f in ("effective_at", "created_at") and r.get(f) is not None else r.get(f, usual.get(f))
+    ddl = ", ".join(f"{f.name} {'string' if f.dataType.typeName() == 'timestamp' else f.dataType.simpleString()}" for f in wanted)
+    rows = spark.createDataFrame([tuple(said(r, f.name) for f in wanted) for r in records], ddl)
+    return rows.select(*[parse_time(f.name).alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in wanted])
+
+
 class View:
     """The tables as one commit has them. folders: of each table; counts: of live facts, and of their tokens."""
 
@@ -236,15 +254,15 @@ class Catalog:
 def read_fact_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Facts and timed questions of a nested JSON file {topics: [{topic, facts, queries}]}."""
     topics = spark.read.json(path, multiLine=True).select(F.explode("topics").alias("t"))
-    facts = topics.select("t.topic", F.posexplode("t.facts").alias("pos", "f")).select("topic", "pos", "f.content", F.col("f.entities").alias("entities"), F.to_timestamp("f.effective_at").alias("effective_at"), F.to_timestamp("f.created_at").alias("created_at"))
-    questions = topics.select("t.topic", F.posexplode("t.queries").alias("pos", "q")).select("topic", "pos", "q.question", F.to_timestamp("q.at").alias("at"), "q.gold")
+    facts = topics.select("t.topic", F.posexplode("t.facts").alias("pos", "f")).select("topic", "pos", "f.content", F.col("f.entities").alias("entities"), parse_time("f.effective_at").alias("effective_at"), parse_time("f.created_at").alias("created_at"))
+    questions = topics.select("t.topic", F.posexplode("t.queries").alias("pos", "q")).select("topic", "pos", "q.question", parse_time("q.at").alias("at"), "q.gold")
     return facts, questions
 
 
 def read_scenarios(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Writes and probes of session files {suite, sessions: [{session_id, timestamp, writes, probes}]}, in the order of the file."""
     sessions = spark.read.json(path, multiLine=True).select("suite", F.posexplode("sessions").alias("session_pos", "s"))
-    writes = sessions.select("suite", "session_pos", F.col("s.session_id"), F.to_timestamp("s.timestamp").alias("at"), F.posexplode("s.writes").alias("pos", "w")).select("suite", "session_pos", "session_id", "at", "pos", F.col("w.text").alias("content"))
+    writes = sessions.select("suite", "session_pos", F.col("s.session_id"), parse_time("s.timestamp").alias("at"), F.posexplode("s.writes").alias("pos", "w")).select("suite", "session_pos", "session_id", "at", "pos", F.col("w.text").alias("content"))
     probes = sessions.select("suite", "session_pos", F.col("s.session_id"), F.explode("s.probes").alias("p")).select("suite", "session_pos", "session_id", F.col("p.id").alias("probe_id"), "p.question", "p.expected", F.col("p.must_not_contain").alias("banned"))
     return writes, probes
 
