@@ -85,8 +85,16 @@ def test_conflicts_scored_by_vectors(spark):
 
 
 def test_search_scans_the_texts_once(spark):
-    """The plan of BM25 without an index: one accent fold, whose exchange is used again."""
+    """The plan of BM25 without an index: one accent fold, whose exchange is used again for the terms' and the documents' statistics."""
     plan = catalogue.QUERIES["bm25_topk"](spark, SF)
     plan.collect()
     text_ = plan._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
-    assert "ReusedExchange" in text_
+    assert text_.count("ArrowEvalPython") == 1 and text_.count("ReusedExchange") == 2
+
+
+def test_a_stored_search_reads_no_texts(spark):
+    """The search of stored postings: no column of texts in its scans, and no fold."""
+    view = catalogue._stored_documents(spark, SF)
+    plan = catalogue.derived.search_stored(view, catalogue._questions(spark, SF), 10)
+    text_ = plan._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in text_ and "ArrowEvalPython" not in text_ and "/postings/" in text_

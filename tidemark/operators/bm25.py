@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LOWER, UPPER, ascii_fold, document_tokens, search_tokens
+from ..sources.scratch import dealt
 
 K1, B = 1.2, 0.75
 
@@ -23,7 +24,8 @@ class Index:
 
 def tokens_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, dl, tokens of each document; a null text is an empty one."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), document_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    rows = dealt(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    tokens = rows.select("doc_id", document_tokens("text").alias("tokens"))
     return tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens")
 
 
@@ -58,9 +60,10 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int | None = 20, do
         distinct = F.broadcast(distinct)
     occurring = tokens_of(docs, doc_id, text).select("doc_id", "dl", F.explode(F.array_append("tokens", F.lit(WHOLE))).alias("term"))
     postings = occurring.join(distinct, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    # Lengths and counts are both taken on, so that the scan's one exchange serves this sum and the postings.
+    # Lengths and counts are both taken on, and no filter parts the ways, so that the scan's one exchange serves the sums and the postings.
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"), F.sum("tf").alias("occurrences")).where("occurrences > 0")
-    stats = terms.where(F.col("term") == WHOLE).select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    whole = lambda c: F.max(F.when(F.col("term") == WHOLE, c))
+    stats = terms.agg(whole(F.col("df")).alias("n"), whole(F.col("length") / F.col("df")).alias("avgdl"))
     return _ranked(Index(postings, terms.select("term", "df"), stats), asked, k)
 
 

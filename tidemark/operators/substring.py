@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from ..sources.scratch import dealt
+
 GRAM, WIDTH = 8, 24
 REACH = GRAM + WIDTH - 1
 #: Candidate pairs, or passages' hashes, up to this many are broadcast: two ids or an id and a number each.
@@ -73,6 +75,6 @@ def containing(texts: DataFrame, passages: DataFrame, within: list[str] | None =
 
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     schema = texts.select(F.struct("id", *own).alias("id")).schema.add("anchors", ArrayType(LongType()))
-    met = texts.where("text <> ''").select(F.struct("id", *own).alias("id"), "text").mapInArrow(run, schema).select("id.*", F.explode("anchors").alias("anchor"))
+    met = dealt(texts.where("text <> ''").select(F.struct("id", *own).alias("id"), "text")).mapInArrow(run, schema).select("id.*", F.explode("anchors").alias("anchor"))
     pairs = met.join(few(hashed), ["anchor", *own]).select("id", "passage_id", *own).distinct()
     return texts.join(few(pairs), ["id", *own]).join(asked, ["passage_id", *own]).where(F.contains("text", "passage")).select("id", "passage_id", *own)

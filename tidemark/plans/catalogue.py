@@ -11,7 +11,7 @@ from ..functions import embed, text
 from ..operators import bm25, conflict, evaluate, graph, retrieve, substring, temporal
 from ..schema import EngineConfig
 from ..sources import derived, store
-from ..sources.scratch import new_folder
+from ..sources.scratch import dealt, new_folder
 from .views import ALL_RELATIONS, FACTS, RELATIONS, STATE, all_entities, all_relations, entities, facts, relations, table, valid_sql
 
 AT, START, END, LATE = "2024-01-15 00:00:00", "2024-01-10 00:00:00", "2024-01-20 00:00:00", "2024-01-29 00:00:00"
@@ -126,7 +126,7 @@ DOC_TOKENS = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}\\p{C
 
 @query(f"select doc_id, len({DOC_TOKENS}) as n, md5(array_to_string({DOC_TOKENS}, ' ')) as digest from documents")
 def document_tokens(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", text.document_tokens("text").alias("t"))
+    t = dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.document_tokens("text").alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
