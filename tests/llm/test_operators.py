@@ -759,6 +759,32 @@ def test_pipeline(spark, odd):
         assert stage(spark, odd.limit(0), SF).count() == 0
 
 
+def test_stages_take_odd_rows(spark, odd, docs):
+    """Nulls, empty and long texts, repeated rows and columns with the operators' own names, through all stages one after another."""
+    clean = docs.where("doc_id < 60").select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(v).alias(c) for c, v in (("score", "clash"), ("rep", 9), ("h", "h"), ("spans", "x"))])
+    rows = clean.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10_000)).unionByName(clean.where("doc_id = 7"))
+    now, seen = rows, []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now = corpus_pipeline.materialise(stage(spark, now, SF), "test-stage")
+        assert now.columns == rows.columns and {(r.score, r.h, r.spans) for r in now.select("score", "h", "spans").distinct().collect()} == {("clash", "h", "x")}
+        seen.append(sorted((r.doc_id is None, r.doc_id or 0) for r in now.select("doc_id").collect()))
+    assert not {(False, 10_000 + k) for k in (1, 2, 3)} & set(seen[0]) and seen[0].count((False, 7)) == 2  # null, empty, white space
+    assert seen[2].count((False, 7)) == 1 and len(set(seen[2])) == len(seen[2]) and seen[3] == seen[2]
+    assert set(seen[2]) <= set(seen[1]) <= set(seen[0])
+    packed = corpus_pipeline.STAGES[4][1](spark, now, SF).collect()
+    assert sorted({(r.doc_id is None, r.doc_id or 0) for r in packed}) == seen[3]
+
+
+def test_packing_and_encoding_take_repeated_rows(odd):
+    """Each repeated row has its pieces, and its ids; columns with clashing names are left alone or not read."""
+    twice = [r for r in packing.pack(odd).collect() if r.doc_id == 5]
+    assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens and len({(r.sequence_id, r.offset) for r in twice}) == len(twice)
+    coded = bpe.encode_documents(odd)
+    assert set(odd.columns) <= set(coded.columns)
+    rows = [r for r in coded.collect() if r.doc_id == 5]
+    assert len(rows) == 2 and rows[0].ids_sha256 == rows[1].ids_sha256 and {r.score for r in rows} == {"clash"}
+
+
 def test_registered():
-    assert len(queries.QUERIES) == 10 and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert len(queries.QUERIES) == 13 and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert F is not None
