@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens
 from ..operators.bm25 import Index, search, tokens_of
+from .scratch import dealt
 from .store import View, Write, day_of
 
 #: Random projections of the stored vectors' signatures.
@@ -53,11 +54,12 @@ def sketches_of(facts: DataFrame, embedder) -> DataFrame:
 def add_facts(write: Write, facts: DataFrame, embedder, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Appends facts and all that is derived from them: the facts, keys and sketches as they are stored."""
     stored = write.append("facts", facts.withColumn("since", day_of(F.least("effective_at", "created_at"))))
-    tokens = tokens_of(stored.select(F.struct("id", "seq").alias("doc_id"), F.col("content").alias("text")))
+    read = dealt(stored)
+    tokens = tokens_of(read.select(F.struct("id", "seq").alias("doc_id"), F.col("content").alias("text")))
     counted = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     postings = write.append("postings", counted.select("term", "doc_id.id", "doc_id.seq", "tf", "dl"))
     write.count(facts=stored.count(), tokens=postings.agg(F.sum("tf")).first()[0] or 0)
-    sketches = write.append("sketches", sketches_of(stored, embedder))
+    sketches = write.append("sketches", sketches_of(read, embedder))
     return stored, write.append("keys", keys_of(sketches, least)), sketches
 
 

@@ -32,11 +32,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A table up to this many bytes is dealt out before costly work: it may lie in one row group, and so in one task. A larger one has tasks enough.
-DEALT_BYTES = 256 << 20
+#: A table of this size in bytes is dealt out before costly work: it may lie in one row group, and so in one task. A larger one has tasks enough, a smaller one needs none.
+DEALT_BYTES = (1 << 18, 1 << 28)
 
 
 def dealt(df: DataFrame) -> DataFrame:
     """A small table in as many partitions as there are cores; a large one as it is, as a shuffle would cost more than it gains."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= DEALT_BYTES else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if DEALT_BYTES[0] <= size <= DEALT_BYTES[1] else df
