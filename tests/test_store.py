@@ -9,7 +9,7 @@ from tidemark import cli, server
 from tidemark.functions import embed, text
 from tidemark.memory import FactStore
 from tidemark.operators import bm25, conflict, evaluate, graph, retrieve, temporal
-from tidemark.schema import EngineConfig
+from tidemark.schema import CURRENT_STATE
 from tidemark.sources import store as tables
 from tidemark.streaming.ingest import ingest, windowed_counts
 
@@ -287,7 +287,7 @@ def test_quickstart(spark, tmp_path, capsys):
 
 
 def test_demotion_keeps_outdated_facts_last(spark, tmp_path):
-    store = FactStore(spark, str(tmp_path / "db"), EngineConfig(current_state_demote=True))
+    store = FactStore(spark, str(tmp_path / "db"), CURRENT_STATE)
     a = store.remember("Zeta rate is nine percent", ["Zeta"], effective_at="2024-01-01")
     b = store.remember("Zeta rate is four percent", ["Zeta"], effective_at="2024-01-02")
     assert [r["id"] for r in store.query("Zeta rate percent", 2)] == [b, a]
