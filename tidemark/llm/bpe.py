@@ -226,7 +226,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     """docs with n_tokens and the digests of the ids and of the decoded text; with keep_ids also ids (array).
 
     Null texts are encoded as empty ones: no tokens. The special token's string in a text is that
-    token. path: the tokenizer file on the executors, by default the public byte-level vocabulary.
+    token. Texts of any length are encoded whole, repeated rows each, an empty table gives none; docs'
+    columns of the new ones' names give way, all others stay. path: the tokenizer file on the executors, by default the public byte-level vocabulary.
     """
 
     def run_all(batches_path):
