@@ -118,3 +118,18 @@ def test_arrays_are_read_in_splits(spark, tmp_path, size, indent):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     want = [(s["question"], s["answer"], [[(x["role"], x["content"]) for x in y] for y in s["haystack_sessions"]]) for s in samples + samples[:1]]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("least", [0.15, 0.5])
+def test_blocks_of_token_sets_lose_no_pair(spark, monkeypatch, least):
+    """Common and rare words, copies, empty and long texts over several blocks and tiles, against all pairs."""
+    monkeypatch.setattr(conflict, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(conflict, "BLOCK_TILE", 7)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 300:03d}" for _ in range(rng.choice([3, 20, 60]))) for _ in range(110)] + ["", "w001 w002", "w001 w002", None, "the of"]
+    facts = [(f"f{k}", 7 * k % 131, t, []) for k, t in enumerate(texts)]
+    got = conflict.token_pairs(spark.createDataFrame(facts, "id string, seq long, content string, entity_ids array<string>"), least).collect()
+    sets = {i: (s, set((t or "").split()) - {"the", "of"}) for i, s, t, _ in facts}
+    want = {(a, b, len(x & y)) for a, (s, x) in sets.items() for b, (r, y) in sets.items() if s < r and x | y and len(x & y) / len(x | y) >= least}
+    assert {(r.old_id, r.new_id, r.common) for r in got} == want and len(got) == len(want) > 5
+    assert all((r.old_m, r.new_m) == (len(sets[r.old_id][1]), len(sets[r.new_id][1])) for r in got)
