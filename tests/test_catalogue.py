@@ -99,3 +99,20 @@ def test_a_stored_search_reads_no_texts(spark):
     text_ = plan._jdf.queryExecution().executedPlan().toString()
     read = re.findall(r"ReadSchema: struct<([^>]*)>", text_)
     assert any("term:string" in r for r in read) and not any("content" in r for r in read) and "ArrowEvalPython" not in text_
+
+
+@pytest.mark.parametrize("name", ["embedder_conflicts"])
+def test_pairs_are_made_where_their_facts_are(spark, name):
+    """Facts are shuffled to their user and type and to their entity, at most resolved pairs after that; nothing of unknown size is broadcast."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_texts_embedded_together_get_their_own_vectors(spark):
+    from tidemark.functions import embed
+
+    texts = ["", "a", "über straße 12 12", "日本語 テキスト", "user 7 click value 100", "😀 ok", "user 7 click value 100"] + [f"word{k} " * (k % 50) for k in range(1500)]
+    got = embed.hashing_embedder().vectors(texts)
+    named = embed.HashingEmbedder(idf=embed.Idf({}, 1.0)).vectors(texts[:20])  # feature by feature
+    assert got.shape == (len(texts), 512) and abs(got[:20] - named).max() < 1e-6
+    assert all(max(abs(x - y) for x, y in zip(v, plain_vector(t))) < 1e-6 for t, v in [*zip(texts, got)][1:7] + [(texts[1099].strip(), embed.hashing_embedder().vectors([texts[1099].strip()])[0])])
