@@ -101,7 +101,7 @@ def test_a_stored_search_reads_no_texts(spark):
     assert any("term:string" in r for r in read) and not any("content" in r for r in read) and "ArrowEvalPython" not in text_
 
 
-@pytest.mark.parametrize("name", ["embedder_conflicts"])
+@pytest.mark.parametrize("name", ["embedder_conflicts", "resolve_batch"])
 def test_pairs_are_made_where_their_facts_are(spark, name):
     """Facts are shuffled to their user and type and to their entity, at most resolved pairs after that; nothing of unknown size is broadcast."""
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
