@@ -153,3 +153,43 @@ def test_nearest_vectors_equal_a_plain_sort(spark, monkeypatch, bound):
         found = retrieve.dense_candidates(vectors, queries, k)
         assert sorted(map(repr, map(tuple, found.select("query_id", "doc_id", "sim", "rank").collect()))) == sorted(map(repr, map(tuple, want.collect())))
         assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_hold_little_of_long_texts(spark):
+    """Only anchors of passages leave a text, and a few texts' at a time; sessions get small batches."""
+    from tidemark.sources import scratch
+
+    scratch.bounded_batches(spark)
+    assert spark.conf.get(scratch.BATCH_CONF) == "8m"
+    cuts = list(substring.sliced(["a" * 200_000, "b" * 60_000, "", "c", "d" * 300_000, "e"]))
+    assert [(at, len(rows)) for at, rows in cuts] == [(0, 2), (2, 3), (5, 1)]
+    texts = spark.createDataFrame([(k, "xyz " * 50 + f"passage number {k} is here and long enough to have an anchor " + "tail " * 50) for k in range(40)], "id long, text string")
+    found = substring.containing(texts, spark.createDataFrame([("p", "passage number 7 is here and long enough to have an anchor")], "passage_id string, passage string"))
+    assert [tuple(r) for r in found.collect()] == [(7, "p")]
+
+
+def test_paths_from_many_starts_meet_few_edges_by_broadcast(spark):
+    """All paths come by one node: its edges go to the paths, not the paths to it."""
+    edges = [(f"s{k}", f"m{k % 9}", "t", 1) for k in range(50)] + [(f"m{k}", "hub", "t", 1) for k in range(9)] + [("hub", "end", "t", 1), ("hub", "m1", "t", 1)]
+    rel = spark.createDataFrame(edges, "source_id string, target_id string, type string, seq int")
+    start = spark.createDataFrame([(x,) for x in sorted({e[0] for e in edges} | {"none"})], "id string")
+    found = graph.paths(rel, start, max_depth=4)
+    want, front = [], [(e[0],) for e in {(e[0],) for e in edges}]
+    for _ in range(4):
+        front = [(*p, t) for p in front for s, t, *_ in edges if s == p[-1] and t not in p]
+        want += front
+    assert sorted(tuple(r.path) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("bound", [100_000, 20])
+def test_entities_that_all_facts_name(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "HOT_FACTS", bound)
+    facts = spark.createDataFrame([(k, [f"e{k % 40}", "all", "missing", "e0"]) for k in range(60)] + [(99, []), (98, None)], "id long, entity_ids array<string>")
+    entities = spark.createDataFrame([(f"e{k}", f"name {k}") for k in range(30)] + [("all", "everything")], "id string, name string")
+    found = graph.entities_of(facts, entities)
+    known = {f"e{k}" for k in range(30)} | {"all"}
+    want = sorted((k, p, e) for k in range(60) for p, e in enumerate([f"e{k % 40}", "all", "missing", "e0"]) if e in known)
+    assert sorted((r.id, r.pos, r.entity_id) for r in found.collect()) == want
+    assert found._jdf.queryExecution().executedPlan().toString().count("LeftAnti") >= 1
