@@ -48,6 +48,20 @@ def anchors(text: str, sizes: list[int]) -> np.ndarray:
     return np.concatenate(found).view(np.int64)
 
 
+#: Characters whose anchors are held at a time.
+SLICE_CHARS = 250_000
+
+
+def sliced(texts: list[str]):
+    """Where a slice of about SLICE_CHARS begins, and its texts."""
+    begin, chars = 0, 0
+    for k, t in enumerate(texts):
+        chars += len(t)
+        if chars >= SLICE_CHARS or k == len(texts) - 1:
+            yield begin, texts[begin : k + 1]
+            begin, chars = k + 1, 0
+
+
 def passage_hash(passage: str) -> int:
     data = np.frombuffer(passage.encode(), np.uint8)
     h = window_hashes(data, len(data)) if len(data) < REACH else run_minima(window_hashes(data[:REACH], GRAM), WIDTH)
@@ -67,11 +81,16 @@ def containing(texts: DataFrame, passages: DataFrame, within: list[str] | None =
     size = F.octet_length("passage")
     short = [r.n for r in asked.where(size < REACH).select(size.alias("n")).distinct().collect()]  # fewer than REACH lengths
 
+    known = hashed.select("anchor").distinct().limit(BROADCAST_ROWS + 1).toPandas()["anchor"].to_numpy(np.int64)
+    known = np.sort(known) if len(known) <= BROADCAST_ROWS else None  # the anchors of passages: only these leave a text
+
     def run(batches):
         for batch in batches:
-            found = [anchors(t, short) for t in batch.column("text").to_pylist()]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["id", "anchors"])
+            for at, rows in sliced(batch.column("text").to_pylist()):
+                found = [anchors(t, short) for t in rows]
+                found = found if known is None else [f[np.isin(f, known)] for f in found]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(rows)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], names=["id", "anchors"])
 
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     schema = texts.select(F.struct("id", *own).alias("id")).schema.add("anchors", ArrayType(LongType()))
