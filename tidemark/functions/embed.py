@@ -224,13 +224,21 @@ def model_embedder(load: Callable[[], object]) -> Callable[[str | Column], Colum
     return lambda c: embed(F.col(c) if isinstance(c, str) else c)
 
 
+#: Features whose frequencies a task holds; more go on to the sums that Spark keeps in each task.
+HELD_FEATURES = 50_000
+
+
 def fit_idf(docs: DataFrame, text: str = "content", smooth: float = 1.0, kind: Features = Features()) -> DataFrame:
-    """feature, df, idf over all documents: ln((N + s) / (df + s)) + 1. Frequencies are added up within each batch before they are shuffled."""
+    """feature, df, idf over all documents: ln((N + s) / (df + s)) + 1. Frequencies are added up by runs of documents and in each task before they are shuffled."""
 
     def count(batches):
         for batch in batches:
-            df = Counter(f for t in batch["t"] for f in kind.names(t or ""))
-            yield pd.DataFrame({"feature": list(df), "df": np.fromiter(df.values(), np.int64, len(df))})
+            df = Counter()
+            for k, t in enumerate(batch["t"], 1):
+                df.update(kind.names(t or ""))
+                if len(df) >= HELD_FEATURES or k == len(batch):
+                    yield pd.DataFrame({"feature": list(df), "df": np.fromiter(df.values(), np.int64, len(df))})
+                    df = Counter()
 
     n = docs.select(F.count("*").alias("n"))
     df = docs.select(normalise(text).alias("t")).mapInPandas(count, "feature string, df long").groupBy("feature").agg(F.sum("df").alias("df"))
