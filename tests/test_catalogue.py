@@ -116,3 +116,21 @@ def test_texts_embedded_together_get_their_own_vectors(spark):
     named = embed.HashingEmbedder(idf=embed.Idf({}, 1.0)).vectors(texts[:20])  # feature by feature
     assert got.shape == (len(texts), 512) and abs(got[:20] - named).max() < 1e-6
     assert all(max(abs(x - y) for x, y in zip(v, plain_vector(t))) < 1e-6 for t, v in [*zip(texts, got)][1:7] + [(texts[1099].strip(), embed.hashing_embedder().vectors([texts[1099].strip()])[0])])
+
+
+def test_words_of_many_texts_are_hashed_together(monkeypatch):
+    """No distinct word costs a loop of its own; the vectors are those of the features one by one."""
+    from tidemark.functions import embed
+
+    texts = ["ab ab c 12\nab", "c", "", "x" * 40, "ab-cd_ef é9ab", "\ud800ab 日本語ab"]
+    named = embed.HashingEmbedder(idf=embed.Idf({}, 1.0)).vectors(texts)
+    monkeypatch.setattr(embed, "bucket_of", None)
+    assert abs(embed.hashing_embedder().vectors(texts) - named).max() < 1e-6
+    monkeypatch.setattr(embed, "TABLE_SIZE", 1)  # sorted keys in place of tables
+    monkeypatch.setattr(embed, "TABLE_SHARE", 0)
+    assert abs(embed.hashing_embedder().vectors(texts) - named).max() < 1e-6
+
+
+def test_every_document_is_embedded_once(spark):
+    plan = catalogue.QUERIES["hashing_embed"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "RoundRobinPartitioning" in plan  # one file, in all tasks

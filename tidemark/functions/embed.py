@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,13 +75,19 @@ def buckets(text: str, starts: np.ndarray, dim: int) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     at, end = first[starts[:, 0]], first[starts.sum(1)]
-    h = np.full(len(starts), OFFSET, np.uint64)
-    left = np.arange(len(starts))
+    return (hashes(data, first[starts[:, 0]], first[starts.sum(1)]) % np.uint64(dim)).astype(np.int64)
+
+
+def hashes(data: np.ndarray, at: np.ndarray, end: np.ndarray, begun: int = OFFSET) -> np.ndarray:
+    """FNV-1a of the bytes of data from each `at` to its `end`, after those that led to the number `begun`."""
+    h = np.full(len(at), begun, np.uint64)
+    left = np.flatnonzero(at < end)
+    at = at[left]
     while len(left):
-        h[left] = (h[left] ^ data[at[left]].astype(np.uint64)) * np.uint64(PRIME)
-        at[left] += 1
-        left = left[at[left] < end[left]]
-    return (h % np.uint64(dim)).astype(np.int64)
+        h[left] = (h[left] ^ data[at].astype(np.uint64)) * np.uint64(PRIME)
+        more = at + 1 < end[left]
+        at, left = at[more] + 1, left[more]
+    return h
 
 
 @dataclass(frozen=True)
@@ -92,7 +99,41 @@ class Idf:
 
 
 #: Characters and texts that are embedded at a time.
-SLICE_CHARS, SLICE_TEXTS = 500_000, 1_024
+SLICE_CHARS, SLICE_TEXTS = 200_000, 1_024
+
+
+#: The hash of what is before a word in its feature's name.
+_BEFORE_WORD = bucket_of("w:", 1 << 64)
+#: Which bytes are letters or digits of a word.
+_WORD = np.array([chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" for b in range(256)])
+#: Numbers below this are looked up in a table; cells up to TABLE_SHARE times what is counted too.
+TABLE_SIZE, TABLE_SHARE = 1 << 22, 8
+
+
+def _distinct(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and which of them each key is."""
+    if below > TABLE_SIZE:
+        return np.unique(keys, return_inverse=True)
+    there = np.zeros(below, bool)
+    there[keys] = True
+    found = np.flatnonzero(there)
+    place = np.zeros(below, np.int64)
+    place[found] = np.arange(len(found))
+    return found, place[keys]
+
+
+def _tally(owner: np.ndarray, which: np.ndarray, owners: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, kind and count of each pair of these that there is."""
+    cells = owner * kinds + which
+    if owners * kinds <= TABLE_SHARE * len(cells):
+        counts = np.bincount(cells, minlength=0)
+        at = np.flatnonzero(counts)
+        counts = counts[at]
+    else:
+        cells.sort()
+        first = np.flatnonzero(np.diff(cells, prepend=-1))
+        at, counts = cells[first], np.diff(first, append=len(cells))
+    return at // max(kinds, 1), at % max(kinds, 1), counts
 
 
 @dataclass(frozen=True)
@@ -134,41 +175,51 @@ class HashingEmbedder:
             yield self._unit(held, seen)
 
     def _unit(self, texts: list[str], seen: dict[str, int]) -> np.ndarray:
-        at, weight = zip(*(self._grams(texts), self._words(texts, seen))) if self.idf is None and self.kind.grams[1] <= 3 else zip(*(self._weighted(k, t, seen) for k, t in enumerate(texts)))
+        at, weight = zip(*self._together(texts)) if self.idf is None and self.kind.grams[1] <= 3 else zip(*(self._weighted(k, t, seen) for k, t in enumerate(texts)))
         v = np.bincount(np.concatenate(at), np.concatenate(weight), len(texts) * self.dim).reshape(len(texts), self.dim)
         norm = np.sqrt((v * v).sum(1, keepdims=True))
         return (v / np.where(norm == 0, 1, norm)).astype(np.float32)
 
-    def _grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cell (text and bucket) and weight of each distinct n-gram of each text, of up to three characters: all texts at once, each distinct n-gram hashed once."""
-        joined = "".join(texts)
+    def _together(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Cells (text and bucket) and weights of each distinct feature of each text, n-grams of up to three characters: all texts at once, each distinct feature hashed once."""
+        joined = "\n".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.array([len(t) for t in texts], np.int64)
-        owner, ends = np.repeat(np.arange(len(texts)), lengths), np.repeat(np.cumsum(lengths), lengths)
-        at, weight = [np.zeros(0, np.int64)], [np.zeros(0)]
+        ends = np.cumsum(lengths + 1) - 1  # where the line feed after each text is
+        yield np.zeros(0, np.int64), np.zeros(0)
+        known, codes = _distinct(points.astype(np.int64), int(points.max(initial=0)) + 1)
+        owner, left = np.repeat(np.arange(len(texts)), lengths + 1)[: len(points)], np.repeat(ends, lengths + 1)[: len(points)]
         for n in range(self.kind.grams[0], self.kind.grams[1] + 1):
-            starts = np.flatnonzero(np.arange(len(points)) + n <= ends)
-            keys = Features._packed(np.stack([points[starts + k] for k in range(n)], 1))
-            _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-            if not len(first):
-                continue
-            bucket = buckets(joined, np.stack([starts[first], np.full(len(first), n)], 1), self.dim)
-            cells, counts = np.unique(owner[starts] * len(first) + which, return_counts=True)
-            at.append(cells // len(first) * self.dim + bucket[cells % len(first)])
-            weight.append(1 + np.log(counts))
-        return np.concatenate(at), np.concatenate(weight)
-
-    def _words(self, texts: list[str], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Cell and weight of each distinct word of each text."""
-        at, counts = [], []
-        for k, t in enumerate(texts if self.kind.words else ()):
-            words = Counter(re.findall("[a-z0-9]{2,}", t))
-            for w in words:
-                if w not in seen:
-                    seen[w] = bucket_of(f"w:{w}", self.dim)
-            at += [k * self.dim + seen[w] for w in words]
-            counts += words.values()
-        return np.array(at, np.int64), 1 + np.log(np.array(counts, float) * self.kind.repeats)
+            starts = np.flatnonzero(np.arange(len(points)) + n <= left)
+            key = np.zeros(len(starts), np.int64)
+            for k in range(n):
+                key = key * len(known) + codes[starts + k]
+            grams, which = _distinct(key, len(known) ** n)
+            letters = known[np.stack([grams // len(known) ** (n - 1 - k) % len(known) for k in range(n)], 1)] if len(grams) else np.zeros((0, n))
+            bucket = buckets(letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), np.stack([np.arange(len(grams)) * n, np.full(len(grams), n)], 1), self.dim)
+            text, gram, counts = _tally(owner[starts], which, len(texts), len(grams))
+            yield text * self.dim + bucket[gram], 1 + np.log(counts)
+        if self.kind.words:
+            yield self._words(joined.encode("utf-8", "surrogatepass"), texts)
+
+    def _words(self, data: bytes, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and weight of each distinct word of each text; data: the texts' bytes, a line feed between two."""
+        octets = np.frombuffer(data, np.uint8)
+        flags = np.zeros(len(octets) + 2, bool)
+        part = flags[1:-1]
+        np.take(_WORD, octets, out=part)
+        edges = np.flatnonzero(flags[1:] != flags[:-1])
+        begin, size = edges[::2], edges[1::2] - edges[::2]
+        part[begin[size == 1]] = False
+        begin, size = begin[size > 1], size[size > 1]
+        kept, offsets = octets[part], np.concatenate([[0], np.cumsum(size)])
+        words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(kept)).dictionary_encode()
+        _, starts, letters = words.dictionary.buffers()
+        starts = np.frombuffer(starts, np.int64)[: len(words.dictionary) + 1]
+        bucket = (hashes(np.frombuffer(letters or b"", np.uint8), starts[:-1], starts[1:], _BEFORE_WORD) % np.uint64(self.dim)).astype(np.int64)
+        ends = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts])
+        text, word, counts = _tally(np.searchsorted(ends, begin, "right"), words.indices.to_numpy().astype(np.int64), len(texts), len(bucket))
+        return text * self.dim + bucket[word], 1 + np.log(counts * float(self.kind.repeats))
 
     def _weighted(self, k: int, text: str, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Cell and weight of each distinct feature of the k-th text, by name."""
