@@ -134,3 +134,11 @@ def test_words_of_many_texts_are_hashed_together(monkeypatch):
 def test_every_document_is_embedded_once(spark):
     plan = catalogue.QUERIES["hashing_embed"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "RoundRobinPartitioning" in plan  # one file, in all tasks
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion", "hybrid_at", "misses"])
+def test_searches_in_larger_plans_count_the_texts_once(spark, name):
+    """Where a search is joined or united with more, the plan that is left folds no text again."""
+    plan = catalogue.QUERIES[name](spark, SF)
+    plan.collect()
+    assert "ArrowEvalPython [fold" not in plan._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]

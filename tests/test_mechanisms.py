@@ -193,3 +193,20 @@ def test_entities_that_all_facts_name(spark, monkeypatch, bound):
     want = sorted((k, p, e) for k in range(60) for p, e in enumerate([f"e{k % 40}", "all", "missing", "e0"]) if e in known)
     assert sorted((r.id, r.pos, r.entity_id) for r in found.collect()) == want
     assert found._jdf.queryExecution().executedPlan().toString().count("LeftAnti") >= 1
+
+
+@pytest.mark.parametrize("held", [4_000_000, 0])
+def test_counted_search_equals_the_joined_one(spark, monkeypatch, held):
+    """Copies beyond k, null and empty texts and ids, repeated words, batches of three rows, and more questions than a task holds."""
+    from tidemark.operators import bm25
+
+    monkeypatch.setattr(bm25, "HELD_WEIGHTS", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    texts = [None, "", "rock rock Rivér", "river bank", "bank bank bank", *["rock of ages"] * 9, "été ETE ete", "nothing asked", "rock river bank ete"]
+    docs = spark.createDataFrame([(f"d{k:02d}", t) for k, t in enumerate(texts)] + [(None, "rock")], "doc_id string, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "rock rock river"), (2, "ete bank"), (3, "absent"), (4, None), (None, "river")], "query_id long, text string")
+    want = bm25.search_documents(docs, asked.where("query_id is not null or text is null"), 4)
+    found = bm25.search_counted(docs, asked, 4)
+    assert found.columns == want.columns and sorted(map(tuple, found.where("query_id is not null").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert bm25.search_counted(docs, asked.where("false"), 4).count() == 0 and bm25.search_counted(docs.where("false"), asked, 4).count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

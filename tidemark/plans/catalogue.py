@@ -164,12 +164,12 @@ def _questions(spark, sf):
 
 
 def _sparse(spark, sf, k):
-    return bm25.search_documents(table(spark, sf, "documents"), _questions(spark, sf), k)
+    return bm25.search_counted(table(spark, sf, "documents"), _questions(spark, sf), k)
 
 
 @query(f"with {BM25} select query_id, doc_id, round(bm25, 6) as bm25, rank from sparse where rank <= 10")
 def bm25_topk(spark, sf):
-    return _sparse(spark, sf, 10).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
+    return bm25.search_documents(table(spark, sf, "documents"), _questions(spark, sf), 10).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @query(f"with {BM25} select n, round(avgdl, 6) as avgdl, (select count(*) from dfs) as n_terms, (select sum(tf)::bigint from post) as n_tokens from stats")
