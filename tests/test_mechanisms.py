@@ -210,3 +210,18 @@ def test_counted_search_equals_the_joined_one(spark, monkeypatch, held):
     assert found.columns == want.columns and sorted(map(tuple, found.where("query_id is not null").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert bm25.search_counted(docs, asked.where("false"), 4).count() == 0 and bm25.search_counted(docs.where("false"), asked, 4).count() == 0
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("held", [4_000_000, 0])
+def test_overlap_of_copies_and_of_questions_with_few_hits(spark, monkeypatch, held):
+    from tidemark.operators import bm25
+
+    monkeypatch.setattr(bm25, "HELD_WEIGHTS", held)
+    words = [["a"], ["a", "b"], *[["b", "c"]] * 9, [], ["d"], None, ["c", "a", "b"]]
+    asked = {1: ["a", "b"], 2: ["d"], 3: ["x"], 4: [], 5: ["a", "b", "c"]}
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, tokens array<string>").repartition(4)
+    found = retrieve.overlap_search(docs, spark.createDataFrame(list(asked.items()), "query_id long, tokens array<string>"), 5)
+    got = {(r.query_id, r.rank): (r.doc_id, r.overlap) for r in found.collect()}
+    assert got == {(q, n): (d, c) for q, t in asked.items() for n, (c, d) in enumerate(sorted(((len(set(t) & set(w or [])), d) for d, w in enumerate(words)), key=lambda x: (-x[0], x[1]))[:5], 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert held == 0 or plan.count("MapInArrow") == 2 and "Exchange hashpartitioning(t" not in plan  # counted and scored where they are read, once

@@ -533,7 +533,7 @@ h as (select query_id, doc_id, count(*) as overlap from d join q using (t) group
 o as (select b.item_id as query_id, documents.doc_id, coalesce(overlap, 0) as overlap from benchmark b cross join documents left join h on h.query_id = b.item_id and h.doc_id = documents.doc_id),
 r as (select *, row_number() over (partition by query_id order by overlap desc, doc_id) as rank from o) select * from r where rank <= 5""")
 def grep_baseline(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", text.overlap_tokens("text").alias("tokens"))
+    d = dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.overlap_tokens("text").alias("tokens"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.overlap_tokens("text").alias("tokens"))
     return retrieve.overlap_search(d, q, 5)
 
