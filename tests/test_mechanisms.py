@@ -225,3 +225,22 @@ def test_overlap_of_copies_and_of_questions_with_few_hits(spark, monkeypatch, he
     assert got == {(q, n): (d, c) for q, t in asked.items() for n, (c, d) in enumerate(sorted(((len(set(t) & set(w or [])), d) for d, w in enumerate(words)), key=lambda x: (-x[0], x[1]))[:5], 1)}
     plan = found._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
     assert held == 0 or plan.count("MapInArrow") == 2 and "Exchange hashpartitioning(t" not in plan  # counted and scored where they are read, once
+
+
+def test_what_a_store_derives_from_texts_is_made_once(spark):
+    """Vectors and signatures come from one embedding, keys from one ordering, and terms are counted with their documents, without a shuffle."""
+    from tidemark.functions import embed
+    from tidemark.operators import bm25
+    from tidemark.sources import derived
+
+    rows = spark.createDataFrame([("a", "rock rock river"), ("b", None), ("c", ""), ("d", "river Été")], "id string, content string")
+    facts = rows.select("id", F.lit(1).cast("long").alias("seq"), "content", F.array(F.lit("e")).alias("entity_ids"), F.lit("2024-01-01").cast("timestamp").alias("effective_at"), F.lit(False).alias("deprecated"))
+    sketches = derived.sketches_of(facts, embed.hashing_embedder(64))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(sketches).count("ArrowEvalPython") == 1 and "pythonUDF1" not in plan(sketches)
+    chained = facts.select("id", embed.hashing_embedder(64)("content").alias("v")).withColumn("signature", derived.signature_of("v"))
+    assert {r.id: (r.v, r.signature) for r in sketches.collect()} == {r.id: (r.v, r.signature) for r in chained.collect()}
+    assert plan(derived.keys_of(sketches, 0.2)).count("xxhash64") == 1
+    tokens = bm25.tokens_of(rows, "id", "content")
+    counts = bm25.term_counts(tokens)
+    assert sorted(map(tuple, counts.collect())) == [("a", 3, "river", 1), ("a", 3, "rock", 2), ("d", 2, "ete", 1), ("d", 2, "river", 1)] and "Exchange hash" not in plan(counts)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.text import LOWER, UPPER, ascii_fold, document_tokens, search_tokens
 from ..sources.scratch import dealt, written
@@ -101,6 +101,22 @@ def counted(tokens: DataFrame, terms: list[str]) -> DataFrame:
     return tokens.select("doc_id", "tokens").mapInArrow(count, schema)
 
 
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """doc_id, dl, term, tf of rows (doc_id, dl, tokens), each in the batch that holds its document. Nothing is shuffled."""
+
+    def count(batches):
+        for batch in batches:
+            size, flat = lists_of(batch.column("tokens"))
+            coded = flat.dictionary_encode()
+            kinds = max(len(coded.dictionary), 1)
+            cells, tf = np.unique(np.repeat(np.arange(len(size)), size) * kinds + coded.indices.to_numpy(), return_counts=True)
+            own = pa.array(cells // kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("dl").take(own), coded.dictionary.take(pa.array(cells % kinds)), pa.array(tf, pa.int64())], names=["doc_id", "dl", "term", "tf"])
+
+    schema = StructType([tokens.schema["doc_id"], tokens.schema["dl"], StructField("term", StringType()), StructField("tf", LongType())])
+    return tokens.select("doc_id", "dl", "tokens").mapInArrow(count, schema)
+
+
 def best_scored(rows: DataFrame, queries: list, query_type, weights: np.ndarray, k: int, share=None) -> DataFrame:
     """query_id, doc_id, score of the k best documents of each question, and of some more, of rows as counted() gives them that share a term with it.
 

@@ -214,11 +214,11 @@ state as (select f.*, r.created_at as ended from df0 f left join df0 r on f.repl
 """
 
 
-def _doc_facts(spark, sf):
+def _doc_facts(spark, sf, *more):
     day = lambda start: F.lit(start).cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 60).cast("int"))
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), day("2024-01-01").alias("effective_at"), day("2024-01-02").alias("created_at"), (F.col("doc_id") % 7 == 0).alias("deprecated"),
-        F.when(F.col("doc_id") % 14 == 7, F.col("doc_id") + 1).alias("replaced_by"), F.array("source").alias("entity_ids"), "source",
+        F.when(F.col("doc_id") % 14 == 7, F.col("doc_id") + 1).alias("replaced_by"), F.array("source").alias("entity_ids"), "source", *more,
     )
 
 
@@ -599,7 +599,7 @@ def deprecate_log(spark, sf):
 def _stored_documents(spark, sf) -> store.View:
     """The documents as facts of a store, with postings, keys and sketches."""
     kept = store.Catalog(spark, new_folder(spark, "documents-store"))
-    f = _doc_facts(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
+    f = _doc_facts(spark, sf, F.col("text").alias("content"))
     rows = f.withColumn("seq", F.col("id") + 1).withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0")).withColumn("effective_at", F.col("effective_at").cast("timestamp")).withColumn("created_at", F.col("created_at").cast("timestamp"))
     kept.write(lambda write: derived.add_facts(write, rows, embed.hashing_embedder(64), 0.2))
     return kept.view()

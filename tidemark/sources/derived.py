@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens
-from ..operators.bm25 import Index, search, tokens_of
+from ..operators.bm25 import Index, search, term_counts, tokens_of
 from .scratch import dealt
 from .store import View, Write, day_of
 
@@ -26,29 +26,40 @@ def signature_of(vector: str | Column) -> Column:
 
     @F.pandas_udf("array<long>")
     def signed(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype="object")
-        v = np.stack(vectors)
-        planes = np.random.default_rng(v.shape[1]).normal(size=(BITS, v.shape[1]))
-        sides = v @ (planes - planes.mean(1, keepdims=True)).T > 0
-        return pd.Series(list(np.packbits(sides, axis=1).view(np.int64)))
+        return pd.Series(_sides(np.stack(vectors)) if len(vectors) else [], dtype="object")
 
     return signed(vector)
 
 
+def _sides(v: np.ndarray) -> list[np.ndarray]:
+    planes = np.random.default_rng(v.shape[1]).normal(size=(BITS, v.shape[1]))
+    return list(np.packbits(v @ (planes - planes.mean(1, keepdims=True)).T > 0, axis=1).view(np.int64))
+
+
 def keys_of(sketches: DataFrame, least: float) -> DataFrame:
     """key, id, seq: entities, and tokens first in a fixed order, as many as two sets of Jaccard `least` or more share one of."""
     m = F.size("tokens")
-    order = F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), lambda x: F.concat(F.lit("t:"), x["t"]))
+    order = F.transform(F.sort_array(F.transform("tokens", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), lambda x: F.concat(F.lit("t:"), x["t"]))
     first = F.slice(order, 1, F.greatest(m - F.ceil(F.lit(least) * m).cast("int") + 1, F.lit(0)))
     entities = F.transform(F.array_distinct(F.coalesce("entity_ids", F.array().cast("array<string>"))), lambda e: F.concat(F.lit("e:"), e))
-    return sketches.select("id", "seq", F.explode(F.concat(entities, first)).alias("key")).where("key is not null")
+    # Outer, as Spark guards an inner one by a filter that makes all keys once more.
+    return sketches.select("id", "seq", F.explode_outer(F.concat(entities, first)).alias("key")).where("key is not null")
 
 
 def sketches_of(facts: DataFrame, embedder) -> DataFrame:
     """Token set and vector of each fact, with what decides whether it is active."""
-    sketched = facts.select("id", "seq", content_tokens(F.coalesce("content", F.lit(""))).alias("tokens"), "entity_ids", "effective_at", "deprecated", embedder("content").alias("v"))
-    return sketched.withColumn("signature", signature_of("v"))
+    own = ["id", "seq", content_tokens(F.coalesce("content", F.lit(""))).alias("tokens"), "entity_ids", "effective_at", "deprecated"]
+    if not hasattr(embedder, "vectors"):
+        return facts.select(*own, embedder("content").alias("v")).withColumn("signature", signature_of("v"))
+
+    @F.pandas_udf("struct<v: array<float>, signature: array<long>>")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        v = embedder.vectors(texts)
+        return pd.DataFrame({"v": list(v), "signature": _sides(v)})
+
+    # In one function, as Spark would chain two and embed the text for each.
+    sketched = facts.select(*own, both(embedder.prepared("content")).alias("sketch"))
+    return sketched.select("*", "sketch.v", "sketch.signature").drop("sketch")
 
 
 def add_facts(write: Write, facts: DataFrame, embedder, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -56,8 +67,7 @@ def add_facts(write: Write, facts: DataFrame, embedder, least: float) -> tuple[D
     stored = write.append("facts", facts.withColumn("since", day_of(F.least("effective_at", "created_at"))))
     read = dealt(stored)
     tokens = tokens_of(read.select(F.struct("id", "seq").alias("doc_id"), F.col("content").alias("text")))
-    counted = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    postings = write.append("postings", counted.select("term", "doc_id.id", "doc_id.seq", "tf", "dl"))
+    postings = write.append("postings", term_counts(tokens).select("term", "doc_id.id", "doc_id.seq", "tf", "dl"))
     write.count(facts=stored.count(), tokens=postings.agg(F.sum("tf")).first()[0] or 0)
     sketches = write.append("sketches", sketches_of(read, embedder))
     return stored, write.append("keys", keys_of(sketches, least)), sketches
