@@ -108,6 +108,11 @@ def test_pairs_are_made_where_their_facts_are(spark, name):
     assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") <= 5
 
 
+def test_pairs_go_through_python_once(spark):
+    plan = catalogue.QUERIES["embedder_conflicts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_texts_embedded_together_get_their_own_vectors(spark):
     from tidemark.functions import embed
 

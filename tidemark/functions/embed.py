@@ -242,7 +242,10 @@ HELD_VECTORS = 20_000
 
 
 def text_cosine(embedder, a: str, b: str) -> Column:
-    """Cosine of the vectors of two prepared texts. Each distinct text of a run of pairs is embedded once."""
+    """Cosine of the vectors of two prepared texts. Each distinct text of a run of pairs is embedded once.
+
+    Called nondeterministic, as Spark would else take every pair through Python once for a filter on it and once more for its value.
+    """
 
     @F.pandas_udf("double")
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -260,7 +263,7 @@ def text_cosine(embedder, a: str, b: str) -> Column:
             i, j = at[: len(old)], at[len(old) :]
             yield pd.Series(np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", vectors[i[k : k + 1024]].astype(float), vectors[j[k : k + 1024]].astype(float)) for k in range(0, len(i), 1024))]))
 
-    return similar(a, b)
+    return similar.asNondeterministic()(a, b)
 
 
 def model_embedder(load: Callable[[], object]) -> Callable[[str | Column], Column]:
