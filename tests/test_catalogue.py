@@ -108,6 +108,12 @@ def test_pairs_are_made_where_their_facts_are(spark, name):
     assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") <= 5
 
 
+@pytest.mark.parametrize("name", ["embedder_conflicts", "resolve_batch", "conflict_pairs", "semantic_judge"])
+def test_common_tokens_of_a_pair_are_counted_once(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_intersect(old_tokens") == 1
+
+
 def test_pairs_go_through_python_once(spark):
     plan = catalogue.QUERIES["embedder_conflicts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1

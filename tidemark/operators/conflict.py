@@ -174,7 +174,8 @@ def entity_pairs(facts: DataFrame, carried: Column | None = None) -> DataFrame:
     one = (F.size("old_entities") == 1) | (F.size("new_entities") == 1)
     met = side("old").hint("merge").join(side("new"), "key").where("old_seq < new_seq").where(one | (F.col("key") == F.array_min(F.array_intersect("old_entities", "new_entities"))))
     size = lambda c: F.size(c).cast("long")
-    return met.select("old_id", "old_seq", "new_id", "new_seq", size("old_tokens").alias("old_m"), size("new_tokens").alias("new_m"), size(F.array_intersect("old_tokens", "new_tokens")).alias("common"), *([] if carried is None else ["old_carried", "new_carried"]))
+    # Exploded, as Spark would else count the common tokens anew wherever the number is looked at, and in the join those of pairs in the wrong order too.
+    return met.select("old_id", "old_seq", "new_id", "new_seq", size("old_tokens").alias("old_m"), size("new_tokens").alias("new_m"), F.explode(F.array(size(F.array_intersect("old_tokens", "new_tokens")))).alias("common"), *([] if carried is None else ["old_carried", "new_carried"]))
 
 
 def _jaccard() -> Column:
