@@ -137,6 +137,25 @@ def test_blocks_of_token_sets_lose_no_pair(spark, monkeypatch, least):
     assert all((r.old_m, r.new_m) == (len(sets[r.old_id][1]), len(sets[r.new_id][1])) for r in got)
 
 
+@pytest.mark.parametrize("rows", [13, 16, 21, 32, 64])
+def test_blocks_of_token_sets_meet_where_they_are_stored(spark, monkeypatch, rows):
+    """One to five blocks, each pair of them once; ids that two facts share, and none; no set is shuffled, or written, once for each block it meets."""
+    kept, stored = {}, conflict.stored
+    monkeypatch.setattr(conflict, "stored", lambda df, label, *by: kept.setdefault(label, stored(df, label, *by)))
+    monkeypatch.setattr(conflict, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(conflict, "BATCH_PAIRS", 50)
+    rng = random.Random(rows)
+    facts = [(None if k == 9 else k // 2, " ".join(rng.sample([f"w{w:02d}" for w in range(30)], rng.choice([4, 9])))) for k in range(63)]
+    given = spark.createDataFrame(facts, "id long, content string").select("id", F.col("id").alias("seq"), "content")
+    found = conflict.token_pairs(given, 0.3)
+    known = [(i, set(t.split())) for i, t in facts if i is not None]
+    want = sorted((a, b, len(x), len(y), len(x & y)) for a, x in known for b, y in known if a < b and len(x & y) / len(x | y) >= 0.3)
+    assert sorted((r.old_id, r.new_id, r.old_m, r.new_m, r.common) for r in found.collect()) == want and len(want) > 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert kept["blocks"].count() == -(-62 // rows) and kept["blocks"].selectExpr("sum(size(sets))").first()[0] == 62
+
+
 @pytest.mark.parametrize("bound", [2_000, 3])
 def test_nearest_vectors_equal_a_plain_sort(spark, monkeypatch, bound):
     """Ties, null and shorter vectors, few vectors, few and many questions; no pair of vectors is made in the plan."""
